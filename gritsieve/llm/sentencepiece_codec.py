@@ -25,7 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 MARK = "▁"
 #: Units kept by each Python worker; the cache is emptied when it is full.
@@ -298,7 +298,7 @@ def _groups(column: pa.Array, most: int = 1 << 21):
 def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model: str | None = None, end: bool = True) -> DataFrame:
     """`df` with the ids of each whole text in `out_col` (array<int>), replacing a column of that name."""
     df = df.drop(out_col)
-    schema = df.schema.add(out_col, "array<int>")
+    schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))])
     at = df.columns.index(text_col)
 
     def run(batches):
@@ -313,7 +313,7 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model: s
 def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model: str | None = None) -> DataFrame:
     """`df` with the text of each id list in `out_col`, replacing a column of that name; null lists give empty texts."""
     df = df.drop(out_col)
-    schema = df.schema.add(out_col, "string")
+    schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())])
     at = df.columns.index(ids_col)
 
     def run(batches):

@@ -17,6 +17,11 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes that end a word of letters and digits: ASCII punctuation, white space and controls.
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[128:] = False
+for _a, _b in ((48, 58), (65, 91), (97, 123)):
+    PUNCTUATION[_a:_b] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -75,17 +80,17 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES):
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of all texts, and how many words each text has.
 
-    A word is a maximal run of bytes other than 0x20 and 0x09-0x0D; words never
-    cross from one text to the next.
+    A word is a maximal run of bytes that `breaks` does not mark, by default of bytes
+    other than 0x20 and 0x09-0x0D; words never cross from one text to the next.
     """
     n = len(data)
     if n == 0:
         zero = np.zeros(0, np.int64)
         return zero, zero, np.zeros(len(offsets) - 1, np.int64)
-    solid = ~_WHITE[data]
+    solid = ~breaks[data]
     begins, closes = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]
     closes[:-1] &= ~solid[1:]
@@ -111,10 +116,10 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, breaks: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the number of words of each text."""
     data = lowered(data) if lower else data
-    starts, ends, counts = word_spans(data, offsets)
+    starts, ends, counts = word_spans(data, offsets, breaks)
     return span_hashes(data, starts, ends), counts
 
 
