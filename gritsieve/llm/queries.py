@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, minhash_dedup, quality_fm, quality_rules, sentencepiece_codec, sharding, toxicity_cnn
+from . import decontaminate, license_scan, line_dedup, minhash_dedup, quality_fm, quality_rules, sentencepiece_codec, sharding, toxicity_cnn
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(_read(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.find(_read(spark, sf_dir, "documents"))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.link(_read(spark, sf_dir, "documents"), 3, 85)
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_sharding": op5_sharding,
         "op7_license_scan": op7_license_scan,
         "op8_quality_rules": op8_quality_rules,
+        "op9_line_dedup": op9_line_dedup,
         "op10_minhash_dedup": op10_minhash_dedup,
     }
 
