@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, line_dedup, minhash_dedup, quality_fm, quality_rules, sentencepiece_codec, sharding, toxicity_cnn
+from . import decontaminate, license_scan, line_dedup, minhash_dedup, quality_fm, quality_rules, sentencepiece_codec, sharding, suffix_dedup, toxicity_cnn
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_read(spark, sf_dir, "documents"), 24)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(_read(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_read(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_classifier": op3_quality_classifier,
         "op4_toxicity": op4_toxicity,
         "op5_sharding": op5_sharding,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_license_scan": op7_license_scan,
         "op8_quality_rules": op8_quality_rules,
         "op9_line_dedup": op9_line_dedup,
