@@ -32,6 +32,7 @@ FENCE = 3
 WINDOW = 8
 #: Distinct languages and sources up to which fences are broadcast (about 100 bytes each).
 BROADCAST_GROUPS = 20_000
+_ROW = "_row_number"
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -100,7 +101,8 @@ def _bucket(value: Column) -> Column:
 
 def sketches(df: DataFrame, keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """(keys, measure, bucket, n): one mergeable sketch for each group and measure, of documents that pass the base rules."""
-    rows = df.filter(~base_failed(df)).select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), _bucket(F.col(m)).alias("bucket")) for m in MEASURES])).alias("x"))
+    good = ~base_failed(df) & (F.col(_ROW) >= 0) if _ROW in df.columns else ~base_failed(df)
+    rows = df.filter(good).select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), _bucket(F.col(m)).alias("bucket")) for m in MEASURES])).alias("x"))
     return rows.groupBy(*keys, "x.measure", "x.bucket").agg(F.count("*").alias("n"))
 
 
@@ -155,9 +157,11 @@ def settled(limits: DataFrame) -> tuple[DataFrame, int]:
 
 def apply_rules(df: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """Measure, sketch, derive fences, judge. Documents are read twice, their texts never shuffled."""
-    measured = measures(df, text_col)
+    # filters must not sink into the measures, whose expressions they would repeat: a row number keeps them above
+    measured = measures(df, text_col).withColumn(_ROW, F.monotonically_increasing_id())
     limits, n = settled(thresholds(sketches(measured, keys), keys))
-    return judge(measured, limits, keys, n).drop(*MEASURES)
+    judged = judge(measured, limits, keys, n).withColumn("kept", F.col("kept") & (F.col(_ROW) >= 0))
+    return judged.drop(*MEASURES, _ROW)
 
 
 def verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
