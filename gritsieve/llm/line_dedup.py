@@ -5,7 +5,9 @@ the shorter is split into EDITS + 1 segments, of which some one must occur
 unchanged in the longer, at a place that its number and the lengths bound.  So
 segments are listed under (length, number, content), and every line probes, for
 each length it can match, only the substrings at the places that the bounds
-leave.  Pairs that meet are verified by a banded bit-parallel edit distance.
+leave.  Every row carries a sketch of its line's byte counts, which EDITS edits
+change by no more than 2 * EDITS; pairs that meet with nearer sketches are
+verified by a banded bit-parallel edit distance.
 
 Lines are split at line feeds and trimmed; lines without a word are nobody's.
 Equal lines are one.  Lines under LEAST_BYTES take part by equality alone.  The
@@ -22,10 +24,10 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .graph import components
-from .storage import checkpointed, shared_folder
+from .storage import checkpointed
 from .text import mix, span_hashes, text_slices, word_spans
 
 EDITS = 2
@@ -76,8 +78,25 @@ def _segment(length: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
     return base * i + longer_before, base + (i >= EDITS + 1 - extra)
 
 
+def sketches(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """16 counts of byte values (by their low bits), each modulo 16, in one word for each range of bytes."""
+    own = np.repeat(np.arange(len(start)), size)
+    at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    counts = np.bincount((own << 4) | (data[at] & 15), minlength=len(start) << 4).reshape(-1, 16) & 15
+    return (counts.astype(np.uint64) << np.arange(0, 64, 4, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def _close(a: str, b: str) -> Column:
+    """Whether two sketches differ by at most what EDITS edits can change."""
+    total = F.lit(0)
+    for k in range(0, 64, 4):
+        d = F.pmod(F.shiftrightunsigned(a, k).bitwiseAND(15) - F.shiftrightunsigned(b, k).bitwiseAND(15), F.lit(16))
+        total = total + F.least(d, 16 - d)
+    return total <= 2 * EDITS
+
+
 def segments(distinct: DataFrame, probe: bool) -> DataFrame:
-    """(key, line): listed segments of each line, or the substrings by which it probes."""
+    """(key, line, sketch): listed segments of each line, or the substrings by which it probes."""
 
     def run(batches):
         for batch in batches:
@@ -90,6 +109,7 @@ def segments(distinct: DataFrame, probe: bool) -> DataFrame:
                 base = bounds[a]
                 own, start = data[base : bounds[b]], bounds[a:b] - base
                 size = bounds[a + 1 : b + 1] - bounds[a:b]
+                sketch = sketches(own, start, size)
                 for less in range(EDITS + 1 if probe else 1):
                     length = size - less
                     for i in range(EDITS + 1):
@@ -100,9 +120,9 @@ def segments(distinct: DataFrame, probe: bool) -> DataFrame:
                             ok = (low + step <= high) & (length >= LEAST_BYTES)
                             s = (start + low + step)[ok]
                             key = mix(span_hashes(own, s, s + n[ok]) + (length[ok] * (EDITS + 1) + i).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(line[a:b][ok])], names=["key", "line"])
+                            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(line[a:b][ok]), pa.array(sketch[ok])], names=["key", "line", "sketch"])
 
-    return distinct.select("line", "text").mapInArrow(run, "key bigint, line bigint")
+    return distinct.select("line", "text").mapInArrow(run, "key bigint, line bigint, sketch bigint")
 
 
 def within(a: list[bytes], b: list[bytes], most: int = EDITS) -> np.ndarray:
@@ -173,16 +193,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first_doc and n_docs (documents that hold a line of the class, at most) are the class's.
     """
     spark = docs.sparkSession
-    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
     found = lines(docs, id_col, text_col)
-    # texts of the lines that can be near others, each once
-    found.filter(F.col("n_bytes") >= LEAST_BYTES).groupBy("line").agg(F.first("text").alias("text")).write.parquet(folder)
-    distinct = spark.read.parquet(folder)
+    # texts of the lines that can be near others, each once, in buckets by line: the later joins move only pairs
+    name = f"gritsieve_lines_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = found.filter(F.col("n_bytes") >= LEAST_BYTES).groupBy("line").agg(F.first("text").alias("text"))
+    texts.write.bucketBy(buckets, "line").option("compression", "zstd").saveAsTable(name)
+    distinct = spark.table(name)
     where = checkpointed(found.select("doc_id", "line_no", "line"))
     listed, probes = segments(distinct, False), segments(distinct, True)
-    met = probes.join(listed.select("key", F.col("line").alias("other")), "key").filter("line <> other")
+    met = probes.join(listed.select("key", F.col("line").alias("other"), F.col("sketch").alias("_s")), "key").filter((F.col("line") != F.col("other")) & _close("sketch", "_s"))
     pairs = met.select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b")).distinct()
     links = checkpointed(_verified(pairs, distinct))
+    spark.sql(f"DROP TABLE {name}")
     roots = components(links)
     degree = links.select(F.col("a").alias("line")).unionByName(links.select(F.col("b").alias("line"))).groupBy("line").agg(F.count("*").alias("n_links"))
     counts = where.groupBy("line").agg(F.min("doc_id").alias("first_doc"), F.count("doc_id").alias("n_docs"))
