@@ -8,9 +8,11 @@ in some chunk up to one symbol; listing each chunk under its four forms with one
 symbol left out therefore meets every pair within that distance.  At similarity
 0.85 a pair differs in 6.6 symbols on average: 22 or more have a chance of 1e-7.
 
-Pairs are confirmed on the full sets.  Documents with equal sets are one node.
-Copies in thousands are not expanded into pairs: in a few rounds the members of
-each key are compared with one pivot, and confirmed links join components; then
+Pairs that meet are first compared by 192 further symbols of 8 bits, which a pair at the
+threshold fails with a chance of 1e-6, and are then confirmed on the full sets.  Documents with equal sets are one node.
+Copies in thousands are not expanded into pairs: in two rounds the members of
+each key are compared with its most central member, the one with most neighbours
+over all its keys, and confirmed links join components; then
 all pairs that share a key and still lie in different components are compared by
 signature, in blocks, and the near ones confirmed.  So no link between different
 components can be missed.
@@ -33,10 +35,12 @@ from .text import hashed_words, mix, shingles, text_slices
 CHUNKS, PER_CHUNK = 11, 4
 SYMBOLS = CHUNKS * PER_CHUNK
 RADIUS = 2 * CHUNKS - 1
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 #: Members of a key that one comparison block holds.
-BLOCK = 256
-_FACTORS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) | np.uint64(1)
+BLOCK = 2048
+#: Further symbols, of 8 bits, for a closer estimate than the index gives.
+WIDE = 192
+_FACTORS = mix(np.arange(1, SYMBOLS + WIDE + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def sets_of(column: pa.Array, words: int):
@@ -49,20 +53,21 @@ def sets_of(column: pa.Array, words: int):
 
 
 def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, set_a, set_b, sig): size, 128-bit hash and signature of each row's set; no signature for empty sets."""
+    """(doc_id, n, set_a, set_b, sig, wide): size, 128-bit hash and signatures of each row's set; none for empty sets."""
 
     def run(batches):
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
             hashes = np.zeros((batch.num_rows, 2), np.int64)
             sigs: list = [None] * batch.num_rows
+            wide: list = [None] * batch.num_rows
             for a, b, data, offsets in text_slices(batch.column(1)):
                 h, number = shingles(*hashed_words(data, offsets), words)
                 there = np.flatnonzero(number)
                 if not len(there):
                     continue
                 starts = (np.cumsum(number) - number)[there]
-                symbols = np.empty((len(there), SYMBOLS), np.uint16)
+                symbols = np.empty((len(there), SYMBOLS + WIDE), np.uint16)
                 for k, factor in enumerate(_FACTORS):
                     symbols[:, k] = mix(np.minimum.reduceat(h * factor, starts)).astype(np.uint16)
                 ends = np.cumsum(number)
@@ -70,10 +75,11 @@ def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
                     own = np.unique(h[ends[k] - number[k] : ends[k]])
                     n[a + k] = len(own)
                     hashes[a + k] = np.array([own.sum(), np.bitwise_xor.reduce(mix(own))], np.uint64).view(np.int64)
-                    sigs[a + k] = symbols[i].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(sigs, pa.binary())], names=["doc_id", "n", "set_a", "set_b", "sig"])
+                    sigs[a + k] = symbols[i, :SYMBOLS].tobytes()
+                    wide[a + k] = symbols[i, SYMBOLS:].astype(np.uint8).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(sigs, pa.binary()), pa.array(wide, pa.binary())], names=["doc_id", "n", "set_a", "set_b", "sig", "wide"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id bigint, n bigint, set_a bigint, set_b bigint, sig binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id bigint, n bigint, set_a bigint, set_b bigint, sig binary, wide binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -81,6 +87,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(data.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
 
 
+def _wide(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.cast(pa.large_binary()).to_pylist()), np.uint8).reshape(-1, WIDE)
+
+
 def keys(nodes: DataFrame) -> DataFrame:
     """(key, node): the 44 chunk forms of each signature."""
 
@@ -98,23 +108,31 @@ def keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sig").mapInArrow(run, "key bigint, node bigint")
 
 
+def _most(percent: int) -> int:
+    """Differing wide symbols that a pair at the threshold exceeds with a chance of 1e-6."""
+    miss = 1 - percent / 100
+    return int(np.ceil(WIDE * miss + 5 * (WIDE * miss * (1 - miss)) ** 0.5))
+
+
 def _near(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs can still be links: signatures within the radius, sizes close enough."""
-    return ((a != b).sum(axis=-1) <= RADIUS) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+    """Which pairs can still be links: sizes close enough, few wide symbols that differ."""
+    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((a != b).sum(axis=-1) <= _most(percent))
 
 
-def _pivot_pairs(residual: DataFrame, nodes: DataFrame, turn: int, percent: int) -> DataFrame:
-    """(a, b): each node of a mixed key with the nearest pivot of another component."""
-    order = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "label")
-    pivot = residual.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.node").alias("b"), F.col("p.label").alias("lb"))
+def _pivot_pairs(residual: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each node of a mixed key with the nearest central node of another component."""
+    size = residual.groupBy("key").agg(F.count("*").alias("c"))
+    degree = residual.join(size, "key").groupBy("node").agg(F.sum("c").alias("degree"))
+    order = F.struct((-F.col("degree")).alias("o"), "node", "label")
+    pivot = residual.join(degree, "node").groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.node").alias("b"), F.col("p.label").alias("lb"))
     pairs = residual.join(pivot, "key").filter(F.col("label") != F.col("lb")).select(F.col("node").alias("a"), "b").distinct()
-    side = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
-    joined = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), "a").join(side, "b")
+    side = nodes.select(F.col("node").alias("b"), F.col("wide").alias("sb"), F.col("n").alias("nb"))
+    joined = pairs.join(nodes.select(F.col("node").alias("a"), F.col("wide").alias("sa"), F.col("n").alias("na")), "a").join(side, "b")
 
     def run(batches):
         for batch in batches:
             b, a, sa, na, sb, nb = (batch.column(k) for k in ("b", "a", "sa", "na", "sb", "nb"))
-            x, y = _matrix(sa), _matrix(sb)
+            x, y = _wide(sa), _wide(sb)
             far = (x != y).sum(axis=1)
             keep = _near(x, y, na.to_numpy(), nb.to_numpy(), percent)
             yield pa.RecordBatch.from_arrays([a, b, pa.array(far)], names=["a", "b", "far"]).filter(pa.array(keep))
@@ -130,26 +148,27 @@ def _block_pairs(residual: DataFrame, nodes: DataFrame, percent: int) -> DataFra
     rows = residual.join(counts, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
-    rows = rows.join(nodes.select("node", "sig", "n"), "node")
+    rows = rows.join(nodes.select("node", "wide", "n"), "node")
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
 
     def emit(group: pa.Table):
         own, i = group.column("own").to_numpy(), group.column("i")[0].as_py()
         node, label, n = (group.column(c).to_numpy() for c in ("node", "label", "n"))
-        s = _matrix(group.column("sig").combine_chunks())
+        s = _wide(group.column("wide").combine_chunks())
         left = np.flatnonzero(own == i)
         right = np.flatnonzero(own != i) if (own != i).any() else left
         if group.column("j")[0].as_py() != i and len(right) == len(left) and (right == left).all():
             return  # the other block is empty
-        p, q = np.meshgrid(left, right, indexing="ij")
-        p, q = p.ravel(), q.ravel()
-        keep = (label[p] != label[q]) & (node[p] != node[q])
-        p, q = p[keep], q[keep]
-        if len(p):
-            near = _near(s[p], s[q], n[p], n[q], percent)
-            a, b = np.minimum(node[p], node[q])[near], np.maximum(node[p], node[q])[near]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        for at in range(0, len(left), 64):
+            p, q = np.meshgrid(left[at : at + 64], right, indexing="ij")
+            keep = (label[p] != label[q]) & (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q]))
+            p, q = p[keep], q[keep]
+            for cut in range(0, len(p), 1 << 15):
+                x, y = p[cut : cut + (1 << 15)], q[cut : cut + (1 << 15)]
+                near = _near(s[x], s[y], n[x], n[y], percent)
+                if near.any():
+                    a, b = np.minimum(node[x], node[y])[near], np.maximum(node[x], node[y])[near]
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches):
         held = None
@@ -202,12 +221,20 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col:
     return texts.mapInArrow(run, "node bigint, set binary").dropDuplicates(["node"])
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after each takes the least label that a link leads to: not yet whole components, but never more than one."""
+    at = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
+    ends = links.join(at("a"), "a").join(at("b"), "b")
+    better = ends.groupBy(F.greatest("la", "lb").alias("label")).agg(F.min(F.least("la", "lb")).alias("to"))
+    return labels.join(better, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+
+
 def link(docs: DataFrame, words: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row."""
     sigs = checkpointed(signatures(docs, words, id_col, text_col))
     full = sigs.filter("n > 0 and doc_id is not null")
     firsts = full.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("node"))
-    nodes = full.join(firsts.select("node").distinct(), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "n", "sig").dropDuplicates(["node"])
+    nodes = full.join(firsts.select("node").distinct(), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "n", "sig", "wide").dropDuplicates(["node"])
     nodes = checkpointed(nodes)
     all_keys = keys(nodes)
     shared = all_keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
@@ -215,21 +242,20 @@ def link(docs: DataFrame, words: int = 3, percent: int = 85, id_col: str = "doc_
     near = members.select("node").distinct()
     sets = checkpointed(_sets(docs, near, words, id_col, text_col))
     labels = checkpointed(near.select("node", F.col("node").alias("label")))
+    links = []
     for turn in range(PIVOT_ROUNDS + 1):
         mixed = members.join(labels, "node")
         several = mixed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
         residual = checkpointed(mixed.join(several, "key", "left_semi"))
-        pairs = _pivot_pairs(residual, nodes, turn, percent) if turn < PIVOT_ROUNDS else _block_pairs(residual, nodes, percent)
-        links = checkpointed(_confirmed(pairs, sets, percent))
-        if not links.limit(1).count():
-            if turn < PIVOT_ROUNDS:
-                continue
-            break
-        by = lambda side: links.select(side).distinct().join(labels, F.col(side) == F.col("node")).select(side, F.col("label").alias(f"l{side}"))  # noqa: E731, B023
-        ends = links.join(by("a"), "a").join(by("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-        roots = components(ends)
-        labels = checkpointed(labels.join(roots.select(F.col("node").alias("label"), "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label")))
-    own = firsts.join(labels, "node", "left").select("set_a", "set_b", "n", F.coalesce("label", "node").alias("_c"))
+        pairs = _pivot_pairs(residual, nodes, percent) if turn < PIVOT_ROUNDS else _block_pairs(residual, nodes, percent)
+        links.append(checkpointed(_confirmed(pairs, sets, percent)))
+        if turn < PIVOT_ROUNDS:
+            labels = checkpointed(_merged(labels, links[-1]))
+    every = links[0]
+    for more in links[1:]:
+        every = every.unionByName(more)
+    roots = components(every)
+    own = firsts.join(roots, "node", "left").select("set_a", "set_b", "n", F.coalesce("root", "node").alias("_c"))
     out = sigs.join(own, ["set_a", "set_b", "n"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("_c", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
