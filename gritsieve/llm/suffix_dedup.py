@@ -8,7 +8,8 @@ are thinned out first, without loss.  Every LENGTH-byte window has an anchor: th
 least-hashed GRAM-byte string in it.  Equal windows have equal anchors, so only
 windows whose anchor occurs in two documents can repeat.  Runs of such windows
 with one anchor are cut out as short strings; equal strings are merged with
-their least document, and all strings with the same anchor meet in one task.
+their least document, and the distinct strings with the same anchor meet in one
+task, packed and compressed on the way.
 
 There their suffixes are sorted by the difference-cover algorithm in numpy: the
 triples at two of three positions are sorted and named, names that are not
@@ -29,10 +30,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .storage import checkpointed
-from .text import _power_tables, mix, string_buffers, text_slices
+from .text import span_hashes, string_buffers, text_slices
 
 LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
@@ -132,10 +134,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     n = len(data) - LENGTH + 1
     if n <= 0:
         return none, none, none, none.astype(np.uint64)
-    powers, inverse = _power_tables(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers, out=sums[1:])
-    grams = mix((sums[GRAM:] - sums[:-GRAM]) * inverse[: len(data) - GRAM + 1])
+    grams = _grams(data)
     # least hash first, then the leftmost place: both in one word
     low = np.uint64(0xFFFFFFFF)
     best = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
@@ -199,103 +198,162 @@ def _in_two(rows: DataFrame) -> DataFrame:
     return rows.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(run, "doc bigint, h bigint")
 
 
-def _strings(marked: DataFrame, occurrences: bool) -> DataFrame:
-    """Strings of windows with anchors that occur in two documents.
+def _marked_runs(batch: pa.RecordBatch):
+    """(row, data, offsets, first, last, string hash) of the runs, in each slice of a batch (doc, text, hs, th), whose anchor is in hs."""
+    hashes = batch.column(2)
+    salt = np.uint64(0x9E3779B97F4A7C15)
+    for a, b, data, offsets in text_slices(batch.column(1)):
+        row, first, last, h = anchors(data, offsets)
+        part = hashes.slice(a, b - a)
+        wanted = part.flatten().to_numpy().view(np.uint64)
+        owner = np.repeat(np.arange(b - a, dtype=np.uint64), pc.fill_null(pc.list_value_length(part), 0).to_numpy())
+        keep = np.isin(h ^ (row.astype(np.uint64) * salt), wanted ^ (owner * salt))
+        row, first, last = row[keep], first[keep], last[keep]
+        if len(row):
+            yield row + a, data, offsets[row], first, last, span_hashes(data, first, last + LENGTH).view(np.int64)
 
-    occurrences: (sid, doc, hash of the text, start) of each; else (h, sid, string, least) with the least
-    document of those in the batch, so copies are merged before they are moved.
+
+def _occurrences(marked: DataFrame) -> DataFrame:
+    """(sid, doc, th, start) of every string of windows with an anchor that occurs in two documents."""
+
+    def run(batches):
+        for batch in batches:
+            ids, th = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            for row, _, base, first, _, sid in _marked_runs(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(ids[row]), pa.array(th[row]), pa.array(first - base)], names=["sid", "doc", "th", "start"])
+
+    return marked.mapInArrow(run, "sid bigint, doc bigint, th int, start bigint")
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one after another."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _dictionary(marked: DataFrame, parts: int) -> DataFrame:
+    """(part, n, size, payload): the distinct strings of each batch with their least and greatest document.
+
+    Strings with one anchor go to one part; a payload is their lengths, documents and bytes, compressed together.
     """
 
+    def pack(part, length, least, most, data, begin):
+        order = np.argsort(part, kind="stable")
+        cuts = np.r_[0, np.flatnonzero(np.diff(part[order])) + 1, len(order)]
+        rows = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            own = order[a:b]
+            raw = length[own].tobytes() + least[own].tobytes() + most[own].tobytes() + data[_ranges(begin[own], length[own].astype(np.int64))].tobytes()
+            rows.append((int(part[own[0]]), len(own), len(raw), pa.compress(raw, codec="zstd", asbytes=True)))
+        columns = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["part", "n", "size", "payload"])
+
     def run(batches):
         for batch in batches:
-            ids, hashes = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
-            column, texts_of = batch.column(1), batch.column(3).to_numpy()
-            seen: dict[bytes, tuple[int, int]] = {}
-            for a, b, data, offsets in text_slices(column):
-                row, first, last, h = anchors(data, offsets)
-                if not len(row):
-                    continue
-                listed = [np.asarray(x.values.to_numpy(zero_copy_only=False) if x.is_valid else [], np.int64) for x in hashes.slice(a, b - a)]
-                owner = np.repeat(np.arange(b - a), [len(x) for x in listed])
-                wanted = np.concatenate(listed).view(np.uint64) if listed else np.zeros(0, np.uint64)
-                salt = np.uint64(0x9E3779B97F4A7C15)
-                keep = np.isin(h ^ (row.astype(np.uint64) * salt), wanted ^ (owner.astype(np.uint64) * salt))
-                row, first, last, h = row[keep], first[keep], last[keep], h[keep]
-                view = data.tobytes()
-                texts = [view[p : q + LENGTH] for p, q in zip(first.tolist(), last.tolist(), strict=True)]
-                if occurrences:
-                    sid = np.array([_sid(t) for t in texts], np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(ids[row + a].astype(np.int64)), pa.array(texts_of[row + a]), pa.array(first - offsets[row])], names=["sid", "doc", "th", "start"])
-                else:
-                    for t, doc, key in zip(texts, ids[row + a].tolist(), h.view(np.int64).tolist(), strict=True):
-                        old = seen.get(t)
-                        if old is None or doc < old[1]:
-                            seen[t] = (key, doc)
-            if not occurrences and seen:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen.values()], pa.int64()), pa.array([_sid(t) for t in seen], pa.int64()), pa.array(list(seen), pa.binary()), pa.array([d for _, d in seen.values()], pa.int64())], names=["h", "sid", "string", "least"])
-
-    return marked.mapInArrow(run, "sid bigint, doc bigint, th bigint, start bigint" if occurrences else "h bigint, sid bigint, string binary, least bigint")
-
-
-def _sid(string: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little", signed=True)
+            ids = batch.column(0).to_numpy()
+            sids, docs, sizes, texts = [], [], [], []
+            for row, data, _, first, last, sid in _marked_runs(batch):
+                # one of the equal strings of a slice, with all documents
+                _, one, same = np.unique(sid, return_index=True, return_inverse=True)
+                size = last[one] - first[one] + LENGTH
+                least, most = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
+                np.minimum.at(least, same, ids[row])
+                np.maximum.at(most, same, ids[row])
+                sids.append(sid[one])
+                docs.append((least, most))
+                sizes.append(size)
+                texts.append(data[_ranges(first[one], size)])
+            if not sids:
+                continue
+            sid, size, data = np.concatenate(sids), np.concatenate(sizes), np.concatenate(texts)
+            least, most = (np.concatenate(x) for x in zip(*docs, strict=True))
+            begin = np.cumsum(size) - size
+            _, one, same = np.unique(sid, return_index=True, return_inverse=True)
+            low, high = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
+            np.minimum.at(low, same, least)
+            np.maximum.at(high, same, most)
+            part = (_string_anchors(data, begin[one]) % np.uint64(parts)).astype(np.int32)
+            yield pack(part, size[one].astype(np.uint8), low, high, data, begin[one])
+
+    return marked.mapInArrow(run, "part int, n int, size bigint, payload binary")
+
+
+def _grams(data: np.ndarray) -> np.ndarray:
+    at = np.arange(len(data) - GRAM + 1)
+    return span_hashes(data, at, at + GRAM)
+
+
+def _string_anchors(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The anchor's hash of each string: that of its first window."""
+    grams = _grams(data)
+    at = begin[:, None] + np.arange(WINDOW)
+    least = np.argmin(grams[at] >> np.uint64(32), axis=1)
+    return grams[begin + least]
 
 
 def _least_documents(dictionary: DataFrame) -> DataFrame:
-    """(sid, least array): for each distinct string the least document that holds each of its windows.
+    """(sid, n, least array): for each distinct string the least document that holds each of its n windows.
 
-    Strings that all copies of an anchor share need no comparison.
+    One value stands for all windows where they agree.  Strings of a single document that shares no window are left out.
     """
 
-    def solve(h: np.ndarray, sid: np.ndarray, strings: list[bytes], least: np.ndarray):
-        order = np.lexsort((least, sid, h))
-        keep = order[np.r_[True, (h[order][1:] != h[order][:-1]) | (sid[order][1:] != sid[order][:-1])]]
-        h, sid, least = h[keep], sid[keep], least[keep]
-        texts = [strings[k] for k in keep.tolist()]
-        lengths = np.array([len(t) for t in texts])
-        windows = lengths - LENGTH + 1
+    def solve(length, least, most, data):
+        begin = np.cumsum(length) - length
+        sid = span_hashes(data, begin, begin + length).view(np.int64)
+        _, one, same = np.unique(sid, return_index=True, return_inverse=True)
+        low, high = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
+        np.minimum.at(low, same, least)
+        np.maximum.at(high, same, most)
+        h = _string_anchors(data, begin[one])
+        order = np.argsort(h, kind="stable")
+        one, h, least, most = one[order], h[order], low[order], high[order]
+        sid, length, begin = sid[one], length[one], begin[one]
+        windows = length - LENGTH + 1
         values = np.repeat(least, windows)
         first = np.cumsum(windows) - windows
         several = np.flatnonzero(np.r_[False, h[1:] == h[:-1]] | np.r_[h[1:] == h[:-1], False])
         at = 0
         while at < len(several):
-            ends = np.cumsum(lengths[several[at:]])
+            ends = np.cumsum(length[several[at:]])
             stop = at + max(1, int(np.searchsorted(ends, CHUNK_BYTES, side="right")))
             while stop < len(several) and h[several[stop]] == h[several[stop - 1]]:
                 stop += 1  # an anchor's strings stay together
             part = several[at:stop]
-            data = np.frombuffer(b"".join(texts[k] for k in part.tolist()), np.uint8)
-            ends = np.cumsum(lengths[part])
-            starts, cls = window_classes(data, ends)
+            ends = np.cumsum(length[part])
+            starts, cls = window_classes(data[_ranges(begin[part], length[part])], ends)
             own = np.searchsorted(ends, starts, side="right")
-            slot = first[part][own] + starts - (ends - lengths[part])[own]
-            low = np.minimum.reduceat(values[slot], np.searchsorted(cls, np.arange(cls[-1] + 1)))
-            values[slot] = low[cls]
+            slot = first[part][own] + starts - (ends - length[part])[own]
+            values[slot] = np.minimum.reduceat(values[slot], np.searchsorted(cls, np.arange(cls[-1] + 1)))[cls]
             at = stop
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(values)].astype(np.int32)), pa.array(values))
-        return pa.RecordBatch.from_arrays([pa.array(sid), lists], names=["sid", "least"])
+        bottom, top = np.minimum.reduceat(values, first), np.maximum.reduceat(values, first)
+        useful = bottom < most
+        flat = useful & (bottom == top)
+        size = np.where(flat, 1, windows)[useful]
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(values[_ranges(first[useful], size)]))
+        return pa.RecordBatch.from_arrays([pa.array(sid[useful]), pa.array(windows[useful].astype(np.int32)), lists], names=["sid", "n", "least"])
+
+    def unpack(rows):
+        lengths, leasts, mosts, datas = [], [], [], []
+        for n, size, payload in rows:
+            raw = pa.decompress(payload, decompressed_size=size, codec="zstd", asbytes=True)
+            lengths.append(np.frombuffer(raw, np.uint8, n))
+            leasts.append(np.frombuffer(raw, np.int64, n, n))
+            mosts.append(np.frombuffer(raw, np.int64, n, 9 * n))
+            datas.append(np.frombuffer(raw, np.uint8, offset=17 * n))
+        return solve(np.concatenate(lengths).astype(np.int64), np.concatenate(leasts), np.concatenate(mosts), np.concatenate(datas))
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
+        held, part = [], None
         for batch in batches:
-            h = batch.column(0).to_numpy()
-            if not len(h):
-                continue
-            cut = int(np.searchsorted(h, h[-1], side="left"))  # the last anchor may go on in the next batch
-            if held and cut == 0 and held[-1].column(0)[-1].as_py() == int(h[0]):
-                held.append(batch)
-                continue
-            yield from done([*held, batch.slice(0, cut)])
-            held = [batch.slice(cut)]
-        yield from done(held)
+            for p, n, size, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if p != part and held:
+                    yield unpack(held)
+                    held = []
+                part = p
+                held.append((n, size, payload))
+        if held:
+            yield unpack(held)
 
-    def done(parts: list[pa.RecordBatch]):
-        parts = [p for p in parts if p.num_rows]
-        if parts:
-            t = pa.Table.from_batches(parts)
-            yield solve(t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_pylist(), t.column(3).to_numpy())
-
-    return dictionary.repartition("h").sortWithinPartitions("h").mapInArrow(run, "sid bigint, least array<bigint>")
+    return dictionary.repartition("part").sortWithinPartitions("part").mapInArrow(run, "sid bigint, n int, least array<bigint>")
 
 
 def _runs(found: DataFrame) -> DataFrame:
@@ -303,21 +361,23 @@ def _runs(found: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            doc, start = batch.column("doc").to_numpy(), batch.column("start").to_numpy()
+            if not batch.num_rows:
+                continue
+            doc, start, n = (batch.column(c).to_numpy() for c in ("doc", "start", "n"))
             lists = batch.column("least")
-            bounds = lists.offsets.to_numpy().astype(np.int64)
-            least = lists.values.to_numpy()[bounds[0] : bounds[-1]]
-            bounds = bounds - bounds[0]
-            row = np.repeat(np.arange(len(doc)), np.diff(bounds))
+            given = pc.list_value_length(lists).to_numpy()
+            least = np.repeat(lists.flatten().to_numpy(), np.repeat(np.where(given == 1, n, 1), given))
+            bounds = np.cumsum(n) - n
+            row = np.repeat(np.arange(len(doc)), n)
             gone = least < doc[row]
-            edge = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
-            begin = gone & (edge | np.r_[True, ~gone[:-1]]) if len(row) else gone
-            close = gone & (np.r_[edge[1:], True] | np.r_[~gone[1:], True]) if len(row) else gone
+            edge = np.r_[True, row[1:] != row[:-1]]
+            begin = gone & (edge | np.r_[True, ~gone[:-1]])
+            close = gone & (np.r_[edge[1:], True] | np.r_[~gone[1:], True])
             p, q = np.flatnonzero(begin), np.flatnonzero(close)
             base = start[row[p]] - bounds[row[p]]
             yield pa.RecordBatch.from_arrays([pa.array(doc[row[p]]), batch.column("th").take(pa.array(row[p])), pa.array(base + p), pa.array(base + q + LENGTH)], names=["doc", "th", "a", "b"])
 
-    return found.mapInArrow(run, "doc bigint, th bigint, a bigint, b bigint")
+    return found.mapInArrow(run, "doc bigint, th int, a bigint, b bigint")
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -325,10 +385,11 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), text_col).filter((F.octet_length(text_col) >= LENGTH) & F.col("doc").isNotNull())
     several = _in_two(_anchor_rows(texts)).groupBy("doc").agg(F.collect_list("h").alias("hs"))
     several = checkpointed(several)
-    marked = texts.join(several, "doc").select("doc", text_col, "hs", F.xxhash64(text_col).alias("th"))
-    least = _least_documents(_strings(marked, False))
-    found = _strings(marked, True).join(least, "sid").filter(F.array_min("least") < F.col("doc"))
-    ranges = _runs(found.select("doc", "th", "start", "least"))
+    marked = texts.join(several, "doc").select("doc", text_col, "hs", F.hash(text_col).alias("th"))
+    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = _least_documents(_dictionary(marked, parts))
+    found = _occurrences(marked).join(least, "sid").filter(F.array_min("least") < F.col("doc"))
+    ranges = _runs(found.select("doc", "th", "start", "n", "least"))
     return ranges.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
@@ -348,7 +409,7 @@ def _cut(data: np.ndarray, ranges: list | None) -> tuple[bytes, int, int]:
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary without digest]) of each row."""
     found = spans(docs, id_col, text_col)
-    own = F.xxhash64(text_col) == F.col("th")
+    own = F.hash(text_col) == F.col("th")
     joined = docs.select(F.col(id_col).cast("long").alias("doc"), text_col).join(found.withColumnRenamed("doc", "_doc"), (F.col("doc") == F.col("_doc")) & own, "left").select("doc", text_col, "spans")
 
     def run(batches):
