@@ -89,7 +89,10 @@ class Templates:
         return cls(names, grams, keys, np.r_[first, len(flat)], np.stack([item[order], offset[order]], 1), bitmap)
 
     def scan(self, grams: np.ndarray) -> dict[str, tuple[float, int, int]]:
-        """Best (coefficient, first bigram, bigrams) of each licence in a text's bigrams."""
+        """Best (coefficient, first bigram, bigrams) of each licence in a text's bigrams.
+
+        Of licences whose passages overlap, as versions of one do, the best alone is kept.
+        """
         hit = np.flatnonzero(self.filter[(grams >> np.uint64(48)).astype(int)])
         at = np.minimum(np.searchsorted(self.keys, grams[hit]), len(self.keys) - 1)
         same = self.keys[at] == grams[hit]
@@ -114,7 +117,11 @@ class Templates:
             name = self.names[item][0]
             if c >= THRESHOLD and (c, size) > (best.get(name, (0.0, 0, 0))[0], best.get(name, (0.0, 0, 0))[2]):
                 best[name] = (c, begin_in, end_in - begin_in)
-        return best
+        kept: dict[str, tuple[float, int, int]] = {}
+        for name, (c, begin, size) in sorted(best.items(), key=lambda x: (-x[1][0], -x[1][2], x[0])):
+            if all(begin + size <= b or b + s <= begin for _, b, s in kept.values()):
+                kept[name] = (c, begin, size)
+        return kept
 
 
 def dice(a: np.ndarray, b: np.ndarray) -> float:

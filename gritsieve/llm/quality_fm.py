@@ -114,6 +114,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], weights: d
     """Adam on the weighted log loss over (bucket, value, stats, label) rows."""
     m = Machine.blank()
     if not rows or len({r[3] for r in rows}) < 2:
+        m.factor[:], m.stat_factor[:] = 0, 0
         return m
     stats = np.stack([r[2] for r in rows])
     m.mean, m.std = stats.mean(0), np.maximum(stats.std(0), 1e-9)
