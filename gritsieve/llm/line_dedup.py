@@ -49,8 +49,11 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, row, span_hashes(data, starts, ends)
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, line, n_bytes, text): each document's distinct lines, the first of equal ones."""
+def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int | None = None) -> DataFrame:
+    """(doc_id, line_no, line): each document's distinct lines, the first of equal ones.
+
+    With `least`, (line, text) of the lines of so many bytes at least.
+    """
 
     def run(batches):
         for batch in batches:
@@ -62,13 +65,16 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 order = np.lexsort((number, h, row))
                 first = order[np.r_[True, (row[order][1:] != row[order][:-1]) | (h[order][1:] != h[order][:-1])]]
                 first.sort()
+                if least is None:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[first] + a)), pa.array(number[first]), pa.array(h[first].view(np.int64))], names=["doc_id", "line_no", "line"])
+                    continue
+                first = first[(ends - starts)[first] >= least]
                 sizes = (ends - starts)[first]
                 take = np.repeat(starts[first], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[take]))])
-                ids = batch.column(0).take(pa.array(row[first] + a))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(number[first]), pa.array(h[first].view(np.int64)), pa.array(sizes), text.cast(pa.binary())], names=["doc_id", "line_no", "line", "n_bytes", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), text.cast(pa.binary())], names=["line", "text"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id bigint, line_no bigint, line bigint, n_bytes bigint, text binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id bigint, line_no bigint, line bigint" if least is None else "line bigint, text binary")
 
 
 def _segment(length: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,14 +199,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first_doc and n_docs (documents that hold a line of the class, at most) are the class's.
     """
     spark = docs.sparkSession
-    found = lines(docs, id_col, text_col)
     # texts of the lines that can be near others, each once, in buckets by line: the later joins move only pairs
     name = f"gritsieve_lines_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = found.filter(F.col("n_bytes") >= LEAST_BYTES).groupBy("line").agg(F.first("text").alias("text"))
+    texts = lines(docs, id_col, text_col, LEAST_BYTES).groupBy("line").agg(F.first("text").alias("text"))
     texts.write.bucketBy(buckets, "line").option("compression", "zstd").saveAsTable(name)
     distinct = spark.table(name)
-    where = checkpointed(found.select("doc_id", "line_no", "line"))
+    where = checkpointed(lines(docs, id_col, text_col))
     listed, probes = segments(distinct, False), segments(distinct, True)
     met = probes.join(listed.select("key", F.col("line").alias("other"), F.col("sketch").alias("_s")), "key").filter((F.col("line") != F.col("other")) & _close("sketch", "_s"))
     pairs = met.select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b")).distinct()

@@ -101,8 +101,8 @@ def _bucket(value: Column) -> Column:
 
 def sketches(df: DataFrame, keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """(keys, measure, bucket, n): one mergeable sketch for each group and measure, of documents that pass the base rules."""
-    good = ~base_failed(df) & (F.col(_ROW) >= 0) if _ROW in df.columns else ~base_failed(df)
-    rows = df.filter(good).select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), _bucket(F.col(m)).alias("bucket")) for m in MEASURES])).alias("x"))
+    df = df.withColumn(_ROW, F.monotonically_increasing_id())  # keeps the filter above the measures, whose expressions it would repeat
+    rows = df.filter(~base_failed(df) & (F.col(_ROW) >= 0)).select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), _bucket(F.col(m)).alias("bucket")) for m in MEASURES])).alias("x"))
     return rows.groupBy(*keys, "x.measure", "x.bucket").agg(F.count("*").alias("n"))
 
 
@@ -157,10 +157,10 @@ def settled(limits: DataFrame) -> tuple[DataFrame, int]:
 
 def apply_rules(df: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """Measure, sketch, derive fences, judge. Documents are read twice, their texts never shuffled."""
-    # filters must not sink into the measures, whose expressions they would repeat: a row number keeps them above
-    measured = measures(df, text_col).withColumn(_ROW, F.monotonically_increasing_id())
+    measured = measures(df, text_col)
     limits, n = settled(thresholds(sketches(measured, keys), keys))
-    judged = judge(measured, limits, keys, n).withColumn("kept", F.col("kept") & (F.col(_ROW) >= 0))
+    # as in sketches(), a row number keeps the filter above the measures
+    judged = judge(measured.withColumn(_ROW, F.monotonically_increasing_id()), limits, keys, n).withColumn("kept", F.col("kept") & (F.col(_ROW) >= 0))
     return judged.drop(*MEASURES, _ROW)
 
 

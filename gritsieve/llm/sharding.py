@@ -44,6 +44,8 @@ def _chance(seed: int) -> Column:
 
 def _boundaries(keys: list, ranges: int) -> list:
     """Quantile boundaries of sorted sampled keys."""
+    if not keys:
+        return []
     at = sorted({len(keys) * i // ranges for i in range(1, ranges)})
     return [keys[i] for i in at]
 
