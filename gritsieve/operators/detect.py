@@ -78,7 +78,7 @@ def ensemble_vote(matrix: DataFrame, contamination: float = 0.1, seed: int = 42)
 
     v = votes(matrix)
     trees = I.fit(matrix, contamination, seed)
-    scored = I.score(v, trees)
+    scored = I.score(v, trees, True)
     n = F.col("z_vote").cast("int") + F.col("iqr_vote").cast("int") + F.col("iso_vote").cast("int")
     poisoned = n >= 2
     top, _ = ranked_deviations(3)
@@ -107,7 +107,7 @@ def detect(matrix: DataFrame, method: str = "ensemble", **options) -> tuple[Data
         rows = rows.select("id", F.when(F.col("flagged"), F.col("score")).otherwise(0.0).alias("anomaly_score"), F.lit(method).alias("method"), F.when(F.col("flagged"), top).otherwise(none).alias("features_flagged"), F.col("flagged").alias("is_poisoned"))
         counts = [method]
     elif method == "isolation":
-        scored = I.score(matrix, I.fit(matrix, **options))
+        scored = I.score(matrix, I.fit(matrix, **options), True)
         rows = scored.select("id", F.col("iso_score").alias("anomaly_score"), F.lit(method).alias("method"), none.alias("features_flagged"), F.col("iso_vote").alias("is_poisoned"))
         counts = [method]
     elif method == "ensemble":

@@ -61,6 +61,7 @@ class Forest:
     sample: int
     contamination: float = 0.1
     offset: float | None = None
+    ends: tuple[float, float] | None = None  # least and greatest training score
 
     @classmethod
     def of(cls, nodes: list[tuple], sample: int, contamination: float = 0.1) -> Forest:
@@ -72,22 +73,28 @@ class Forest:
                 array[tree, node] = v
         return cls(*out, sample, contamination)
 
-    def raw(self, x: np.ndarray, block: int = 4096) -> np.ndarray:
-        """-2^(-E[h]/c): the lower the more anomalous."""
-        trees = np.arange(len(self.feature))
+    def raw(self, x: np.ndarray, block: int = 512) -> np.ndarray:
+        """-2^(-E[h]/c): the lower the more anomalous.
+
+        All trees are walked at once, one level a step; a leaf leads to itself.
+        """
+        n_trees, n_nodes = self.feature.shape
+        base = np.arange(n_trees) * n_nodes
+        leaf = self.feature < 0
+        feature = np.where(leaf, 0, self.feature).ravel()
+        split = np.where(leaf, np.inf, self.split).ravel()
+        own = np.arange(n_nodes)[None, :]
+        children = (np.stack([np.where(leaf, own, self.low), np.where(leaf, own, self.high)], -1) + base[:, None, None]).reshape(-1)
+        depth, levels = self.depth.ravel(), max(1, math.ceil(math.log2(max(self.sample, 2))))
         out = np.empty(len(x))
         for a in range(0, len(x), block):
             part = x[a : a + block]
-            at = np.zeros((len(part), len(trees)), np.int32)
-            rows = np.arange(len(part))[:, None]
-            while True:
-                f = self.feature[trees, at]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                left = part[rows, np.maximum(f, 0)] <= self.split[trees, at]
-                at = np.where(inner, np.where(left, self.low[trees, at], self.high[trees, at]), at)
-            out[a : a + block] = -(2.0 ** (-self.depth[trees, at].mean(axis=1) / max(c_factor(self.sample), 1e-12)))
+            flat, row = np.ascontiguousarray(part).ravel(), (np.arange(len(part)) * part.shape[1])[:, None]
+            at = np.broadcast_to(base, (len(part), n_trees))
+            for _ in range(levels):
+                right = flat.take(feature.take(at) + row) > split.take(at)
+                at = children.take(2 * at + right)
+            out[a : a + block] = -(2.0 ** (-depth.take(at).mean(axis=1) / max(c_factor(self.sample), 1e-12)))
         return out
 
 
@@ -111,13 +118,17 @@ def fit(matrix: DataFrame, contamination: float = 0.1, seed: int = 42, n_trees:
     """Grow the trees (their nodes come to the driver, at most 51100 rows) and set the offset from all rows' scores."""
     n = matrix.limit(SAMPLE).count()
     forest = Forest.of([tuple(r) for r in nodes(matrix, n_trees, seed).collect()], n, contamination)
-    forest.offset = raw_scores(matrix, forest).agg(F.percentile("iso_raw", F.lit(contamination))).first()[0]
+    found = raw_scores(matrix, forest).agg(F.percentile("iso_raw", F.lit(contamination)), F.min("iso_raw"), F.max("iso_raw")).first()
+    forest.offset, forest.ends = found[0], (found[1], found[2])
     return forest
 
 
 def raw_scores(matrix: DataFrame, forest: Forest) -> DataFrame:
     """`matrix` with iso_raw."""
-    shared = matrix.sparkSession.sparkContext.broadcast(forest)
+    context = matrix.sparkSession.sparkContext
+    shared = context.broadcast(forest)
+    if matrix.rdd.getNumPartitions() < context.defaultParallelism:
+        matrix = matrix.repartition(context.defaultParallelism)  # moving a few rows costs less than walking trees on idle cores
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -127,10 +138,13 @@ def raw_scores(matrix: DataFrame, forest: Forest) -> DataFrame:
     return matrix.mapInPandas(run, T.StructType([*matrix.schema.fields, T.StructField("iso_raw", T.DoubleType())]))
 
 
-def score(matrix: DataFrame, forest: Forest) -> DataFrame:
-    """`matrix` with iso_score in 0..1 (1: most anomalous; 0.5 if all are equal) and iso_vote (raw below the offset)."""
+def score(matrix: DataFrame, forest: Forest, trained_on_it: bool = False) -> DataFrame:
+    """`matrix` with iso_score in 0..1 (1: most anomalous; 0.5 if all are equal) and iso_vote (raw below the offset).
+
+    With `trained_on_it` the extremes known from training save a pass.
+    """
     raw = raw_scores(matrix, forest)
-    ends = raw.agg(F.min("iso_raw").alias("_lo"), F.max("iso_raw").alias("_hi"))
+    ends = raw.sparkSession.createDataFrame([forest.ends], "_lo double, _hi double") if trained_on_it and forest.ends else raw.agg(F.min("iso_raw").alias("_lo"), F.max("iso_raw").alias("_hi"))
     spread = F.col("_hi") - F.col("_lo")
     return raw.crossJoin(F.broadcast(ends)).withColumns({
         "iso_score": F.when(spread > 0, (F.col("_hi") - F.col("iso_raw")) / spread).otherwise(0.5),

@@ -144,7 +144,7 @@ def d3_isolation_fit(spark: SparkSession, d: str) -> DataFrame:
 
 def d4_isolation_score(spark: SparkSession, d: str) -> DataFrame:
     m = X.lineitem(spark, d)
-    return I.score(m, I.fit(m)).select("id", r("iso_score"), "iso_vote")
+    return I.score(m, I.fit(m), True).select("id", r("iso_score"), "iso_vote")
 
 
 def d5_ensemble(spark: SparkSession, d: str) -> DataFrame:
