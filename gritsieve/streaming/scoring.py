@@ -16,6 +16,7 @@ from gritsieve.functions import stats as S
 from gritsieve.operators.forest import Forest, grow
 
 WINDOW, REFIT_EVERY, REFIT_LEAST, WARM = 10_000, 1000, 50, 10
+STATE = T.StructType([T.StructField("n", T.LongType()), *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("mean", "m2")], T.StructField("seen", T.LongType())])
 RESULT = "key string, ts timestamp, id bigint, score double, is_poisoned boolean, z_vote boolean, iso_vote boolean, seen bigint"
 
 
@@ -116,7 +117,7 @@ def _processor(forest: Forest | None, options: dict):
         """Keyed state (n, mean, m2, seen) between triggers; a row whose `reset` is true clears it."""
 
         def init(self, handle):
-            self.state = handle.getValueState("moments", T.StructType.fromDDL("n bigint, mean array<double>, m2 array<double>, seen bigint"))
+            self.state = handle.getValueState("moments", STATE)
 
         def handleInputRows(self, key, rows, timerValues):
             s = Scorer(forest=forest, **options)
