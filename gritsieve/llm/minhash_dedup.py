@@ -10,9 +10,10 @@ symbol left out therefore meets every pair within that distance.  At similarity
 
 Pairs that meet are first compared by 192 further symbols of 8 bits, which a pair at the
 threshold fails with a chance of 1e-6, and are then confirmed on the full sets.  Documents with equal sets are one node.
-Copies in thousands are not expanded into pairs: in two rounds the members of
-each key are compared with its most central member, the one with most neighbours
-over all its keys, and confirmed links join components; then
+Copies in thousands are not expanded into pairs: the members of each key are first
+compared with its most central member, the one with most neighbours over all its
+keys; then, in three rounds, every node takes its nearest of another component,
+found block by block; confirmed links join components each time.  Last,
 all pairs that share a key and still lie in different components are compared by
 signature, in blocks, and the near ones confirmed.  So no link between different
 components can be missed.
@@ -35,7 +36,7 @@ from .text import hashed_words, mix, shingles, text_slices
 CHUNKS, PER_CHUNK = 11, 4
 SYMBOLS = CHUNKS * PER_CHUNK
 RADIUS = 2 * CHUNKS - 1
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS, NEAREST_ROUNDS = 1, 3
 #: Members of a key that one comparison block holds.
 BLOCK = 2048
 #: Further symbols, of 8 bits, for a closer estimate than the index gives.
@@ -92,7 +93,7 @@ def _wide(column: pa.Array) -> np.ndarray:
 
 
 def keys(nodes: DataFrame) -> DataFrame:
-    """(key, node): the 44 chunk forms of each signature."""
+    """(key, slot, node): the 44 chunk forms of each signature."""
 
     def run(batches):
         for batch in batches:
@@ -103,9 +104,9 @@ def keys(nodes: DataFrame) -> DataFrame:
                 for m in range(PER_CHUNK):
                     rest = [part[:, j] for j in range(PER_CHUNK) if j != m]
                     key = mix((rest[0] << np.uint64(32)) | (rest[1] << np.uint64(16)) | rest[2] | (np.uint64(c * PER_CHUNK + m + 1) << np.uint64(48)))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), node], names=["key", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), c * PER_CHUNK + m, np.int32)), node], names=["key", "slot", "node"])
 
-    return nodes.select("node", "sig").mapInArrow(run, "key bigint, node bigint")
+    return nodes.select("node", "sig").mapInArrow(run, "key bigint, slot int, node bigint")
 
 
 def _most(percent: int) -> int:
@@ -142,19 +143,30 @@ def _pivot_pairs(residual: DataFrame, nodes: DataFrame, percent: int) -> DataFra
     return best.select("a", F.col("m.b").alias("b"))
 
 
-def _block_pairs(residual: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of a mixed key that lie in different components and can be links."""
+def _first_slot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The first of the chunk forms that two signatures share: a pair counts in that key alone."""
+    differ = (x != y).reshape(-1, CHUNKS, PER_CHUNK)
+    n = differ.sum(axis=2)
+    chunk = np.argmax(n <= 1, axis=1)
+    row = np.arange(len(x))
+    return chunk * PER_CHUNK + np.where(n[row, chunk] == 1, np.argmax(differ[row, chunk], axis=1), 0)
+
+
+def _block_pairs(residual: DataFrame, nodes: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """(a, b): all pairs of a mixed key that lie in different components and can be links, or each node's nearest such."""
     counts = residual.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = residual.join(counts, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
-    rows = rows.join(nodes.select("node", "wide", "n"), "node")
+    rows = rows.select("key", "slot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
+    rows = rows.join(nodes.select("node", "sig", "wide", "n"), "node")
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
 
     def emit(group: pa.Table):
         own, i = group.column("own").to_numpy(), group.column("i")[0].as_py()
         node, label, n = (group.column(c).to_numpy() for c in ("node", "label", "n"))
-        s = _wide(group.column("wide").combine_chunks())
+        s, sig = _wide(group.column("wide").combine_chunks()), _matrix(group.column("sig").combine_chunks())
+        slot = group.column("slot")[0].as_py()
+        best = np.full(len(node), WIDE << 32)  # for each node: the distance of the nearest, then its place
         left = np.flatnonzero(own == i)
         right = np.flatnonzero(own != i) if (own != i).any() else left
         if group.column("j")[0].as_py() != i and len(right) == len(left) and (right == left).all():
@@ -165,10 +177,19 @@ def _block_pairs(residual: DataFrame, nodes: DataFrame, percent: int) -> DataFra
             p, q = p[keep], q[keep]
             for cut in range(0, len(p), 1 << 15):
                 x, y = p[cut : cut + (1 << 15)], q[cut : cut + (1 << 15)]
-                near = _near(s[x], s[y], n[x], n[y], percent)
-                if near.any():
-                    a, b = np.minimum(node[x], node[y])[near], np.maximum(node[x], node[y])[near]
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                far = (s[x] != s[y]).sum(axis=1)
+                near = far <= _most(percent)
+                x, y, far = x[near], y[near], far[near]
+                if nearest:
+                    np.minimum.at(best, x, (far << 32) | y)
+                    np.minimum.at(best, y, (far << 32) | x)
+                elif len(x):
+                    own = _first_slot(sig[x], sig[y]) == slot
+                    a, b = np.minimum(node[x], node[y])[own], np.maximum(node[x], node[y])[own]
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(far[own])], names=["a", "b", "far"])
+        found = np.flatnonzero(best < WIDE << 32)
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(node[found]), pa.array(node[best[found] & 0xFFFFFFFF]), pa.array(best[found] >> 32)], names=["a", "b", "far"])
 
     def run(batches):
         held = None
@@ -184,7 +205,10 @@ def _block_pairs(residual: DataFrame, nodes: DataFrame, percent: int) -> DataFra
         if held is not None and held.num_rows:
             yield from emit(held)
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    pairs = dealt.mapInArrow(run, "a bigint, b bigint, far bigint")
+    if not nearest:
+        return pairs.select("a", "b").distinct()
+    return pairs.groupBy("a").agg(F.min(F.struct("far", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -243,13 +267,14 @@ def link(docs: DataFrame, words: int = 3, percent: int = 85, id_col: str = "doc_
     sets = checkpointed(_sets(docs, near, words, id_col, text_col))
     labels = checkpointed(near.select("node", F.col("node").alias("label")))
     links = []
-    for turn in range(PIVOT_ROUNDS + 1):
+    rounds = PIVOT_ROUNDS + NEAREST_ROUNDS
+    for turn in range(rounds + 1):
         mixed = members.join(labels, "node")
         several = mixed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
         residual = checkpointed(mixed.join(several, "key", "left_semi"))
-        pairs = _pivot_pairs(residual, nodes, percent) if turn < PIVOT_ROUNDS else _block_pairs(residual, nodes, percent)
+        pairs = _pivot_pairs(residual, nodes, percent) if turn < PIVOT_ROUNDS else _block_pairs(residual, nodes, percent, turn < rounds)
         links.append(checkpointed(_confirmed(pairs, sets, percent)))
-        if turn < PIVOT_ROUNDS:
+        if turn < rounds:
             labels = checkpointed(_merged(labels, links[-1]))
     every = links[0]
     for more in links[1:]:
