@@ -199,7 +199,7 @@ def _in_two(rows: DataFrame) -> DataFrame:
 
 
 def _marked_runs(batch: pa.RecordBatch):
-    """(row, data, offsets, first, last, string hash) of the runs, in each slice of a batch (doc, text, hs, th), whose anchor is in hs."""
+    """(row, data, offsets, first, last, string hash, anchor hash) of the runs, in each slice of a batch (doc, text, hs, th), whose anchor is in hs."""
     hashes = batch.column(2)
     salt = np.uint64(0x9E3779B97F4A7C15)
     for a, b, data, offsets in text_slices(batch.column(1)):
@@ -208,9 +208,9 @@ def _marked_runs(batch: pa.RecordBatch):
         wanted = part.flatten().to_numpy().view(np.uint64)
         owner = np.repeat(np.arange(b - a, dtype=np.uint64), pc.fill_null(pc.list_value_length(part), 0).to_numpy())
         keep = np.isin(h ^ (row.astype(np.uint64) * salt), wanted ^ (owner * salt))
-        row, first, last = row[keep], first[keep], last[keep]
+        row, first, last, h = row[keep], first[keep], last[keep], h[keep]
         if len(row):
-            yield row + a, data, offsets[row], first, last, span_hashes(data, first, last + LENGTH).view(np.int64)
+            yield row + a, data, offsets[row], first, last, span_hashes(data, first, last + LENGTH).view(np.int64), h
 
 
 def _occurrences(marked: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def _occurrences(marked: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, th = batch.column(0).to_numpy(), batch.column(3).to_numpy()
-            for row, _, base, first, _, sid in _marked_runs(batch):
+            for row, _, base, first, _, sid, _ in _marked_runs(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(ids[row]), pa.array(th[row]), pa.array(first - base)], names=["sid", "doc", "th", "start"])
 
     return marked.mapInArrow(run, "sid bigint, doc bigint, th int, start bigint")
@@ -250,8 +250,8 @@ def _dictionary(marked: DataFrame, parts: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            sids, docs, sizes, texts = [], [], [], []
-            for row, data, _, first, last, sid in _marked_runs(batch):
+            sids, docs, sizes, texts, hs = [], [], [], [], []
+            for row, data, _, first, last, sid, h in _marked_runs(batch):
                 # one of the equal strings of a slice, with all documents
                 _, one, same = np.unique(sid, return_index=True, return_inverse=True)
                 size = last[one] - first[one] + LENGTH
@@ -259,6 +259,7 @@ def _dictionary(marked: DataFrame, parts: int) -> DataFrame:
                 np.minimum.at(least, same, ids[row])
                 np.maximum.at(most, same, ids[row])
                 sids.append(sid[one])
+                hs.append(h[one])
                 docs.append((least, most))
                 sizes.append(size)
                 texts.append(data[_ranges(first[one], size)])
@@ -271,7 +272,7 @@ def _dictionary(marked: DataFrame, parts: int) -> DataFrame:
             low, high = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
             np.minimum.at(low, same, least)
             np.maximum.at(high, same, most)
-            part = (_string_anchors(data, begin[one]) % np.uint64(parts)).astype(np.int32)
+            part = (np.concatenate(hs)[one] % np.uint64(parts)).astype(np.int32)
             yield pack(part, size[one].astype(np.uint8), low, high, data, begin[one])
 
     return marked.mapInArrow(run, "part int, n int, size bigint, payload binary")
@@ -282,12 +283,21 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return span_hashes(data, at, at + GRAM)
 
 
-def _string_anchors(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """The anchor's hash of each string: that of its first window."""
-    grams = _grams(data)
-    at = begin[:, None] + np.arange(WINDOW)
-    least = np.argmin(grams[at] >> np.uint64(32), axis=1)
-    return grams[begin + least]
+def _string_hashes(data: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each of the strings that follow one another, and of its anchor, that of its first window."""
+    ends = np.cumsum(length)
+    sids, anchors_, at = [], [], 0
+    while at < len(length):  # a megabyte or so at a time
+        start = int(ends[at] - length[at])
+        stop = max(at + 1, int(np.searchsorted(ends, start + CHUNK_BYTES, side="right")))
+        part = data[start : ends[stop - 1]]
+        begin = ends[at:stop] - length[at:stop] - start
+        sids.append(span_hashes(part, begin, begin + length[at:stop]).view(np.int64))
+        grams = _grams(part)
+        least = np.argmin(grams[begin[:, None] + np.arange(WINDOW)] >> np.uint64(32), axis=1)
+        anchors_.append(grams[begin + least])
+        at = stop
+    return np.concatenate(sids), np.concatenate(anchors_)
 
 
 def _least_documents(dictionary: DataFrame) -> DataFrame:
@@ -298,12 +308,12 @@ def _least_documents(dictionary: DataFrame) -> DataFrame:
 
     def solve(length, least, most, data):
         begin = np.cumsum(length) - length
-        sid = span_hashes(data, begin, begin + length).view(np.int64)
+        sid, anchor = _string_hashes(data, length)
         _, one, same = np.unique(sid, return_index=True, return_inverse=True)
         low, high = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
         np.minimum.at(low, same, least)
         np.maximum.at(high, same, most)
-        h = _string_anchors(data, begin[one])
+        h = anchor[one]
         order = np.argsort(h, kind="stable")
         one, h, least, most = one[order], h[order], low[order], high[order]
         sid, length, begin = sid[one], length[one], begin[one]
