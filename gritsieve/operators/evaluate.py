@@ -42,9 +42,9 @@ def threshold_at_fpr(df: DataFrame, target: float, truth: str = "truth", score:
     """One row (threshold, fpr, tpr): the last point of the full ROC curve with fpr <= target; threshold null if none."""
     c = _by_score(df, truth, score)
     w = Window.orderBy(F.desc("s"))
-    total = c.agg(F.sum("p").alias("P"), F.sum("n").alias("N"))
+    total = c.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
     roc = c.withColumns({"cp": F.sum("p").over(w), "cn": F.sum("n").over(w)}).crossJoin(F.broadcast(total))
-    roc = roc.select("s", (F.col("cn") / F.col("N")).alias("fpr"), (F.col("cp") / F.col("P")).alias("tpr")).filter(F.col("fpr") <= target)
+    roc = roc.select("s", (F.col("cn") / F.col("all_n")).alias("fpr"), (F.col("cp") / F.col("all_p")).alias("tpr")).filter(F.col("fpr") <= target)
     return roc.agg(F.min("s").alias("threshold"), F.coalesce(F.max_by("fpr", -F.col("s")), F.lit(0.0)).alias("fpr"), F.coalesce(F.max_by("tpr", -F.col("s")), F.lit(0.0)).alias("tpr"))
 
 
