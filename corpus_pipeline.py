@@ -36,7 +36,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text with the end id, the text they decode to, and whether it is the same."""
-    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs), "ids", "decoded")
+    coded = sentencepiece_codec.round_trip(docs)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_text"))
 
 

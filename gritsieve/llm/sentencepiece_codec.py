@@ -295,6 +295,14 @@ def _groups(column: pa.Array, most: int = 1 << 21):
         yield part
 
 
+def _parts(batch: pa.RecordBatch, column: int, most: int = 1 << 21):
+    """Slices of a batch with about `most` characters of text together, so that the ids of one slice alone are held."""
+    at = 0
+    for texts in _groups(batch.column(column), most):
+        yield batch.slice(at, len(texts))
+        at += len(texts)
+
+
 def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model: str | None = None, end: bool = True) -> DataFrame:
     """`df` with the ids of each whole text in `out_col` (array<int>), replacing a column of that name."""
     df = df.drop(out_col)
@@ -304,8 +312,9 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model: s
     def run(batches):
         c = codec(model or model_path())
         for batch in batches:
-            ids = [x for part in _groups(batch.column(at)) for x in c.encode_batch(part, end)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, out_col])
+            for part in _parts(batch, at):
+                ids = c.encode_batch(part.column(at).to_pylist(), end)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names, out_col])
 
     return df.mapInArrow(run, schema)
 
@@ -319,8 +328,27 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model:
     def run(batches):
         c = codec(model or model_path())
         for batch in batches:
-            texts = [c.decode(x.as_py() or []) for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out_col])
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                texts = [c.decode(x or []) for x in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out_col])
+
+    return df.mapInArrow(run, schema)
+
+
+def round_trip(df: DataFrame, text_col: str = "text", model: str | None = None) -> DataFrame:
+    """`df` with ids (array<int>, the end id included) and the text that they decode to, in one pass; columns of these names are replaced."""
+    df = df.drop("ids", "decoded")
+    schema = T.StructType([*df.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        c = codec(model or model_path())
+        for batch in batches:
+            for part in _parts(batch, at):
+                ids = c.encode_batch(part.column(at).to_pylist())
+                texts = [c.decode(x) for x in ids]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())], names=[*part.schema.names, "ids", "decoded"])
 
     return df.mapInArrow(run, schema)
 
