@@ -36,7 +36,7 @@ def s3_validate_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s4_infer_features(spark: SparkSession, d: str) -> DataFrame:
-    li = X.table(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row"), *X.LINE_COLUMNS, F.col("l_returnflag").alias("label"), "l_linestatus")
+    li = X.table(spark, d, "lineitem").select(X.line_id().alias("row"), *X.LINE_COLUMNS, F.col("l_returnflag").alias("label"), "l_linestatus")
     m = src.infer_features(li, "row")
     return m.select("id", F.size("features").alias("width"), F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), "label")
 
@@ -435,7 +435,7 @@ QUERIES = {
     "s1_read_features": (s1_read_features, f"WITH {X.LI} SELECT id, f[1] AS f0, f[2] AS f1, f[3] AS f2, f[4] AS f3 FROM li"),
     "s2_baseline_gate": (s2_baseline_gate, "SELECT count(*) AS n_rows, 0::BIGINT AS n_violations, count(*) >= 50 AS ready FROM lineitem"),
     "s3_validate_matrix": (s3_validate_matrix, "SELECT vec_id AS id, NULL::INT AS feature_idx, 'ragged' AS reason FROM embeddings WHERE vec_id % 7 = 0 UNION ALL SELECT vec_id, 0, 'not_finite' FROM embeddings WHERE vec_id % 11 = 0 AND vec_id % 7 <> 0"),
-    "s4_infer_features": (s4_infer_features, "SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS id, 4 AS width, round(l_quantity + l_extendedprice + l_discount + l_tax, 4) AS total, (dense_rank() OVER (ORDER BY l_returnflag) - 1)::INT AS label FROM lineitem"),
+    "s4_infer_features": (s4_infer_features, "SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, round(l_extendedprice * 100)::BIGINT) AS id, 4 AS width, round(l_quantity + l_extendedprice + l_discount + l_tax, 4) AS total, (dense_rank() OVER (ORDER BY l_returnflag) - 1)::INT AS label FROM lineitem"),
     "s5_parse_messages": (s5_parse_messages, _MESSAGES),
     "s6_parse_feature_events": (s6_parse_feature_events, _MESSAGES),
     "s7_dead_letters": (s7_dead_letters, f"SELECT id, error FROM ({_MESSAGES}) WHERE error IS NOT NULL"),

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gritsieve.operators import evaluate as E
 from gritsieve.sources import features as src
 
 LINE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
-LI = "li AS (SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS id, [l_quantity, l_extendedprice, l_discount, l_tax] AS f FROM lineitem), lie AS (SELECT id, unnest(range(4)) AS j, unnest(f) AS x FROM li)"
+LI = "li AS (SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, round(l_extendedprice * 100)::BIGINT) AS id, [l_quantity, l_extendedprice, l_discount, l_tax] AS f FROM lineitem), lie AS (SELECT id, unnest(range(4)) AS j, unnest(f) AS x FROM li)"
 EMB = "emb AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS f FROM embeddings), e AS (SELECT id, label, unnest(range(len(f))) AS j, unnest(f) AS x FROM emb)"
 SHIFT = "emb AS (SELECT vec_id AS id, label, list_transform(embedding::DOUBLE[], lambda x, i: CASE WHEN i - 1 = label THEN x + 0.5 ELSE x END) AS f FROM embeddings)"
 
@@ -18,10 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def line_id() -> Column:
+    """A key of `lineitem` rows: its key columns repeat, the price in cents tells those rows apart."""
+    return F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round(F.col("l_extendedprice") * 100).cast("long"))
+
+
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The numeric columns of `lineitem` as a matrix."""
     df = table(spark, sf_dir, "lineitem")
-    return src.pack(df, F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), LINE_COLUMNS)
+    return src.pack(df, line_id(), LINE_COLUMNS)
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
