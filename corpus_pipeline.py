@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten documents or more hold, equal or nearly, stay in the first alone."""
-    return line_dedup.remove_repeats(docs)
+    """Of lines that are equal or nearly, in several documents or in one, the first alone stays."""
+    return line_dedup.remove_repeats(docs, 1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from .text import mix, span_hashes, text_slices, word_spans
 
 EDITS = 2
 LEAST_BYTES = 40
-#: A class's lines stay in its first document alone once so many documents hold them.
+#: What `remove_repeats` asks for if not told; the pipeline has it act on all repeats.
 LEAST_DOCS = 10
 _FEED = np.zeros(256, bool)
 _FEED[10] = True
@@ -235,37 +235,68 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def remove_repeats(docs: DataFrame, least_docs: int = LEAST_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without the lines of classes that at least `least_docs` documents hold, but for the first document's.
+    """The documents without the lines that `find` does not keep, and without second occurrences of a line in a document.
 
-    A document that loses all its lines goes; other texts keep their remaining lines as they were.
+    Classes that fewer than `least_docs` distinct documents hold are left alone; with 1 every repeat after the first goes.
+    Rows without an id lose only what they repeat themselves if there is no threshold. A document that loses all its
+    lines goes; other texts keep their remaining lines as they were.
     """
     where, per_line = classes(docs, id_col, text_col)
-    common = per_line.filter((F.col("n_docs") >= least_docs)).select("line", "first_doc")
-    drop = where.join(common, "line").filter(F.col("doc_id") != F.col("first_doc"))
-    drop = drop.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_drop"))
+    # a line that one document holds and that is linked to none has no other row to be a repeat of
+    rows = where.join(per_line.filter("n_docs > 1 or n_links > 0").select("line", "class_id", "first_doc"), "line")
+    if least_docs > 1:
+        held = rows.select("class_id", "doc_id").distinct().groupBy("class_id").agg(F.count("doc_id").alias("_n"))
+        rows = rows.join(held.filter(F.col("_n") >= least_docs).select("class_id"), "class_id")
+    # by line, not by place: rows that share an id may hold the line at several places
+    own = rows.filter(F.col("doc_id") == F.col("first_doc")).groupBy("class_id").agg(F.min(F.struct("line_no", "line"))["line"].alias("_own"))
+    rows = rows.join(own, "class_id").filter(F.col("doc_id").isNotNull())
+    drop = rows.groupBy(F.col("doc_id").alias("_id")).agg(
+        F.collect_set(F.when((F.col("doc_id") != F.col("first_doc")) | (F.col("line") != F.col("_own")), F.col("line"))).alias("_drop"),
+        F.collect_set("line").alias("_once"),
+    )
     joined = docs.join(drop, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
     names = docs.columns
-    at, drops = joined.columns.index(text_col), joined.columns.index("_drop")
+    at, drops, onces = joined.columns.index(text_col), joined.columns.index("_drop"), joined.columns.index("_once")
 
     def run(batches):
         for batch in batches:
             texts, keep = batch.column(at).to_pylist(), np.ones(batch.num_rows, bool)
-            for k, gone in enumerate(batch.column(drops).to_pylist()):
-                if gone:
-                    texts[k] = _without(texts[k], set(gone))
-                    keep[k] = bool(texts[k].strip())
+            gone, once = batch.column(drops), batch.column(onces)
+            again = _repeating(batch.column(at)) if least_docs <= 1 else np.zeros(batch.num_rows, bool)
+            touched = again | np.asarray(gone.is_valid().to_numpy(zero_copy_only=False))
+            for k in np.flatnonzero(touched).tolist():
+                text = _without(texts[k], set(gone[k].as_py() or ()), None if least_docs <= 1 else set(once[k].as_py() or ()))
+                if text != texts[k]:
+                    texts[k], keep[k] = text, bool(text.strip())
             columns = [pa.array(texts, batch.schema.field(c).type) if c == at else batch.column(c) for c in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
     return joined.mapInArrow(run, docs.schema)
 
 
-def _without(text: str, gone: set[int]) -> str:
-    """The text without the lines whose hashes are in `gone`."""
+def _repeating(column: pa.Array) -> np.ndarray:
+    """Which texts hold a line more than once."""
+    out = np.zeros(len(column), bool)
+    for a, _, data, offsets in text_slices(column):
+        _, _, row, h = line_spans(data, offsets)
+        order = np.lexsort((h, row))
+        row, h = row[order], h[order]
+        out[a + row[1:][(row[1:] == row[:-1]) & (h[1:] == h[:-1])]] = True
+    return out
+
+
+def _without(text: str | None, gone: set[int], once: set[int] | None) -> str | None:
+    """The text without the lines whose hashes are in `gone`, and with those in `once` (all, if None) at their first place only."""
+    if text is None:
+        return None
     data = text.encode()
     view = np.frombuffer(data, np.uint8)
     starts, _, _, h = line_spans(view, np.array([0, len(view)]))
-    bad = starts[[int(v) in gone for v in h.view(np.int64)]] if len(h) else starts
+    bad, seen = [], set()
+    for v in h.view(np.int64).tolist():
+        bad.append(v in gone or (v in seen and (once is None or v in once)))
+        seen.add(v)
+    bad = starts[np.array(bad, bool)]
     if not len(bad):
         return text
     feeds = np.flatnonzero(view == 10)

@@ -1,5 +1,6 @@
 """Every stage of the pipeline against brute force, each on its predecessor's output."""
 
+import random
 import re
 
 import pytest
@@ -7,7 +8,7 @@ import pytest
 import corpus_pipeline as P
 from gritsieve.llm import decontaminate, quality_rules
 
-from .test_operators import SF, brute_components
+from .test_operators import SF, brute_components, distance, edited, words
 
 
 @pytest.fixture(scope="module")
@@ -43,6 +44,47 @@ def test_line_stage_only_removes_lines(stages):
         assert all(any(x == y for y in lines) for x in r["text"].split("\n"))
 
 
+def brute_without_repeats(rows):
+    """Every line of a class but the first goes: line by line in the order of ids, classes by all pairs' distances."""
+    trimmed = lambda x: x.strip(" \t\x0b\x0c\r")
+    used = sorted({trimmed(x).encode() for _, t in rows for x in t.split("\n") if trimmed(x)})
+    root = {x: x for x in used}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(used):
+        for y in used[:i]:
+            if min(len(x), len(y)) >= 40 and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2:
+                root[find(x)] = find(y)
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        left = []
+        for line in t.split("\n"):
+            if trimmed(line):
+                c = find(trimmed(line).encode())
+                if c in seen:
+                    continue
+                seen.add(c)
+            left.append(line)
+        if "".join(left).strip():
+            out[i] = "\n".join(left)
+    return out
+
+
+def test_line_stage_equals_brute_force(spark):
+    rng = random.Random(15)
+    base = [words(rng, rng.randrange(8, 13)) for _ in range(16)]
+    pool = base + [edited(rng, x.encode(), rng.choice((1, 1, 6))).decode() for x in base for _ in range(2)] + ["short line", "short  line", "q 1"]
+    rows = [(i, "\n".join(rng.choices(pool, k=rng.randrange(1, 6)) + rng.choice([[], [""], [words(rng, 9)]]))) for i in range(40)]
+    rows += [(50, pool[0]), (51, "only here\n  only here \nonly here"), (52, words(rng, 12))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    out = {r["doc_id"]: r["text"] for r in P.repeated_lines(spark, docs, SF).collect()}
+    assert out == brute_without_repeats(rows) and 50 not in out and out[51] == "only here"
+
+
 def test_near_duplicate_stage(stages):
     want = brute_components([(r["doc_id"], r["text"]) for r in stages[2].collect()], 5, 80)
     assert ids(stages[3]) == {i for i, v in want.items() if v[2]}
