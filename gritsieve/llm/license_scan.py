@@ -91,7 +91,8 @@ class Templates:
     def scan(self, grams: np.ndarray) -> dict[str, tuple[float, int, int]]:
         """Best (coefficient, first bigram, bigrams) of each licence in a text's bigrams.
 
-        Of licences whose passages overlap, as versions of one do, the best alone is kept.
+        Of overlapping passages of several licences, as versions of one have, the best alone is kept;
+        each licence then has the best of its passages that are left.
         """
         hit = np.flatnonzero(self.filter[(grams >> np.uint64(48)).astype(int)])
         at = np.minimum(np.searchsorted(self.keys, grams[hit]), len(self.keys) - 1)
@@ -103,7 +104,7 @@ class Templates:
         place = self.places[np.repeat(self.bounds[at], spread) + np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread)]
         start = np.repeat(hit, spread) - place[:, 1]
         windows = np.unique(np.stack([place[:, 0], start], 1), axis=0)
-        best: dict[str, tuple[float, int, int]] = {}
+        passages = []
         whole = len(grams)
         for item, begin in windows.tolist():
             size = len(self.grams[item])
@@ -114,13 +115,20 @@ class Templates:
             if 2 * (inside[1] - inside[0]) < THRESHOLD * (size + end_in - begin_in):
                 continue
             c = dice(grams[begin_in:end_in], self.grams[item])
-            name = self.names[item][0]
-            if c >= THRESHOLD and (c, size) > (best.get(name, (0.0, 0, 0))[0], best.get(name, (0.0, 0, 0))[2]):
-                best[name] = (c, begin_in, end_in - begin_in)
+            if c >= THRESHOLD:
+                passages.append((c, size, self.names[item][0], item, begin_in, end_in))
+        passages.sort(key=lambda x: (-x[0], -x[1], x[2:]))
+        numbers = {name: k for k, name in enumerate(dict.fromkeys(name for name, _ in self.names))}
+        owner = np.full(whole, -1, np.int32)
+        taken: dict[int, np.ndarray] = {}
         kept: dict[str, tuple[float, int, int]] = {}
-        for name, (c, begin, size) in sorted(best.items(), key=lambda x: (-x[1][0], -x[1][2], x[0])):
-            if all(begin + size <= b or b + s <= begin for _, b, s in kept.values()):
-                kept[name] = (c, begin, size)
+        for c, _, name, item, begin, end in passages:
+            others, own = owner[begin:end], taken.setdefault(item, np.zeros(whole, bool))
+            # shifted by some words, a template meets its own passage again: that place is held by the best alone
+            if own[begin:end].any() or ((others >= 0) & (others != numbers[name])).any():
+                continue
+            own[begin:end], owner[begin:end] = True, numbers[name]
+            kept.setdefault(name, (c, begin, end - begin))
         return kept
 
 

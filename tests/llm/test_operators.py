@@ -254,6 +254,21 @@ def test_licences(spark, clashing, empty):
     assert D7.scan(clashing).count() == 0 and D7.scan(empty).count() == 0
 
 
+def test_sister_licences_in_one_document(spark):
+    """The best place of GPL-2.0 (and CC-BY) lies on its sister's notice; its own, edited, stands elsewhere."""
+    rng = random.Random(17)
+    gpl3, gpl2, by, sa = (D7.NOTICES[k][-1] for k in ("GPL-3.0", "GPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0"))
+    edited_gpl2 = gpl2.replace("redistribute", "share").replace("published", "given out").replace("version 2", "release 2")
+    edited_by = by.replace("This work", "Our work")
+    texts = ["\n".join(x) for x in ([gpl3], [gpl3, words(rng, 30), edited_gpl2], [edited_gpl2, words(rng, 9), gpl3, gpl3], [sa], [sa, words(rng, 40), edited_by])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = collections.defaultdict(dict)
+    for r in D7.scan(docs).collect():
+        found[r["doc_id"]][r["license"]] = (r["dice"], r["first_word"])
+    assert {k: set(v) for k, v in found.items()} == {0: {"GPL-3.0"}, 1: {"GPL-3.0", "GPL-2.0"}, 2: {"GPL-3.0", "GPL-2.0"}, 3: {"CC-BY-SA-4.0"}, 4: {"CC-BY-SA-4.0", "CC-BY-4.0"}}
+    assert found[1]["GPL-3.0"][0] == 1.0 and 0.8 <= found[1]["GPL-2.0"][0] < 0.95 and found[2]["GPL-2.0"][1] == 0
+
+
 # -- 8 ----------------------------------------------------------------------------
 
 
