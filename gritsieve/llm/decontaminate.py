@@ -13,7 +13,9 @@ similarity of their shingle multisets.
 At the threshold of 0.8 the fingerprints of a pair differ by 10 bits on average
 (deviation 3): the radius is over 4 deviations beyond.
 
-A shingle's weight falls with the number of items that hold it.  Words are runs
+A shingle's weight falls with the number of items of the whole benchmark that hold
+it, whatever part an item is in; shingles that several items hold are counted by
+Spark and go to every part (16 bytes each), all others weigh 1.  Words are runs
 of bytes other than white space, with A-Z lower-cased; items of fewer than five
 words are one shingle each.
 
@@ -70,7 +72,8 @@ class Index:
     words: np.ndarray  # words of each item
     hashes: list[np.ndarray]  # shingles of each item, in order
     keys: np.ndarray  # sorted distinct shingles
-    weights: np.ndarray  # of the keys
+    common: np.ndarray  # sorted shingles that several items of the whole benchmark hold
+    weights: np.ndarray  # of the common ones
     places: np.ndarray  # for each (key, item, offset): sorted by key
     bounds: np.ndarray  # where each key's places begin
     filter: np.ndarray  # bitmap over the top bits of the keys
@@ -78,18 +81,19 @@ class Index:
     tables: list[tuple[np.ndarray, np.ndarray]]  # per block: bounds of 256 lists, items
 
     @classmethod
-    def build(cls, k: int, ids: list, words: list[int], hashes: list[np.ndarray]) -> Index:
+    def build(cls, k: int, ids: list, words: list[int], hashes: list[np.ndarray], common: tuple[np.ndarray, np.ndarray] | None = None) -> Index:
         item = np.repeat(np.arange(len(ids)), [len(h) for h in hashes])
         offset = np.concatenate([np.arange(len(h)) for h in hashes])
         flat = np.concatenate(hashes)
         order = np.argsort(flat, kind="stable")
         keys, first = np.unique(flat[order], return_index=True)
-        of_items = np.unique(np.stack([np.searchsorted(keys, flat), item]), axis=1)
-        df = np.bincount(of_items[0], minlength=len(keys))
-        weights = 1.0 / (1.0 + np.log(df))
+        if common is None:  # these items are all there are
+            of_items = np.unique(np.stack([np.searchsorted(keys, flat), item]), axis=1)
+            df = np.bincount(of_items[0], minlength=len(keys))
+            common = keys[df > 1], df[df > 1]
         bitmap = np.zeros(1 << 20, bool)
         bitmap[(keys >> np.uint64(44)).astype(np.int64)] = True
-        self = cls(k, ids, np.array(words), hashes, keys, weights, np.stack([item[order], offset[order]], 1), np.r_[first, len(flat)], bitmap, np.empty(0, np.uint64), [])
+        self = cls(k, ids, np.array(words), hashes, keys, common[0], 1.0 / (1.0 + np.log(common[1])), np.stack([item[order], offset[order]], 1), np.r_[first, len(flat)], bitmap, np.empty(0, np.uint64), [])
         self.prints = np.array([simhash(h, self.weight_of(h)) for h in hashes], np.uint64)
         near = [np.array([v ^ m for m in range(256) if bin(m).count("1") <= BLOCK_ERRORS]) for v in range(256)]
         for b in range(BLOCKS):
@@ -101,8 +105,10 @@ class Index:
         return self
 
     def weight_of(self, h: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.weights[at], 1.0)
+        if not len(self.common):
+            return np.ones(len(h))
+        at = np.minimum(np.searchsorted(self.common, h), len(self.common) - 1)
+        return np.where(self.common[at] == h, self.weights[at], 1.0)
 
     def within(self, fingerprint: int) -> list[int]:
         """All items whose fingerprints are within the radius."""
@@ -132,10 +138,8 @@ class Index:
         return best
 
 
-def build(items: list[tuple]) -> list[Index]:
-    """Indexes of (item id, text) rows, one for each shingle size."""
-    by_size: dict[int, tuple[list, list, list]] = {}
-    column = pa.array([t or "" for _, t in items], pa.large_string())
+def _item_shingles(column: pa.Array):
+    """(row, words, shingle size, shingles) of each item with a word."""
     row = 0
     for _, _, data, offsets in text_slices(column):
         words, counts = hashed_words(data, offsets)
@@ -143,11 +147,32 @@ def build(items: list[tuple]) -> list[Index]:
         for n in counts.tolist():
             if n:
                 k = min(WORDS, n)
-                h, _ = shingles(words[at : at + n], np.array([n]), k)
-                for part, value in zip(by_size.setdefault(k, ([], [], [])), (items[row][0], n, h), strict=True):
-                    part.append(value)
+                yield row, n, k, shingles(words[at : at + n], np.array([n]), k)[0]
             at, row = at + n, row + 1
-    return [Index.build(k, *parts) for k, parts in sorted(by_size.items())]
+
+
+def build(items: list[tuple], common: tuple[np.ndarray, np.ndarray] | None = None) -> list[Index]:
+    """Indexes of (item id, text) rows, one for each shingle size; `common` as of `common_shingles`, else counted among these."""
+    by_size: dict[int, tuple[list, list, list]] = {}
+    for row, n, k, h in _item_shingles(pa.array([t or "" for _, t in items], pa.large_string())):
+        for part, value in zip(by_size.setdefault(k, ([], [], [])), (items[row][0], n, h), strict=True):
+            part.append(value)
+    return [Index.build(k, *parts, common) for k, parts in sorted(by_size.items())]
+
+
+def common_shingles(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that more than one row of (item_id, text) holds, and how many do."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, _, h in _item_shingles(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(h).view(np.int64))], names=["h"])
+
+    counts = items.select("text").mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").toArrow()
+    h, n = (counts.column(c).to_numpy() for c in ("h", "n"))
+    h = h.astype(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
 def scan_column(column: pa.Array, indexes: list[Index]):
@@ -166,13 +191,14 @@ def scan_column(column: pa.Array, indexes: list[Index]):
 
 
 def _parts(items: DataFrame, item_col: str, text_col: str):
-    """Lists of items of bounded size; several only where the benchmark is large."""
+    """(items of bounded size, shingles common in the whole benchmark); several only where the benchmark is large."""
     items = items.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // PART_BYTES)
+    common = common_shingles(items) if n else None
     for part in range(n):
         chosen = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == part)
-        yield [tuple(r) for r in chosen.collect()]
+        yield [tuple(r) for r in chosen.collect()], common
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -184,8 +210,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, similarity double, first_word bigint, n_words bigint"
     found = []
     item_type = to_arrow_type(items.schema[item_col].dataType)
-    for rows in _parts(items, item_col, item_text):
-        shared = spark.sparkContext.broadcast(build(rows))
+    for rows, common in _parts(items, item_col, item_text):
+        shared = spark.sparkContext.broadcast(build(rows, common))
 
         def run(batches, shared=shared):
             for batch in batches:
@@ -207,8 +233,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 def remove(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents that hold no item: each part of the benchmark is one more filter in the same pass."""
-    for rows in _parts(items, item_col, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(build(rows))
+    for rows, common in _parts(items, item_col, item_text):
+        shared = docs.sparkSession.sparkContext.broadcast(build(rows, common))
         at = docs.columns.index(text_col)
 
         def run(batches, shared=shared, at=at):

@@ -113,6 +113,34 @@ def test_leaks_are_found_and_clean_documents_kept(spark):
     assert D2.find_leaks(docs, bench.limit(0)).count() == 0 and D2.remove(docs.limit(0), bench).count() == 0
 
 
+def test_parts_of_a_benchmark_weigh_shingles_alike(spark, monkeypatch):
+    """Items share their first half; copies lose words of either half, so that their similarity hangs on the weights."""
+    rng = random.Random(21)
+    head = words(rng, 24)
+    items = [(k, head + " " + words(rng, 24)) for k in range(24)] + [(90, "three short words"), (91, "three short words")]
+    texts = []
+    for k in range(24):
+        w = items[k][1].split(" ")
+        w[(0, 1, 2, 44, 45, 46, 47, 22)[k % 8]] = "other"
+        w[(3, 47, 23, 24)[k % 4]] = "changed"
+        texts.append(words(rng, 9) + " " + " ".join(w) + " " + words(rng, 5))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate([*texts, "and three short words here"])], SCHEMA)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    whole, left = (sorted(map(tuple, f(docs, bench).collect())) for f in (D2.find_leaks, D2.remove))
+    grams = {k: [tuple(t.split(" ")[a : a + 5]) for a in range(44)] for k, t in items[:24]}
+    held = collections.Counter(g for x in grams.values() for g in set(x))
+    for i, k, s, start, n in whole:
+        if k < 90:
+            own = collections.Counter(tuple(texts[i].split(" ")[start : start + n][a : a + 5]) for a in range(n - 4))
+            item = collections.Counter(grams[k])
+            weight = lambda g: 1 / (1 + np.log(held[g] or 1))
+            assert s == pytest.approx(sum(weight(g) * v for g, v in (own & item).items()) / sum(weight(g) * v for g, v in (own | item).items()))
+    monkeypatch.setattr(D2, "PART_BYTES", 900)
+    assert len(list(D2._parts(bench, "item_id", "text"))) > 5
+    assert [sorted(map(tuple, f(docs, bench).collect())) for f in (D2.find_leaks, D2.remove)] == [whole, left]
+    assert {i for i, *_ in whole} > {24} and len({i for i, *_ in whole}) < 25
+
+
 def test_multi_index_finds_all_within_the_radius():
     rng = np.random.default_rng(3)
     hashes = [rng.integers(0, 2**63, 40).astype(np.uint64) for _ in range(60)]
