@@ -4,7 +4,9 @@ Each document gets a few integer measures.  Their distributions are summarised
 per language and source by mergeable quantile sketches: log-linear histograms,
 whose bucket of a value keeps its six leading bits, so counts of equal buckets
 of any parts of the data just add up (relative error 1/32, independent of
-order and partitioning).  Upper fences follow from the quartiles of a group;
+order and partitioning).  Upper fences follow from the quartiles of a group
+alone: the only floor of their distance is the width of the upper quartile's
+bucket, below which the sketch tells no values apart (1 permille up to 63);
 groups with few documents take the merged sketch of their language, or of all.
 The fences are then joined to the documents as the last filter.
 
@@ -23,11 +25,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: Measures in permille, and the least spread and level that a fence keeps from the quartiles.
-MEASURES = {"m_symbols": 50, "m_dup_lines": 300, "m_repeats": 300, "m_capitals": 150, "m_word_chars": 2500}
+#: Measures in permille, each with an upper fence.
+MEASURES = ("m_symbols", "m_dup_lines", "m_repeats", "m_capitals", "m_word_chars")
 #: Documents that a language and source, or a language, needs for fences of its own.
 LEAST_ROWS = 200
-#: A fence lies so many quartile distances above the upper quartile.
+#: A fence lies so many quartile distances above the upper quartile, and one bucket of the sketch there at least.
 FENCE = 3
 WINDOW = 8
 #: Distinct languages and sources up to which fences are broadcast (about 100 bytes each).
@@ -92,10 +94,14 @@ def base_failed(df: DataFrame) -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
+def _width(value: Column) -> Column:
+    """Values that share the six leading bits."""
+    return F.pow(F.lit(2.0), F.greatest(F.length(F.bin(value)) - 6, F.lit(0))).cast("long")
+
+
 def _bucket(value: Column) -> Column:
     """The least value that shares the six leading bits."""
-    shift = F.greatest(F.length(F.bin(value)) - 6, F.lit(0))
-    step = F.pow(F.lit(2.0), shift).cast("long")
+    step = _width(value)
     return F.floor(value / step).cast("long") * step
 
 
@@ -112,14 +118,11 @@ def _fences(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
     w = Window.partitionBy(*keys, "measure").orderBy("bucket")
     all_of = Window.partitionBy(*keys, "measure")
     ranked = sketch.withColumns({"upto": F.sum("n").over(w), "total": F.sum("n").over(all_of)})
-    least = F.lit(None).cast("long")
-    for m, floor in MEASURES.items():
-        least = F.when(F.col("measure") == m, F.lit(floor)).otherwise(least)
     fence = ranked.groupBy(*keys, "measure").agg(
         F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bucket"))).alias("q1"),
         F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bucket"))).alias("q3"),
         F.max("total").alias("rows"),
-    ).withColumn("fence", F.col("q3") + F.greatest(FENCE * (F.col("q3") - F.col("q1")), least))
+    ).withColumn("fence", F.col("q3") + F.greatest(FENCE * (F.col("q3") - F.col("q1")), _width(F.col("q3"))))
     return fence.groupBy(*keys).agg(F.max("rows").alias(f"{name}_rows"), *[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"{name}_{m}") for m in MEASURES])
 
 

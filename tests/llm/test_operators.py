@@ -322,6 +322,32 @@ def test_fences_follow_the_group(spark):
     assert all(out[i]["kept"] for i in range(300)) and not any(out[1000 + i]["kept"] for i in range(5))
 
 
+def test_fences_have_no_fixed_floor(spark):
+    """A source without duplicate lines, repeats or symbols rejects what another, full of them, lets pass."""
+    rng = random.Random(18)
+
+    def text(dup, again, marks):
+        lines = [words(rng, 10) for _ in range(10 - dup)]
+        window = words(rng, 8)
+        return "\n".join([*lines, *lines[:1] * dup, *(f"{window} x{k} y{rng.random()}" for k in range(2 * again)), "#" * marks])
+
+    kinds = {"dup": (2, 0, 0), "again": (0, 1, 0), "marks": (0, 0, 4)}
+    rows, odd = [], {}
+    for k, (name, kind) in enumerate(kinds.items()):
+        for i in range(300):
+            rows.append((1000 * k + i, text(*(kind if i % 2 else (0, 0, 0))), "en", f"full of {name}", 0))
+            odd[1000 * k + i] = True
+        odd[10_000 + k] = False
+        rows.append((10_000 + k, text(*kind), "en", "none", 0))
+    for i in range(300):
+        rows.append((20_000 + i, text(0, 0, 0), "en", "none", 0))
+        odd[20_000 + i] = True
+    out = got(D8.verdicts(spark.createDataFrame(rows, SCHEMA)))
+    assert not any(r["base_failed"] for r in out.values())
+    assert {i: r["kept"] for i, r in out.items()} == odd
+    assert out[10_001]["m_repeats"] < 300 and out[10_000]["m_dup_lines"] < 300 and out[10_002]["m_symbols"] < 50
+
+
 def test_sketches_merge_to_the_same_fences(docs):
     one = D8.thresholds(D8.sketches(D8.measures(docs.repartition(1)))).collect()
     many = D8.thresholds(D8.sketches(D8.measures(docs.repartition(7)))).collect()
