@@ -8,19 +8,22 @@ in some chunk up to one symbol; listing each chunk under its four forms with one
 symbol left out therefore meets every pair within that distance.  At similarity
 0.85 a pair differs in 6.6 symbols on average: 22 or more have a chance of 1e-7.
 
-Pairs that meet are first compared by 192 further symbols of 8 bits, which a pair at the
-threshold fails with a chance of 1e-6, and are then confirmed on the full sets.  Documents with equal sets are one node.
-Copies in thousands are not expanded into pairs: the members of each key are first
-compared with its most central member, the one with most neighbours over all its
-keys; then, in three rounds, every node takes its nearest of another component,
-found block by block; confirmed links join components each time.  Last,
-all pairs that share a key and still lie in different components are compared by
-signature, in blocks, and the near ones confirmed.  So no link between different
-components can be missed.
-
-Rows that share an id are taken as one document's.  Null and empty texts are
-linked with nothing, and so are rows without an id (component null, kept).
-Only id and text are read; `dedup` passes other columns through.
+Documents with equal sets are one node.  Nodes that share a key are compared on
+their full sets.  As near copies share many keys, every node has a home, its
+fullest key; homes of many shingles are cut into blocks by the node's hash, and a
+pair of blocks with a key in common is compared once, whatever the number of
+keys it shares, with all its nodes in one task of bounded size.  Inside a task
+pairs that are already joined are passed over, and only links that join two
+groups are given out, never more than one a node, so that a group of thousands of
+copies makes thousands of rows and not their square.  A pair of nodes that shares
+a key is compared in some task, so no link between different components is missed.
+
+Null and empty texts are linked with nothing, and so are rows without an id
+(component null, kept).  Rows that share an id and a text are one; of rows that
+share an id alone, each has the component of its own text.  Sets are compared
+whole, however long the text.  Ties do not arise: the least id stands for a
+component.  An empty table gives an empty result.  Only id and text are read;
+`dedup` passes other columns through.
 """
 
 from __future__ import annotations
@@ -36,12 +39,9 @@ from .text import hashed_words, mix, shingles, text_slices
 CHUNKS, PER_CHUNK = 11, 4
 SYMBOLS = CHUNKS * PER_CHUNK
 RADIUS = 2 * CHUNKS - 1
-PIVOT_ROUNDS, NEAREST_ROUNDS = 1, 3
-#: Members of a key that one comparison block holds.
-BLOCK = 2048
-#: Further symbols, of 8 bits, for a closer estimate than the index gives.
-WIDE = 192
-_FACTORS = mix(np.arange(1, SYMBOLS + WIDE + 1, dtype=np.uint64)) | np.uint64(1)
+#: Shingles of the nodes that one comparison block holds, about.
+BLOCK_SHINGLES = 1 << 18
+_FACTORS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def sets_of(column: pa.Array, words: int):
@@ -54,21 +54,20 @@ def sets_of(column: pa.Array, words: int):
 
 
 def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, set_a, set_b, sig, wide): size, 128-bit hash and signatures of each row's set; none for empty sets."""
+    """(doc_id, n, set_a, set_b, sig): size, 128-bit hash and signature of each row's set; none for empty sets."""
 
     def run(batches):
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
             hashes = np.zeros((batch.num_rows, 2), np.int64)
             sigs: list = [None] * batch.num_rows
-            wide: list = [None] * batch.num_rows
-            for a, b, data, offsets in text_slices(batch.column(1)):
+            for a, _, data, offsets in text_slices(batch.column(1)):
                 h, number = shingles(*hashed_words(data, offsets), words)
                 there = np.flatnonzero(number)
                 if not len(there):
                     continue
                 starts = (np.cumsum(number) - number)[there]
-                symbols = np.empty((len(there), SYMBOLS + WIDE), np.uint16)
+                symbols = np.empty((len(there), SYMBOLS), np.uint16)
                 for k, factor in enumerate(_FACTORS):
                     symbols[:, k] = mix(np.minimum.reduceat(h * factor, starts)).astype(np.uint16)
                 ends = np.cumsum(number)
@@ -76,214 +75,153 @@ def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
                     own = np.unique(h[ends[k] - number[k] : ends[k]])
                     n[a + k] = len(own)
                     hashes[a + k] = np.array([own.sum(), np.bitwise_xor.reduce(mix(own))], np.uint64).view(np.int64)
-                    sigs[a + k] = symbols[i, :SYMBOLS].tobytes()
-                    wide[a + k] = symbols[i, SYMBOLS:].astype(np.uint8).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(sigs, pa.binary()), pa.array(wide, pa.binary())], names=["doc_id", "n", "set_a", "set_b", "sig", "wide"])
+                    sigs[a + k] = symbols[i].tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(sigs, pa.binary())], names=["doc_id", "n", "set_a", "set_b", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id bigint, n bigint, set_a bigint, set_b bigint, sig binary, wide binary")
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    data = column.cast(pa.large_binary())
-    return np.frombuffer(b"".join(data.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-
-
-def _wide(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.cast(pa.large_binary()).to_pylist()), np.uint8).reshape(-1, WIDE)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id bigint, n bigint, set_a bigint, set_b bigint, sig binary")
 
 
 def keys(nodes: DataFrame) -> DataFrame:
-    """(key, slot, node): the 44 chunk forms of each signature."""
+    """(key, node): the 44 chunk forms of each signature."""
 
     def run(batches):
         for batch in batches:
-            s = _matrix(batch.column(1)).astype(np.uint64)
+            joined = b"".join(batch.column(1).cast(pa.large_binary()).to_pylist())
+            s = np.frombuffer(joined, np.uint16).reshape(-1, SYMBOLS).astype(np.uint64)
             node = batch.column(0)
             for c in range(CHUNKS):
                 part = s[:, c * PER_CHUNK : (c + 1) * PER_CHUNK]
                 for m in range(PER_CHUNK):
                     rest = [part[:, j] for j in range(PER_CHUNK) if j != m]
                     key = mix((rest[0] << np.uint64(32)) | (rest[1] << np.uint64(16)) | rest[2] | (np.uint64(c * PER_CHUNK + m + 1) << np.uint64(48)))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), c * PER_CHUNK + m, np.int32)), node], names=["key", "slot", "node"])
-
-    return nodes.select("node", "sig").mapInArrow(run, "key bigint, slot int, node bigint")
-
-
-def _most(percent: int) -> int:
-    """Differing wide symbols that a pair at the threshold exceeds with a chance of 1e-6."""
-    miss = 1 - percent / 100
-    return int(np.ceil(WIDE * miss + 5 * (WIDE * miss * (1 - miss)) ** 0.5))
-
-
-def _near(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs can still be links: sizes close enough, few wide symbols that differ."""
-    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((a != b).sum(axis=-1) <= _most(percent))
-
-
-def _pivot_pairs(residual: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each node of a mixed key with the nearest central node of another component."""
-    size = residual.groupBy("key").agg(F.count("*").alias("c"))
-    degree = residual.join(size, "key").groupBy("node").agg(F.sum("c").alias("degree"))
-    order = F.struct((-F.col("degree")).alias("o"), "node", "label")
-    pivot = residual.join(degree, "node").groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.node").alias("b"), F.col("p.label").alias("lb"))
-    pairs = residual.join(pivot, "key").filter(F.col("label") != F.col("lb")).select(F.col("node").alias("a"), "b").distinct()
-    side = nodes.select(F.col("node").alias("b"), F.col("wide").alias("sb"), F.col("n").alias("nb"))
-    joined = pairs.join(nodes.select(F.col("node").alias("a"), F.col("wide").alias("sa"), F.col("n").alias("na")), "a").join(side, "b")
-
-    def run(batches):
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), node], names=["key", "node"])
+
+    return nodes.select("node", "sig").mapInArrow(run, "key bigint, node bigint")
+
+
+def _tasks(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, tasks array<struct<u,v,left>>): the pairs of blocks in which each node is compared, and in which of the two it lies."""
+    # the fullest key, as one number: its size first (what orders large ones does not matter), then its own bits
+    home = F.max(F.shiftleft(F.least("c", F.lit((1 << 20) - 1)), 43).bitwiseOR(F.col("key").bitwiseAND((1 << 43) - 1)))
+    homes = members.groupBy("node").agg(home.alias("home")).join(nodes.groupBy("node").agg(F.sum("n").alias("n")), "node")
+    homes = checkpointed(homes)
+    large = checkpointed(homes.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks")).filter("blocks > 1"))
+    units = homes.join(large, "home", "left").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1)))).alias("unit"))
+    rows = checkpointed(members.select("key", "node").join(units, "node"))
+    held = checkpointed(rows.groupBy("key", F.col("unit").alias("other")).agg(F.count("*").alias("k")))
+    met = rows.join(held, "key").filter((F.col("unit") != F.col("other")) | (F.col("k") > 1))
+    met = met.select("node", F.least("unit", "other").alias("u"), F.greatest("unit", "other").alias("v"), (F.col("unit") <= F.col("other")).alias("left")).distinct()
+    return met.groupBy("node").agg(F.collect_list(F.struct("u", "v", "left")).alias("tasks"))
+
+
+def forest(nodes: np.ndarray, left: np.ndarray, flat: np.ndarray, sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join the groups of a task's nodes: all pairs are compared (left with right ones if there are both) but those already joined."""
+    order = np.argsort(sizes, kind="stable")
+    first = (np.cumsum(sizes) - sizes)[order]
+    nodes, left, sizes = nodes[order], left[order], sizes[order]
+    across = not left.all()
+    label = np.unique(nodes, return_inverse=True)[1]
+    values, flat = np.unique(flat, return_inverse=True)
+    there = np.zeros(len(values), np.int32)
+    links = []
+    for x in range(1, len(nodes)):
+        n = int(sizes[x])
+        low = int(np.searchsorted(sizes, -(-percent * n // 100)))  # smaller sets cannot reach the similarity
+        other = label[low:x] != label[x]
+        if across:
+            other &= left[low:x] != left[x]
+        other = low + np.flatnonzero(other)
+        if not len(other):
+            continue
+        own = flat[first[x] : first[x] + n]
+        there[own] = 1
+        size = sizes[other]
+        begin = np.cumsum(size) - size
+        at = np.repeat(first[other] - begin, size) + np.arange(size.sum())
+        common = np.add.reduceat(there[flat[at]], begin)
+        there[own] = 0
+        for y in other[100 * common >= percent * (n + size - common)].tolist():
+            if label[y] != label[x]:
+                links.append((int(nodes[x]), int(nodes[y])))
+                label[label == label[y]] = label[x]
+    return links
+
+
+def _links(docs: DataFrame, tasks: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): the links of each task that join groups; texts are moved once, their sets to each of their tasks."""
+
+    def spread(batches):
         for batch in batches:
-            b, a, sa, na, sb, nb = (batch.column(k) for k in ("b", "a", "sa", "na", "sb", "nb"))
-            x, y = _wide(sa), _wide(sb)
-            far = (x != y).sum(axis=1)
-            keep = _near(x, y, na.to_numpy(), nb.to_numpy(), percent)
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(far)], names=["a", "b", "far"]).filter(pa.array(keep))
-
-    near = joined.mapInArrow(run, "a bigint, b bigint, far bigint")
-    best = near.groupBy("a").agg(F.min(F.struct("far", "b")).alias("m"))
-    return best.select("a", F.col("m.b").alias("b"))
-
-
-def _first_slot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The first of the chunk forms that two signatures share: a pair counts in that key alone."""
-    differ = (x != y).reshape(-1, CHUNKS, PER_CHUNK)
-    n = differ.sum(axis=2)
-    chunk = np.argmax(n <= 1, axis=1)
-    row = np.arange(len(x))
-    return chunk * PER_CHUNK + np.where(n[row, chunk] == 1, np.argmax(differ[row, chunk], axis=1), 0)
-
-
-def _block_pairs(residual: DataFrame, nodes: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """(a, b): all pairs of a mixed key that lie in different components and can be links, or each node's nearest such."""
-    counts = residual.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = residual.join(counts, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", "slot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
-    rows = rows.join(nodes.select("node", "sig", "wide", "n"), "node")
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
-
-    def emit(group: pa.Table):
-        own, i = group.column("own").to_numpy(), group.column("i")[0].as_py()
-        node, label, n = (group.column(c).to_numpy() for c in ("node", "label", "n"))
-        s, sig = _wide(group.column("wide").combine_chunks()), _matrix(group.column("sig").combine_chunks())
-        slot = group.column("slot")[0].as_py()
-        best = np.full(len(node), WIDE << 32)  # for each node: the distance of the nearest, then its place
-        left = np.flatnonzero(own == i)
-        right = np.flatnonzero(own != i) if (own != i).any() else left
-        if group.column("j")[0].as_py() != i and len(right) == len(left) and (right == left).all():
-            return  # the other block is empty
-        for at in range(0, len(left), 64):
-            p, q = np.meshgrid(left[at : at + 64], right, indexing="ij")
-            keep = (label[p] != label[q]) & (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q]))
-            p, q = p[keep], q[keep]
-            for cut in range(0, len(p), 1 << 15):
-                x, y = p[cut : cut + (1 << 15)], q[cut : cut + (1 << 15)]
-                far = (s[x] != s[y]).sum(axis=1)
-                near = far <= _most(percent)
-                x, y, far = x[near], y[near], far[near]
-                if nearest:
-                    np.minimum.at(best, x, (far << 32) | y)
-                    np.minimum.at(best, y, (far << 32) | x)
-                elif len(x):
-                    own = _first_slot(sig[x], sig[y]) == slot
-                    a, b = np.minimum(node[x], node[y])[own], np.maximum(node[x], node[y])[own]
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(far[own])], names=["a", "b", "far"])
-        found = np.flatnonzero(best < WIDE << 32)
-        if len(found):
-            yield pa.RecordBatch.from_arrays([pa.array(node[found]), pa.array(node[best[found] & 0xFFFFFFFF]), pa.array(best[found] >> 32)], names=["a", "b", "far"])
+            lists = batch.column(2)
+            rows, taken, values = [], [], []
+            for row, own in sets_of(batch.column(1), words):
+                data = own.tobytes()
+                for task in lists[row].as_py():
+                    rows.append(row)
+                    taken.append((task["u"], task["v"], task["left"]))
+                    values.append(data)
+                    if len(values) >= 2048:
+                        yield out(batch, rows, taken, values)
+                        rows, taken, values = [], [], []
+            if rows:
+                yield out(batch, rows, taken, values)
+
+    def out(batch, rows, taken, values):
+        u, v, left = zip(*taken, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(left, pa.bool_()), batch.column(0).take(pa.array(rows)), pa.array(values, pa.binary())], names=["u", "v", "left", "node", "set"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), text_col).join(tasks, "node")
+    dealt = texts.mapInArrow(spread, "u bigint, v bigint, left boolean, node bigint, set binary").repartition("u", "v").sortWithinPartitions("u", "v")
+
+    def compare(table: pa.Table):
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        return forest(table.column("node").to_numpy(), table.column("left").to_numpy(), np.concatenate(sets), sizes, percent)
 
     def run(batches):
-        held = None
+        held: list[pa.Table] = []
+        last = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([held, table]) if held is not None else table
-            k, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
-            cut = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            bounds = [0, *cut.tolist()]
+            u, v = table.column("u").to_numpy(), table.column("v").to_numpy()
+            if not len(u):
+                continue
+            found = []
+            bounds = [0, *(np.flatnonzero((u[1:] != u[:-1]) | (v[1:] != v[:-1])) + 1).tolist(), len(u)]
             for a, b in zip(bounds, bounds[1:], strict=False):
-                yield from emit(table.slice(a, b - a))
-            held = table.slice(bounds[-1])
-        if held is not None and held.num_rows:
-            yield from emit(held)
+                if held and last != (u[a], v[a]):
+                    found += compare(pa.concat_tables(held))
+                    held = []
+                held.append(table.slice(a, b - a))
+                last = (u[a], v[a])
+            yield rows(found)
+        if held:
+            yield rows(compare(pa.concat_tables(held)))
 
-    pairs = dealt.mapInArrow(run, "a bigint, b bigint, far bigint")
-    if not nearest:
-        return pairs.select("a", "b").distinct()
-    return pairs.groupBy("a").agg(F.min(F.struct("far", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    def rows(found):
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the similarity."""
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
-    both = one.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                merged = np.concatenate([x, y])
-                merged.sort(kind="stable")
-                common = int((merged[1:] == merged[:-1]).sum())
-                keep.append(100 * common >= percent * (len(merged) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, "a bigint, b bigint")
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, set): sorted distinct shingles of the wanted documents; texts are moved once."""
-
-    def run(batches):
-        for batch in batches:
-            rows, values = [], []
-            for row, own in sets_of(batch.column(1), words):
-                rows.append(row)
-                values.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(values, pa.binary())], names=["node", "set"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), text_col).join(wanted, "node", "left_semi")
-    return texts.mapInArrow(run, "node bigint, set binary").dropDuplicates(["node"])
-
-
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after each takes the least label that a link leads to: not yet whole components, but never more than one."""
-    at = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
-    ends = links.join(at("a"), "a").join(at("b"), "b")
-    better = ends.groupBy(F.greatest("la", "lb").alias("label")).agg(F.min(F.least("la", "lb")).alias("to"))
-    return labels.join(better, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def link(docs: DataFrame, words: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row."""
     sigs = checkpointed(signatures(docs, words, id_col, text_col))
-    full = sigs.filter("n > 0 and doc_id is not null")
-    firsts = full.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("node"))
-    nodes = full.join(firsts.select("node").distinct(), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "n", "sig", "wide").dropDuplicates(["node"])
+    linkable = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    full = sigs.filter(linkable)
+    firsts = checkpointed(full.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("node")))
+    # joined by the id too, which no group of copies shares
+    nodes = full.withColumnRenamed("doc_id", "node").join(firsts, ["node", "set_a", "set_b", "n"]).dropDuplicates(["node", "set_a", "set_b"]).select("node", "n", "sig")
     nodes = checkpointed(nodes)
     all_keys = keys(nodes)
-    shared = all_keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
+    shared = all_keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("c")).filter("lo < hi").select("key", "c")
     members = checkpointed(all_keys.join(shared, "key"))
-    near = members.select("node").distinct()
-    sets = checkpointed(_sets(docs, near, words, id_col, text_col))
-    labels = checkpointed(near.select("node", F.col("node").alias("label")))
-    links = []
-    rounds = PIVOT_ROUNDS + NEAREST_ROUNDS
-    for turn in range(rounds + 1):
-        mixed = members.join(labels, "node")
-        several = mixed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-        residual = checkpointed(mixed.join(several, "key", "left_semi"))
-        pairs = _pivot_pairs(residual, nodes, percent) if turn < PIVOT_ROUNDS else _block_pairs(residual, nodes, percent, turn < rounds)
-        links.append(checkpointed(_confirmed(pairs, sets, percent)))
-        if turn < rounds:
-            labels = checkpointed(_merged(labels, links[-1]))
-    every = links[0]
-    for more in links[1:]:
-        every = every.unionByName(more)
-    roots = components(every)
-    own = firsts.join(roots, "node", "left").select("set_a", "set_b", "n", F.coalesce("root", "node").alias("_c"))
-    out = sigs.join(own, ["set_a", "set_b", "n"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("_c", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    links = checkpointed(_links(docs, _tasks(members, nodes), words, percent, id_col, text_col))
+    own = firsts.join(components(links), "node", "left").select("set_a", "set_b", "n", F.coalesce("root", "node").alias("component_id"))
+    found = full.join(own, ["set_a", "set_b", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    rest = sigs.filter(~linkable).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return found.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,8 +13,14 @@ import pyarrow as pa
 #: Bytes of text handled at once; a longer single text makes a slice of its own.
 SLICE_BYTES = 1 << 21
 
+#: Ranges beyond so many bytes are hashed piece by piece.
+LONG_SPAN = 1024
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
+_STEP = np.uint64(0x9FB21C651E98DF25)
+#: Which of eight bytes a range of so many bytes has.
+_HEADS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Bytes that end a word of letters and digits: ASCII punctuation, white space and controls.
@@ -101,14 +107,62 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _WHIT
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of byte ranges, equal exactly for equal contents up to collisions."""
-    if len(starts) == 0:
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one word; places beyond the end count as zero bytes."""
+    words = np.zeros(len(data) + 8, np.uint64)
+    words[: len(data)] = data
+    for size in (1, 2, 4):
+        words[:-size] |= words[size:] << np.uint64(8 * size)
+    return words
+
+
+def step(h: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Take one more word into each hash."""
+    h = (h ^ value) * _STEP
+    return h ^ (h >> np.uint64(32))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges, mixed after every eight bytes; other seeds give independent ones."""
+    n = ends - starts
+    if len(n) == 0:
         return np.zeros(0, np.uint64)
-    powers, inverse = _power_tables(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    long = n > LONG_SPAN
+    if long.any():
+        # long ranges are hashed by the hashes of their pieces
+        out = np.empty(len(n), np.uint64)
+        out[~long] = span_hashes(data, starts[~long], ends[~long], seed)
+        count = -(-n[long] // LONG_SPAN)
+        piece = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        first = np.repeat(starts[long], count) + piece * LONG_SPAN
+        inner = span_hashes(data, first, np.minimum(first + LONG_SPAN, np.repeat(ends[long], count)), seed)
+        close = np.cumsum(count) * 8
+        out[long] = mix(span_hashes(inner.view(np.uint8), close - count * 8, close, seed) + n[long].astype(np.uint64))
+        return out
+    words = eights(data)
+    h = step(mix(n.astype(np.uint64) + np.uint64((seed + 1) * _BASE & _MASK)), words[starts] & _HEADS[np.minimum(n, 8)])
+    live, at = np.flatnonzero(n > 8), 8
+    while len(live):
+        h[live] = step(h[live], words[starts[live] + np.minimum(at, n[live] - 8)])
+        at += 8
+        live = live[n[live] > at]
+    return mix(h)
+
+
+class Prefixes:
+    """Keys of many ranges of one buffer, from prefix sums.
+
+    Equal contents have equal keys, but some unequal ones (Thue-Morse strings, for one) have too:
+    a way to find candidates that are compared afterwards, never an identity.
+    """
+
+    def __init__(self, data: np.ndarray):
+        powers, self.inverse = _power_tables(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=self.sums[1:])
+
+    def keys(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
 
 
 def lowered(data: np.ndarray) -> np.ndarray:

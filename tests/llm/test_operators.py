@@ -455,7 +455,7 @@ def test_components_equal_brute_force(spark, docs, rows):
 
 def test_chains_and_blocks_of_near_copies(spark, monkeypatch):
     """A chain of small changes whose ends are far apart, with more members than a block."""
-    monkeypatch.setattr(D10, "BLOCK", 8)
+    monkeypatch.setattr(D10, "BLOCK_SHINGLES", 700)
     rng = random.Random(12)
     text, rows = words(rng, 90).split(" "), []
     for i in range(60):
