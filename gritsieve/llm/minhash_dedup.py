@@ -9,8 +9,8 @@ symbol left out therefore meets every pair within that distance.  At similarity
 0.85 a pair differs in 6.6 symbols on average: 22 or more have a chance of 1e-7.
 
 Documents with equal sets are one node.  Nodes that share a key are compared on
-their full sets.  As near copies share many keys, every node has a home, its
-fullest key; homes of many shingles are cut into blocks by the node's hash, and a
+their full sets.  As near copies share many keys, every node has a home, the fullest of
+its keys or of those of nodes it meets; homes of many shingles are cut into blocks by the node's hash, and a
 pair of blocks with a key in common is compared once, whatever the number of
 keys it shares, with all its nodes in one task of bounded size.  Inside a task
 pairs that are already joined are passed over, and only links that join two
@@ -39,8 +39,8 @@ from .text import hashed_words, mix, shingles, text_slices
 CHUNKS, PER_CHUNK = 11, 4
 SYMBOLS = CHUNKS * PER_CHUNK
 RADIUS = 2 * CHUNKS - 1
-#: Shingles of the nodes that one comparison block holds, about.
-BLOCK_SHINGLES = 1 << 18
+#: Blocks that a home is cut into, about, and the least and most shingles of a block.
+BLOCKS, BLOCK_SHINGLES = 64, (1 << 16, 1 << 22)
 _FACTORS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -102,10 +102,14 @@ def keys(nodes: DataFrame) -> DataFrame:
 def _tasks(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, tasks array<struct<u,v,left>>): the pairs of blocks in which each node is compared, and in which of the two it lies."""
     # the fullest key, as one number: its size first (what orders large ones does not matter), then its own bits
-    home = F.max(F.shiftleft(F.least("c", F.lit((1 << 20) - 1)), 43).bitwiseOR(F.col("key").bitwiseAND((1 << 43) - 1)))
-    homes = members.groupBy("node").agg(home.alias("home")).join(nodes.groupBy("node").agg(F.sum("n").alias("n")), "node")
+    own = members.groupBy("node").agg(F.max(F.shiftleft(F.least("c", F.lit((1 << 20) - 1)), 43).bitwiseOR(F.col("key").bitwiseAND((1 << 43) - 1))).alias("own"))
+    # one cloud of near copies has several full keys: a key passes the fullest of its nodes' on, unless that is of another size altogether
+    passed = members.join(own, "node").groupBy("key").agg(F.max(F.when(F.shiftright("own", 43) <= 4 * F.col("c"), F.col("own"))).alias("home"))
+    homes = members.join(checkpointed(passed), "key").groupBy("node").agg(F.max("home").alias("home")).join(own, "node")
+    homes = homes.select("node", F.coalesce("home", "own").alias("home")).join(nodes.groupBy("node").agg(F.sum("n").alias("n")), "node")
     homes = checkpointed(homes)
-    large = checkpointed(homes.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks")).filter("blocks > 1"))
+    size = F.greatest(F.lit(BLOCK_SHINGLES[0]), F.least(F.lit(BLOCK_SHINGLES[1]), F.sum("n") / BLOCKS))
+    large = checkpointed(homes.groupBy("home").agg(F.ceil(F.sum("n") / size).alias("blocks")).filter("blocks > 1"))
     units = homes.join(large, "home", "left").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1)))).alias("unit"))
     rows = checkpointed(members.select("key", "node").join(units, "node"))
     held = checkpointed(rows.groupBy("key", F.col("unit").alias("other")).agg(F.count("*").alias("k")))

@@ -171,8 +171,57 @@ def test_quality_machine_on_held_out_rows(spark):
 
 
 def test_toxicity_network_on_held_out_rows(spark):
-    d, y = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    assert _accuracy(D4.classify(d, y), y, "toxic") >= 0.93
+    """37 toxic rows to learn from at sf0.01, 5 of 14 held-out ones in languages with 2 to 4 of them; 329 at sf0.1."""
+    for sf, least_auc, least_recall in (("sf0.01", 0.9, 0.6), ("sf0.1", 0.95, 0.85)):
+        d, y = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+        toxic = {r["doc_id"]: r["toxic"] for r in y.collect()}
+        rows = [(r["score"], toxic[r["doc_id"]], r["predicted"]) for r in D4.classify(d, y).collect() if r["held_out"] and toxic.get(r["doc_id"]) is not None]
+        bad, good = ([r for r in rows if r[1] == v] for v in (1, 0))
+        above = sum((p[0] > q[0]) + 0.5 * (p[0] == q[0]) for p in bad for q in good)
+        assert above / (len(bad) * len(good)) >= least_auc
+        assert sum(r[2] for r in bad) >= least_recall * len(bad) and sum(r[2] for r in good) <= 0.03 * len(good)
+
+
+def test_network_equals_a_plain_convolution():
+    """Scores against loops over places; the gradient against differences."""
+    rng = np.random.default_rng(11)
+    net = D4.Network.blank()
+    net.shift[:], net.out[:] = rng.normal(0, 0.2, net.shift.shape), rng.normal(0, 1, net.out.shape)
+    counts = np.array([7, 0, 1, 2, 30])
+    t = rng.integers(0, 1 << D4.BITS, (counts.sum(), 3)).astype(np.uint16)
+    want, at = [], 0
+    for n in counts:
+        e = [sum(net.tables[k][t[at + i, k]] for k in range(3)) for i in range(n)]
+        pooled = []
+        for k, w in enumerate(D4.WIDTHS):
+            for f in range(D4.FILTERS):
+                values = [net.shift[k, f] + sum(e[i + j] @ net.filters[D4._PAIRS.index((w, j))][:, f] for j in range(w) if i + j < n) for i in range(n)]
+                pooled.append(max([0.0, *values]))
+        want.append(1 / (1 + np.exp(-(net.bias + np.dot(pooled, net.out)))))
+        at += n
+    assert net.score(t, counts) == pytest.approx(want, abs=1e-4)
+
+
+def test_gradient_of_the_network(monkeypatch):
+    monkeypatch.setattr(D4, "DROP", 0.0)
+    rng = np.random.default_rng(13)
+    net = D4.Network.blank()
+    net.out[:] = rng.normal(0, 1, net.out.shape)
+    counts, y, w = np.array([5, 9]), np.array([1.0, 0.0]), np.array([1.0, 2.0])
+    t = rng.integers(0, 1 << D4.BITS, (14, 3)).astype(np.uint16)
+    given = {}
+    before = net.filters.copy()
+    D4._step(net, lambda name, at, d, rate: given.__setitem__(name, d), t, counts, w, y, rng)
+    net.tables[:] = D4.Network.blank().tables
+    net.bias = 0.0
+    loss = lambda: float(-(w * (y * np.log(net.score(t, counts)) + (1 - y) * np.log(1 - net.score(t, counts)))).sum() / 2)
+    for at in [(0, 1, 2), (2, 0, 5), (5, 3, 7)]:
+        values = []
+        for d in (1e-2, -1e-2):
+            net.filters[:] = before
+            net.filters[at] += d
+            values.append(loss())
+        assert (values[0] - values[1]) / 2e-2 == pytest.approx(float(given["filters"][at]), abs=2e-4)
 
 
 def test_machine_score_equals_pairwise_sum():
@@ -455,7 +504,7 @@ def test_components_equal_brute_force(spark, docs, rows):
 
 def test_chains_and_blocks_of_near_copies(spark, monkeypatch):
     """A chain of small changes whose ends are far apart, with more members than a block."""
-    monkeypatch.setattr(D10, "BLOCK_SHINGLES", 700)
+    monkeypatch.setattr(D10, "BLOCK_SHINGLES", (700, 700))
     rng = random.Random(12)
     text, rows = words(rng, 90).split(" "), []
     for i in range(60):
