@@ -1,6 +1,8 @@
 """Quality rules with adaptive thresholds (operator 8), DataFrame functions only.
 
-Each document gets a few integer measures.  Their distributions are summarised
+Each document gets a few integer measures: its rates of symbols, duplicate lines
+and repeated windows, less two deviations of their counts, and its capitals and
+word lengths.  Their distributions are summarised
 per language and source by mergeable quantile sketches: log-linear histograms,
 whose bucket of a value keeps its six leading bits, so counts of equal buckets
 of any parts of the data just add up (relative error 1/32, independent of
@@ -14,39 +16,42 @@ A document is kept unless it fails the base rules or a measure passes its fence.
 
 Nulls: a null text has no words and fails the base rule; null languages and
 sources form groups of their own.  Repeated rows count as often as they occur,
-ties share a bucket, empty tables give empty results, and other columns pass
-through; a column named like one of the results is replaced.
+ties share a bucket, empty tables give empty results; long texts are measured
+whole; other columns pass through; `apply_rules` replaces columns named like one
+of its results, `keep` changes none.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .storage import checkpointed, stored
+
 WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Measures in permille, each with an upper fence.
 MEASURES = ("m_symbols", "m_dup_lines", "m_repeats", "m_capitals", "m_word_chars")
-#: Documents that a language and source, or a language, needs for fences of its own.
+#: Documents that a language and source, or a language, needs for fences of its own, if not told otherwise.
 LEAST_ROWS = 200
 #: A fence lies so many quartile distances above the upper quartile, and one bucket of the sketch there at least.
 FENCE = 3
 WINDOW = 8
 #: Distinct languages and sources up to which fences are broadcast (about 100 bytes each).
 BROADCAST_GROUPS = 20_000
-_ROW = "_row_number"
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
     """`df` with the base counts and the permille measures of each whole text.
 
-    Repeated windows are found inside the row: windows are hashed to 64 bits, and only a
-    text whose hashes are not all distinct has them sorted with their places.
+    Repeated windows are found inside the row: words and then windows are hashed to 64 bits, and only a
+    text whose windows are not all distinct has them sorted with their places. All steps take time in
+    proportion to a text's length, but for that sort.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = df.drop(*[c for c in RESULTS if c in df.columns], *[c for c in MEASURES if c in df.columns])
-    df = df.withColumn("_words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    df = df.withColumn("_words", F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)))
     n = F.size("_words")
     windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_words", i, WINDOW))))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
@@ -64,28 +69,29 @@ def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
         "_again": F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))),
     }).drop("_lines", "_windows")
     return df.withColumn("n_repeat_words", F.coalesce(_covered(F.col("_again")), F.lit(0)).cast("long")).drop("_again").withColumns({
-        "m_symbols": _permille("n_symbols", "n_words"),
-        "m_dup_lines": _permille("n_dup_lines", "_n_lines"),
-        "m_repeats": _permille("n_repeat_words", "n_words"),
-        "m_capitals": _permille("_capitals", "word_chars"),
-        "m_word_chars": _permille("word_chars", "n_words"),
+        "m_symbols": _permille(_sure(F.col("n_symbols")), "n_words"),
+        "m_dup_lines": _permille(_sure(F.col("n_dup_lines")), "_n_lines"),
+        "m_repeats": _permille(WINDOW * _sure(F.col("n_repeat_words") / WINDOW), "n_words"),
+        "m_capitals": _permille(F.col("_capitals"), "word_chars"),
+        "m_word_chars": _permille(F.col("word_chars"), "n_words"),
     }).drop("_capitals", "_n_lines")
 
 
-def _permille(part: str, whole: str) -> Column:
-    return F.coalesce(F.floor(F.col(part) * 1000 / F.when(F.col(whole) > 0, F.col(whole))), F.lit(0)).cast("long")
+def _permille(part: Column, whole: str) -> Column:
+    return F.coalesce(F.floor(part * 1000 / F.when(F.col(whole) > 0, F.col(whole))), F.lit(0)).cast("long")
 
 
-def _covered(pairs: Column) -> Column:
-    """Words covered by the windows whose hash occurs twice; pairs: (hash, place), sorted."""
-    start = F.struct(F.lit(None).cast("long").alias("h"), F.lit(-1).alias("i"), F.lit(False).alias("put"), F.array().cast("array<int>").alias("at"))
+def _sure(count: Column) -> Column:
+    """What a count of chance events exceeds but for two deviations: one line that occurs twice says nothing yet of a text."""
+    return F.greatest(F.lit(0.0), count - 2 * F.sqrt(count))
 
-    def step(acc: Column, x: Column) -> Column:
-        same = acc["h"].eqNullSafe(x["h"])
-        at = F.when(same, F.concat(acc["at"], F.when(acc["put"], F.array(x["i"])).otherwise(F.array(acc["i"], x["i"])))).otherwise(acc["at"])
-        return F.struct(x["h"].alias("h"), x["i"].alias("i"), same.alias("put"), at.alias("at"))
 
-    places = F.array_sort(F.aggregate(pairs, start, step, lambda acc: acc["at"]))
+def _covered(pairs: Column) -> Column:
+    """Words covered by the windows whose hash occurs twice; pairs: (hash, place), sorted."""
+    at = lambda k: F.get(pairs, k)
+    again = lambda k: (at(k)["h"] == at(k - 1)["h"]) | (at(k)["h"] == at(k + 1)["h"])
+    places = F.transform(F.sequence(F.lit(0), F.size(pairs) - 1), lambda k: F.when(again(k), at(k)["i"]))
+    places = F.sort_array(F.filter(F.when(F.size(pairs) > 0, places), lambda i: i.isNotNull()))
     total = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n"))
     return F.aggregate(places, total, lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n")), lambda acc: acc["n"])
 
@@ -107,8 +113,8 @@ def _bucket(value: Column) -> Column:
 
 def sketches(df: DataFrame, keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """(keys, measure, bucket, n): one mergeable sketch for each group and measure, of documents that pass the base rules."""
-    df = df.withColumn(_ROW, F.monotonically_increasing_id())  # keeps the filter above the measures, whose expressions it would repeat
-    rows = df.filter(~base_failed(df) & (F.col(_ROW) >= 0)).select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), _bucket(F.col(m)).alias("bucket")) for m in MEASURES])).alias("x"))
+    df = df.withColumn("_row", F.monotonically_increasing_id())  # keeps the filter above measures that are not written yet, whose expressions it would repeat
+    rows = df.filter(~base_failed(df) & (F.col("_row") >= 0)).select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), _bucket(F.col(m)).alias("bucket")) for m in MEASURES])).alias("x"))
     return rows.groupBy(*keys, "x.measure", "x.bucket").agg(F.count("*").alias("n"))
 
 
@@ -126,13 +132,13 @@ def _fences(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
     return fence.groupBy(*keys).agg(F.max("rows").alias(f"{name}_rows"), *[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"{name}_{m}") for m in MEASURES])
 
 
-def thresholds(sketch: DataFrame, keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """Fences of every group; small groups take those of their first key, or of everything."""
+def thresholds(sketch: DataFrame, keys: tuple[str, ...] = ("lang", "source"), least_rows: int = LEAST_ROWS) -> DataFrame:
+    """Fences of every group; groups under `least_rows` documents take those of their first key, or of everything."""
     own, wide = _fences(sketch, list(keys), "own"), _fences(sketch, [keys[0]], "wide")
     every = _fences(sketch.withColumn("_all", F.lit(1)), ["_all"], "all").drop("_all")
     first = F.col(f"wide.{keys[0]}")
     joined = own.alias("own").join(wide.alias("wide"), F.col(f"own.{keys[0]}").eqNullSafe(first), "left").drop(first).join(F.broadcast(every), F.lit(True), "left")
-    pick = lambda m: F.when(F.col("own_rows") >= LEAST_ROWS, F.col(f"own_{m}")).when(F.col("wide_rows") >= LEAST_ROWS, F.col(f"wide_{m}")).otherwise(F.col(f"all_{m}"))
+    pick = lambda m: F.when(F.col("own_rows") >= least_rows, F.col(f"own_{m}")).when(F.col("wide_rows") >= least_rows, F.col(f"wide_{m}")).otherwise(F.col(f"all_{m}"))
     return joined.select(*[F.col(k).alias(f"_t_{k}") for k in keys], *[pick(m).alias(f"fence_{m}") for m in MEASURES])
 
 
@@ -152,25 +158,31 @@ def judge(df: DataFrame, limits: DataFrame, keys: tuple[str, ...] = ("lang", "so
 
 def settled(limits: DataFrame) -> tuple[DataFrame, int]:
     """The fences, cut from their lineage, and the number of groups."""
-    from .storage import checkpointed
-
     limits = checkpointed(limits)
     return limits, limits.count()
 
 
+def _judged(df: DataFrame, text_col: str, keys: tuple[str, ...]) -> DataFrame:
+    """Every row whole as `_doc`, with its counts, measures and verdict: measured once, written to the shared folder, judged as it is read again."""
+    packed = df.select(F.struct(*df.columns).alias("_doc"))
+    named = {f"_key{k}": F.col(f"_doc.{key}") for k, key in enumerate(keys)}
+    measured = stored(measures(packed.withColumns(named | {"_text": F.col(f"_doc.{text_col}")}), "_text").drop("_text"))
+    limits, n = settled(thresholds(sketches(measured, tuple(named)), tuple(named)))
+    return judge(measured, limits, tuple(named), n).drop(*named)
+
+
 def apply_rules(df: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """Measure, sketch, derive fences, judge. Documents are read twice, their texts never shuffled."""
-    measured = measures(df, text_col)
-    limits, n = settled(thresholds(sketches(measured, keys), keys))
-    # as in sketches(), a row number keeps the filter above the measures
-    judged = judge(measured.withColumn(_ROW, F.monotonically_increasing_id()), limits, keys, n).withColumn("kept", F.col("kept") & (F.col(_ROW) >= 0))
-    return judged.drop(*MEASURES, _ROW)
+    """Measure, sketch, derive fences, judge: `df` with the counts, base_failed and kept; texts are never shuffled."""
+    return _judged(df, text_col, keys).select(*[F.col(f"_doc.{c}") for c in df.columns if c not in RESULTS], *RESULTS)
+
+
+def keep(df: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """The rows of `df` that the rules keep, with all their columns as they were."""
+    return _judged(df, text_col, keys).filter("kept").select("_doc.*")
 
 
 def verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """(id, counts, base_failed, kept) of each row; the measures are taken once and written, without texts."""
-    from .storage import checkpointed
-
     measured = checkpointed(measures(df.select(id_col, *keys, text_col), text_col).drop(text_col))
     limits, n = settled(thresholds(sketches(measured, keys), keys))
     return judge(measured, limits, keys, n).select(id_col, *RESULTS, *MEASURES)

@@ -372,15 +372,15 @@ def test_fences_follow_the_group(spark):
 
 
 def test_fences_have_no_fixed_floor(spark):
-    """A source without duplicate lines, repeats or symbols rejects what another, full of them, lets pass."""
+    """A source without duplicate lines, repeats or symbols rejects what another, full of them, lets pass; single events are no evidence."""
     rng = random.Random(18)
 
     def text(dup, again, marks):
-        lines = [words(rng, 10) for _ in range(10 - dup)]
+        lines = [words(rng, 10) for _ in range(60 - dup)]
         window = words(rng, 8)
-        return "\n".join([*lines, *lines[:1] * dup, *(f"{window} x{k} y{rng.random()}" for k in range(2 * again)), "#" * marks])
+        return "\n".join([*lines, *lines[:dup], *(f"{window} x{k} y{rng.random()}" for k in range(again)), "#" * marks])
 
-    kinds = {"dup": (2, 0, 0), "again": (0, 1, 0), "marks": (0, 0, 4)}
+    kinds = {"dup": (8, 0, 0), "again": (0, 12, 0), "marks": (0, 0, 18)}
     rows, odd = [], {}
     for k, (name, kind) in enumerate(kinds.items()):
         for i in range(300):
@@ -391,12 +391,22 @@ def test_fences_have_no_fixed_floor(spark):
     for i in range(300):
         rows.append((20_000 + i, text(0, 0, 0), "en", "none", 0))
         odd[20_000 + i] = True
+    for k, kind in enumerate(((1, 0, 0), (0, 2, 0), (0, 0, 3))):
+        rows.append((30_000 + k, text(*kind), "en", "none", 0))
+        odd[30_000 + k] = True
     out = got(D8.verdicts(spark.createDataFrame(rows, SCHEMA)))
     assert not any(r["base_failed"] for r in out.values())
     assert {i: r["kept"] for i, r in out.items()} == odd
     assert out[10_001]["m_repeats"] < 300 and out[10_000]["m_dup_lines"] < 300 and out[10_002]["m_symbols"] < 50
 
 
+def test_long_repetitive_texts_take_time_in_proportion(spark):
+    n = 200_000
+    df = spark.createDataFrame([(1, "again " * n), (2, " ".join(f"w{i % 5000}" for i in range(n)))], "doc_id bigint, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    out = got(D8.verdicts(df))
+    assert all(out[i]["n_words"] == out[i]["n_repeat_words"] == n and out[i]["base_failed"] for i in (1, 2))
+
+
 def test_sketches_merge_to_the_same_fences(docs):
     one = D8.thresholds(D8.sketches(D8.measures(docs.repartition(1)))).collect()
     many = D8.thresholds(D8.sketches(D8.measures(docs.repartition(7)))).collect()
@@ -405,6 +415,8 @@ def test_sketches_merge_to_the_same_fences(docs):
 
 def test_rules_on_odd_tables(clashing, rows, empty):
     assert D8.apply_rules(clashing).count() == len(rows) + 3 and D8.verdicts(clashing).count() == len(rows) + 3
+    kept = D8.keep(clashing)
+    assert kept.columns == clashing.columns and all(r["kept"] == r["n_words"] == 1 for r in kept.collect()) and kept.count() > 20
     assert D8.apply_rules(empty).count() == 0
 
 
