@@ -16,7 +16,7 @@ from gritsieve.llm.storage import shared_folder
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or pass a fence of their language and source go."""
-    return quality_rules.apply_rules(docs).filter("kept").select(*docs.columns)
+    return quality_rules.keep(docs)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
