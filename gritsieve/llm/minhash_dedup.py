@@ -40,7 +40,7 @@ CHUNKS, PER_CHUNK = 11, 4
 SYMBOLS = CHUNKS * PER_CHUNK
 RADIUS = 2 * CHUNKS - 1
 #: Blocks that a home is cut into, about, and the least and most shingles of a block.
-BLOCKS, BLOCK_SHINGLES = 64, (1 << 16, 1 << 22)
+BLOCKS, BLOCK_SHINGLES = 16, (1 << 14, 1 << 22)
 _FACTORS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
