@@ -1,87 +1,106 @@
 """Near-duplicate lines by a segment-partition edit join (operator 9).
 
-Two lines within an edit distance of EDITS (of their UTF-8 bytes) share a segment:
-the shorter is split into EDITS + 1 segments, of which some one must occur
-unchanged in the longer, at a place that its number and the lengths bound.  So
-segments are listed under (length, number, content), and every line probes, for
-each length it can match, only the substrings at the places that the bounds
-leave.  Every row carries a sketch of its line's byte counts, which EDITS edits
-change by no more than 2 * EDITS; pairs that meet with nearer sketches are
-verified by a banded bit-parallel edit distance.
+Two lines are linked if their edit distance, of UTF-8 bytes, is at most one for
+every SHARE bytes of the shorter line, and EDITS at most; below SHARE bytes equal
+lines alone are the same.  The shorter line is split into as many segments as it
+allows edits, and one more, of which some one must occur unchanged in the longer,
+at a place that its number and the lengths bound.  So segments are listed under
+(length, number, content), and every line probes, for each length it can match,
+the substrings at the places that the bounds leave; what would be the line's own
+segment is not probed, as lines of one length meet where they are listed.  Every
+row carries a sketch of its line's byte counts, which EDITS edits change by no
+more than 2 * EDITS; pairs that meet with nearer sketches are verified on their
+bytes by a banded bit-parallel edit distance.
 
 Lines are split at line feeds and trimmed; lines without a word are nobody's.
-Equal lines are one.  Lines under LEAST_BYTES take part by equality alone.  The
-links' components are classes, and a class's first document (least id) owns it.
-
-Nulls and empty texts have no lines; rows without an id have lines but own none;
-rows that share an id are one document; empty tables give empty results.
-`remove_repeats` passes all columns but the text through.
+Equal lines are one: a line is told by a hash of 128 bits.  The links' components
+are classes; a class's first document (least id) owns it, at its first line there.
+
+Nulls and empty texts have no lines; rows without an id take part by equality
+alone and own nothing; rows that share an id are one document, which keeps at all
+its places the line it owns; long texts and lines are handled whole, a slice of
+about 2 MB or one text at a time; ties do not arise; empty tables give empty
+results.  Only the id and the text are read; `remove_repeats` passes all columns
+but the text through.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .graph import components
-from .storage import checkpointed
-from .text import mix, span_hashes, text_slices, word_spans
+from .storage import checkpointed, stored
+from .text import Prefixes, mix, span_hashes, text_slices, word_spans
 
-EDITS = 2
-LEAST_BYTES = 40
-#: What `remove_repeats` asks for if not told; the pipeline has it act on all repeats.
-LEAST_DOCS = 10
+#: Most edits between linked lines, and bytes of the shorter line that allow one.
+EDITS, SHARE = 2, 20
 _FEED = np.zeros(256, bool)
 _FEED[10] = True
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, row, hash) of the trimmed lines with a word, in order."""
+    """(starts, ends, row, 128-bit hashes as two columns) of the trimmed lines with a word, in order."""
     starts, ends, counts = word_spans(data, offsets, _FEED)
     row = np.repeat(np.arange(len(counts)), counts)
     words, word_ends, _ = word_spans(data, offsets)
     a, b = np.searchsorted(words, starts), np.searchsorted(words, ends)
     keep = a < b
     starts, ends, row = words[a[keep]], np.minimum(word_ends[b[keep] - 1], ends[keep]), row[keep]
-    return starts, ends, row, span_hashes(data, starts, ends)
+    return starts, ends, row, np.stack([span_hashes(data, starts, ends, seed) for seed in (0, 1)], 1)
+
+
+def allowed(length: np.ndarray) -> np.ndarray:
+    """Edits that a line of this length allows, as the shorter of two."""
+    return np.minimum(length // SHARE, EDITS)
+
+
+def _binary(h: np.ndarray) -> pa.Array:
+    """Rows of two words as 16 bytes each."""
+    return pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer((16 * np.arange(len(h) + 1)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(h))])
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int | None = None) -> DataFrame:
-    """(doc_id, line_no, line): each document's distinct lines, the first of equal ones.
+def _lists(values: list[np.ndarray], owners: list[np.ndarray], n: int) -> pa.Array:
+    """Lists of numbers by owner; owners without any have an empty list."""
+    owner, value = np.concatenate([np.zeros(0, np.int64), *owners]), np.concatenate([np.zeros(0, np.uint64), *values])
+    order = np.argsort(owner, kind="stable")
+    bounds = np.searchsorted(owner[order], np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(value[order].view(np.int64)))
 
-    With `least`, (line, text) of the lines of so many bytes at least.
+
+def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, line_no, half, line, sketch, listed, probes): each document's distinct lines, the first of equal ones.
+
+    half is the first half of the line's hash, as a number. The last three are null but for the first of equal lines of a slice, with an id and edits to allow.
     """
 
     def run(batches):
         for batch in batches:
-            for a, b, data, offsets in text_slices(batch.column(1)):
+            known = np.asarray(batch.column(0).is_valid())
+            for a, _, data, offsets in text_slices(batch.column(1)):
                 starts, ends, row, h = line_spans(data, offsets)
                 if not len(starts):
                     continue
                 number = np.arange(len(row)) - np.searchsorted(row, row)
-                order = np.lexsort((number, h, row))
-                first = order[np.r_[True, (row[order][1:] != row[order][:-1]) | (h[order][1:] != h[order][:-1])]]
-                first.sort()
-                if least is None:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[first] + a)), pa.array(number[first]), pa.array(h[first].view(np.int64))], names=["doc_id", "line_no", "line"])
-                    continue
-                first = first[(ends - starts)[first] >= least]
-                sizes = (ends - starts)[first]
-                take = np.repeat(starts[first], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[take]))])
-                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), text.cast(pa.binary())], names=["line", "text"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id bigint, line_no bigint, line bigint" if least is None else "line bigint, text binary")
-
-
-def _segment(length: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of the i-th of EDITS + 1 even segments of a line of this length."""
-    base, extra = np.divmod(length, EDITS + 1)
-    longer_before = np.maximum(i - (EDITS + 1 - extra), 0)  # the last segments are one longer
-    return base * i + longer_before, base + (i >= EDITS + 1 - extra)
+                order = np.lexsort((number, h[:, 1], h[:, 0], row))
+                same = (row[order][1:] == row[order][:-1]) & (h[order][1:] == h[order][:-1]).all(axis=1)
+                first = np.sort(order[np.r_[True, ~same]])
+                starts, sizes, row, number, h = starts[first], (ends - starts)[first], row[first], number[first], np.ascontiguousarray(h[first])
+                order = np.lexsort((~known[row + a], h[:, 1], h[:, 0]))
+                fresh = np.zeros(len(first), bool)
+                fresh[order[np.r_[True, (h[order][1:] != h[order][:-1]).any(axis=1)]]] = True
+                fresh &= known[row + a] & (sizes >= SHARE)
+                at = np.flatnonzero(fresh)
+                sums = Prefixes(data)
+                listed, probes = (_lists(*segments(sums, starts[at], sizes[at], probe), len(at)) for probe in (False, True))
+                place = np.full(len(first), -1)
+                place[at] = np.arange(len(at))
+                take = pa.array(place, mask=~fresh)
+                columns = [batch.column(0).take(pa.array(row + a)), pa.array(number), pa.array(h[:, 0].view(np.int64)), _binary(h), pa.array(sketches(data, starts[at], sizes[at])).take(take), listed.take(take), probes.take(take)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line_no", "half", "line", "sketch", "listed", "probes"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id bigint, line_no bigint, half bigint, line binary, sketch bigint, listed array<bigint>, probes array<bigint>")
 
 
 def sketches(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -101,34 +120,27 @@ def _close(a: str, b: str) -> Column:
     return total <= 2 * EDITS
 
 
-def segments(distinct: DataFrame, probe: bool) -> DataFrame:
-    """(key, line, sketch): listed segments of each line, or the substrings by which it probes."""
-
-    def run(batches):
-        for batch in batches:
-            column = batch.column(1).cast(pa.large_binary())
-            data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-            bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-            line = batch.column(0).to_numpy()
-            for a in range(0, len(line), 8192):
-                b = min(len(line), a + 8192)
-                base = bounds[a]
-                own, start = data[base : bounds[b]], bounds[a:b] - base
-                size = bounds[a + 1 : b + 1] - bounds[a:b]
-                sketch = sketches(own, start, size)
-                for less in range(EDITS + 1 if probe else 1):
-                    length = size - less
-                    for i in range(EDITS + 1):
-                        at, n = _segment(length, i)
-                        low = np.maximum.reduce([at - i, at + less - (EDITS - i), np.zeros_like(at)]) if probe else at
-                        high = np.minimum.reduce([at + i, at + less + (EDITS - i), size - n]) if probe else at
-                        for step in range(int((high - low).max(initial=-1)) + 1):
-                            ok = (low + step <= high) & (length >= LEAST_BYTES)
-                            s = (start + low + step)[ok]
-                            key = mix(span_hashes(own, s, s + n[ok]) + (length[ok] * (EDITS + 1) + i).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(line[a:b][ok]), pa.array(sketch[ok])], names=["key", "line", "sketch"])
-
-    return distinct.select("line", "text").mapInArrow(run, "key bigint, line bigint, sketch bigint")
+def segments(sums: Prefixes, start: np.ndarray, size: np.ndarray, probe: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(keys, owners): the listed segments of each line, or the substrings by which it probes, none of them listed."""
+    keys, owners = [], []
+    for edits in range(1, EDITS + 1):
+        for less in range(edits + 1 if probe else 1):
+            length = size - less  # of the shorter line
+            own = np.flatnonzero(allowed(length) == edits)
+            base, extra = np.divmod(length[own], edits + 1)
+            for i in range(edits + 1):
+                before = np.maximum(i - (edits + 1 - extra), 0)  # the last segments are one longer
+                at, n = base * i + before, base + (i >= edits + 1 - extra)
+                low = np.maximum.reduce([at - i, at + less - (edits - i), np.zeros_like(at)]) if probe else at
+                high = np.minimum.reduce([at + i, at + less + (edits - i), size[own] - n]) if probe else at
+                for step in range(int((high - low).max(initial=-1)) + 1):
+                    ok = low + step <= high
+                    if probe and less == 0:
+                        ok &= low + step != at
+                    s = (start[own] + low + step)[ok]
+                    keys.append(mix(sums.keys(s, s + n[ok]) + (length[own][ok] * (EDITS + 1) + i).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+                    owners.append(own[ok])
+    return keys, owners
 
 
 def within(a: list[bytes], b: list[bytes], most: int = EDITS) -> np.ndarray:
@@ -180,92 +192,107 @@ def _distances(x: list[bytes], y: list[bytes], nx: np.ndarray, ny: np.ndarray, m
     return score
 
 
-def _verified(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """The pairs of lines within EDITS."""
-    text = distinct.select("line", "text")
-    both = pairs.join(text.select(F.col("line").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("line").alias("b"), F.col("text").alias("tb")), "b")
+def _verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): lines, of the pairs of first halves of their hashes, that are within the edits they allow; texts come from the first document that holds each."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("half")).distinct()
+    held = places.join(wanted, "half", "left_semi").groupBy("line").agg(F.min("doc_id").alias("_id"))
+    held = held.groupBy("_id").agg(F.collect_list("line").alias("_lines"))
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_col).join(held, "_id").select(text_col, "_lines")
+
+    def cut(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            for a, b, data, offsets in text_slices(batch.column(0)):
+                starts, ends, row, h = line_spans(data, offsets)
+                for k in range(a, b):
+                    named = set(lists[k].as_py())
+                    found = {v: i for i in range(*np.searchsorted(row, [k - a, k - a + 1]).tolist()) if (v := h[i].tobytes()) in named}
+                    if found:
+                        at = list(found.values())
+                        yield pa.RecordBatch.from_arrays([pa.array(h[at, 0].view(np.int64)), pa.array(list(found), pa.binary()), pa.array([data[starts[i] : ends[i]].tobytes() for i in at], pa.binary())], names=["half", "line", "bytes"])
+
+    texts = checkpointed(texts.mapInArrow(cut, "half bigint, line binary, bytes binary").dropDuplicates(["line"]))
+    side = lambda x: texts.select(F.col("half").alias(x), F.col("line").alias(f"l{x}"), F.col("bytes").alias(f"t{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("la", "lb", "ta", "tb")
 
     def run(batches):
         for batch in batches:
-            keep = within(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+            a, b = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
+            most = allowed(np.array([min(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64))
+            keep = np.zeros(len(a), bool)
+            for edits in range(1, EDITS + 1):
+                own = np.flatnonzero(most == edits)
+                keep[own] = within([a[k] for k in own], [b[k] for k in own], edits)
+            yield pa.RecordBatch.from_arrays([batch.column("la"), batch.column("lb")], names=["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return both.mapInArrow(run, "a binary, b binary")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Occurrences (doc_id, line_no, line) and, for each distinct line, (line, class_id, n_links, first_doc, n_docs).
+    """Places (doc_id, line_no, line) and, for each distinct line, (line, n_links, n_places, first_doc, class_id, own).
 
-    first_doc and n_docs (documents that hold a line of the class, at most) are the class's.
+    first_doc and n_places (documents' distinct lines that belong to it) are the class's; class_id is null for a
+    line without links, which is a class of its own; own marks the line that the class's first document keeps.
     """
-    spark = docs.sparkSession
-    # texts of the lines that can be near others, each once, in buckets by line: the later joins move only pairs
-    name = f"gritsieve_lines_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = lines(docs, id_col, text_col, LEAST_BYTES).groupBy("line").agg(F.first("text").alias("text"))
-    texts.write.bucketBy(buckets, "line").option("compression", "zstd").saveAsTable(name)
-    distinct = spark.table(name)
-    where = checkpointed(lines(docs, id_col, text_col))
-    listed, probes = segments(distinct, False), segments(distinct, True)
-    met = probes.join(listed.select("key", F.col("line").alias("other"), F.col("sketch").alias("_s")), "key").filter((F.col("line") != F.col("other")) & _close("sketch", "_s"))
-    pairs = met.select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b")).distinct()
-    links = checkpointed(_verified(pairs, distinct))
-    spark.sql(f"DROP TABLE {name}")
-    roots = components(links)
-    degree = links.select(F.col("a").alias("line")).unionByName(links.select(F.col("b").alias("line"))).groupBy("line").agg(F.count("*").alias("n_links"))
-    counts = where.groupBy("line").agg(F.min("doc_id").alias("first_doc"), F.count("doc_id").alias("n_docs"))
-    per_line = counts.join(roots.withColumnRenamed("node", "line"), "line", "left").join(degree, "line", "left")
-    per_line = checkpointed(per_line.select("line", F.coalesce("root", "line").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "first_doc", "n_docs"))
-    linked = per_line.filter("n_links > 0").groupBy("class_id").agg(F.min("first_doc").alias("_f"), F.sum("n_docs").alias("_n"))
-    out = per_line.join(linked, "class_id", "left").select("line", "class_id", "n_links", F.coalesce("_f", "first_doc").alias("first_doc"), F.coalesce("_n", "n_docs").alias("n_docs"))
-    return where, checkpointed(out)
+    every = stored(lines(docs, id_col, text_col))
+    places = every.select("doc_id", "line_no", "half", "line")
+    distinct = stored(every.filter("listed is not null").dropDuplicates(["line"]).select("half", "sketch", "listed", "probes"))
+    by = lambda kind, half, sketch: distinct.select(F.explode(kind).alias("key"), F.col("half").alias(half), F.col("sketch").alias(sketch))
+    listed = by("listed", "b", "_t")
+    # a probe meets listed segments of shorter lines and, at other places, of lines as long; equal places are met among the listed
+    met = by("probes", "a", "_s").join(listed, "key").filter((F.col("a") != F.col("b")) & _close("_s", "_t"))
+    met = met.unionByName(by("listed", "a", "_s").join(listed, "key").filter((F.col("a") < F.col("b")) & _close("_s", "_t")))
+    pairs = checkpointed(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = checkpointed(_verified(pairs, docs, places, id_col, text_col))
+    ends = links.select(F.explode(F.array("a", "b")).alias("line"))
+    named = checkpointed(checkpointed(ends.groupBy("line").agg(F.count("*").alias("n_links"))).withColumn("node", F.monotonically_increasing_id()))
+    number = lambda x: named.select(F.col("line").alias(x), F.col("node").alias(f"n{x}"))
+    edges = links.join(number("a"), "a").join(number("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    counts = checkpointed(places.groupBy("line").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    # the linked lines alone have classes to look up
+    linked = named.join(components(edges), "node").join(counts, "line").select("line", "n_links", F.col("root").alias("class_id"), "first", "n")
+    linked = checkpointed(linked)
+    whole = checkpointed(linked.groupBy("class_id").agg(F.min("first").alias("first_doc"), F.sum("n").alias("n_places")))
+    linked = checkpointed(linked.join(whole, "class_id"))
+    at_first = linked.filter(F.col("first") == F.col("first_doc")).select("line", "class_id", "first_doc")
+    own = places.join(at_first, "line").filter(F.col("doc_id") == F.col("first_doc")).groupBy("class_id").agg(F.min(F.struct("line_no", "line"))["line"].alias("line"))
+    linked = linked.join(own.select("line", F.lit(True).alias("own")), "line", "left")
+    per_line = counts.join(linked.drop("first", "n"), "line", "left").select(
+        "line", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_places", "n").alias("n_places"), F.coalesce("first_doc", "first").alias("first_doc"), "class_id", F.coalesce("own", F.col("class_id").isNull()).alias("own")
+    )
+    return places, checkpointed(per_line)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, line, class_id, n_links, first_doc, n_docs, kept): one row for each distinct line of each document.
+    """(doc_id, line_no, line, n_links, n_places, first_doc, class_id, kept): one row for each distinct line of each document.
 
-    `kept` marks the lines of a class's first document, and the first of several there.
+    `kept` marks the one line of a class that its first document keeps, there; lines of rows without an id are kept.
     """
-    where, per_line = classes(docs, id_col, text_col)
-    rows = where.join(per_line, "line")
-    first = rows.filter(F.col("doc_id") == F.col("first_doc")).groupBy("class_id").agg(F.min("line_no").alias("_no"))
-    rows = rows.join(first, "class_id", "left")
-    kept = F.coalesce((F.col("doc_id") == F.col("first_doc")) & (F.col("line_no") == F.col("_no")), F.col("doc_id").isNull())
-    return rows.select("doc_id", "line_no", "line", "class_id", "n_links", "first_doc", "n_docs", kept.alias("kept"))
+    places, per_line = classes(docs, id_col, text_col)
+    kept = F.when(F.col("doc_id").isNull(), True).otherwise(F.col("own") & (F.col("doc_id") == F.col("first_doc")))
+    return places.join(per_line, "line").select("doc_id", "line_no", "line", "n_links", "n_places", "first_doc", "class_id", kept.alias("kept"))
 
 
-def remove_repeats(docs: DataFrame, least_docs: int = LEAST_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the lines that `find` does not keep, and without second occurrences of a line in a document.
 
-    Classes that fewer than `least_docs` distinct documents hold are left alone; with 1 every repeat after the first goes.
-    Rows without an id lose only what they repeat themselves if there is no threshold. A document that loses all its
-    lines goes; other texts keep their remaining lines as they were.
+    A document that loses all its lines goes; other texts keep their remaining lines as they were. Rows without an
+    id lose only what they repeat themselves.
     """
-    where, per_line = classes(docs, id_col, text_col)
-    # a line that one document holds and that is linked to none has no other row to be a repeat of
-    rows = where.join(per_line.filter("n_docs > 1 or n_links > 0").select("line", "class_id", "first_doc"), "line")
-    if least_docs > 1:
-        held = rows.select("class_id", "doc_id").distinct().groupBy("class_id").agg(F.count("doc_id").alias("_n"))
-        rows = rows.join(held.filter(F.col("_n") >= least_docs).select("class_id"), "class_id")
-    # by line, not by place: rows that share an id may hold the line at several places
-    own = rows.filter(F.col("doc_id") == F.col("first_doc")).groupBy("class_id").agg(F.min(F.struct("line_no", "line"))["line"].alias("_own"))
-    rows = rows.join(own, "class_id").filter(F.col("doc_id").isNotNull())
-    drop = rows.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.collect_set(F.when((F.col("doc_id") != F.col("first_doc")) | (F.col("line") != F.col("_own")), F.col("line"))).alias("_drop"),
-        F.collect_set("line").alias("_once"),
-    )
-    joined = docs.join(drop, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
+    places, per_line = classes(docs, id_col, text_col)
+    # a line that stands in one place and is linked to none has no other to be a repeat of
+    rows = places.join(per_line.filter("n_places > 1").select("line", "first_doc", "own"), "line")
+    gone = rows.filter(~(F.col("own") & (F.col("doc_id") == F.col("first_doc")))).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_drop"))
+    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
     names = docs.columns
-    at, drops, onces = joined.columns.index(text_col), joined.columns.index("_drop"), joined.columns.index("_once")
+    at, drops = joined.columns.index(text_col), joined.columns.index("_drop")
 
     def run(batches):
         for batch in batches:
             texts, keep = batch.column(at).to_pylist(), np.ones(batch.num_rows, bool)
-            gone, once = batch.column(drops), batch.column(onces)
-            again = _repeating(batch.column(at)) if least_docs <= 1 else np.zeros(batch.num_rows, bool)
-            touched = again | np.asarray(gone.is_valid().to_numpy(zero_copy_only=False))
+            touched = _repeating(batch.column(at)) | np.asarray(batch.column(drops).is_valid())
             for k in np.flatnonzero(touched).tolist():
-                text = _without(texts[k], set(gone[k].as_py() or ()), None if least_docs <= 1 else set(once[k].as_py() or ()))
+                text = _without(texts[k], set(batch.column(drops)[k].as_py() or ()))
                 if text != texts[k]:
                     texts[k], keep[k] = text, bool(text.strip())
             columns = [pa.array(texts, batch.schema.field(c).type) if c == at else batch.column(c) for c in range(len(names))]
@@ -279,22 +306,22 @@ def _repeating(column: pa.Array) -> np.ndarray:
     out = np.zeros(len(column), bool)
     for a, _, data, offsets in text_slices(column):
         _, _, row, h = line_spans(data, offsets)
-        order = np.lexsort((h, row))
+        order = np.lexsort((h[:, 1], h[:, 0], row))
         row, h = row[order], h[order]
-        out[a + row[1:][(row[1:] == row[:-1]) & (h[1:] == h[:-1])]] = True
+        out[a + row[1:][(row[1:] == row[:-1]) & (h[1:] == h[:-1]).all(axis=1)]] = True
     return out
 
 
-def _without(text: str | None, gone: set[int], once: set[int] | None) -> str | None:
-    """The text without the lines whose hashes are in `gone`, and with those in `once` (all, if None) at their first place only."""
+def _without(text: str | None, gone: set[bytes]) -> str | None:
+    """The text without the lines whose hashes are in `gone`, and without others after their first place."""
     if text is None:
         return None
     data = text.encode()
     view = np.frombuffer(data, np.uint8)
     starts, _, _, h = line_spans(view, np.array([0, len(view)]))
-    bad, seen = [], set()
-    for v in h.view(np.int64).tolist():
-        bad.append(v in gone or (v in seen and (once is None or v in once)))
+    bad, seen = [], set(gone)
+    for v in map(bytes, h.reshape(-1, 2)):
+        bad.append(v in seen)
         seen.add(v)
     bad = starts[np.array(bad, bool)]
     if not len(bad):

@@ -453,24 +453,46 @@ def test_banded_distance_equals_dynamic_programme():
     assert D9.within(a, b).tolist() == [distance(x, y) <= 2 for x, y in zip(a, b, strict=True)]
 
 
+def near_lines(x, y):
+    most = min(2, min(len(x), len(y)) // 20)
+    return abs(len(x) - len(y)) <= most and distance(x, y) <= most
+
+
 def test_line_links_equal_brute_force(spark):
+    """Lines of 3 to 120 bytes: equal below 20 bytes, one edit below 40."""
     rng = random.Random(4)
-    base = [bytes(rng.choices(b"abcdefgh ij", k=rng.randint(42, 120))).strip() for _ in range(60)]
-    base = [b for b in base if len(b) >= 42]
+    base = [bytes(rng.choices(b"abcdefgh ij", k=k)).strip() for k in [rng.randint(42, 120) for _ in range(40)] + list(range(3, 43))]
+    base = [b for b in base if len(b) >= 3]
     lines = sorted({x.strip() for b in base for x in (b, *(edited(rng, b, rng.randint(1, 3)) for _ in range(3)))})
     rows = [(i, "\n".join(x.decode() for x in rng.sample(lines, 6))) for i in range(80)]
     used = sorted({x.strip().encode() for _, t in rows for x in t.split("\n") if x.strip()})
     links = collections.Counter()
     for i, x in enumerate(used):
         for y in used[:i]:
-            if min(len(x), len(y)) >= 40 and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2:
+            if near_lines(x, y):
                 links[x] += 1
                 links[y] += 1
     out = D9.find(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     n = {r["line"]: r["n_links"] for r in out}
     assert len(n) == len(used) and sorted(n.values()) == sorted(links[x] for x in used) and sum(n.values()) > 50
-    first = collections.Counter(r["class_id"] for r in out if r["kept"])
-    assert set(first.values()) == {1} and len(first) == len({r["class_id"] for r in out})
+    text = {(i, k): x.strip().encode() for i, t in rows for k, x in enumerate(t.split("\n"))}
+    root = {x: x for x in used}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(used):
+        for y in used[:i]:
+            if near_lines(x, y):
+                root[find(x)] = find(y)
+    seen = set()
+    for r in sorted(out, key=lambda r: (r["doc_id"], r["line_no"])):
+        c = find(text[r["doc_id"], r["line_no"]])
+        assert r["kept"] == (c not in seen) and (r["class_id"] is None) == (not r["n_links"])
+        seen.add(c)
+    assert len({bytes(r["line"]) if r["class_id"] is None else r["class_id"] for r in out}) == len(seen)
 
 
 def test_common_lines_stay_once(spark, clashing, rows, empty):
@@ -480,7 +502,8 @@ def test_common_lines_stay_once(spark, clashing, rows, empty):
     out = got(D9.remove_repeats(docs))
     assert set(out) == set(range(12)) and [i for i in out if common in out[i]["text"]] == [0]
     assert out[3]["text"] == docs.filter("doc_id = 3").first()["text"].split("\n")[1]
-    assert D9.remove_repeats(clashing).columns == clashing.columns and D9.remove_repeats(clashing).count() == len(rows) + 3
+    left = D9.remove_repeats(clashing)
+    assert left.columns == clashing.columns and left.count() == len(rows) + 2 and left.filter("doc_id = 5").count() == 0  # a copy of 4
     assert D9.find(empty).count() == 0 and D9.find(clashing).count() > 0
 
 
@@ -534,6 +557,17 @@ def test_dedup_keeps_one_of_each_group(docs, rows, clashing, empty):
     assert D10.link(clashing).count() == len(rows) + 3 and D10.link(empty).count() == 0
 
 
+def test_thue_morse_strings_are_told_apart(spark):
+    """Equal under every polynomial hash modulo a power of two."""
+    bits = [bin(i).count("1") & 1 for i in range(1 << 11)]
+    a, b = ("".join("ab"[x ^ y] for x in bits) for y in (0, 1))
+    docs = spark.createDataFrame([(0, a, "en", "s", 0), (1, b, "en", "s", 0), (2, b, "en", "s", 0)], SCHEMA)
+    assert [r["component_id"] for r in D10.link(docs).orderBy("doc_id").collect()] == [0, 1, 1]
+    assert [r["kept"] for r in D9.find(docs).orderBy("doc_id").collect()] == [True, True, False]
+    out = {k: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for k, r in got(D6.remove(docs)).items()}
+    assert out == brute_spans([(0, a), (1, b), (2, b)])
+
+
 def test_hashed_words_match_split():
     column = pa.array(["A b\x0bC", None, "", " x ", "é É"], pa.large_string())
     from gritsieve.llm.text import string_buffers

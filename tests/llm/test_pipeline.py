@@ -8,7 +8,7 @@ import pytest
 import corpus_pipeline as P
 from gritsieve.llm import decontaminate, quality_rules
 
-from .test_operators import SF, brute_components, distance, edited, words
+from .test_operators import SF, brute_components, edited, near_lines, words
 
 
 @pytest.fixture(scope="module")
@@ -57,7 +57,7 @@ def brute_without_repeats(rows):
 
     for i, x in enumerate(used):
         for y in used[:i]:
-            if min(len(x), len(y)) >= 40 and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2:
+            if near_lines(x, y):
                 root[find(x)] = find(y)
     seen, out = set(), {}
     for i, t in sorted(rows):
@@ -77,7 +77,7 @@ def brute_without_repeats(rows):
 def test_line_stage_equals_brute_force(spark):
     rng = random.Random(15)
     base = [words(rng, rng.randrange(8, 13)) for _ in range(16)]
-    pool = base + [edited(rng, x.encode(), rng.choice((1, 1, 6))).decode() for x in base for _ in range(2)] + ["short line", "short  line", "q 1"]
+    pool = base + [edited(rng, x.encode(), rng.choice((1, 1, 6))).decode() for x in base for _ in range(2)] + ["short line", "short  line", "q 1", "a line of thirty bytes or so", "a line of thirty bytez or so"]
     rows = [(i, "\n".join(rng.choices(pool, k=rng.randrange(1, 6)) + rng.choice([[], [""], [words(rng, 9)]]))) for i in range(40)]
     rows += [(50, pool[0]), (51, "only here\n  only here \nonly here"), (52, words(rng, 12))]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
