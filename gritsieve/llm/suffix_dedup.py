@@ -19,7 +19,12 @@ counting.  Neighbours in the order whose first LENGTH bytes are equal form the
 classes of equal windows; a class's least document keeps it, and every other
 occurrence is removed.
 
-Nulls and empty texts have no bytes and keep none; rows without an id neither
+The strings of one anchor meet in one part, so a 20-byte string in very many
+different surroundings makes a large one: 80 bytes for each different surrounding
+of 30 bytes on either side, however many copies there are.
+
+Nulls and empty texts have no bytes and keep none; long texts are handled whole;
+columns but the id and the text are not read; of tied holders none goes; rows without an id neither
 give nor lose anything; rows that share an id take nothing from each
 other, each loses what smaller ids hold; empty tables give empty results.
 """
@@ -34,12 +39,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .storage import checkpointed
-from .text import span_hashes, string_buffers, text_slices
+from .text import eights, mix, span_hashes, step, string_buffers, text_slices
 
 LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of strings whose suffixes are sorted at once (more only where one anchor has more distinct strings).
 CHUNK_BYTES = 1 << 20
+#: Runs of windows for each part of the strings, about (some 100 bytes each, fewer where strings repeat).
+PART_RUNS = 300_000
 
 
 # -- the difference-cover algorithm ------------------------------------------
@@ -157,16 +164,29 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _anchor_rows(texts: DataFrame) -> DataFrame:
-    """(h, doc) of every run of windows."""
+    """(part, doc, h) of every document's anchors, h null where it is the part.
+
+    Of an anchor that a slice holds in more than two documents all but two are known to occur twice:
+    these are dealt by anchor and document, so that no anchor, however common, gathers in one task.
+    """
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for a, _, data, offsets in text_slices(batch.column(1)):
                 row, _, _, h = anchors(data, offsets)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[row + a])], names=["h", "doc"])
+                doc = ids[row + a]
+                order = np.lexsort((doc, h))
+                h, doc = h[order], doc[order]
+                fresh = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])][: len(h)]
+                h, doc = h[fresh], doc[fresh]
+                first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+                nth = np.arange(len(h)) - np.repeat(first, np.diff(np.r_[first, len(h)]))
+                known = nth > 1
+                part = np.where(known, mix(h ^ mix(doc.astype(np.uint64))), h)
+                yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(doc), pa.array(h.view(np.int64), mask=~known)], names=["part", "doc", "h"])
 
-    return texts.mapInArrow(run, "h bigint, doc bigint")
+    return texts.mapInArrow(run, "part bigint, doc bigint, h bigint")
 
 
 def _in_two(rows: DataFrame) -> DataFrame:
@@ -175,7 +195,11 @@ def _in_two(rows: DataFrame) -> DataFrame:
     def run(batches):
         held_h, held_doc, known = None, None, False
         for batch in batches:
-            h, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            given = np.asarray(batch.column(2).is_valid())
+            if given.any():
+                sure = batch.filter(pa.array(given))
+                yield pa.RecordBatch.from_arrays([sure.column(1), sure.column(2)], names=["doc", "h"])
+            h, doc = batch.column(0).to_numpy()[~given], batch.column(1).to_numpy()[~given]
             if not len(h):
                 continue
             fresh = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
@@ -195,34 +219,50 @@ def _in_two(rows: DataFrame) -> DataFrame:
             held_h, held_doc, known = end, int(doc[-1]), not hold
             yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(h[out])], names=["doc", "h"])
 
-    return rows.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(run, "doc bigint, h bigint")
+    return rows.repartition("part").sortWithinPartitions("part", "doc").mapInArrow(run, "doc bigint, h bigint")
+
+
+def _sids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Identities of strings: 128-bit hashes, two words each."""
+    return np.stack([span_hashes(data, starts, ends, seed) for seed in (0, 1)], 1).view(np.int64)
+
+
+def _distinct(sid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of each distinct identity, the number of its identity for each row)."""
+    order = np.lexsort((sid[:, 1], sid[:, 0]))
+    new = np.r_[True, (sid[order][1:] != sid[order][:-1]).any(axis=1)][: len(sid)]
+    same = np.empty(len(sid), np.int64)
+    same[order] = np.cumsum(new) - 1
+    return order[new], same
 
 
 def _marked_runs(batch: pa.RecordBatch):
-    """(row, data, offsets, first, last, string hash, anchor hash) of the runs, in each slice of a batch (doc, text, hs, th), whose anchor is in hs."""
+    """(row, data, offsets, first, last, string identity, anchor hash) of the runs, in each slice of a batch (doc, text, hs, th), whose anchor is in hs."""
     hashes = batch.column(2)
     salt = np.uint64(0x9E3779B97F4A7C15)
     for a, b, data, offsets in text_slices(batch.column(1)):
-        row, first, last, h = anchors(data, offsets)
         part = hashes.slice(a, b - a)
+        if part.null_count == len(part):
+            continue
+        row, first, last, h = anchors(data, offsets)
         wanted = part.flatten().to_numpy().view(np.uint64)
         owner = np.repeat(np.arange(b - a, dtype=np.uint64), pc.fill_null(pc.list_value_length(part), 0).to_numpy())
         keep = np.isin(h ^ (row.astype(np.uint64) * salt), wanted ^ (owner * salt))
         row, first, last, h = row[keep], first[keep], last[keep], h[keep]
         if len(row):
-            yield row + a, data, offsets[row], first, last, span_hashes(data, first, last + LENGTH).view(np.int64), h
+            yield row + a, data, offsets[row], first, last, _sids(data, first, last + LENGTH), h
 
 
 def _occurrences(marked: DataFrame) -> DataFrame:
-    """(sid, doc, th, start) of every string of windows with an anchor that occurs in two documents."""
+    """(sid, sid2, doc, th, start) of every string of windows with an anchor that occurs in two documents."""
 
     def run(batches):
         for batch in batches:
-            ids, th = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            ids, th = batch.column(0).fill_null(0).to_numpy(), batch.column(3).to_numpy()
             for row, _, base, first, _, sid, _ in _marked_runs(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(ids[row]), pa.array(th[row]), pa.array(first - base)], names=["sid", "doc", "th", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(sid[:, 0]), pa.array(sid[:, 1]), pa.array(ids[row]), pa.array(th[row]), pa.array(first - base)], names=["sid", "sid2", "doc", "th", "start"])
 
-    return marked.mapInArrow(run, "sid bigint, doc bigint, th int, start bigint")
+    return marked.mapInArrow(run, "sid bigint, sid2 bigint, doc bigint, th int, start bigint")
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -249,11 +289,11 @@ def _dictionary(marked: DataFrame, parts: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids = batch.column(0).fill_null(0).to_numpy()
             sids, docs, sizes, texts, hs = [], [], [], [], []
             for row, data, _, first, last, sid, h in _marked_runs(batch):
                 # one of the equal strings of a slice, with all documents
-                _, one, same = np.unique(sid, return_index=True, return_inverse=True)
+                one, same = _distinct(sid)
                 size = last[one] - first[one] + LENGTH
                 least, most = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
                 np.minimum.at(least, same, ids[row])
@@ -268,7 +308,7 @@ def _dictionary(marked: DataFrame, parts: int) -> DataFrame:
             sid, size, data = np.concatenate(sids), np.concatenate(sizes), np.concatenate(texts)
             least, most = (np.concatenate(x) for x in zip(*docs, strict=True))
             begin = np.cumsum(size) - size
-            _, one, same = np.unique(sid, return_index=True, return_inverse=True)
+            one, same = _distinct(sid)
             low, high = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
             np.minimum.at(low, same, least)
             np.maximum.at(high, same, most)
@@ -279,8 +319,13 @@ def _dictionary(marked: DataFrame, parts: int) -> DataFrame:
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
-    at = np.arange(len(data) - GRAM + 1)
-    return span_hashes(data, at, at + GRAM)
+    """The hash of the GRAM bytes from each place on."""
+    n = len(data) - GRAM + 1
+    words = eights(data)
+    h = np.full(n, np.uint64(GRAM))
+    for at in [*range(0, GRAM - 7, 8), *([GRAM - 8] if GRAM % 8 else [])]:
+        h = step(h, words[at : at + n])
+    return mix(h)
 
 
 def _string_hashes(data: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -292,7 +337,7 @@ def _string_hashes(data: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np
         stop = max(at + 1, int(np.searchsorted(ends, start + CHUNK_BYTES, side="right")))
         part = data[start : ends[stop - 1]]
         begin = ends[at:stop] - length[at:stop] - start
-        sids.append(span_hashes(part, begin, begin + length[at:stop]).view(np.int64))
+        sids.append(_sids(part, begin, begin + length[at:stop]))
         grams = _grams(part)
         least = np.argmin(grams[begin[:, None] + np.arange(WINDOW)] >> np.uint64(32), axis=1)
         anchors_.append(grams[begin + least])
@@ -301,7 +346,7 @@ def _string_hashes(data: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _least_documents(dictionary: DataFrame) -> DataFrame:
-    """(sid, n, least array): for each distinct string the least document that holds each of its n windows.
+    """(sid, sid2, n, least array): for each distinct string the least document that holds each of its n windows.
 
     One value stands for all windows where they agree.  Strings of a single document that shares no window are left out.
     """
@@ -309,7 +354,7 @@ def _least_documents(dictionary: DataFrame) -> DataFrame:
     def solve(length, least, most, data):
         begin = np.cumsum(length) - length
         sid, anchor = _string_hashes(data, length)
-        _, one, same = np.unique(sid, return_index=True, return_inverse=True)
+        one, same = _distinct(sid)
         low, high = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
         np.minimum.at(low, same, least)
         np.maximum.at(high, same, most)
@@ -339,7 +384,7 @@ def _least_documents(dictionary: DataFrame) -> DataFrame:
         flat = useful & (bottom == top)
         size = np.where(flat, 1, windows)[useful]
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(values[_ranges(first[useful], size)]))
-        return pa.RecordBatch.from_arrays([pa.array(sid[useful]), pa.array(windows[useful].astype(np.int32)), lists], names=["sid", "n", "least"])
+        return pa.RecordBatch.from_arrays([pa.array(sid[useful, 0]), pa.array(sid[useful, 1]), pa.array(windows[useful].astype(np.int32)), lists], names=["sid", "sid2", "n", "least"])
 
     def unpack(rows):
         lengths, leasts, mosts, datas = [], [], [], []
@@ -363,7 +408,7 @@ def _least_documents(dictionary: DataFrame) -> DataFrame:
         if held:
             yield unpack(held)
 
-    return dictionary.repartition("part").sortWithinPartitions("part").mapInArrow(run, "sid bigint, n int, least array<bigint>")
+    return dictionary.repartition("part").sortWithinPartitions("part").mapInArrow(run, "sid bigint, sid2 bigint, n int, least array<bigint>")
 
 
 def _runs(found: DataFrame) -> DataFrame:
@@ -390,17 +435,22 @@ def _runs(found: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "doc bigint, th int, a bigint, b bigint")
 
 
+def _by_document(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, text) dealt by document. Every join of texts below starts from this very plan, left joins all, so that Spark moves the texts once."""
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).repartition("doc")
+
+
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, th, spans array<struct<a,b>>): byte ranges of each text, told by id and hash, that smaller ids hold; they may overlap."""
+    """(doc, spans array<struct<th,a,b>>): byte ranges of each text, of those with the id the one with the hash th, that smaller ids hold; they may overlap."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), text_col).filter((F.octet_length(text_col) >= LENGTH) & F.col("doc").isNotNull())
-    several = _in_two(_anchor_rows(texts)).groupBy("doc").agg(F.collect_list("h").alias("hs"))
-    several = checkpointed(several)
-    marked = texts.join(several, "doc").select("doc", text_col, "hs", F.hash(text_col).alias("th"))
-    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    several = checkpointed(_in_two(_anchor_rows(texts)).groupBy("doc").agg(F.collect_list("h").alias("hs")))
+    runs = several.agg(F.sum(F.size("hs"))).first()[0] or 0
+    parts = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs // PART_RUNS))
+    marked = _by_document(docs, id_col, text_col).join(several.hint("shuffle_hash"), "doc", "left").select("doc", "text", "hs", F.hash("text").alias("th"))
     least = _least_documents(_dictionary(marked, parts))
-    found = _occurrences(marked).join(least, "sid").filter(F.array_min("least") < F.col("doc"))
+    found = _occurrences(marked).join(least, ["sid", "sid2"]).filter(F.array_min("least") < F.col("doc"))
     ranges = _runs(found.select("doc", "th", "start", "n", "least"))
-    return ranges.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return ranges.groupBy("doc").agg(F.collect_list(F.struct("th", "a", "b")).alias("spans"))
 
 
 def _cut(data: np.ndarray, ranges: list | None) -> tuple[bytes, int, int]:
@@ -419,11 +469,13 @@ def _cut(data: np.ndarray, ranges: list | None) -> tuple[bytes, int, int]:
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary without digest]) of each row."""
     found = spans(docs, id_col, text_col)
-    own = F.hash(text_col) == F.col("th")
-    joined = docs.select(F.col(id_col).cast("long").alias("doc"), text_col).join(found.withColumnRenamed("doc", "_doc"), (F.col("doc") == F.col("_doc")) & own, "left").select("doc", text_col, "spans")
+    joined = _by_document(docs, id_col, text_col).join(found.hint("shuffle_hash"), "doc", "left")
+    joined = joined.select("doc", "text", F.filter("spans", lambda x: x["th"] == F.hash("text")).alias("spans"))
 
     def run(batches):
         for batch in batches:
+            if not batch.num_rows:
+                continue
             data, offsets = string_buffers(batch.column(1))
             rows = []
             for k, ranges in enumerate(batch.column(2)):
