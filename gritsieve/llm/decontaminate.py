@@ -1,14 +1,13 @@
 """Benchmark decontamination (operator 2).
 
-Benchmark items are fingerprinted by SimHash over their weighted word shingles.
-A document is looked at through windows of the items' own sizes, laid wherever
-one of its shingles can be aligned with the same shingle of an item (a window
-without a common shingle has similarity 0, so none is missed).  Window
-fingerprints are looked up in a multi-index: 64 bits in 8 blocks of 8 bits; two
-fingerprints within a radius of 23 agree in some block up to 2 bits, so listing
-each item under all values within 2 bits of its blocks finds every pair within
-the radius.  The pairs found are then checked exactly by weighted Jaccard
-similarity of their shingle multisets.
+Benchmark items are fingerprinted by SimHash over their weighted word shingles,
+and so is every window of a document that has an item's number of words and, by
+running sums, a share of items' shingles without which it can be similar to no
+item at all.  Windows are looked up among the items of their size in a
+multi-index: 64 bits in 8 blocks of 8 bits; two fingerprints within a radius of
+23 agree in some block up to 2 bits, so listing each item under all values within
+2 bits of its blocks finds every pair within the radius.  The pairs found are then
+checked exactly by weighted Jaccard similarity of their shingle multisets.
 
 At the threshold of 0.8 the fingerprints of a pair differ by 10 bits on average
 (deviation 3): the radius is over 4 deviations beyond.
@@ -20,9 +19,10 @@ of bytes other than white space, with A-Z lower-cased; items of fewer than five
 words are one shingle each.
 
 Nulls and empty texts of documents match nothing; null or empty items are left
-out; repeated rows and items are reported as often as they occur; empty tables
-give empty results.  Only the named columns are read, and `remove` passes all
-others through.
+out; repeated rows and items are reported as often as they occur; of windows with
+tied similarities the first counts; long texts are scanned whole, some thousand
+windows at a time; empty tables give empty results.  Only the named columns are
+read, whatever others are called, and `remove` passes all others through.
 """
 
 from __future__ import annotations
@@ -39,19 +39,23 @@ from .text import hashed_words, mix, shingles, text_slices
 WORDS, THRESHOLD = 5, 0.8
 BLOCKS, BLOCK_BITS, BLOCK_ERRORS = 8, 8, 2
 RADIUS = BLOCKS * (BLOCK_ERRORS + 1) - 1
-#: Items whose index one broadcast holds (a few hundred bytes a word); more items are handled in several passes.
-PART_BYTES = 32 << 20
+#: Bytes of items, about, whose index one broadcast holds (its size is ten times that at most); more items are handled in several passes.
+PART_BYTES = 8 << 20
+#: Windows that are fingerprinted at once.
+WINDOWS = 4096
 
 
-def _bits(h: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each of 64 bits of each hash."""
-    return np.where((h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1), 1.0, -1.0)
+def bit_sums(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Sums before each place (one row more than shingles) of +weight or -weight for each of 64 bits."""
+    sums = np.zeros((len(h) + 1, 64), np.int64)
+    signs = ((mix(h)[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.int64) * 2 - 1
+    np.cumsum(signs * weight[:, None], axis=0, out=sums[1:])
+    return sums
 
 
-def simhash(h: np.ndarray, weight: np.ndarray) -> int:
-    """64-bit fingerprint of a weighted multiset of shingles."""
-    total = _bits(mix(h)).T @ weight
-    return int(((total > 0).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64))
+def fingerprints(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """SimHash of the windows of `size` shingles from each start on."""
+    return ((sums[starts + size] > sums[starts]).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray, weight_of) -> float:
@@ -63,6 +67,38 @@ def similarity(a: np.ndarray, b: np.ndarray, weight_of) -> float:
     return float((w * np.minimum(x, y)).sum()) / most if most else 0.0
 
 
+@dataclass
+class Blocks:
+    """The items of one size, their fingerprints, and for each block the items listed under each value within BLOCK_ERRORS of theirs."""
+
+    items: np.ndarray
+    prints: np.ndarray
+    tables: list[tuple[np.ndarray, np.ndarray]]  # bounds of 256 lists, places in `items`
+
+    @classmethod
+    def build(cls, items: np.ndarray, prints: np.ndarray) -> Blocks:
+        near = np.array([[v ^ m for m in range(256) if m.bit_count() <= BLOCK_ERRORS] for v in range(256)])
+        tables = []
+        for b in range(BLOCKS):
+            listed = near[((prints >> np.uint64(BLOCK_BITS * b)) & np.uint64(255)).astype(int)].ravel()
+            owner = np.repeat(np.arange(len(items)), near.shape[1])
+            by = np.argsort(listed, kind="stable")
+            tables.append((np.searchsorted(listed[by], np.arange(257)), owner[by].astype(np.int32)))
+        return cls(items, prints, tables)
+
+    def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in `prints`, item) of all pairs within the radius: those within it agree in some block up to BLOCK_ERRORS bits."""
+        pairs = []
+        for b, (bounds, owner) in enumerate(self.tables):
+            value = ((prints >> np.uint64(BLOCK_BITS * b)) & np.uint64(255)).astype(int)
+            n = bounds[value + 1] - bounds[value]
+            at = np.repeat(bounds[value] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            pairs.append(np.repeat(np.arange(len(prints)), n) * len(self.items) + owner[at])
+        window, item = np.divmod(np.unique(np.concatenate(pairs)), len(self.items))
+        near = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
+        return window[near], self.items[item[near]]
+
+
 @dataclass
 class Index:
     """Items of one part with the same shingle size k."""
@@ -74,34 +110,21 @@ class Index:
     keys: np.ndarray  # sorted distinct shingles
     common: np.ndarray  # sorted shingles that several items of the whole benchmark hold
     weights: np.ndarray  # of the common ones
-    places: np.ndarray  # for each (key, item, offset): sorted by key
-    bounds: np.ndarray  # where each key's places begin
     filter: np.ndarray  # bitmap over the top bits of the keys
-    prints: np.ndarray
-    tables: list[tuple[np.ndarray, np.ndarray]]  # per block: bounds of 256 lists, items
+    sizes: dict[int, Blocks]  # by the number of words
 
     @classmethod
     def build(cls, k: int, ids: list, words: list[int], hashes: list[np.ndarray], common: tuple[np.ndarray, np.ndarray] | None = None) -> Index:
-        item = np.repeat(np.arange(len(ids)), [len(h) for h in hashes])
-        offset = np.concatenate([np.arange(len(h)) for h in hashes])
-        flat = np.concatenate(hashes)
-        order = np.argsort(flat, kind="stable")
-        keys, first = np.unique(flat[order], return_index=True)
+        keys, df = np.unique(np.concatenate([np.unique(h) for h in hashes]), return_counts=True)
         if common is None:  # these items are all there are
-            of_items = np.unique(np.stack([np.searchsorted(keys, flat), item]), axis=1)
-            df = np.bincount(of_items[0], minlength=len(keys))
             common = keys[df > 1], df[df > 1]
         bitmap = np.zeros(1 << 20, bool)
         bitmap[(keys >> np.uint64(44)).astype(np.int64)] = True
-        self = cls(k, ids, np.array(words), hashes, keys, common[0], 1.0 / (1.0 + np.log(common[1])), np.stack([item[order], offset[order]], 1), np.r_[first, len(flat)], bitmap, np.empty(0, np.uint64), [])
-        self.prints = np.array([simhash(h, self.weight_of(h)) for h in hashes], np.uint64)
-        near = [np.array([v ^ m for m in range(256) if bin(m).count("1") <= BLOCK_ERRORS]) for v in range(256)]
-        for b in range(BLOCKS):
-            value = ((self.prints >> np.uint64(BLOCK_BITS * b)) & np.uint64(255)).astype(int)
-            listed = np.concatenate([near[v] for v in value])
-            owner = np.repeat(np.arange(len(ids)), len(near[0]))
-            by = np.argsort(listed, kind="stable")
-            self.tables.append((np.searchsorted(listed[by], np.arange(257)), owner[by]))
+        self = cls(k, ids, np.array(words), hashes, keys, common[0], 1.0 / (1.0 + np.log(common[1])), bitmap, {})
+        prints = np.array([fingerprints(bit_sums(h, self.steps_of(h)), np.zeros(1, int), len(h))[0] for h in hashes], np.uint64)
+        for size in np.unique(self.words).tolist():
+            own = np.flatnonzero(self.words == size)
+            self.sizes[size] = Blocks.build(own, prints[own])
         return self
 
     def weight_of(self, h: np.ndarray) -> np.ndarray:
@@ -110,31 +133,42 @@ class Index:
         at = np.minimum(np.searchsorted(self.common, h), len(self.common) - 1)
         return np.where(self.common[at] == h, self.weights[at], 1.0)
 
-    def within(self, fingerprint: int) -> list[int]:
-        """All items whose fingerprints are within the radius."""
-        found = np.unique(np.concatenate([owner[bounds[v] : bounds[v + 1]] for b, (bounds, owner) in enumerate(self.tables) for v in [(fingerprint >> (BLOCK_BITS * b)) & 255]]))
-        distance = np.bitwise_count(self.prints[found] ^ np.uint64(fingerprint))
-        return found[distance <= RADIUS].tolist()
-
-    def scan(self, h: np.ndarray, n_words: int) -> dict[int, tuple[float, int]]:
-        """Best (similarity, first word) of each item found in a document with these shingles."""
-        hit = np.flatnonzero(self.filter[(h >> np.uint64(44)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.keys, h[hit]), len(self.keys) - 1)
-        same = self.keys[at] == h[hit]
-        hit, at = hit[same], at[same]
-        windows = set()
-        for p, k in zip(hit.tolist(), at.tolist(), strict=True):
-            for item, offset in self.places[self.bounds[k] : self.bounds[k + 1]].tolist():
-                size = int(self.words[item])
-                windows.add((min(max(p - offset, 0), max(n_words - size, 0)), size))
+    def steps_of(self, h: np.ndarray) -> np.ndarray:
+        """Weights as whole numbers, so that sums over windows are exact."""
+        return np.rint(256 * self.weight_of(h)).astype(np.int64)
+
+    def held(self, h: np.ndarray) -> np.ndarray:
+        """Which shingles are some item's."""
+        out = self.filter[(h >> np.uint64(44)).astype(np.int64)]
+        hit = np.flatnonzero(out)
+        out[hit] = self.keys[np.minimum(np.searchsorted(self.keys, h[hit]), len(self.keys) - 1)] == h[hit]
+        return out
+
+    def scan(self, h: np.ndarray) -> dict[int, tuple[float, int]]:
+        """Best (similarity, first word) of each item found in a document with these shingles.
+
+        A window can be similar only if items' shingles have that share of its weight: all others are passed over
+        by two running sums. What is left is fingerprinted and looked up, whatever items its shingles are from.
+        """
         best: dict[int, tuple[float, int]] = {}
-        for start, size in sorted(windows):
-            own = h[start : start + size - self.k + 1]
-            if not len(own):
+        held = self.held(h)
+        if not held.any():
+            return best
+        weight = self.weight_of(h)
+        given, every = (np.r_[0.0, np.cumsum(w)] for w in (weight * held, weight))
+        least = self.weights.min(initial=1.0)
+        for words, blocks in self.sizes.items():
+            size = min(words - self.k + 1, len(h))  # a shorter document is one window
+            if given[-1] < THRESHOLD * least * size:
                 continue
-            for item in self.within(simhash(own, self.weight_of(own))):
-                if self.words[item] == size and (s := similarity(own, self.hashes[item], self.weight_of)) >= THRESHOLD and s > best.get(item, (0.0, 0))[0]:
-                    best[item] = (s, start)
+            starts = np.flatnonzero(given[size:] - given[:-size] >= (THRESHOLD - 1e-9) * (every[size:] - every[:-size]))
+            for run in np.split(starts, np.flatnonzero(np.diff(starts) > size) + 1):
+                for part in np.array_split(run, -(-len(run) // WINDOWS)) if len(run) else ():
+                    own = h[part[0] : part[-1] + size]
+                    window, item = blocks.within(fingerprints(bit_sums(own, self.steps_of(own)), part - part[0], size))
+                    for at, i in zip(part[window].tolist(), item.tolist(), strict=True):
+                        if (s := similarity(h[at : at + size], self.hashes[i], self.weight_of)) >= THRESHOLD and s > best.get(i, (0.0, 0))[0]:
+                            best[i] = (s, at)
         return best
 
 
@@ -186,7 +220,7 @@ def scan_column(column: pa.Array, indexes: list[Index]):
             for row in np.unique(np.searchsorted(ends, np.flatnonzero(near), side="right")).tolist():
                 if counts[row] < index.k:
                     continue
-                for item, (s, start) in index.scan(h[ends[row] - number[row] : ends[row]], int(counts[row])).items():
+                for item, (s, start) in index.scan(h[ends[row] - number[row] : ends[row]]).items():
                     yield a + row, index.item_ids[item], s, start, int(index.words[item])
 
 

@@ -143,14 +143,65 @@ def test_parts_of_a_benchmark_weigh_shingles_alike(spark, monkeypatch):
 
 def test_multi_index_finds_all_within_the_radius():
     rng = np.random.default_rng(3)
-    hashes = [rng.integers(0, 2**63, 40).astype(np.uint64) for _ in range(60)]
-    index = D2.Index.build(5, list(range(60)), [44] * 60, hashes)
+    prints = rng.integers(0, 2**63, 60).astype(np.uint64)
+    index = D2.Blocks.build(np.arange(100, 160), prints)
+    asked = []
     for _ in range(50):
-        p = int(index.prints[rng.integers(60)])
+        p = int(prints[rng.integers(60)])
         for bit in rng.choice(64, rng.integers(0, 30), replace=False):
             p ^= 1 << int(bit)
-        want = [k for k in range(60) if bin(int(index.prints[k]) ^ p).count("1") <= D2.RADIUS]
-        assert index.within(p) == want
+        asked.append(p)
+    window, item = index.within(np.array(asked, np.uint64))
+    want = {(k, 100 + i) for k, p in enumerate(asked) for i in range(60) if (int(prints[i]) ^ p).bit_count() <= D2.RADIUS}
+    assert set(zip(window.tolist(), item.tolist(), strict=True)) == want
+
+
+def brute_leaks(texts, items):
+    """Every window of every item's size against every item, by the definition."""
+    tokens = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+    grams = lambda w, k: [tuple(w[a : a + k]) for a in range(len(w) - k + 1)]
+    kept = {i: tokens(t) for i, t in items if tokens(t)}
+    df = collections.Counter(g for w in kept.values() for g in set(grams(w, min(5, len(w)))))
+    weight = lambda g: 1 / (1 + np.log(df[g])) if df[g] else 1.0
+    out = {}
+    for d, t in texts:
+        w = tokens(t)
+        for i, x in kept.items():
+            k = min(5, len(x))
+            h, want = grams(w, k), collections.Counter(grams(x, k))
+            size = min(len(x) - k + 1, len(h))
+            if want.keys().isdisjoint(h):
+                continue
+            for a in range(len(h) - size + 1 if h else 0):
+                own = collections.Counter(h[a : a + size])
+                if not own & want:
+                    continue
+                s = sum(weight(g) * v for g, v in (own & want).items()) / sum(weight(g) * v for g, v in (own | want).items())
+                if s >= 0.8 and s > out.get((d, i), 0):
+                    out[d, i] = s
+    return out
+
+
+def test_leaks_equal_brute_force(spark, clashing, rows):
+    """The registered query's operator on the small tables, and on texts that lose or gain words; clashing columns and long texts too."""
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    texts, items = ([tuple(r) for r in df.select(*c).collect()] for df, c in ((docs, ("doc_id", "text")), (bench, ("item_id", "text"))))
+    found = {(r["doc_id"], r["item_id"]): r["similarity"] for r in D2.find_leaks(docs, bench).collect()}
+    assert found == pytest.approx(brute_leaks(texts, items)) and found
+    rng = random.Random(31)
+    items = [(k, words(rng, n)) for k, n in enumerate((4, 9, 20, 21, 40, 41, 80, 81))] + [(20, "common words here " * 9)]
+    texts = []
+    for i in range(60):
+        w = rng.choice(items)[1].split(" ")
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randrange(2)] = [f"n{i}"] * rng.randrange(2)
+        texts.append((i, words(rng, rng.randrange(30)) + " " + " ".join(w) + " " + words(rng, rng.choice((0, 9)))))
+    texts.append((60, words(rng, 30_000) + " " + items[6][1]))
+    found = {(r["doc_id"], r["item_id"]): r["similarity"] for r in D2.find_leaks(spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert found == pytest.approx(brute_leaks(texts, items)) and len(found) > 20
+    bench = spark.createDataFrame([(1, rows[8][1].split("\n")[0])], "item_id bigint, text string")
+    assert D2.remove(clashing, bench).columns == clashing.columns and D2.remove(clashing, bench).count() == len(rows) + 1
 
 
 # -- 3, 4 ---------------------------------------------------------------------------
