@@ -1,16 +1,17 @@
 """Licence scans (operator 7).
 
-Texts and templates are normalised to lower-case words of letters and digits.
-A passage is compared with a template by the Dice coefficient of their word
-bigram multisets.  A coefficient of t bounds the passage's size between
-t/(2-t) and (2-t)/t times the template's: texts below the lower bound are never
-compared with it, and neither are passages with too few template bigrams.
-Passages of the template's size are laid wherever one of the text's bigrams can
-be aligned with the same bigram of the template; a passage without a common
-bigram has coefficient 0.
-
-Nulls and empty texts match nothing; repeated rows are reported each; an empty
-table gives an empty result.  Only the named columns are read.
+Texts and templates, whole licence texts and notices, are normalised to
+lower-case words of letters and digits.  A passage is compared with a template by
+the Dice coefficient of their word bigram multisets.  A coefficient of t asks of
+a passage t/(2-t) times the template's number of bigrams at least: texts with
+fewer of its bigrams, and windows of its size with fewer, are never compared
+with it.  Passages run from the first to the last of a template's bigrams in a
+window of the template's size.
+
+Nulls and empty texts match nothing; long texts are scanned whole; repeated rows
+are reported each; of licences with tied passages the longest template's counts,
+then the first name; an empty table gives an empty result.  Only the named
+columns are read, whatever others are called.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .license_texts import TEXTS
 from .text import PUNCTUATION, hashed_words, shingles, text_slices
 
 THRESHOLD = 0.8
@@ -60,16 +62,20 @@ NOTICES = {
 }
 
 
+def templates() -> dict[str, list[str]]:
+    """All notices and texts of each licence."""
+    return {name: [*NOTICES.get(name, []), *([TEXTS[name]] if name in TEXTS else [])] for name in (*NOTICES, *sorted(set(TEXTS) - set(NOTICES)))}
+
+
 @dataclass
 class Templates:
-    """Bigrams of all templates, and where each one stands."""
+    """Bigrams of all templates."""
 
     names: list[tuple[str, int]]
     grams: list[np.ndarray]
-    keys: np.ndarray
-    bounds: np.ndarray
-    places: np.ndarray
-    filter: np.ndarray
+    keys: np.ndarray  # sorted distinct bigrams
+    held: np.ndarray  # which template (column) has which bigram (row)
+    filter: np.ndarray  # bitmap over the top bits of the keys
 
     @classmethod
     def build(cls, notices: dict[str, list[str]]) -> Templates:
@@ -79,51 +85,51 @@ class Templates:
         for _, _, data, offsets in text_slices(texts):
             h, number = shingles(*hashed_words(data, offsets, breaks=PUNCTUATION), 2)
             grams += np.split(h, np.cumsum(number)[:-1])
-        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        offset = np.concatenate([np.arange(len(g)) for g in grams])
-        flat = np.concatenate(grams)
-        order = np.argsort(flat, kind="stable")
-        keys, first = np.unique(flat[order], return_index=True)
+        keys = np.unique(np.concatenate(grams))
         bitmap = np.zeros(1 << 16, bool)
         bitmap[(keys >> np.uint64(48)).astype(int)] = True
-        return cls(names, grams, keys, np.r_[first, len(flat)], np.stack([item[order], offset[order]], 1), bitmap)
+        return cls(names, grams, keys, np.stack([np.isin(keys, g) for g in grams], 1), bitmap)
 
-    def scan(self, grams: np.ndarray) -> dict[str, tuple[float, int, int]]:
-        """Best (coefficient, first bigram, bigrams) of each licence in a text's bigrams.
+    def passages(self, grams: np.ndarray) -> list[tuple[float, int, str, int, int, int]]:
+        """(coefficient, size, licence, template, begin, end) of all passages at or above the threshold.
 
-        Of overlapping passages of several licences, as versions of one have, the best alone is kept;
-        each licence then has the best of its passages that are left.
+        In a window of a template's size lies the passage from the first to the last of the template's bigrams; with m
+        of them in the window its coefficient is at most 2m / (m + size), which bounds m from below. Texts with
+        fewer of a template's bigrams, so all that are too short, are never compared with it.
         """
         hit = np.flatnonzero(self.filter[(grams >> np.uint64(48)).astype(int)])
         at = np.minimum(np.searchsorted(self.keys, grams[hit]), len(self.keys) - 1)
         same = self.keys[at] == grams[hit]
         hit, at = hit[same], at[same]
-        if not len(hit):
-            return {}
-        spread = self.bounds[at + 1] - self.bounds[at]
-        place = self.places[np.repeat(self.bounds[at], spread) + np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread)]
-        start = np.repeat(hit, spread) - place[:, 1]
-        windows = np.unique(np.stack([place[:, 0], start], 1), axis=0)
-        passages = []
-        whole = len(grams)
-        for item, begin in windows.tolist():
-            size = len(self.grams[item])
-            if whole < size * THRESHOLD / (2 - THRESHOLD):
-                continue
-            begin_in, end_in = max(begin, 0), min(begin + size, whole)
-            inside = np.searchsorted(hit, [begin_in, end_in])
-            if 2 * (inside[1] - inside[0]) < THRESHOLD * (size + end_in - begin_in):
+        found = []
+        for item, template in enumerate(self.grams):
+            size = len(template)
+            least = THRESHOLD * size / (2 - THRESHOLD)
+            own = hit[self.held[at, item]]
+            if len(own) < least:
                 continue
-            c = dice(grams[begin_in:end_in], self.grams[item])
-            if c >= THRESHOLD:
-                passages.append((c, size, self.names[item][0], item, begin_in, end_in))
-        passages.sort(key=lambda x: (-x[0], -x[1], x[2:]))
+            # windows that begin at one of the template's bigrams: the first place after the window's end
+            close = np.searchsorted(own, own + size)
+            start = np.flatnonzero(close - np.arange(len(own)) >= least)
+            for begin, end in zip(own[start].tolist(), (own[close[start] - 1] + 1).tolist(), strict=True):
+                c = dice(grams[begin:end], template)
+                if c >= THRESHOLD:
+                    found.append((c, size, self.names[item][0], item, begin, end))
+        return found
+
+    def scan(self, grams: np.ndarray) -> dict[str, tuple[float, int, int]]:
+        """Best (coefficient, first bigram, bigrams) of each licence in a text's bigrams.
+
+        Of overlapping passages of several licences, as versions of one have, the best alone is kept (of tied ones that
+        of the longest template, then by name); each licence then has the best of its passages that are left.
+        """
+        passages = sorted(self.passages(grams), key=lambda x: (-x[0], -x[1], x[2:]))
         numbers = {name: k for k, name in enumerate(dict.fromkeys(name for name, _ in self.names))}
-        owner = np.full(whole, -1, np.int32)
+        owner = np.full(len(grams) if passages else 0, -1, np.int32)
         taken: dict[int, np.ndarray] = {}
         kept: dict[str, tuple[float, int, int]] = {}
         for c, _, name, item, begin, end in passages:
-            others, own = owner[begin:end], taken.setdefault(item, np.zeros(whole, bool))
+            others, own = owner[begin:end], taken.setdefault(item, np.zeros(len(grams), bool))
             # shifted by some words, a template meets its own passage again: that place is held by the best alone
             if own[begin:end].any() or ((others >= 0) & (others != numbers[name])).any():
                 continue
@@ -142,7 +148,7 @@ def dice(a: np.ndarray, b: np.ndarray) -> float:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: dict[str, list[str]] | None = None) -> DataFrame:
     """(doc_id, license, dice, first_word, n_bigrams): each document with each licence that a passage of it states."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Templates.build(notices or NOTICES))
+    shared = spark.sparkContext.broadcast(Templates.build(notices or templates()))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):

@@ -7,21 +7,24 @@ vectorised rounds over flat numpy arrays: look up the rank of every adjacent
 pair, take each unit's minimum, merge leftmost first in all units at once,
 compact, and go on until no pair is left.
 
-A round merges every occurrence of a unit's best pair only if no piece that
-extends the merged one ranks as well or better, so that the order of single
-merges is kept; otherwise it merges the leftmost alone.
+A round merges every occurrence of a unit's best pair, from the left up to the
+first that would make, with its neighbour on either side, a pair that ranks as
+well or better: that is the order of single merges.  Units are first cut between
+characters that stand together in no piece, so that long ones without spaces
+(unspaced scripts, encoded data) merge in short parts too.
 
 Nulls and empty texts encode to the end id alone (or nothing) and decode to the
-empty text.  Other columns are not read, so clashing names cannot matter.
+empty text; very long texts are coded whole, about 2 MB of texts or one text at a
+time; repeated rows are coded alike; an empty table gives an empty result.  Other
+columns are passed through, and those named like a result are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 MARK = "▁"
 #: Units kept by each Python worker; the cache is emptied when it is full.
 CACHE_UNITS = 500_000
-#: Units beyond this length that need one merge at a time use a heap.
-SERIAL_FROM = 64
 _NONE = np.int32(2**31 - 1)
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
@@ -99,6 +100,7 @@ class Codec:
         for p, (i, score) in normal.items():
             self.safe[i] = best.get(p, 2**31) > rank_of[score]
         self.char_symbols = {c: s for c, s in self.symbol.items() if len(c) == 1}
+        self.char_pairs = np.array(sorted({self.char_symbols[a] * n + self.char_symbols[b] for p in normal for a, b in pairwise(p)}), np.int64)
 
     # -- encoding ---------------------------------------------------------
 
@@ -143,8 +145,7 @@ class Codec:
             # leftmost first among overlapping ones: every second of a run of neighbours
             run = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | head[1:]])
             inside = np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))
-            take = at[head | (self.safe[made[at]] & (inside % 2 == 0))]
-            serial = self._needs_heap(unit, take, made, sizes, first)
+            take = self._in_order(symbols, unit, at[inside % 2 == 0], made, rank)
             symbols = symbols.copy()
             symbols[take] = made[take]
             keep = live.copy()
@@ -153,48 +154,29 @@ class Codec:
             if finished.any():
                 done_symbols.append(symbols[finished]), done_units.append(unit[finished])
             symbols, unit = symbols[keep], unit[keep]
-            for u in serial:
-                own = unit == u
-                merged = self._merge_serially(symbols[own].tolist())
-                done_symbols.append(np.array(merged, symbols.dtype)), done_units.append(np.full(len(merged), u))
-                symbols, unit = symbols[~own], unit[~own]
         symbols, unit = np.concatenate(done_symbols), np.concatenate(done_units)
         order = np.argsort(unit, kind="stable")
         return symbols[order], np.bincount(unit, minlength=n_units)
 
-    def _needs_heap(self, unit, take, made, sizes, first) -> list[int]:
-        """Long units whose best piece allows only one merge a round."""
-        slow = take[~self.safe[made[take]]]
-        long = {int(unit[f]) for f, s in zip(first, sizes, strict=True) if s > SERIAL_FROM} if (sizes > SERIAL_FROM).any() else set()
-        return sorted(long & set(unit[slow].tolist()))
-
-    def _merge_serially(self, symbols: list[int]) -> list[int]:
-        """One merge at a time with a heap: rank first, then the leftmost."""
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        table = {int(k): (int(r), int(m)) for k, r, m in zip(self.pair_keys, self.pair_ranks, self.pair_made, strict=True)} if not hasattr(self, "_table") else self._table
-        self._table = table
-
-        def offer(i: int) -> None:
-            j = after[i] if 0 <= i else n
-            if i >= 0 and j < n and symbols[i] >= 0 and symbols[j] >= 0 and (hit := table.get(symbols[i] * self.n_symbols + symbols[j])):
-                heapq.heappush(heap, (hit[0], i, symbols[i], symbols[j], hit[1]))
-
-        heap: list[tuple] = []
-        gone = [False] * n
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, a, b, made = heapq.heappop(heap)
-            if gone[i] or symbols[i] != a or after[i] >= n or symbols[after[i]] != b:
-                continue
-            j = after[i]
-            symbols[i], gone[j], after[i] = made, True, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            offer(before[i])
-            offer(i)
-        return [s for s, g in zip(symbols, gone, strict=True) if not g]
+    def _in_order(self, symbols: np.ndarray, unit: np.ndarray, take: np.ndarray, made: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """The merges of a round that come before any other: each unit's up to the first that makes, with a neighbour, a pair as good as itself."""
+        doubtful = np.flatnonzero(~self.safe[made[take]])
+        if not len(doubtful):
+            return take
+        last = len(symbols) - 1
+        i = take[doubtful]
+        after_merge = np.r_[False, take[1:] == take[:-1] + 2][doubtful]  # the neighbour on the left has just been merged
+        before = np.where(after_merge, made[np.maximum(i - 2, 0)], symbols[np.maximum(i - 1, 0)])
+        left, _ = self._look_up(before, made[i])
+        right, _ = self._look_up(made[i], symbols[np.minimum(i + 2, last)])
+        again = (left <= rank[i]) & (i > 0) & (unit[np.maximum(i - 1, 0)] == unit[i])
+        again |= (right <= rank[i]) & (i + 2 <= last) & (unit[np.minimum(i + 2, last)] == unit[i])
+        stop = np.zeros(len(take), np.int64)
+        stop[doubtful] = again
+        earlier = np.cumsum(stop) - stop
+        own = unit[take]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        return take[earlier == np.repeat(earlier[first], np.diff(np.r_[first, len(take)]))]
 
     def encode_units(self, units: list[str]) -> list[tuple[int, ...]]:
         """Ids of units with their space marks, by merge rounds."""
@@ -205,9 +187,17 @@ class Codec:
         values, where = np.unique(points, return_inverse=True)
         table = np.array([self.char_symbols.get(chr(v), -1) for v in values], np.int64)
         symbols = table[where]
+        # no merge crosses two characters that stand together in no piece: what lies between such places is merged apart
+        owner = np.repeat(np.arange(len(units)), lengths)
+        code = symbols[:-1] * self.n_symbols + symbols[1:]
+        place = np.minimum(np.searchsorted(self.char_pairs, code), len(self.char_pairs) - 1)
+        joined = (self.char_pairs[place] == code) & (symbols[:-1] >= 0) & (symbols[1:] >= 0) & (owner[1:] == owner[:-1])
+        part = np.r_[0, np.cumsum(~joined)]
+        owner = owner[np.r_[True, ~joined]]
         # a character that no piece holds is kept as -2 - code point
         symbols = np.where(symbols < 0, -2 - points.astype(np.int64), symbols)
-        symbols, counts = self._merge(symbols, np.repeat(np.arange(len(units)), lengths), len(units))
+        symbols, counts = self._merge(symbols, part, len(owner))
+        counts = np.bincount(owner, counts, minlength=len(units)).astype(np.int64)
         top, ends = len(self.pieces), np.cumsum(counts)
         flat, bounds = tuple(symbols.tolist()), [0, *ends.tolist()]
         out = [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]

@@ -86,6 +86,8 @@ def test_codec_on_random_texts_and_ids():
     rng = random.Random(1)
     parts = [" ", "  ", "\n", "\t", "a", "the", "▁", "é", "日本", "😀", "====", "aaaa", "<s>", "<0x41>", "\r\n", "tion", "1999", " " * 40, "ab" * 50, "\x00"]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(3000)]
+    han = [chr(rng.randrange(0x4E00, 0x5200)) for _ in range(300)]
+    texts += ["".join(rng.choices(han, k=4000)), "".join(rng.choices("ABCDEFabcdef0123456789+/", k=9000)), "a" * 5001, "=-" * 3000, "".join(rng.choices("aeinrst", k=6000)), "".join(rng.choices("the in on er".split() + ["▁", "a"], k=5000)), "\U0001f600" * 900, "ha" * 2500 + "hah"]
     assert own.encode_batch(texts) == lib.encode(texts, add_eos=True)
     for _ in range(3000):
         ids = [rng.choice([rng.randrange(32000), rng.randrange(262)]) for _ in range(rng.randint(0, 12))]
@@ -397,6 +399,52 @@ def test_sister_licences_in_one_document(spark):
     assert found[1]["GPL-3.0"][0] == 1.0 and 0.8 <= found[1]["GPL-2.0"][0] < 0.95 and found[2]["GPL-2.0"][1] == 0
 
 
+def brute_licences(text, templates):
+    """All windows of each template's size, trimmed to its bigrams; greedy over passages by coefficient."""
+    bigrams = lambda t: list(zip(w := re.findall(rb"[a-z0-9\x80-\xff]+", t.encode().lower()), w[1:], strict=False))
+    grams, found, item = bigrams(text or ""), [], 0
+    for name, texts in templates.items():
+        for t in texts:
+            want = collections.Counter(bigrams(t))
+            size = sum(want.values())
+            for a in range(len(grams)):
+                own = [k for k in range(a, min(a + size, len(grams))) if grams[k] in want]
+                if not own or own[0] != a:
+                    continue
+                have = collections.Counter(grams[a : own[-1] + 1])
+                c = 2 * sum((have & want).values()) / (own[-1] + 1 - a + size)
+                if c >= 0.8:
+                    found.append((c, size, name, item, a, own[-1] + 1))
+            item += 1
+    best, held = {}, []
+    for c, _, name, item, a, b in sorted(found, key=lambda x: (-x[0], -x[1], x[2:])):
+        if not any(a < y and x < b and (i == item or n != name) for n, i, x, y in held):
+            held.append((name, item, a, b))
+            best.setdefault(name, (pytest.approx(c), a, b - a))
+    return best
+
+
+def test_licences_equal_brute_force(spark):
+    rng = random.Random(23)
+    templates = D7.templates()
+    pool = [t for ts in templates.values() for t in ts if len(t) < 2500]
+    texts = []
+    for _ in range(25):
+        parts = []
+        for t in rng.sample(pool, rng.choice((1, 1, 2))):
+            w = t.split(" ")
+            for _ in range(len(w) * rng.choice((0, 0, 1, 3)) // 40):
+                w[rng.randrange(len(w))] = "changed"
+            cut = rng.choice((0, 0, len(w) // 6))
+            parts += [words(rng, rng.randrange(25)), " ".join(w[cut:])]
+        texts.append("\n".join([*parts, words(rng, 9)]))
+    docs = spark.createDataFrame([*enumerate(texts), (90, None), (91, "word " * 5000)], "doc_id bigint, text string")
+    found = collections.defaultdict(dict)
+    for r in D7.scan(docs).collect():
+        found[r["doc_id"]][r["license"]] = (r["dice"], r["first_word"], r["n_bigrams"])
+    assert dict(found) == {i: b for i, t in enumerate(texts) if (b := brute_licences(t, templates))} and len(found) > 15
+
+
 # -- 8 ----------------------------------------------------------------------------
 
 
