@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -52,27 +50,35 @@ def step(state: list[float] | None, ts: float, level: int, cooldown: float, esca
     return [state[0], ts], True, max(level, new)
 
 
-def alert_dedup(alerts: DataFrame, cooldown: float = COOLDOWN, escalation: float = ESCALATION, reset_after: float | None = None) -> DataFrame:
-    """(dedup_key, ts, id, title, severity, sent, escalated_from): suppression within the cooldown, escalation by age.
+def _alerts(alerts: DataFrame, cooldown: float, escalation: float, reset_after: float | None, streaming: bool) -> DataFrame:
+    from gritsieve.streaming.keyed import in_order, stateful
 
-    Keys are independent; each is one sequence, which the streaming form feeds in chunks.
-    """
     rank = {s: i for i, s in enumerate(SEVERITIES)}
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values(["ts", "id"])
-        state, out = None, []
+    def run(held: dict, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
         for a in pdf.itertuples(index=False):
             level = rank[a.severity]
-            state, sent, new = step(state, a.ts, level, cooldown, escalation, reset_after)
+            held["state"], sent, new = step(held["state"], a.ts, level, cooldown, escalation, reset_after)
             up = new > level
             out.append((a.dedup_key, a.ts, a.id, f"[ESCALATED] {a.title}" if up else a.title, SEVERITIES[new], sent, a.severity if up else None))
-        yield pd.DataFrame(out, columns=["dedup_key", "ts", "id", "title", "severity", "sent", "escalated_from"])
+        return pd.DataFrame(out, columns=["dedup_key", "ts", "id", "title", "severity", "sent", "escalated_from"])
 
     rows = alerts.select("dedup_key", F.col("ts").cast("double").alias("ts"), F.col("id").cast("long").alias("id"), "title", "severity")
-    return rows.groupBy("dedup_key").applyInPandas(run, "dedup_key string, ts double, id bigint, title string, severity string, sent boolean, escalated_from string")
+    schema = "dedup_key string, ts double, id bigint, title string, severity string, sent boolean, escalated_from string"
+    return (stateful if streaming else in_order)(rows, "dedup_key", ["ts", "id"], schema, lambda: {"state": None}, run)
+
+
+def alert_dedup(alerts: DataFrame, cooldown: float = COOLDOWN, escalation: float = ESCALATION, reset_after: float | None = None) -> DataFrame:
+    """(dedup_key, ts, id, title, severity, sent, escalated_from): suppression within the cooldown, escalation by age."""
+    return _alerts(alerts, cooldown, escalation, reset_after, False)
+
+
+def alert_dedup_stream(stream: DataFrame, cooldown: float = COOLDOWN, escalation: float = ESCALATION, reset_after: float | None = None) -> DataFrame:
+    """The stateful form: two times of state for each key."""
+    return _alerts(stream, cooldown, escalation, reset_after, True)
 
 
 def recent_alerts(alerts: DataFrame, limit: int = 50) -> DataFrame:
     """The newest alerts."""
-    return alerts.orderBy(F.desc("ts"), "dedup_key").limit(limit)
+    return alerts.orderBy(F.desc("ts"), "dedup_key", *(["id"] if "id" in alerts.columns else [])).limit(limit)

@@ -1,37 +1,62 @@
 """Scoring of keyed sample streams with feedback: flagged rows never enter the baseline.
 
-One step function serves the static form (a group per key) and the stateful
-streaming processor, so both give the same rows.
+One step function serves the static form and the stateful streaming form, so both
+give the same rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
 from gritsieve.functions import stats as S
 from gritsieve.operators.forest import Forest, grow
+from gritsieve.streaming.keyed import in_order, stateful
 
 WINDOW, REFIT_EVERY, REFIT_LEAST, WARM = 10_000, 1000, 50, 10
-STATE = T.StructType([T.StructField("n", T.LongType()), *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("mean", "m2")], T.StructField("seen", T.LongType())])
-RESULT = "key string, ts timestamp, id bigint, score double, is_poisoned boolean, z_vote boolean, iso_vote boolean, seen bigint"
+ORDER = ["ts", "id"]
+RESULT = "key string, ts timestamp, id bigint, score double, is_poisoned boolean, z_vote boolean, iso_vote boolean, seen bigint, error string"
 
 
 class Scorer:
-    """Moments, clean window and forest of one key."""
+    """Moments, clean window and forest of one key.
+
+    Samples that are empty, not finite or of another width than those before are refused: they are neither
+    scored nor learned nor counted.
+    """
 
     def __init__(self, threshold: float = 3.0, least_votes: int = 2, forest: Forest | None = None, window_size: int = WINDOW, inline_refit: bool = False, contamination: float = 0.05):
-        self.threshold, self.least_votes, self.forest = threshold, least_votes, forest
+        self.threshold, self.least_votes = threshold, least_votes
+        self.given, self.forest = forest, forest
         self.window_size, self.inline_refit, self.contamination = window_size, inline_refit, contamination
         self.n, self.mean, self.m2 = 0, None, None
-        self.window: list[np.ndarray] = []
+        self.window: deque[np.ndarray] = deque(maxlen=window_size)
+        self.width: int | None = None
         self.since_refit = self.seen = 0
 
+    def __getstate__(self) -> dict:
+        """All but the forest that was given, which is the query's and not the key's."""
+        return self.__dict__ | {"given": None, "forest": None if self.forest is self.given else self.forest}
+
+    def revive(self, given: Forest | None) -> None:
+        self.given, self.forest = given, self.forest or given
+
+    def problem(self, x: np.ndarray) -> str | None:
+        """Why a sample is refused."""
+        if x.ndim != 1 or not len(x):
+            return "empty"
+        if not np.isfinite(x).all():
+            return "not_finite"
+        return "width" if self.width not in (None, len(x)) else None
+
     def step(self, x: np.ndarray) -> tuple[float, bool, bool, bool]:
         """(score, is_poisoned, z vote, forest vote) of a sample; then the state moves on."""
+        if (problem := self.problem(x)) is not None:
+            raise ValueError(f"sample refused: {problem}")
+        self.width = len(x)
         scores, z_vote, iso_vote = [], False, False
         if self.n >= WARM:
             std = np.sqrt(self.m2 / (self.n - 1))
@@ -57,7 +82,7 @@ class Scorer:
         self.mean = self.mean + delta / self.n
         self.m2 = self.m2 + delta * (x - self.mean)
         if self.inline_refit:
-            self.window = [*self.window, x][-self.window_size :]
+            self.window.append(x)
             self.since_refit += 1
             if self.since_refit >= REFIT_EVERY and len(self.window) >= REFIT_LEAST:
                 self.forest, self.since_refit = fit_window(np.stack(self.window), self.contamination), 0
@@ -75,17 +100,33 @@ def fit_window(x: np.ndarray, contamination: float, seed: int = 42, n_trees: int
     return forest
 
 
-def score_batch(df: DataFrame, forest: Forest | None = None, **options) -> DataFrame:
-    """The static form over (key, ts, id, features): each key in order of (ts, id)."""
+def _step(make):
+    """A run of a key's rows through its scorer; a row whose `reset` is true clears it, refused rows carry their error."""
 
-    def run(_key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values(["ts", "id"])
-        s, out = Scorer(forest=forest, **options), []
+    def step(s: Scorer, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
         for r in pdf.itertuples(index=False):
-            out.append((r.key, r.ts, r.id, *s.step(np.asarray(r.features, float)), s.seen))
-        yield pd.DataFrame(out, columns=["key", "ts", "id", "score", "is_poisoned", "z_vote", "iso_vote", "seen"])
+            if getattr(r, "reset", False) is True:
+                s.__dict__.update(make().__dict__)
+                continue
+            x = np.asarray(r.features if r.features is not None else [], float)
+            error = s.problem(x)
+            values = s.step(x) if error is None else (None, False, False, False)
+            out.append((r.key, r.ts, r.id, *values, s.seen, error))
+        return pd.DataFrame(out, columns=["key", *ORDER, "score", "is_poisoned", "z_vote", "iso_vote", "seen", "error"])
 
-    return df.select(F.col("key").cast("string"), F.col("ts").cast("timestamp"), F.col("id").cast("long"), "features").groupBy("key").applyInPandas(run, RESULT)
+    return step
+
+
+def _rows(df: DataFrame) -> DataFrame:
+    more = [F.coalesce("reset", F.lit(False)).alias("reset")] if "reset" in df.columns else []
+    return df.select(F.col("key").cast("string"), F.col("ts").cast("timestamp"), F.col("id").cast("long"), "features", *more)
+
+
+def score_batch(df: DataFrame, forest: Forest | None = None, **options) -> DataFrame:
+    """The static form over (key, ts, id, features[, reset]): each key in order of (ts, id)."""
+    make = lambda: Scorer(forest=forest, **options)
+    return in_order(_rows(df), "key", ORDER, RESULT, make, _step(make))
 
 
 def cold_start(df: DataFrame, threshold: float = 3.0) -> DataFrame:
@@ -110,51 +151,20 @@ def stream_stats(scored: DataFrame) -> DataFrame:
     return scored.groupBy("key").agg(F.count("*").alias("seen"), F.count_if("is_poisoned").alias("poisoned")).withColumn("rate", F.col("poisoned") / F.col("seen"))
 
 
-def _processor(forest: Forest | None, options: dict):
-    from pyspark.sql.streaming import StatefulProcessor
-
-    class ScoreProcessor(StatefulProcessor):
-        """Keyed state (n, mean, m2, seen) between triggers; a row whose `reset` is true clears it."""
-
-        def init(self, handle):
-            self.state = handle.getValueState("moments", STATE)
-
-        def handleInputRows(self, key, rows, timerValues):
-            s = Scorer(forest=forest, **options)
-            if self.state.exists():
-                n, mean, m2, seen = self.state.get()
-                s.n, s.seen = n, seen
-                s.mean, s.m2 = (np.asarray(mean, float), np.asarray(m2, float)) if n else (None, None)
-            pdf = pd.concat(list(rows)).sort_values(["ts", "id"])
-            out = []
-            for r in pdf.itertuples(index=False):
-                if getattr(r, "reset", False):
-                    s = Scorer(forest=forest, **options)
-                    continue
-                out.append((r.key, r.ts, r.id, *s.step(np.asarray(r.features, float)), s.seen))
-            mean, m2 = (s.mean.tolist(), s.m2.tolist()) if s.n else ([], [])
-            self.state.update((s.n, mean, m2, s.seen))
-            yield pd.DataFrame(out, columns=["key", "ts", "id", "score", "is_poisoned", "z_vote", "iso_vote", "seen"])
-
-        def handleInitialState(self, key, initial, timerValues):
-            r = initial.iloc[0]
-            self.state.update((int(r["n"]), list(map(float, r["mean"])), list(map(float, r["m2"])), 0))
-
-        def close(self):
-            pass
-
-    return ScoreProcessor()
-
-
 def score_stream(stream: DataFrame, forest: Forest | None = None, baseline: DataFrame | None = None, **options) -> DataFrame:
     """The streaming form over (key string, ts, id, features[, reset]); needs the RocksDB state store.
 
-    `baseline` (see seed_baseline) starts each key's moments; restarts with a fresh
-    checkpoint, or rows with reset = true, clear them.  A forest refitted outside
-    replaces `forest` at the next start of the query.
+    A key's state is its scorer: moments, counts and, with `inline_refit`, the window of clean rows and the forest
+    last grown from it. `baseline` (see seed_baseline) starts each key's moments; rows with reset = true clear a key.
     """
-    initial = baseline.select(F.col("key").cast("string"), "n", "mean", "m2").groupBy("key") if baseline is not None else None
-    return stream.groupBy("key").transformWithStateInPandas(statefulProcessor=_processor(forest, options), outputStructType=T.StructType.fromDDL(RESULT), outputMode="append", timeMode="none", initialState=initial)
+    make = lambda: Scorer(forest=forest, **options)
+
+    def load(s: Scorer, r) -> None:
+        s.n, s.mean, s.m2 = int(r["n"]), np.asarray(r["mean"], float), np.asarray(r["m2"], float)
+        s.width = len(s.mean)
+
+    initial = baseline.select(F.col("key").cast("string"), "n", "mean", "m2") if baseline is not None else None
+    return stateful(_rows(stream), "key", ORDER, RESULT, make, _step(make), initial, load, lambda s: s.revive(forest))
 
 
 def refit(window: DataFrame, contamination: float = 0.05, seed: int = 42) -> Forest:
