@@ -19,7 +19,7 @@ are classes; a class's first document (least id) owns it, at its first line ther
 Nulls and empty texts have no lines; rows without an id take part by equality
 alone and own nothing; rows that share an id are one document, which keeps at all
 its places the line it owns; long texts and lines are handled whole, a slice of
-about 2 MB or one text at a time; ties do not arise; empty tables give empty
+about 1 MB or one text at a time; ties do not arise; empty tables give empty
 results.  Only the id and the text are read; `remove_repeats` passes all columns
 but the text through.
 """

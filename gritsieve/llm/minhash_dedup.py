@@ -111,11 +111,12 @@ def _tasks(members: DataFrame, nodes: DataFrame) -> DataFrame:
     size = F.greatest(F.lit(BLOCK_SHINGLES[0]), F.least(F.lit(BLOCK_SHINGLES[1]), F.sum("n") / BLOCKS))
     large = checkpointed(homes.groupBy("home").agg(F.ceil(F.sum("n") / size).alias("blocks")).filter("blocks > 1"))
     units = homes.join(large, "home", "left").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1)))).alias("unit"))
-    rows = checkpointed(members.select("key", "node").join(units, "node"))
-    held = checkpointed(rows.groupBy("key", F.col("unit").alias("other")).agg(F.count("*").alias("k")))
-    met = rows.join(held, "key").filter((F.col("unit") != F.col("other")) | (F.col("k") > 1))
-    met = met.select("node", F.least("unit", "other").alias("u"), F.greatest("unit", "other").alias("v"), (F.col("unit") <= F.col("other")).alias("left")).distinct()
-    return met.groupBy("node").agg(F.collect_list(F.struct("u", "v", "left")).alias("tasks"))
+    units = checkpointed(units)
+    held = checkpointed(members.select("key", "node").join(units, "node").groupBy("key", "unit").agg(F.count("*").alias("k")))
+    pairs = held.join(held.select("key", F.col("unit").alias("other")), "key").filter((F.col("unit") < F.col("other")) | ((F.col("unit") == F.col("other")) & (F.col("k") > 1)))
+    pairs = checkpointed(pairs.select(F.col("unit").alias("u"), F.col("other").alias("v")).distinct())
+    sides = pairs.select(F.col("u").alias("unit"), "u", "v", F.lit(True).alias("left")).unionByName(pairs.filter("u < v").select(F.col("v").alias("unit"), "u", "v", F.lit(False).alias("left")))
+    return units.join(sides.groupBy("unit").agg(F.collect_list(F.struct("u", "v", "left")).alias("tasks")), "unit").select("node", "tasks")
 
 
 def forest(nodes: np.ndarray, left: np.ndarray, flat: np.ndarray, sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -157,16 +158,17 @@ def _links(docs: DataFrame, tasks: DataFrame, words: int, percent: int, id_col:
     def spread(batches):
         for batch in batches:
             lists = batch.column(2)
-            rows, taken, values = [], [], []
+            rows, taken, values, size = [], [], [], 0
             for row, own in sets_of(batch.column(1), words):
                 data = own.tobytes()
                 for task in lists[row].as_py():
                     rows.append(row)
                     taken.append((task["u"], task["v"], task["left"]))
                     values.append(data)
-                    if len(values) >= 2048:
+                    size += len(data)
+                    if size >= 1 << 22:
                         yield out(batch, rows, taken, values)
-                        rows, taken, values = [], [], []
+                        rows, taken, values, size = [], [], [], 0
             if rows:
                 yield out(batch, rows, taken, values)
 
