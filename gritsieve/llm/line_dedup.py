@@ -70,9 +70,10 @@ def _lists(values: list[np.ndarray], owners: list[np.ndarray], n: int) -> pa.Arr
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, half, line, sketch, listed, probes): each document's distinct lines, the first of equal ones.
+    """(doc_id, line_no, half, line, sketch, keys, n_listed): each document's distinct lines, the first of equal ones.
 
-    half is the first half of the line's hash, as a number. The last three are null but for the first of equal lines of a slice, with an id and edits to allow.
+    half is the first half of the line's hash, as a number; keys are those of its listed segments, n_listed in number, and then of its
+    probes. The last three are null but for the first of equal lines of a slice, with an id and edits to allow.
     """
 
     def run(batches):
@@ -93,28 +94,30 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 fresh &= known[row + a] & (sizes >= SHARE)
                 at = np.flatnonzero(fresh)
                 sums = Prefixes(data)
-                listed, probes = (_lists(*segments(sums, starts[at], sizes[at], probe), len(at)) for probe in (False, True))
+                (listed, owners), probes = (segments(sums, starts[at], sizes[at], probe) for probe in (False, True))
+                keys = _lists(listed + probes[0], owners + probes[1], len(at))
+                n_listed = pa.array(np.bincount(np.concatenate([np.zeros(0, np.int64), *owners]), minlength=len(at)).astype(np.int32))
                 place = np.full(len(first), -1)
                 place[at] = np.arange(len(at))
                 take = pa.array(place, mask=~fresh)
-                columns = [batch.column(0).take(pa.array(row + a)), pa.array(number), pa.array(h[:, 0].view(np.int64)), _binary(h), pa.array(sketches(data, starts[at], sizes[at])).take(take), listed.take(take), probes.take(take)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line_no", "half", "line", "sketch", "listed", "probes"])
+                columns = [batch.column(0).take(pa.array(row + a)), pa.array(number), pa.array(h[:, 0].view(np.int64)), _binary(h), pa.array(sketches(data, starts[at], sizes[at])).take(take), keys.take(take), n_listed.take(take)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line_no", "half", "line", "sketch", "keys", "n_listed"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id bigint, line_no bigint, half bigint, line binary, sketch bigint, listed array<bigint>, probes array<bigint>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id bigint, line_no bigint, half bigint, line binary, sketch int, keys array<bigint>, n_listed int")
 
 
 def sketches(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """16 counts of byte values (by their low bits), each modulo 16, in one word for each range of bytes."""
+    """8 counts of byte values (by their low bits), each modulo 16, in one word for each range of bytes."""
     own = np.repeat(np.arange(len(start)), size)
     at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    counts = np.bincount((own << 4) | (data[at] & 15), minlength=len(start) << 4).reshape(-1, 16) & 15
-    return (counts.astype(np.uint64) << np.arange(0, 64, 4, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+    counts = np.bincount((own << 3) | (data[at] & 7), minlength=len(start) << 3).reshape(-1, 8) & 15
+    return (counts.astype(np.uint32) << np.arange(0, 32, 4, dtype=np.uint32)).sum(axis=1, dtype=np.uint32).view(np.int32)
 
 
 def _close(a: str, b: str) -> Column:
     """Whether two sketches differ by at most what EDITS edits can change."""
     total = F.lit(0)
-    for k in range(0, 64, 4):
+    for k in range(0, 32, 4):
         d = F.pmod(F.shiftrightunsigned(a, k).bitwiseAND(15) - F.shiftrightunsigned(b, k).bitwiseAND(15), F.lit(16))
         total = total + F.least(d, 16 - d)
     return total <= 2 * EDITS
@@ -194,7 +197,7 @@ def _distances(x: list[bytes], y: list[bytes], nx: np.ndarray, ny: np.ndarray, m
 
 def _verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(a, b): lines, of the pairs of first halves of their hashes, that are within the edits they allow; texts come from the first document that holds each."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("half")).distinct()
+    wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("half")).distinct())
     held = places.join(wanted, "half", "left_semi").groupBy("line").agg(F.min("doc_id").alias("_id"))
     held = held.groupBy("_id").agg(F.collect_list("line").alias("_lines"))
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_col).join(held, "_id").select(text_col, "_lines")
@@ -236,19 +239,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     every = stored(lines(docs, id_col, text_col))
     places = every.select("doc_id", "line_no", "half", "line")
-    distinct = stored(every.filter("listed is not null").dropDuplicates(["line"]).select("half", "sketch", "listed", "probes"))
-    by = lambda kind, half, sketch: distinct.select(F.explode(kind).alias("key"), F.col("half").alias(half), F.col("sketch").alias(sketch))
-    listed = by("listed", "b", "_t")
+    # both sides of the joins are parts of this, so that Spark deals the distinct lines once
+    each = every.filter("keys is not null").dropDuplicates(["line"]).select("half", "sketch", "n_listed", F.posexplode("keys").alias("at", "key"))
+    side = lambda part, half, sketch: each.filter(part).select("key", F.col("half").alias(half), F.col("sketch").alias(sketch))
+    listed = side("at < n_listed", "b", "_t")
     # a probe meets listed segments of shorter lines and, at other places, of lines as long; equal places are met among the listed
-    met = by("probes", "a", "_s").join(listed, "key").filter((F.col("a") != F.col("b")) & _close("_s", "_t"))
-    met = met.unionByName(by("listed", "a", "_s").join(listed, "key").filter((F.col("a") < F.col("b")) & _close("_s", "_t")))
+    met = side("at >= n_listed", "a", "_s").join(listed, "key").filter((F.col("a") != F.col("b")) & _close("_s", "_t"))
+    met = met.unionByName(side("at < n_listed", "a", "_s").join(listed, "key").filter((F.col("a") < F.col("b")) & _close("_s", "_t")))
     pairs = checkpointed(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = checkpointed(_verified(pairs, docs, places, id_col, text_col))
     ends = links.select(F.explode(F.array("a", "b")).alias("line"))
     named = checkpointed(checkpointed(ends.groupBy("line").agg(F.count("*").alias("n_links"))).withColumn("node", F.monotonically_increasing_id()))
     number = lambda x: named.select(F.col("line").alias(x), F.col("node").alias(f"n{x}"))
     edges = links.join(number("a"), "a").join(number("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    counts = checkpointed(places.groupBy("line").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    counts = stored(places.groupBy("line").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     # the linked lines alone have classes to look up
     linked = named.join(components(edges), "node").join(counts, "line").select("line", "n_links", F.col("root").alias("class_id"), "first", "n")
     linked = checkpointed(linked)
@@ -260,7 +264,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     per_line = counts.join(linked.drop("first", "n"), "line", "left").select(
         "line", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_places", "n").alias("n_places"), F.coalesce("first_doc", "first").alias("first_doc"), "class_id", F.coalesce("own", F.col("class_id").isNull()).alias("own")
     )
-    return places, checkpointed(per_line)
+    return places, stored(per_line)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
