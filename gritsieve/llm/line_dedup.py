@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .graph import components
 from .storage import checkpointed, stored
@@ -240,7 +240,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     every = stored(lines(docs, id_col, text_col))
     places = every.select("doc_id", "line_no", "half", "line")
     # both sides of the joins are parts of this, so that Spark deals the distinct lines once
-    each = every.filter("keys is not null").dropDuplicates(["line"]).select("half", "sketch", "n_listed", F.posexplode("keys").alias("at", "key"))
+    one = F.row_number().over(Window.partitionBy("line").orderBy("half"))
+    each = every.filter("keys is not null").withColumn("_one", one).filter("_one = 1").select("half", "sketch", "n_listed", F.posexplode("keys").alias("at", "key"))
     side = lambda part, half, sketch: each.filter(part).select("key", F.col("half").alias(half), F.col("sketch").alias(sketch))
     listed = side("at < n_listed", "b", "_t")
     # a probe meets listed segments of shorter lines and, at other places, of lines as long; equal places are met among the listed
