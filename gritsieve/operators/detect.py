@@ -76,9 +76,7 @@ def ensemble_vote(matrix: DataFrame, contamination: float = 0.1, seed: int = 42)
     """Majority of z-score, IQR and isolation forest; anomaly_score is the forest's."""
     from gritsieve.operators import forest as I
 
-    v = votes(matrix)
-    trees = I.fit(matrix, contamination, seed)
-    scored = I.score(v, trees, True)
+    scored = I.trained(votes(matrix), contamination, seed)
     n = F.col("z_vote").cast("int") + F.col("iqr_vote").cast("int") + F.col("iso_vote").cast("int")
     poisoned = n >= 2
     top, _ = ranked_deviations(3)
@@ -92,22 +90,31 @@ def decide(votes_df: DataFrame, columns: list[str], least: int = 2) -> DataFrame
 
 
 def detect(matrix: DataFrame, method: str = "ensemble", **options) -> tuple[DataFrame, DataFrame]:
-    """(per-sample rows, summary row) of a method: zscore, iqr, isolation, ensemble, spectral, topk, crossclass or robust."""
+    """(per-sample rows, summary row) of a method: zscore, iqr, isolation, ensemble, spectral, topk, crossclass or robust.
+
+    The matrix is validated first (ValueError for rows that are not finite, ragged or too few) unless strict=False.
+    """
     from gritsieve.operators import forest as I, spectral as P
 
     none = F.array().cast("array<int>")
     labelled = method in ("spectral", "topk", "crossclass", "robust")
-    if options.pop("strict", False):
+    if options.pop("strict", True):
         src.validate(matrix, 1 if method in ("zscore", "iqr") else 2, labelled)
     if method in ("zscore", "iqr"):
-        found = (zscore_detect if method == "zscore" else iqr_detect)(matrix, **options)
-        stats = S.packed(S.feature_moments(matrix), "mean")
-        rows = beside(matrix.join(found, "id"), stats)
+        k, mode, least = options.pop("k", 1.5), options.pop("mode", "exact"), options.pop("threshold", 3.0)
+        if options:
+            raise ValueError(f"unknown options {sorted(options)}")
+        own = S.feature_moments(matrix)
+        if method == "iqr":
+            own = own.join(S.feature_quantiles(matrix, (0.25, 0.75), mode), "j")
+        rows = beside(matrix, S.packed(own, "mean", "std", *(["q"] if method == "iqr" else [])))
+        rows = rows.withColumn("score", z_score() if method == "zscore" else iqr_score(k))
+        flagged = F.col("score") >= least if method == "zscore" else F.col("score") > 0
         top, _ = ranked_deviations(3)
-        rows = rows.select("id", F.when(F.col("flagged"), F.col("score")).otherwise(0.0).alias("anomaly_score"), F.lit(method).alias("method"), F.when(F.col("flagged"), top).otherwise(none).alias("features_flagged"), F.col("flagged").alias("is_poisoned"))
+        rows = rows.select("id", F.when(flagged, F.col("score")).otherwise(0.0).alias("anomaly_score"), F.lit(method).alias("method"), F.when(flagged, top).otherwise(none).alias("features_flagged"), flagged.alias("is_poisoned"))
         counts = [method]
     elif method == "isolation":
-        scored = I.score(matrix, I.fit(matrix, **options), True)
+        scored = I.trained(matrix, **options)
         rows = scored.select("id", F.col("iso_score").alias("anomaly_score"), F.lit(method).alias("method"), none.alias("features_flagged"), F.col("iso_vote").alias("is_poisoned"))
         counts = [method]
     elif method == "ensemble":

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gritsieve.functions import stats as S
+from gritsieve.functions.cut import checkpointed
 
 DIGITS = 4
 LAST = 5000
@@ -39,43 +44,92 @@ def pattern_duplicates(df: DataFrame, order: list[str], min_dims: int = 0) -> Da
     return key.join(first, "_b").withColumn("bits_dup", (F.struct(*order) > F.col("_first")) & (F.size("features") >= min_dims)).drop("_b", "_first")
 
 
-def unit(features: str = "features") -> Column:
-    """The vector over its norm; zeros where the norm is below 1e-10."""
-    n = S.norm(F.col(features))
-    return F.when(n < 1e-10, F.transform(features, lambda x: x * 0.0)).otherwise(F.transform(features, lambda x: x / n))
+def _units(column: pa.Array) -> np.ndarray:
+    """Rows of equal width over their norms; zeros where the norm is below 1e-10."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+    n = np.sqrt((x * x).sum(axis=1))
+    return np.where((n < 1e-10)[:, None], 0.0, x / np.where(n < 1e-10, 1.0, n)[:, None])
 
 
-def max_similarity(samples: DataFrame, references: DataFrame, most: int = 100_000) -> DataFrame:
+def max_similarity(samples: DataFrame, references: DataFrame, most: int = 1 << 25) -> DataFrame:
     """(id, max_sim): the largest cosine to any reference, 0 at least.
 
-    A stated, bounded reference set is compared with every row; it is broadcast
-    after its size is checked.
+    A stated reference set of at most `most` numbers is broadcast as a matrix after its size is checked; samples
+    are never shuffled.
     """
-    n = references.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} references: compare in parts and take the maximum")
-    refs = references.select(unit().alias("_r"))
-    pairs = samples.select("id", unit().alias("_u")).join(F.broadcast(refs), F.lit(True), "left")
-    return pairs.groupBy("id").agg(F.greatest(F.lit(0.0), F.coalesce(F.max(S.dot(F.col("_u"), F.col("_r"))), F.lit(0.0))).alias("max_sim"))
+    size = references.agg(F.sum(F.size("features"))).first()[0] or 0
+    if size > most:
+        raise ValueError(f"more than {most} numbers in the references: compare in parts and take the maximum")
+    table = references.select("features").toArrow().column("features").combine_chunks()
+    shared = samples.sparkSession.sparkContext.broadcast(_units(table) if len(table) else None)
+    kind = samples.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = np.zeros(batch.num_rows)
+            for a in range(0, batch.num_rows if shared.value is not None else 0, 256):
+                own = _units(batch.column(1).slice(a, 256))
+                best[a : a + 256] = np.maximum((own @ shared.value.T).max(axis=1), 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best)], names=["id", "max_sim"])
+
+    return samples.select("id", "features").mapInArrow(run, f"id {kind}, max_sim double")
+
+
+def numbered(df: DataFrame, order: str) -> DataFrame:
+    """`df` with _n, the place of each row in the order: sorted ranges, and a count for each."""
+    ranged = checkpointed(df.orderBy(order, "id").withColumn("_at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("_part", F.shiftright("_at", 33))
+    before, starts = 0, []
+    for r in sorted(ranged.groupBy("_part").count().collect()):  # a row for each partition
+        starts.append((r["_part"], before))
+        before += r["count"]
+    table = df.sparkSession.createDataFrame(starts, "_part bigint, _start bigint")
+    return ranged.join(F.broadcast(table), "_part").withColumn("_n", F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_start", "_at")
 
 
 def near_duplicates(df: DataFrame, seq: str = "seq", threshold: float = 0.95, last: int = LAST) -> DataFrame:
     """(id, max_sim, near_dup) against the `last` rows before each, every row being added.
 
-    Rows are dealt into blocks of `last` sequence numbers; a row meets its own block
-    and the one before, so a key never gathers more than two blocks.
+    Rows are numbered in order and dealt into blocks of `last`; a block meets itself and the one before as two
+    matrices, so a task never holds more than two blocks.
     """
-    rows = df.select("id", F.col(seq).alias("_s"), unit().alias("_u"), F.floor(F.col(seq) / last).alias("_b"))
-    probe = rows.select("id", "_s", "_u", F.explode(F.array("_b", F.col("_b") - 1)).alias("_b"))
-    seen = rows.select(F.col("_s").alias("_s2"), F.col("_u").alias("_u2"), "_b")
-    pairs = probe.join(seen, "_b", "left").filter(F.col("_s2").isNull() | ((F.col("_s2") < F.col("_s")) & (F.col("_s2") >= F.col("_s") - last)))
-    best = pairs.groupBy("id").agg(F.max(S.dot(F.col("_u"), F.col("_u2"))).alias("m"))
-    out = df.select("id").join(best, "id", "left").withColumn("max_sim", F.greatest(F.lit(0.0), F.coalesce("m", F.lit(0.0))))
-    return out.select("id", "max_sim", (F.col("max_sim") >= threshold).alias("near_dup"))
+    kind = df.schema["id"].dataType.simpleString()
+    rows = numbered(df.select("id", seq, "features"), seq).select("id", "features", "_n", F.floor(F.col("_n") / last).alias("_own"))
+    dealt = rows.withColumn("_b", F.explode(F.array("_own", F.col("_own") + 1))).repartition("_b").sortWithinPartitions("_b", "_n")
+
+    def compare(block: pa.Table) -> pa.RecordBatch:
+        n, own = block.column("_n").to_numpy(), block.column("_own").to_numpy() == block.column("_b").to_numpy()
+        mine = np.flatnonzero(own)
+        x = _units(block.column("features").combine_chunks()) if len(mine) else None
+        best = np.zeros(len(mine))
+        for a in range(0, len(mine), 256):
+            at = mine[a : a + 256]
+            seen = (n[None, :] < n[at][:, None]) & (n[None, :] >= n[at][:, None] - last)
+            best[a : a + 256] = np.where(seen, x[at] @ x.T, 0.0).max(axis=1)
+        return pa.RecordBatch.from_arrays([block.column("id").combine_chunks().take(pa.array(mine)), pa.array(np.maximum(best, 0.0))], names=["id", "max_sim"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            block = table.column("_b").to_numpy()
+            for part in np.split(np.arange(len(block)), np.flatnonzero(block[1:] != block[:-1]) + 1):
+                if not len(part):
+                    continue
+                piece = table.slice(int(part[0]), len(part))
+                if held and held[-1].column("_b")[0] != piece.column("_b")[0]:
+                    yield compare(pa.concat_tables(held))
+                    held = []
+                held.append(piece)
+        if held:
+            yield compare(pa.concat_tables(held))
+
+    best = dealt.mapInArrow(run, f"id {kind}, max_sim double")
+    return best.withColumn("near_dup", F.col("max_sim") >= threshold)
 
 
 def duplicates(df: DataFrame, seq: str = "seq", threshold: float = 0.95, last: int = LAST) -> DataFrame:
-    """(id, exact_dup, bits_dup, near_dup, duplicate): cheap checks first, only survivors reach the cosine."""
+    """(id, exact_dup, bits_dup, near_dup, duplicate): a row is a near duplicate only where the cheap checks say nothing."""
     order = [seq]
     flagged = pattern_duplicates(exact_duplicates(df, order), order)
     cheap = F.col("exact_dup") | F.col("bits_dup")

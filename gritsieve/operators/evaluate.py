@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gritsieve.functions import stats as S
+from gritsieve.functions.cut import checkpointed
 
 
 def seeded(seed: int, id_col: str = "id") -> Column:
@@ -27,12 +28,27 @@ def _by_score(df: DataFrame, truth: str, score: str) -> DataFrame:
     return df.groupBy(F.col(score).alias("s")).agg(F.count_if(truth).alias("p"), F.count_if(F.expr(f"not {truth}")).alias("n"))
 
 
+#: Ranges of scores whose totals are summed up in one place.
+RANGES = 256
+
+
+def _running(c: DataFrame) -> DataFrame:
+    """(s, p, n, p_below, n_below): how many rows of either kind have a lower score, by ranges whose totals are few."""
+    c = checkpointed(c)
+    bounds = sorted(set(c.approxQuantile("s", [i / RANGES for i in range(1, RANGES)], 1 / (4 * RANGES))))
+    c = c.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b <= F.col("s"))))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over at most RANGES rows
+    totals = c.groupBy("_range").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    totals = totals.select("_range", F.sum("_p").over(before).alias("_p"), F.sum("_n").over(before).alias("_n"))
+    inside = Window.partitionBy("_range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    below = lambda k: (F.coalesce(F.sum(k).over(inside), F.lit(0)) + F.coalesce(f"_{k}", F.lit(0))).alias(f"{k}_below")
+    return c.join(F.broadcast(totals), "_range").select("s", "p", "n", below("p"), below("n"))
+
+
 def rank_auc(df: DataFrame, truth: str = "truth", score: str = "score") -> DataFrame:
     """One row (auc): mid-ranks for ties; 0.5 with one class only."""
-    c = _by_score(df, truth, score)
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("before", F.coalesce(F.sum(F.col("p") + F.col("n")).over(w), F.lit(0)))
-    ranks = F.sum(F.col("p") * (F.col("before") + (F.col("p") + F.col("n") + 1) / 2))
+    c = _running(_by_score(df, truth, score))
+    ranks = F.sum(F.col("p") * (F.col("p_below") + F.col("n_below") + (F.col("p") + F.col("n") + 1) / 2))
     out = c.agg(ranks.alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     auc = (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("n"))
     return out.select(F.when((F.col("p") > 0) & (F.col("n") > 0), auc).otherwise(0.5).alias("auc"))
@@ -40,11 +56,9 @@ def rank_auc(df: DataFrame, truth: str = "truth", score: str = "score") -> DataF
 
 def threshold_at_fpr(df: DataFrame, target: float, truth: str = "truth", score: str = "score") -> DataFrame:
     """One row (threshold, fpr, tpr): the last point of the full ROC curve with fpr <= target; threshold null if none."""
-    c = _by_score(df, truth, score)
-    w = Window.orderBy(F.desc("s"))
+    c = _running(_by_score(df, truth, score))
     total = c.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    roc = c.withColumns({"cp": F.sum("p").over(w), "cn": F.sum("n").over(w)}).crossJoin(F.broadcast(total))
-    roc = roc.select("s", (F.col("cn") / F.col("all_n")).alias("fpr"), (F.col("cp") / F.col("all_p")).alias("tpr")).filter(F.col("fpr") <= target)
+    roc = c.crossJoin(F.broadcast(total)).select("s", ((F.col("all_n") - F.col("n_below")) / F.col("all_n")).alias("fpr"), ((F.col("all_p") - F.col("p_below")) / F.col("all_p")).alias("tpr")).filter(F.col("fpr") <= target)
     return roc.agg(F.min("s").alias("threshold"), F.coalesce(F.max_by("fpr", -F.col("s")), F.lit(0.0)).alias("fpr"), F.coalesce(F.max_by("tpr", -F.col("s")), F.lit(0.0)).alias("tpr"))
 
 
@@ -54,13 +68,24 @@ def fp_rate(df: DataFrame, threshold: float, truth: str = "truth", score: str =
     return df.agg(F.when(clean > 0, F.count_if((~F.col(truth)) & (F.col(score) >= threshold)) / clean).alias("fp_rate"))
 
 
+def first_by_hash(rows: DataFrame, k: int, seed: int) -> DataFrame:
+    """The ids of the k rows that come first by hash: whole ranges of hashes, and of one range, which is sorted, the rest."""
+    hashed = rows.select("id", seeded(seed).alias("_h")).withColumn("_range", F.substring("_h", 1, 4))
+    done = 0
+    for r in sorted(hashed.groupBy("_range").count().collect()):  # at most 65536 ranges
+        if done + r["count"] > k:
+            last = hashed.filter(F.col("_range") == r["_range"]).orderBy("_h", "id").limit(k - done)
+            return hashed.filter(F.col("_range") < r["_range"]).unionByName(last).select("id")
+        done += r["count"]
+    return hashed.select("id")
+
+
 def inject_label_flips(matrix: DataFrame, fraction: float, source: int = 0, target: int = 1, seed: int = 7) -> DataFrame:
     """`matrix` with relabelled rows and is_flipped: a fraction of all rows, taken from the source class."""
-    sizes = matrix.agg(F.floor(F.count("*") * fraction).alias("_k"))
-    mine = F.col("label") == source
-    ranked = matrix.crossJoin(F.broadcast(sizes)).withColumn("_r", F.row_number().over(Window.partitionBy(mine).orderBy(seeded(seed), "id")))
-    flip = mine & (F.col("_r") <= F.col("_k"))
-    return ranked.withColumn("is_flipped", flip).withColumn("label", F.when(flip, F.lit(target)).otherwise(F.col("label"))).drop("_k", "_r")
+    k = int(matrix.count() * fraction)
+    chosen = first_by_hash(matrix.filter(F.col("label") == source), k, seed).withColumn("_flip", F.lit(True))
+    flip = F.col("_flip").isNotNull() & (F.col("label") == source)
+    return matrix.join(chosen, "id", "left").withColumns({"is_flipped": F.coalesce(flip, F.lit(False)), "label": F.when(flip, F.lit(target)).otherwise(F.col("label"))}).drop("_flip").select(*matrix.columns, "is_flipped")
 
 
 def flip_binary(matrix: DataFrame, fraction: float, seed: int = 7) -> DataFrame:
@@ -94,7 +119,7 @@ def flip_groups(matrix: DataFrame, per_class: int, rate: float, seed: int = 7) -
     short = matrix.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") < need).limit(1).collect()
     if short:
         raise ValueError(f"class {short[0][0]} has {short[0][1]} rows, {need} are needed")
-    ranked = matrix.select("id", "label", F.row_number().over(Window.partitionBy("label").orderBy(seeded(seed), "id")).alias("r"))
+    ranked = _ranked(matrix.select("id", "label"), need, seed).withColumnRenamed("_r", "r")
     position = F.array_position(F.array(*map(F.lit, labels)), F.col("label")) - 1
     step = F.floor((F.col("r") - per_class - 1) / max(share, 1)) + 1
     group = F.when(F.col("r") <= per_class, F.col("label")).otherwise(F.element_at(F.array(*map(F.lit, labels)), ((position + step) % len(labels) + 1).cast("int")))
@@ -104,10 +129,19 @@ def flip_groups(matrix: DataFrame, per_class: int, rate: float, seed: int = 7) -
     return out.filter(~F.col("is_flipped") | (F.col("_slot") < poison)).drop("_slot")
 
 
+def _ranked(matrix: DataFrame, k: int, seed: int) -> DataFrame:
+    """The first k rows of each class by hash, numbered (_r): ranges of hashes that cannot be among them go before any sort."""
+    hashed = matrix.withColumn("_h", seeded(seed)).withColumn("_range", F.substring("_h", 1, 3))
+    upto = Window.partitionBy("label").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most 4096 rows of a class
+    ranges = hashed.groupBy("label", "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    near = hashed.join(ranges.filter(F.col("_before") < k).select("label", "_range"), ["label", "_range"], "left_semi")
+    w = Window.partitionBy("label").orderBy("_h", "id")
+    return near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_h", "_range")
+
+
 def stratified_sample(matrix: DataFrame, k: int, seed: int = 7) -> DataFrame:
     """k rows of each class by hash order."""
-    w = Window.partitionBy("label").orderBy(seeded(seed), "id")
-    return matrix.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+    return _ranked(matrix, k, seed).drop("_r").select(*matrix.columns)
 
 
 def standardize(matrix: DataFrame) -> DataFrame:
@@ -134,6 +168,41 @@ def compare_methods(results: DataFrame, first: str, second: str) -> DataFrame:
     return wide.select("rate", F.col(first).alias("f1_first"), F.col(second).alias("f1_second"), delta.alias("delta"), F.when(delta > 0, first).when(delta < 0, second).otherwise("tie").alias("winner"))
 
 
+def averages(results: DataFrame) -> DataFrame:
+    """(method, f1): the mean over the rates of (rate, method, f1)."""
+    return results.groupBy("method").agg(F.round(F.avg("f1"), 4).alias("f1"))
+
+
+def score_by_class(matrix: DataFrame, threshold: float = 3.0, forest=None) -> DataFrame:
+    """(id, label, truth, score) of (id, features, label, is_flipped): rows against a baseline of their class's unflipped rows.
+
+    The score is the largest deviation over twice the threshold, 1 at most; with a forest, its mean with the forest's.
+    Classes without a baseline of two rows score 0.
+    """
+    from gritsieve.operators import forest as I
+    from gritsieve.streaming.scoring import seed_baseline
+
+    base = checkpointed(seed_baseline(matrix.filter("not is_flipped").withColumnRenamed("label", "key")).filter("n > 1"))
+    joined = matrix.join(base, F.col("label").eqNullSafe(F.col("key")), "left")
+    deviation = F.zip_with(F.zip_with("features", "mean", lambda x, m: F.abs(x - m)), F.transform("m2", lambda s: F.sqrt(s / (F.col("n") - 1))), lambda d, s: d / F.when(s > 1e-10, s).otherwise(1.0))
+    scored = joined.select("id", "features", "label", F.col("is_flipped").alias("truth"), F.coalesce(F.least(F.array_max(deviation) / (2 * threshold), F.lit(1.0)), F.lit(0.0)).alias("score"))
+    if forest is not None:
+        raw = I.raw_scores(scored, forest)
+        scored = raw.withColumn("score", (F.col("score") + F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 - (F.col("iso_raw") - F.lit(forest.offset))))) / 2)
+    return scored.select("id", "label", "truth", "score")
+
+
+def per_class_eval(matrix: DataFrame, target: float = 0.05, threshold: float = 3.0, forest=None, digits: int = 6) -> DataFrame:
+    """(label, n, n_flipped, mean_clean, mean_flipped, auc, threshold, fpr, tpr, fp_rate): means of each class, and what the pooled scores give."""
+    scored = checkpointed(score_by_class(matrix, threshold, forest).withColumn("score", F.round("score", digits)))
+    at = threshold_at_fpr(scored, target)
+    found = at.first()["threshold"]
+    pooled = rank_auc(scored).crossJoin(at).crossJoin(fp_rate(scored, found if found is not None else float("inf")))  # one row each
+    mean = lambda flipped: F.avg(F.when(F.col("truth") == flipped, F.col("score")))
+    per = scored.groupBy("label").agg(F.count("*").alias("n"), F.count_if("truth").alias("n_flipped"), mean(False).alias("mean_clean"), mean(True).alias("mean_flipped"))
+    return per.crossJoin(F.broadcast(pooled))
+
+
 def triage_table(found: DataFrame, truth: DataFrame, top: int = 20) -> DataFrame:
     """The top rows by score with their label, threshold, truth and rank."""
     best = found.orderBy(F.desc("score"), "id").limit(top)

@@ -14,8 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from gritsieve.functions import stats as S
+from gritsieve.functions.cut import checkpointed
+
 SAMPLE = 256
 NODES = "tree int, node int, feature int, split double, low int, high int, depth double"
 
@@ -101,9 +105,11 @@ class Forest:
 def nodes(matrix: DataFrame, n_trees: int = 100, seed: int = 42) -> DataFrame:
     """The forest as a table. Trees draw their rows from a pool of n_trees * 256 rows with the least hashes."""
     pool = matrix.select("id", "features", F.xxhash64(F.lit(seed), F.col("id").cast("string")).alias("h")).orderBy("h", F.col("id").cast("string")).limit(n_trees * SAMPLE)
-    drawn = pool.select("features", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"), "h")
-    w = Window.partitionBy("tree").orderBy(F.xxhash64("h", "tree", F.lit(seed)), "h")
-    drawn = drawn.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= SAMPLE)
+    pool = checkpointed(pool.select("h", "features").withColumn("p", F.monotonically_increasing_id()))
+    # every tree ranks the pool's hashes; rows of numbers go only where they are drawn
+    drawn = pool.select("h", "p", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
+    w = Window.partitionBy("tree").orderBy(F.xxhash64("h", "tree", F.lit(seed)), "h", "p")
+    drawn = drawn.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= SAMPLE).select("tree", "r", "p").join(pool.select("p", "features"), "p")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("r")
@@ -114,39 +120,57 @@ def nodes(matrix: DataFrame, n_trees: int = 100, seed: int = 42) -> DataFrame:
     return drawn.groupBy("tree").applyInPandas(one, NODES)
 
 
-def fit(matrix: DataFrame, contamination: float = 0.1, seed: int = 42, n_trees: int = 100) -> Forest:
-    """Grow the trees (their nodes come to the driver, at most 51100 rows) and set the offset from all rows' scores."""
+def fit_and_score(matrix: DataFrame, contamination: float = 0.1, seed: int = 42, n_trees: int = 100) -> tuple[Forest, DataFrame]:
+    """A forest with the offset from all rows' scores, and `matrix` with iso_raw, walked through the trees once and written.
+
+    The trees' nodes come to the driver, at most 51100 rows; the percentile is found between two of a sketch.
+    """
     n = matrix.limit(SAMPLE).count()
     forest = Forest.of([tuple(r) for r in nodes(matrix, n_trees, seed).collect()], n, contamination)
-    found = raw_scores(matrix, forest).agg(F.percentile("iso_raw", F.lit(contamination)), F.min("iso_raw"), F.max("iso_raw")).first()
-    forest.offset, forest.ends = found[0], (found[1], found[2])
-    return forest
+    raw = checkpointed(raw_scores(matrix, forest))
+    one = S.feature_quantiles(raw.select(F.array("iso_raw").alias("features")), (contamination,), "bracket")
+    ends = raw.agg(F.min("iso_raw"), F.max("iso_raw")).first()
+    forest.offset, forest.ends = one.first()["q"][0], (ends[0], ends[1])
+    return forest, raw
+
+
+def fit(matrix: DataFrame, contamination: float = 0.1, seed: int = 42, n_trees: int = 100) -> Forest:
+    """A forest with its offset."""
+    return fit_and_score(matrix.select("id", "features"), contamination, seed, n_trees)[0]
 
 
 def raw_scores(matrix: DataFrame, forest: Forest) -> DataFrame:
     """`matrix` with iso_raw."""
     context = matrix.sparkSession.sparkContext
-    shared = context.broadcast(forest)
+    shared = context.broadcast(forest)  # 100 trees of at most 511 nodes
     if matrix.rdd.getNumPartitions() < context.defaultParallelism:
         matrix = matrix.repartition(context.defaultParallelism)  # moving a few rows costs less than walking trees on idle cores
+    at = matrix.columns.index("features")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.stack(pdf["features"].to_numpy()) if len(pdf) else np.zeros((0, 1))
-            yield pdf.assign(iso_raw=shared.value.raw(x))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(at).flatten().to_numpy(zero_copy_only=False).astype(float)
+            raw = shared.value.raw(x.reshape(batch.num_rows, -1)) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw)], names=[*batch.schema.names, "iso_raw"])
 
-    return matrix.mapInPandas(run, T.StructType([*matrix.schema.fields, T.StructField("iso_raw", T.DoubleType())]))
+    return matrix.mapInArrow(run, T.StructType([*matrix.schema.fields, T.StructField("iso_raw", T.DoubleType())]))
 
 
-def score(matrix: DataFrame, forest: Forest, trained_on_it: bool = False) -> DataFrame:
-    """`matrix` with iso_score in 0..1 (1: most anomalous; 0.5 if all are equal) and iso_vote (raw below the offset).
+def score(matrix: DataFrame, forest: Forest) -> DataFrame:
+    """`matrix` with iso_score in 0..1 (1: most anomalous; 0.5 if all are equal) and iso_vote (raw below the offset)."""
+    raw = checkpointed(raw_scores(matrix, forest))
+    lo, hi = raw.agg(F.min("iso_raw"), F.max("iso_raw")).first()
+    return judged(raw, forest.offset, (lo, hi))
 
-    With `trained_on_it` the extremes known from training save a pass.
-    """
-    raw = raw_scores(matrix, forest)
-    ends = raw.sparkSession.createDataFrame([forest.ends], "_lo double, _hi double") if trained_on_it and forest.ends else raw.agg(F.min("iso_raw").alias("_lo"), F.max("iso_raw").alias("_hi"))
-    spread = F.col("_hi") - F.col("_lo")
-    return raw.crossJoin(F.broadcast(ends)).withColumns({
-        "iso_score": F.when(spread > 0, (F.col("_hi") - F.col("iso_raw")) / spread).otherwise(0.5),
-        "iso_vote": F.col("iso_raw") < F.lit(forest.offset),
-    }).drop("_lo", "_hi")
+
+def judged(raw: DataFrame, offset: float, ends: tuple[float, float]) -> DataFrame:
+    """Rows with iso_raw with iso_score and iso_vote."""
+    low, high = ends if ends[0] is not None else (0.0, 0.0)
+    score_ = (F.lit(high) - F.col("iso_raw")) / F.lit(high - low) if high > low else F.lit(0.5)
+    return raw.withColumns({"iso_score": score_, "iso_vote": F.col("iso_raw") < F.lit(offset)})
+
+
+def trained(matrix: DataFrame, contamination: float = 0.1, seed: int = 42, n_trees: int = 100) -> DataFrame:
+    """`matrix` scored by a forest grown from itself."""
+    forest, raw = fit_and_score(matrix, contamination, seed, n_trees)
+    return judged(raw, forest.offset, forest.ends)

@@ -60,11 +60,29 @@ def spectral_detect(matrix: DataFrame, n_components: int = 1, iqr_multiplier: fl
 
 
 def class_stats(matrix: DataFrame, found: DataFrame, min_class_size: int = LEAST_CLASS) -> DataFrame:
-    """(label, n, n_flagged, threshold, skipped, reason) of every class."""
+    """(label, n, n_flagged, threshold, q1, q3, iqr, mean_score, max_score, singular_value, explained, skipped, reason) of every class.
+
+    singular_value is the largest of the class's rows about their mean, explained its square's share of all.
+    """
     sizes = matrix.groupBy("label").agg(F.count("*").alias("n"))
-    flags = found.groupBy("label").agg(F.count_if("flagged").alias("n_flagged"), F.max("threshold").alias("threshold"))
+    quartile = F.percentile("score", F.array(F.lit(0.25), F.lit(0.75)))
+    flags = found.groupBy("label").agg(F.count_if("flagged").alias("n_flagged"), F.max("threshold").alias("threshold"), quartile.alias("_q"), F.avg("score").alias("mean_score"), F.max("score").alias("max_score"))
+    centers = S.class_means(matrix).filter(F.col("n") >= min_class_size)
+    scatter = S.class_scatter(matrix, centers)
+    kind = scatter.schema["label"].dataType.simpleString()
+
+    def spectrum(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for label, gram in pdf[["label", "gram"]].itertuples(index=False):
+            d = int(round(len(gram) ** 0.5))
+            values = np.maximum(np.linalg.eigvalsh(np.asarray(gram, float).reshape(d, d)), 0.0)
+            out.append((label, float(np.sqrt(values[-1])), float(values[-1] / values.sum()) if values.sum() > 0 else 0.0))
+        return pd.DataFrame(out, columns=["label", "singular_value", "explained"])
+
+    spectra = scatter.groupBy("label").applyInPandas(spectrum, f"label {kind}, singular_value double, explained double")
     skipped = F.col("n") < min_class_size
-    return sizes.join(flags, "label", "left").select("label", "n", F.coalesce("n_flagged", F.lit(0)).alias("n_flagged"), "threshold", skipped.alias("skipped"), F.when(skipped, F.lit("too few samples")).alias("reason"))
+    q1, q3 = F.col("_q")[0], F.col("_q")[1]
+    return sizes.join(flags, "label", "left").join(spectra, "label", "left").select("label", "n", F.coalesce("n_flagged", F.lit(0)).alias("n_flagged"), "threshold", q1.alias("q1"), q3.alias("q3"), (q3 - q1).alias("iqr"), "mean_score", "max_score", "singular_value", "explained", skipped.alias("skipped"), F.when(skipped, F.lit("too few samples")).alias("reason"))
 
 
 def label_flips_topk(matrix: DataFrame, contamination: float = 0.05, n_components: int = 1) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gritsieve.functions import stats as S
+from gritsieve.functions.cut import checkpointed
 from gritsieve.operators import detect as D, evaluate as E, forest as I, spectral as P
 from gritsieve.plans import frames as X, reports as R
 from gritsieve.sources import features as src, messages as M
@@ -144,7 +145,7 @@ def d3_isolation_fit(spark: SparkSession, d: str) -> DataFrame:
 
 def d4_isolation_score(spark: SparkSession, d: str) -> DataFrame:
     m = X.lineitem(spark, d)
-    return I.score(m, I.fit(m), True).select("id", r("iso_score"), "iso_vote")
+    return I.trained(m).select("id", r("iso_score"), "iso_vote")
 
 
 def d5_ensemble(spark: SparkSession, d: str) -> DataFrame:
@@ -183,10 +184,12 @@ _D6 = _spectral_ctes(X.SHIFT) + f", {_D6_FOUND} SELECT id, label, round(score, 6
 
 def d6_class_stats(spark: SparkSession, d: str) -> DataFrame:
     m = X.shifted(spark, d)
-    return P.class_stats(m, P.spectral_detect(m)).select("label", "n", "n_flagged", r("threshold"), "skipped")
+    return P.class_stats(m, P.spectral_detect(m)).select("label", "n", "n_flagged", *[r(c) for c in ("threshold", "q1", "q3", "iqr", "mean_score", "max_score", "singular_value", "explained")], "skipped")
 
 
-_D6_STATS = _spectral_ctes(X.SHIFT) + f", {_D6_FOUND} SELECT label, count(*) AS n, count_if(flagged)::BIGINT AS n_flagged, round(max(threshold), 6) AS threshold, false AS skipped FROM found GROUP BY label"
+_D6_STATS = _spectral_ctes(X.SHIFT) + f""", {_D6_FOUND}, tr AS (SELECT label, sum(v * v) AS total FROM z GROUP BY label),
+st AS (SELECT label, count(*) AS n, count_if(flagged)::BIGINT AS n_flagged, max(threshold) AS threshold, quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.75) AS q3, avg(score) AS mean_score, max(score) AS max_score, sum(score * score) AS top FROM found GROUP BY label)
+SELECT label, n, n_flagged, round(threshold, 6) AS threshold, round(q1, 6) AS q1, round(q3, 6) AS q3, round(q3 - q1, 6) AS iqr, round(mean_score, 6) AS mean_score, round(max_score, 6) AS max_score, round(sqrt(top), 6) AS singular_value, round(top / total, 6) AS explained, false AS skipped FROM st JOIN tr USING (label)"""
 
 
 def d7_label_flips_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -329,10 +332,13 @@ _E6 = f"WITH b AS (SELECT vec_id AS id, embedding::DOUBLE[] AS f FROM embeddings
 
 
 def e7_flip_groups(spark: SparkSession, d: str) -> DataFrame:
-    return E.flip_groups(X.embeddings(spark, d), 20, 0.25).groupBy("group_label").agg(F.count_if(F.expr("not is_flipped")).alias("clean"), F.count_if("is_flipped").alias("flipped"), F.countDistinct("id").alias("ids"))
+    return E.flip_groups(X.embeddings(spark, d), 20, 0.25).select("group_label", "id", "label", "is_flipped")
 
 
-_E7 = "SELECT label AS group_label, 20::BIGINT AS clean, 7::BIGINT AS flipped, 27::BIGINT AS ids FROM embeddings GROUP BY label"
+_E7 = f"""WITH b AS (SELECT vec_id AS id, label FROM embeddings), c AS (SELECT list(DISTINCT label ORDER BY label) AS labels, count(DISTINCT label) AS n, ceil(7.0 / (count(DISTINCT label) - 1))::BIGINT AS share FROM b),
+k AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {_MD}, id) AS r FROM b),
+p AS (SELECT id, label, r, share, n, labels, floor((r - 21) / share)::BIGINT + 1 AS step FROM k, c WHERE r <= 20 + share * (n - 1))
+SELECT CASE WHEN r <= 20 THEN label ELSE labels[((list_position(labels, label) - 1 + step) % n + 1)::BIGINT] END AS group_label, id, label, r > 20 AS is_flipped FROM p WHERE r <= 20 OR (step - 1) * share + (r - 21) % share < 7"""
 
 
 def e8_stratified_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -355,25 +361,37 @@ def e9_standardize_pca(spark: SparkSession, d: str) -> DataFrame:
 
 
 def e10_per_class_eval(spark: SparkSession, d: str) -> DataFrame:
-    from gritsieve.streaming import scoring as T
+    out = E.per_class_eval(_flipped(spark, d), 0.05)
+    return out.select("label", "n", "n_flipped", *[r(c) for c in ("mean_clean", "mean_flipped", "auc", "threshold", "fpr", "tpr", "fp_rate")])
 
-    m = _flipped(spark, d, 0.05)
-    keyed = m.select(F.col("label").cast("string").alias("key"), F.timestamp_seconds(F.lit(0)).alias("ts"), "id", "features")
-    scored = T.score_batch(keyed, least_votes=1).join(m.select("id", F.col("is_flipped").alias("truth")), "id")
-    return scored.groupBy("key").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.count_if("truth").alias("n_flipped"))
 
+_E10 = f"""WITH {_FLIPPED}, e AS (SELECT id, label, is_flipped, unnest(range(len(f))) AS j, unnest(f) AS x FROM emb), b AS (SELECT label, j, avg(x) AS mu, stddev_samp(x) AS sd FROM e WHERE NOT is_flipped GROUP BY ALL),
+a AS (SELECT id, e.label, is_flipped AS truth, round(least(max(abs(x - mu) / CASE WHEN sd > 1e-10 THEN sd ELSE 1 END) / 6.0, 1.0), 6) AS score FROM e JOIN b ON e.label = b.label AND e.j = b.j GROUP BY ALL),
+u AS (SELECT avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0.0 END)::DOUBLE AS auc FROM a p JOIN a n ON p.truth AND NOT n.truth),
+roc AS (SELECT t.score, (SELECT count(*) FROM a WHERE NOT truth AND a.score >= t.score) / (SELECT count(*) FROM a WHERE NOT truth) AS fpr, (SELECT count(*) FROM a WHERE truth AND a.score >= t.score) / (SELECT count(*) FROM a WHERE truth) AS tpr FROM (SELECT DISTINCT score FROM a) t),
+h AS (SELECT score AS threshold, fpr, tpr FROM roc WHERE fpr <= 0.05 ORDER BY score LIMIT 1)
+SELECT label, count(*) AS n, count_if(truth)::BIGINT AS n_flipped, round(avg(score) FILTER (NOT truth), 6) AS mean_clean, round(avg(score) FILTER (truth), 6) AS mean_flipped, round(any_value(auc), 6) AS auc, round(any_value(threshold), 6) AS threshold, round(any_value(fpr), 6) AS fpr, round(any_value(tpr), 6) AS tpr, round(any_value(fpr), 6) AS fp_rate FROM a, u, h GROUP BY label"""
 
 
-
-def e11_compare_methods(spark: SparkSession, d: str) -> DataFrame:
+def _f1_by_rate(spark: SparkSession, d: str) -> DataFrame:
+    """(rate, method, f1) of three detectors at three rates of flips."""
+    runs = {"crossclass": P.label_flips_crossclass, "topk": P.label_flips_topk}
     rows = None
-    for rate in (0.05, 0.1):
-        m = E.inject_label_flips(X.shifted(spark, d), rate)
+    for rate in (0.05, 0.1, 0.2):
+        m = checkpointed(E.inject_label_flips(X.shifted(spark, d), rate))
         truth = m.filter("is_flipped")
-        for name, run in (("crossclass", P.label_flips_crossclass), ("topk", P.label_flips_topk)):
-            one = E.confusion(run(m).filter("flagged"), truth).select(F.lit(rate).alias("rate"), F.lit(name).alias("method"), "f1")
+        flags = {name: run(m).filter("flagged") for name, run in runs.items()} | {"ensemble": D.ensemble_vote(m).filter("is_poisoned")}
+        for name, flagged in flags.items():
+            one = E.confusion(flagged, truth).select(F.lit(rate).alias("rate"), F.lit(name).alias("method"), "f1")
             rows = one if rows is None else rows.unionByName(one)
-    return E.compare_methods(rows, "crossclass", "topk")
+    return checkpointed(rows)
+
+
+def e11_compare_methods(spark: SparkSession, d: str) -> DataFrame:
+    """Cross-class distances against the ensemble at each rate, and the averages of all three detectors (rate null)."""
+    rows = _f1_by_rate(spark, d)
+    mean = E.averages(rows).select(F.lit(None).cast("double").alias("rate"), F.col("f1").alias("f1_first"), F.lit(None).cast("double").alias("f1_second"), F.lit(None).cast("double").alias("delta"), F.col("method").alias("winner"))
+    return E.compare_methods(rows, "crossclass", "ensemble").unionByName(mean)
 
 
 def e11_given_flags(spark: SparkSession, d: str) -> DataFrame:
@@ -473,7 +491,7 @@ QUERIES = {
     "e8_stratified_sample": (e8_stratified_sample, _E8),
     "e9_standardize": (e9_standardize, _E9),
     "e9_standardize_pca": (e9_standardize_pca, None),
-    "e10_per_class_eval": (e10_per_class_eval, None),
+    "e10_per_class_eval": (e10_per_class_eval, _E10),
     "e11_compare_methods": (e11_compare_methods, None),
     "e11_given_flags": (e11_given_flags, _E11),
     "e12_triage_table": (e12_triage_table, _E12),

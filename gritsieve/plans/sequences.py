@@ -88,7 +88,7 @@ def t11_concept_drift(spark: SparkSession, d: str) -> DataFrame:
 
 def t12_drift_suppress(spark: SparkSession, d: str) -> DataFrame:
     f = X.event_flags(spark, d)
-    return C.suppress(f.drop("is_drifting"), f.select("key", "id", "is_drifting").filter("id % 2 = 0")).select("key", "id", "is_poisoned", "is_drifting", "alert")
+    return C.suppress(f.drop("is_drifting"), f.select("key", "id", "is_drifting")).select("key", "id", "is_poisoned", "is_drifting", "alert")
 
 
 def t13_exact_dup(spark: SparkSession, d: str) -> DataFrame:
@@ -106,15 +106,12 @@ _BITS = f"b AS (SELECT id, array_to_string(list_transform(g, lambda x: CASE WHEN
 
 
 def t15_near_dup(spark: SparkSession, d: str) -> DataFrame:
-    m = X.with_copies(spark, d)
-    # sequence numbers without the gaps between the copies' ids
-    m = m.withColumn("seq", F.when(F.col("id") < 1_000_000, F.col("id")).otherwise(F.lit(10_000) + F.col("id") % 1_000_000))
-    return U.near_duplicates(m, "seq", 0.4, 5000).select("id", r("max_sim"), "near_dup")
+    return U.near_duplicates(X.with_copies(spark, d), "seq", 0.4, 1000).select("id", r("max_sim"), "near_dup")
 
 
-_T15 = f"""WITH {X.COPIES}, u AS (SELECT id, CASE WHEN id < 1000000 THEN id ELSE 10000 + id % 1000000 END AS s, list_transform(f, lambda x: x / sqrt(list_sum(list_transform(f, lambda y: y * y)))) AS u FROM emb),
-p AS (SELECT a.id, max(list_dot_product(a.u, b.u)) AS m FROM u a JOIN u b ON b.s < a.s AND b.s >= a.s - 5000 GROUP BY a.id)
-SELECT u.id, round(greatest(0.0, coalesce(m, 0.0)), 6) AS max_sim, greatest(0.0, coalesce(m, 0.0)) >= 0.4 AS near_dup FROM u LEFT JOIN p USING (id)"""
+_NEAR = """u AS (SELECT id, row_number() OVER (ORDER BY id) AS s, list_transform(f, lambda x: x / sqrt(list_sum(list_transform(f, lambda y: y * y)))) AS u FROM emb),
+p AS (SELECT a.id, max(list_dot_product(a.u, b.u)) AS m FROM u a JOIN u b ON b.s < a.s AND b.s >= a.s - 1000 GROUP BY a.id)"""
+_T15 = f"WITH {X.COPIES}, {_NEAR} SELECT u.id, round(greatest(0.0, coalesce(m, 0.0)), 6) AS max_sim, greatest(0.0, coalesce(m, 0.0)) >= 0.4 AS near_dup FROM u LEFT JOIN p USING (id)"
 
 
 def t16_max_similarity(spark: SparkSession, d: str) -> DataFrame:
@@ -127,9 +124,7 @@ SELECT a.id, round(greatest(0.0, max(list_dot_product(a.u, b.u))), 6) AS max_sim
 
 
 def t17_fingerprint_stats(spark: SparkSession, d: str) -> DataFrame:
-    m = X.with_copies(spark, d)
-    flags = U.pattern_duplicates(U.exact_duplicates(m, ["seq"]), ["seq"])
-    return U.fingerprint_stats(flags.withColumns({"near_dup": F.lit(False), "duplicate": F.col("exact_dup") | F.col("bits_dup")}))
+    return U.fingerprint_stats(U.duplicates(X.with_copies(spark, d), "seq", 0.4, 1000))
 
 
 _DUPS = f"x AS (SELECT id, {_ROUNDED} AS g FROM emb), k AS (SELECT id, row_number() OVER (PARTITION BY g ORDER BY id) > 1 AS exact_dup FROM x)"
@@ -167,12 +162,12 @@ QUERIES = {
     "t9_adwin": (t9_adwin, None),
     "t10_page_hinkley": (t10_page_hinkley, _T10),
     "t11_concept_drift": (t11_concept_drift, None),
-    "t12_drift_suppress": (t12_drift_suppress, f"WITH {X.FLAGS} SELECT key, id, is_poisoned, is_drifting AND id % 2 = 0 AS is_drifting, is_poisoned AND NOT (is_drifting AND id % 2 = 0) AS alert FROM fl"),
+    "t12_drift_suppress": (t12_drift_suppress, f"WITH {X.FLAGS} SELECT key, id, is_poisoned, is_drifting, is_poisoned AND NOT is_drifting AS alert FROM fl"),
     "t13_exact_dup": (t13_exact_dup, f"WITH {X.COPIES}, {_DUPS} SELECT id, exact_dup FROM k"),
     "t14_phash_dup": (t14_phash_dup, f"WITH {X.COPIES}, {_BITS} SELECT id, row_number() OVER (PARTITION BY b ORDER BY id) > 1 AS bits_dup FROM b"),
     "t15_near_dup": (t15_near_dup, _T15),
     "t16_max_similarity": (t16_max_similarity, _T16),
-    "t17_fingerprint_stats": (t17_fingerprint_stats, f"WITH {X.COPIES}, {_DUPS}, {_BITS}, bb AS (SELECT id, row_number() OVER (PARTITION BY b ORDER BY id) > 1 AS bits_dup FROM b) SELECT count(*) AS seen, count_if(exact_dup)::BIGINT AS exact, count_if(bits_dup)::BIGINT AS patterns, 0::BIGINT AS near, count_if(exact_dup OR bits_dup)::BIGINT AS duplicates FROM k JOIN bb USING (id)"),
+    "t17_fingerprint_stats": (t17_fingerprint_stats, f"WITH {X.COPIES}, {_DUPS}, {_BITS}, {_NEAR}, bb AS (SELECT id, row_number() OVER (PARTITION BY b ORDER BY id) > 1 AS bits_dup FROM b), fl AS (SELECT exact_dup, bits_dup, coalesce(m, 0.0) >= 0.4 AS near FROM k JOIN bb USING (id) LEFT JOIN p USING (id)) SELECT count(*) AS seen, count_if(exact_dup)::BIGINT AS exact, count_if(bits_dup)::BIGINT AS patterns, count_if(near AND NOT exact_dup AND NOT bits_dup)::BIGINT AS near, count_if(exact_dup OR bits_dup OR near)::BIGINT AS duplicates FROM fl"),
     "t18_add_samples": (t18_add_samples, "SELECT vec_id AS id FROM embeddings ORDER BY vec_id DESC LIMIT 300"),
     "t19_route": (t19_route, f"WITH {X.FLAGS} SELECT id, {_ROUTE} FROM fl"),
     "t20_pipeline_stats": (t20_pipeline_stats, f"WITH {X.FLAGS}, ro AS (SELECT {_ROUTE} FROM fl) SELECT count(*) AS consumed, count_if(route <> 'dead_letter')::BIGINT AS processed, count_if(route = 'quarantine')::BIGINT AS quarantined, count_if(route = 'dead_letter')::BIGINT AS dead_lettered FROM ro"),
