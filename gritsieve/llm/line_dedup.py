@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .graph import components
-from .storage import checkpointed, stored
+from .storage import checkpointed, release, stored
 from .text import Prefixes, mix, span_hashes, text_slices, word_spans
 
 #: Most edits between linked lines, and bytes of the shorter line that allow one.
@@ -248,6 +248,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     met = side("at >= n_listed", "a", "_s").join(listed, "key").filter((F.col("a") != F.col("b")) & _close("_s", "_t"))
     met = met.unionByName(side("at < n_listed", "a", "_s").join(listed, "key").filter((F.col("a") < F.col("b")) & _close("_s", "_t")))
     pairs = checkpointed(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    release(docs.sparkSession)
     links = checkpointed(_verified(pairs, docs, places, id_col, text_col))
     ends = links.select(F.explode(F.array("a", "b")).alias("line"))
     named = checkpointed(checkpointed(ends.groupBy("line").agg(F.count("*").alias("n_links"))).withColumn("node", F.monotonically_increasing_id()))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .graph import components
-from .storage import checkpointed
+from .storage import checkpointed, release
 from .text import hashed_words, mix, shingles, text_slices
 
 CHUNKS, PER_CHUNK = 11, 4
@@ -116,7 +116,8 @@ def _tasks(members: DataFrame, nodes: DataFrame) -> DataFrame:
     pairs = held.join(held.select("key", F.col("unit").alias("other")), "key").filter((F.col("unit") < F.col("other")) | ((F.col("unit") == F.col("other")) & (F.col("k") > 1)))
     pairs = checkpointed(pairs.select(F.col("unit").alias("u"), F.col("other").alias("v")).distinct())
     sides = pairs.select(F.col("u").alias("unit"), "u", "v", F.lit(True).alias("left")).unionByName(pairs.filter("u < v").select(F.col("v").alias("unit"), "u", "v", F.lit(False).alias("left")))
-    return units.join(sides.groupBy("unit").agg(F.collect_list(F.struct("u", "v", "left")).alias("tasks")), "unit").select("node", "tasks")
+    tasks = checkpointed(sides.groupBy("unit").agg(F.collect_list(F.struct("u", "v", "left")).alias("tasks")))
+    return units.join(tasks, "unit").select("node", "tasks")
 
 
 def forest(nodes: np.ndarray, left: np.ndarray, flat: np.ndarray, sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -223,6 +224,7 @@ def link(docs: DataFrame, words: int = 3, percent: int = 85, id_col: str = "doc_
     all_keys = keys(nodes)
     shared = all_keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("c")).filter("lo < hi").select("key", "c")
     members = checkpointed(all_keys.join(shared, "key"))
+    release(docs.sparkSession)
     links = checkpointed(_links(docs, _tasks(members, nodes), words, percent, id_col, text_col))
     own = firsts.join(components(links), "node", "left").select("set_a", "set_b", "n", F.coalesce("root", "node").alias("component_id"))
     found = full.join(own, ["set_a", "set_b", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -33,3 +33,10 @@ def stored(df: DataFrame) -> DataFrame:
     folder = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does once the driver's garbage collector has found that nothing refers to them."""
+    jvm = getattr(spark.sparkContext, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()

@@ -38,7 +38,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import checkpointed
+from .storage import release, stored
 from .text import eights, mix, span_hashes, step, string_buffers, text_slices
 
 LENGTH, GRAM = 50, 20
@@ -443,7 +443,8 @@ def _by_document(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, spans array<struct<th,a,b>>): byte ranges of each text, of those with the id the one with the hash th, that smaller ids hold; they may overlap."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), text_col).filter((F.octet_length(text_col) >= LENGTH) & F.col("doc").isNotNull())
-    several = checkpointed(_in_two(_anchor_rows(texts)).groupBy("doc").agg(F.collect_list("h").alias("hs")))
+    several = stored(_in_two(_anchor_rows(texts)).groupBy("doc").agg(F.collect_list("h").alias("hs")))
+    release(docs.sparkSession)
     runs = several.agg(F.sum(F.size("hs"))).first()[0] or 0
     parts = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs // PART_RUNS))
     marked = _by_document(docs, id_col, text_col).join(several.hint("shuffle_hash"), "doc", "left").select("doc", "text", "hs", F.hash("text").alias("th"))
