@@ -94,6 +94,13 @@ def test_codec_on_random_texts_and_ids():
         assert own.decode(ids) == lib.decode(ids)
 
 
+def test_codec_on_odd_tables(clashing, rows, empty):
+    coded = D1.decode(D1.encode(clashing))
+    assert coded.count() == len(rows) + 3 and D1.round_trip(clashing).count() == len(rows) + 3
+    assert D1.encode(empty).count() == D1.round_trip_digests(empty).count() == 0
+    assert {len(r["ids"]) for r in coded.filter("text is null or text = ''").collect()} == {1}
+
+
 # -- 2 ----------------------------------------------------------------------------
 
 

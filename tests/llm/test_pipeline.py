@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from gritsieve.llm import decontaminate, quality_rules
@@ -106,3 +107,24 @@ def test_codec_stage(stages):
 
 def test_run_returns_the_last_stage(spark, stages):
     assert sorted(r["doc_id"] for r in P.run(spark, SF).collect()) == sorted(ids(stages[5]))
+
+
+def test_stages_on_odd_tables(spark):
+    """Null ids, null and empty texts, repeated rows, a long text, columns named like results and internals; empty tables."""
+    rng = random.Random(41)
+    base = words(rng, 60)
+    rows = [(1, base), (1, base), (2, base + " more"), (None, words(rng, 40)), (3, None), (4, ""), (5, words(rng, 20_000)), (6, words(rng, 50)), (None, words(rng, 30))]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for c in ("kept", "line", "node", "set_a", "n_words", "_drop_", "ids", "decoded", "key", "tasks", "h"):
+        df = df.withColumn(c, F.lit(1))
+    columns, left = df.columns, {}
+    for name, stage in P.STAGES:
+        out = stage(spark, df, SF)
+        assert stage(spark, df.limit(0), SF).count() == 0
+        if name != "sentencepiece":
+            assert out.columns == columns and {r["kept"] for r in out.collect()} <= {1}
+        left[name] = sorted((r["doc_id"] or 0) for r in out.collect())
+    assert left["quality_rules"] == [0, 0, 1, 1, 2, 5, 6]
+    assert left["line_dedup"] == [0, 0, 1, 1, 2, 3, 4, 5, 6]
+    assert left["minhash_dedup"] == [0, 0, 1, 1, 3, 4, 5, 6]
+    assert left["decontamination"] == left["sentencepiece"] == [0, 0, 1, 1, 2, 3, 4, 5, 6]
