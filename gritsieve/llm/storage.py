@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder. There is no default: a folder of one machine would be lost to the others."""
+    """The session's checkpoint folder.
+
+    Where none is set, a session on one machine gets a folder of that machine, any other one beside its tables,
+    in the warehouse, which driver and executors share.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            alone = context.master.split("[")[0] == "local"
+            folder = tempfile.mkdtemp(prefix="gritsieve-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
