@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` computed once and written to the session's checkpoint folder, which driver and executors must share."""
-    context = df.sparkSession.sparkContext
+    """`df` computed once and written to the session's checkpoint folder.
+
+    Where none is set, a session on one machine gets a folder of that machine, any other one in the warehouse, which
+    driver and executors share.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            alone = context.master.split("[")[0] == "local"
+            folder = tempfile.mkdtemp(prefix="gritsieve-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
