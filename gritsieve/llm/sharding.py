@@ -1,16 +1,17 @@
 """Sharding by sampled splitters (operator 5), DataFrame functions only.
 
-Keys are (64-bit hash of the text, id), so equal texts are neighbours and yet
-any run of keys can be split.  A sample of keys, drawn with a chance in
+Keys are (64-bit hash of the text, id, place in the written table), so equal texts
+are neighbours and yet any run of keys, even of equal rows, can be split.  A sample of keys, drawn with a chance in
 proportion to the size of their rows, gives quantile boundaries of the bytes;
 rows are range-partitioned by them, ranges that turn out overfull get further
-boundaries from a second sample drawn inside them, and exact sums inside and
+boundaries from samples drawn inside them, until none is, and exact sums inside and
 before each range place every row: a shard is a run of keys with its share of
 all bytes, at most one row's size off.
 
-Nulls: a null text has size 8; null ids come first among equal texts.  Rows that
-are equal in key (repeated ids and texts) share a place in the order by chance,
-but each has its own slot.  An empty table gives an empty result.
+Nulls: a null text has size 8; null ids come first among equal texts.  Of rows that
+repeat an id and a text, chance says which comes first, but each has its own slot.
+Long texts are hashed whole and never moved.  Only the id and the text are read,
+whatever other columns are called.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,22 +25,24 @@ RANGE_ROWS = 2_000_000
 SAMPLE_PER_RANGE = 24
 #: Ranges whose boundaries one sample may give (24 keys of 16 bytes each): bounds what the driver holds.
 MOST_RANGES = 1 << 15
+#: Overfull ranges that one further sample is drawn in.
+MOST_FULL = 1000
 
 
 def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, size, text_crc32, key) of each row."""
+    """(id, size, text_crc32, hash of the text) of each row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return df.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.struct(F.xxhash64(text).alias("h"), F.col(id_col).cast("long").alias("id")).alias("key"),
+        F.xxhash64(text).alias("h"),
     )
 
 
 def _chance(seed: int) -> Column:
     """A number in [0, 1) that depends on the key and the seed alone."""
-    return F.pmod(F.xxhash64("key.h", "key.id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    return F.pmod(F.xxhash64("key.h", "key.id", "key.row", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
 
 
 def _boundaries(keys: list, ranges: int) -> list:
@@ -50,15 +53,20 @@ def _boundaries(keys: list, ranges: int) -> list:
     return [keys[i] for i in at]
 
 
+def _rank(key: tuple) -> tuple:
+    """Spark's order of keys: nulls first."""
+    return key[0], key[1] is not None, key[1] or 0, key[2]
+
+
 def _ordered(rows: list) -> list:
-    return sorted(((r["key"]["h"], r["key"]["id"]) for r in rows), key=lambda x: (x[0], x[1] is not None, x[1] or 0))
+    return sorted(((r["key"]["h"], r["key"]["id"], r["key"]["row"]) for r in rows), key=_rank)
 
 
 def _range_of(spark: SparkSession, df: DataFrame, bounds: list) -> DataFrame:
     """`df` with the number of boundaries at or below each key, by binary search in a broadcast array."""
     if not bounds:
         return df.withColumn("range", F.lit(0))
-    table = spark.createDataFrame([(bounds,)], "bounds array<struct<h:bigint,id:bigint>>")
+    table = spark.createDataFrame([(bounds,)], "bounds array<struct<h:bigint,id:bigint,row:bigint>>")
     steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
     found = F.reduce(F.array(*map(F.lit, steps)), F.lit(0), lambda low, step: F.when((low + step <= F.size("bounds")) & (F.get("bounds", low + step - 1) <= F.col("key")), low + step).otherwise(low))
     return df.crossJoin(F.broadcast(table)).withColumn("range", found).drop("bounds")  # one row of at most MOST_RANGES keys
@@ -70,6 +78,7 @@ def place(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: s
 
     spark = df.sparkSession
     rows = checkpointed(sized(df, id_col, text_col))  # 40 bytes a row; texts are read once
+    rows = rows.withColumn("key", F.struct("h", F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("row"))).drop("h")
     total = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
     all_bytes, n_rows = total["bytes"] or 0, total["n"]
     n_ranges = min(MOST_RANGES, max(RANGES_PER_SHARD * n_shards, -(-n_rows // RANGE_ROWS)))
@@ -78,13 +87,13 @@ def place(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: s
     bounds = _boundaries(_ordered(sample), n_ranges)
     ranged = _range_of(spark, rows, bounds)
     sums = _sums(ranged)
-    # ranges with over twice their share are cut again by a sample of their own
-    share = all_bytes / max(n_ranges, 1)
-    full = [r["range"] for r in sums if r["bytes"] > 2 * share and r["rows"] > 1]
-    if full:
-        inside = ranged.filter(F.col("range").isin(full) & (_chance(2) < F.col("size") * F.lit(4 * rate))).select("key").collect()
-        extra = _ordered(inside)
-        bounds = sorted({*bounds, *extra[:: SAMPLE_PER_RANGE * 2]}, key=lambda x: (x[0], x[1] is not None, x[1] or 0))
+    # ranges with over twice their share beside their largest row are cut again by samples of their own, until none is left
+    share, seed = all_bytes / max(n_ranges, 1), 2
+    while (full := {r["range"]: float(r["bytes"]) for r in sums if r["bytes"] - r["most"] > 2 * share}) and len(bounds) <= 2 * MOST_RANGES:
+        chosen = dict(list(full.items())[:MOST_FULL])  # the others in the next round
+        size_of = F.element_at(F.create_map(*[F.lit(x) for pair in chosen.items() for x in pair]), F.col("range"))
+        inside = ranged.filter(F.col("range").isin(list(chosen))).filter(_chance(seed) < F.col("size") * 4.0 * SAMPLE_PER_RANGE / size_of).select("key").collect()
+        bounds, seed = sorted({*bounds, *_ordered(inside)[::SAMPLE_PER_RANGE]}, key=_rank), seed + 1
         ranged = _range_of(spark, rows, bounds)
         sums = _sums(ranged)
     before, done, count = [], 0, 0
@@ -106,4 +115,4 @@ def place(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: s
 
 def _sums(ranged: DataFrame) -> list:
     """Exact bytes and rows of each range, in order; a row for each range comes to the driver."""
-    return ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).orderBy("range").collect()
+    return ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.max("size").alias("most")).orderBy("range").collect()

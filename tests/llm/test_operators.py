@@ -328,6 +328,17 @@ def test_one_hot_text_is_split_over_shards(spark):
     assert len(n) == 24 and max(n) - min(n) <= 1
 
 
+def test_one_hot_row_is_split_over_shards(spark):
+    """Rows that repeat one id and text, a third of all, and again in few ranges that the first sample leaves overfull."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same text")).otherwise(F.concat(F.lit("text "), (1000 + F.col("id") % 9000).cast("string"))).alias("text"))
+    out = D5.place(df, 24).collect()
+    sizes = collections.Counter()
+    for r in out:
+        sizes[r["shard"]] += r["size"]
+    assert len(out) == 3000 and len(sizes) == 24 and max(sizes.values()) - min(sizes.values()) <= 2 * max(r["size"] for r in out)
+    assert len({r["shard"] for r in out if r["doc_id"] == 7}) >= 8
+
+
 # -- 6 ----------------------------------------------------------------------------
 
 
