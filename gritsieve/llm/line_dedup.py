@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .graph import components
@@ -295,43 +296,43 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches):
         for batch in batches:
-            texts, keep = batch.column(at).to_pylist(), np.ones(batch.num_rows, bool)
-            touched = _repeating(batch.column(at)) | np.asarray(batch.column(drops).is_valid())
-            for k in np.flatnonzero(touched).tolist():
-                text = _without(texts[k], set(batch.column(drops)[k].as_py() or ()))
-                if text != texts[k]:
-                    texts[k], keep[k] = text, bool(text.strip())
-            columns = [pa.array(texts, batch.schema.field(c).type) if c == at else batch.column(c) for c in range(len(names))]
+            text, lists = batch.column(at), batch.column(drops)
+            changed: dict[int, str] = {}
+            for a, b, data, offsets in text_slices(text):
+                starts, _, row, h = line_spans(data, offsets)
+                bad = np.flatnonzero(_again(row, h) | _among(row, h, lists.slice(a, b - a)))
+                for k in np.unique(row[bad]).tolist():
+                    own = data[offsets[k] : offsets[k + 1]]
+                    gone = set(np.searchsorted(np.flatnonzero(own == 10), starts[bad[slice(*np.searchsorted(row[bad], [k, k + 1]))]] - offsets[k]).tolist())
+                    changed[a + k] = b"\n".join(part for i, part in enumerate(own.tobytes().split(b"\n")) if i not in gone).decode()
+            if changed:
+                rows = np.fromiter(changed, np.int64, len(changed))
+                places = np.arange(batch.num_rows)
+                places[rows] = batch.num_rows + np.arange(len(rows))
+                text = pa.concat_arrays([text, pa.array(list(changed.values()), text.type)]).take(pa.array(places))
+            keep = np.ones(batch.num_rows, bool)
+            keep[[k for k, t in changed.items() if not t.strip()]] = False
+            columns = [text if c == at else batch.column(c) for c in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
     return joined.mapInArrow(run, docs.schema)
 
 
-def _repeating(column: pa.Array) -> np.ndarray:
-    """Which texts hold a line more than once."""
-    out = np.zeros(len(column), bool)
-    for a, _, data, offsets in text_slices(column):
-        _, _, row, h = line_spans(data, offsets)
-        order = np.lexsort((h[:, 1], h[:, 0], row))
-        row, h = row[order], h[order]
-        out[a + row[1:][(row[1:] == row[:-1]) & (h[1:] == h[:-1]).all(axis=1)]] = True
+def _again(row: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which lines stand in their text before."""
+    out = np.zeros(len(row), bool)
+    order = np.lexsort((h[:, 1], h[:, 0], row))  # stable, so the first of equal lines comes first
+    same = (row[order][1:] == row[order][:-1]) & (h[order][1:] == h[order][:-1]).all(axis=1)
+    out[order[1:][same]] = True
     return out
 
 
-def _without(text: str | None, gone: set[bytes]) -> str | None:
-    """The text without the lines whose hashes are in `gone`, and without others after their first place."""
-    if text is None:
-        return None
-    data = text.encode()
-    view = np.frombuffer(data, np.uint8)
-    starts, _, _, h = line_spans(view, np.array([0, len(view)]))
-    bad, seen = [], set(gone)
-    for v in map(bytes, h.reshape(-1, 2)):
-        bad.append(v in seen)
-        seen.add(v)
-    bad = starts[np.array(bad, bool)]
-    if not len(bad):
-        return text
-    feeds = np.flatnonzero(view == 10)
-    number = set(np.searchsorted(feeds, bad).tolist())
-    return b"\n".join(part for k, part in enumerate(data.split(b"\n")) if k not in number).decode()
+def _among(row: np.ndarray, h: np.ndarray, lists: pa.Array) -> np.ndarray:
+    """Which lines are in the list of their row, by both halves of their hashes."""
+    values = lists.flatten()
+    if not len(values):
+        return np.zeros(len(row), bool)
+    listed = np.frombuffer(b"".join(values.to_pylist()), np.uint64).reshape(-1, 2)
+    owner = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    salt = lambda r: mix(r.astype(np.uint64) + np.uint64(1))
+    return np.isin(h[:, 0] ^ salt(row), listed[:, 0] ^ salt(owner)) & np.isin(h[:, 1] ^ salt(row), listed[:, 1] ^ salt(owner))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 MARK = "▁"
 #: Units kept by each Python worker; the cache is emptied when it is full.
-CACHE_UNITS = 200_000
+CACHE_UNITS = 100_000
 _NONE = np.int32(2**31 - 1)
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
