@@ -37,6 +37,8 @@ from .text import Prefixes, mix, span_hashes, text_slices, word_spans
 
 #: Most edits between linked lines, and bytes of the shorter line that allow one.
 EDITS, SHARE = 2, 20
+#: Lines to verify whose hashes are broadcast; more are joined.
+MOST_BROADCAST = 500_000
 _FEED = np.zeros(256, bool)
 _FEED[10] = True
 
@@ -200,7 +202,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, id_col: str,
     """(a, b): lines, of the pairs of first halves of their hashes, that are within the edits they allow; texts come from the first document that holds each."""
     wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("half")).distinct())
     held = places.join(wanted, "half", "left_semi").groupBy("line").agg(F.min("doc_id").alias("_id"))
-    held = held.groupBy("_id").agg(F.collect_list("line").alias("_lines"))
+    held = checkpointed(held.groupBy("_id").agg(F.collect_list("line").alias("_lines")))
+    if (held.agg(F.sum(F.size("_lines"))).first()[0] or 0) <= MOST_BROADCAST:
+        held = F.broadcast(held)  # some 24 bytes a line; beyond that bound documents are dealt by id
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_col).join(held, "_id").select(text_col, "_lines")
 
     def cut(batches):

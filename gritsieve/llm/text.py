@@ -7,6 +7,8 @@ working arrays stay small whatever the batch size is.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -30,6 +32,7 @@ for _a, _b in ((48, 58), (65, 91), (97, 123)):
     PUNCTUATION[_a:_b] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -79,11 +82,19 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES):
         row = end
 
 
+def give_back() -> None:
+    """Return free memory to the system, as workers live on through tasks of many kinds."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def text_slices(column: pa.Array, most: int = SLICE_BYTES):
     """(first row, end row, bytes, offsets) for each slice of a string column."""
     data, offsets = string_buffers(column)
     for a, b in slices(offsets, most):
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+    give_back()
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
