@@ -71,3 +71,56 @@ v AS MATERIALIZED (SELECT u.line, coalesce(class, u.line) AS class, first, place
 g AS (SELECT class, min(first) AS first_doc, sum(places)::BIGINT AS n_places FROM v GROUP BY class),
 f AS (SELECT class, min(place) AS own FROM o JOIN v USING (line) JOIN g USING (class) WHERE doc_id = first_doc GROUP BY class)
 SELECT doc_id, place AS line_no, n_links, n_places, first_doc, doc_id = first_doc AND place = own AS kept FROM o JOIN v USING (line) JOIN g USING (class) JOIN f USING (class)"""
+
+#: CRC-32 of a text given as hex digits: its table of 256 values by rule, then a byte at a time.
+_CRC_TABLE = "crc_table AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n) ORDER BY n) AS t FROM range(256) x(n))"
+
+
+def _crc(hexed: str) -> str:
+    return f"xor(list_reduce(list_transform(regexp_extract_all({hexed}, '..'), lambda x: ('0x' || x)::BIGINT), lambda c, b: xor(c // 256, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
+SHARDING = f"""
+WITH {_CRC_TABLE},
+r AS MATERIALIZED (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, md5(coalesce(text, '')) AS h, {_crc("hex(encode(coalesce(text, '')))")} AS text_crc32 FROM documents, crc_table),
+p AS MATERIALIZED (SELECT *, sum(size) OVER (ORDER BY h, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)::BIGINT AS e, sum(size) OVER ()::BIGINT AS total, max(size) OVER () AS most,
+  min(doc_id) OVER (PARTITION BY h) AS o FROM r),
+g AS (SELECT *, min(e - size) OVER (PARTITION BY h) AS a, max(e) OVER (PARTITION BY h) AS b FROM p),
+s AS (SELECT *, least(23, floor(CASE WHEN b - a <= most THEN (a + b) // 2 ELSE e - size // 2 END * 24 / total))::INTEGER AS shard FROM g)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY e) - 1)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM s"""
+
+
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE octet_length(encode(({value})::VARCHAR)) || ':' || ({value})::VARCHAR END"
+
+
+_LEAF = "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """CTEs of all nodes (l: level, s: tree, i: number, n: nodes of the level, d: digest), and of what stands on either side of each."""
+    return f"""{name}(l, s, i, n, d) AS (SELECT 0, s, row_number() OVER (PARTITION BY s ORDER BY k) - 1, count(*) OVER (PARTITION BY s), d FROM {leaves}
+  UNION ALL SELECT l + 1, s, i // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY l, s, i // 3, n),
+{name}_side AS MATERIALIZED (SELECT l, s, i, n, substr(run, 1, 64 * (i % 3)) AS a, substr(run, 64 * (i % 3) + 65) AS b FROM (SELECT *, string_agg(d, '' ORDER BY i) OVER (PARTITION BY l, s, i // 3 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS run FROM {name}) WHERE n > 1)"""
+
+
+def _walk(name: str, starts: str, tree: str) -> str:
+    """CTE of the leaves' way up: the digest folded so far, and the siblings passed."""
+    return f"""{name}(doc_id, s, i, l, cur, proof) AS (SELECT doc_id, s, i, 0, cur, proof FROM {starts}
+  UNION ALL SELECT doc_id, w.s, w.i // 3, w.l + 1, sha256(a || cur || b), proof || a || b FROM {name} w JOIN {tree}_side x ON x.s = w.s AND x.l = w.l AND x.i = w.i)"""
+
+
+MERKLE = f"""
+WITH RECURSIVE {_CRC_TABLE},
+f AS MATERIALIZED (SELECT doc_id, coalesce('=' || source, '-') AS s, {_LEAF.format(text="text")} AS leaf, {_LEAF.format(text="replace(text, chr(10), '')")} AS other, {_crc("hex(encode(doc_id::VARCHAR))")} % 2 = 0 AS bad FROM documents, crc_table),
+lv AS (SELECT s, doc_id AS k, leaf AS d FROM f),
+{_tree("t", "lv")},
+tops AS MATERIALIZED (SELECT s, d FROM t WHERE n = 1),
+tl AS (SELECT '' AS s, s AS k, d FROM tops),
+{_tree("u", "tl")},
+start AS (SELECT doc_id, s, row_number() OVER (PARTITION BY s ORDER BY doc_id) - 1 AS i, CASE WHEN bad THEN other ELSE leaf END AS cur, '' AS proof FROM f),
+{_walk("w", "start", "t")},
+mid AS (SELECT doc_id, '' AS s, k.i AS i, cur, proof FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY l DESC) AS last FROM w) JOIN (SELECT s AS name, row_number() OVER (ORDER BY s) - 1 AS i FROM tops) k ON k.name = s WHERE last = 1),
+{_walk("v", "mid", "u")},
+ends AS (SELECT doc_id, cur, proof FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY l DESC) AS last FROM v) WHERE last = 1)
+SELECT doc_id, leaf, tops.d AS subroot, r.d AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = r.d AS verified FROM f JOIN ends USING (doc_id) JOIN tops USING (s), (SELECT d FROM u WHERE n = 1) r"""

@@ -1,6 +1,6 @@
 """Sharding by sampled splitters (operator 5), DataFrame functions only.
 
-Keys are (64-bit hash of the text, id, place in the written table), so equal texts
+Keys are (MD5 of the text, id, place in the written table), so equal texts
 are neighbours and yet any run of keys, even of equal rows, can be split.  A sample of keys, drawn with a chance in
 proportion to the size of their rows, gives quantile boundaries of the bytes;
 rows are range-partitioned by them, and ranges that turn out overfull are cut at quantiles of
@@ -34,7 +34,7 @@ def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.xxhash64(text).alias("h"),
+        F.md5(text).alias("h"),
     )
 
 
@@ -61,10 +61,10 @@ def _range_of(df: DataFrame, bounds: list) -> DataFrame:
     """`df` with the number of boundaries at or below each key, by binary search in a broadcast array."""
     if not bounds:
         return df.withColumn("range", F.lit(0))
-    table = df.sparkSession.createDataFrame([(bounds,)], "bounds array<struct<h:bigint,id:bigint,row:bigint>>")
+    table = df.sparkSession.createDataFrame([(bounds,)], "bounds array<struct<h:string,id:bigint,row:bigint>>")
     steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
     found = F.reduce(F.array(*map(F.lit, steps)), F.lit(0), lambda low, step: F.when((low + step <= F.size("bounds")) & (F.get("bounds", low + step - 1) <= F.col("key")), low + step).otherwise(low))
-    return df.crossJoin(F.broadcast(table)).withColumn("range", found).drop("bounds")  # one row; a key of 24 bytes for each range
+    return df.crossJoin(F.broadcast(table)).withColumn("range", found).drop("bounds")  # one row; a key of 48 bytes for each range
 
 
 def ranges(rows: DataFrame, n_shards: int) -> tuple[DataFrame, list]:
@@ -77,9 +77,9 @@ def ranges(rows: DataFrame, n_shards: int) -> tuple[DataFrame, list]:
     total = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
     all_bytes, n_ranges = total["bytes"] or 0, max(RANGES_PER_SHARD * n_shards, -(-total["n"] // RANGE_ROWS))
     share = all_bytes / n_ranges
-    # the first sample is dealt by the top bits of the hash, in order: a part of it for about 64 ranges
+    # the first sample is dealt by the first digits of the hash, in order: a part of it for about 64 ranges
     parts = max(1, n_ranges // 64)
-    part = F.floor((F.shiftright(F.col("key.h"), 32) + (1 << 31)) * F.lit(parts) / float(1 << 32))
+    part = F.floor(F.conv(F.substr("key.h", F.lit(1), F.lit(8)), 16, 10).cast("long") * F.lit(parts) / float(1 << 32))
     sample = rows.filter(_chance(1) < F.col("size") * F.lit(n_ranges * SAMPLE_PER_RANGE / max(all_bytes, 1)))
     sample = sample.select("key", part.alias("part"))
     bounds = sorted(_cuts(sample, ["part"], F.greatest(F.lit(1), F.floor(F.col("of") / SAMPLE_PER_RANGE))), key=_rank)
@@ -103,7 +103,7 @@ def place(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: s
     from .storage import checkpointed
 
     spark = df.sparkSession
-    rows = checkpointed(sized(df, id_col, text_col))  # 40 bytes a row; texts are read once
+    rows = checkpointed(sized(df, id_col, text_col))  # some 60 bytes a row; texts are read once
     rows = rows.withColumn("key", F.struct("h", F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("row"))).drop("h")
     ranged, sums = ranges(rows, n_shards)
     before, done, count = [], 0, 0
