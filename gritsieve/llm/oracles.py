@@ -124,3 +124,8 @@ mid AS (SELECT doc_id, '' AS s, k.i AS i, cur, proof FROM (SELECT *, row_number(
 {_walk("v", "mid", "u")},
 ends AS (SELECT doc_id, cur, proof FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY l DESC) AS last FROM v) WHERE last = 1)
 SELECT doc_id, leaf, tops.d AS subroot, r.d AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = r.d AS verified FROM f JOIN ends USING (doc_id) JOIN tops USING (s), (SELECT d FROM u WHERE n = 1) r"""
+
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages),
+q AS (SELECT page_id, octet_length(encode(x)) AS n, sha1(x) AS d, max(page_id) OVER (PARTITION BY x) AS latest FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND page_id < latest THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND page_id < latest THEN latest END AS refers_to FROM q"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, line_dedup, merkle_manifest, minhash_dedup, oracles, quality_fm, quality_rules, sentencepiece_codec, sharding, suffix_dedup, toxicity_cnn
+from . import decontaminate, license_scan, line_dedup, merkle_manifest, minhash_dedup, oracles, quality_fm, quality_rules, sentencepiece_codec, sharding, suffix_dedup, token_alignment, toxicity_cnn, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,6 +58,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.proofs(_read(spark, sf_dir, "documents"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.digests(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -71,9 +79,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": op9_line_dedup,
         "op10_minhash_dedup": op10_minhash_dedup,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_warc": op12_warc,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express; the others are held against brute force, the library or held-out rows in the tests."""
-    return {"op5_sharding": oracles.SHARDING, "op6_suffix_dedup": oracles.SUFFIX_DEDUP, "op8_quality_rules": oracles.QUALITY_RULES, "op9_line_dedup": oracles.LINE_DEDUP, "op10_minhash_dedup": oracles.MINHASH_DEDUP, "op11_merkle_manifest": oracles.MERKLE}
+    return {"op5_sharding": oracles.SHARDING, "op6_suffix_dedup": oracles.SUFFIX_DEDUP, "op8_quality_rules": oracles.QUALITY_RULES, "op9_line_dedup": oracles.LINE_DEDUP, "op10_minhash_dedup": oracles.MINHASH_DEDUP, "op11_merkle_manifest": oracles.MERKLE, "op12_warc": oracles.WARC}
