@@ -51,22 +51,36 @@ def step(state: list[float] | None, ts: float, level: int, cooldown: float, esca
 
 
 def _alerts(alerts: DataFrame, cooldown: float, escalation: float, reset_after: float | None, streaming: bool) -> DataFrame:
-    from gritsieve.streaming.keyed import in_order, stateful
+    from gritsieve.streaming.keyed import Detector, in_order, stateful
+
+    class Sent(Detector):
+        """When a key was first seen and last sent."""
+
+        VALUES = {"sent": "first double, last double"}
+
+        def __init__(self):
+            self.times: list[float] | None = None
+
+        def values(self) -> dict[str, tuple]:
+            return {"sent": tuple(self.times)} if self.times else {}
+
+        def restore(self, values: dict, logs: dict, maps: dict) -> None:
+            self.times = list(values["sent"]) if "sent" in values else None
 
     rank = {s: i for i, s in enumerate(SEVERITIES)}
 
-    def run(held: dict, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(held: Sent, pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for a in pdf.itertuples(index=False):
             level = rank[a.severity]
-            held["state"], sent, new = step(held["state"], a.ts, level, cooldown, escalation, reset_after)
+            held.times, sent, new = step(held.times, a.ts, level, cooldown, escalation, reset_after)
             up = new > level
             out.append((a.dedup_key, a.ts, a.id, f"[ESCALATED] {a.title}" if up else a.title, SEVERITIES[new], sent, a.severity if up else None))
         return pd.DataFrame(out, columns=["dedup_key", "ts", "id", "title", "severity", "sent", "escalated_from"])
 
     rows = alerts.select("dedup_key", F.col("ts").cast("double").alias("ts"), F.col("id").cast("long").alias("id"), "title", "severity")
     schema = "dedup_key string, ts double, id bigint, title string, severity string, sent boolean, escalated_from string"
-    return (stateful if streaming else in_order)(rows, "dedup_key", ["ts", "id"], schema, lambda: {"state": None}, run)
+    return (stateful if streaming else in_order)(rows, "dedup_key", ["ts", "id"], schema, Sent, run)
 
 
 def alert_dedup(alerts: DataFrame, cooldown: float = COOLDOWN, escalation: float = ESCALATION, reset_after: float | None = None) -> DataFrame:

@@ -14,20 +14,23 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from gritsieve.functions import stats as S
 from gritsieve.operators.forest import Forest, grow
-from gritsieve.streaming.keyed import in_order, stateful
+from gritsieve.streaming.keyed import Detector, in_order, stateful
 
 WINDOW, REFIT_EVERY, REFIT_LEAST, WARM = 10_000, 1000, 50, 10
 ORDER = ["ts", "id"]
+FOREST = "trees int, feature array<int>, split array<double>, low array<int>, high array<int>, depth array<double>, sample int, contamination double, offset double"
 RESULT = "key string, ts timestamp, id bigint, score double, is_poisoned boolean, z_vote boolean, iso_vote boolean, seen bigint, error string"
 
 
-class Scorer:
-    """Moments, clean window and forest of one key.
+class Scorer(Detector):
+    """Moments, and with `inline_refit` the clean window and the forest of one key.
 
     Samples that are empty, not finite or of another width than those before are refused: they are neither
     scored nor learned nor counted.
     """
 
+    VALUES = {"moments": "n bigint, mean array<double>, m2 array<double>, width int, since_refit bigint, seen bigint"}
+
     def __init__(self, threshold: float = 3.0, least_votes: int = 2, forest: Forest | None = None, window_size: int = WINDOW, inline_refit: bool = False, contamination: float = 0.05):
         self.threshold, self.least_votes = threshold, least_votes
         self.given, self.forest = forest, forest
@@ -36,13 +39,40 @@ class Scorer:
         self.window: deque[np.ndarray] = deque(maxlen=window_size)
         self.width: int | None = None
         self.since_refit = self.seen = 0
-
-    def __getstate__(self) -> dict:
-        """All but the forest that was given, which is the query's and not the key's."""
-        return self.__dict__ | {"given": None, "forest": None if self.forest is self.given else self.forest}
-
-    def revive(self, given: Forest | None) -> None:
-        self.given, self.forest = given, self.forest or given
+        self.loaded = self.added = 0
+        self.refitted = False
+        if inline_refit:  # the window is kept where it is refitted on, and so is the forest grown from it
+            self.VALUES = self.VALUES | {"forest": FOREST}
+            self.LOGS = {"window": "x array<double>"}
+
+    def values(self) -> dict[str, tuple]:
+        plain = lambda x: None if x is None else x.tolist()
+        out = {"moments": (self.n, plain(self.mean), plain(self.m2), self.width, self.since_refit, self.seen)}
+        if self.refitted:
+            f = self.forest
+            out["forest"] = (f.feature.shape[0], *(plain(x.ravel()) for x in (f.feature, f.split, f.low, f.high, f.depth)), f.sample, f.contamination, f.offset) if f is not self.given else (0, *[[]] * 5, 0, 0.0, 0.0)
+        return out
+
+    def logs(self) -> dict[str, tuple[list, int, int]]:
+        held = [(x.tolist(),) for x in self.window] if self.inline_refit else []
+        return {"window": (held, min(self.added, len(held)), self.loaded + self.added - len(held))} if self.inline_refit else {}
+
+    def restore(self, values: dict, logs: dict, maps: dict) -> None:
+        if "moments" in values:
+            n, mean, m2, self.width, self.since_refit, self.seen = values["moments"]
+            self.n, self.mean, self.m2 = n, *(None if x is None else np.array(x, float) for x in (mean, m2))
+        self.window.extend(np.array(x, float) for (x,) in logs.get("window", ()))
+        self.loaded = len(self.window)
+        if "forest" in values and values["forest"][0]:
+            trees, *arrays, sample, contamination, offset = values["forest"]
+            self.forest = Forest(*(np.array(x, kind).reshape(trees, -1) for x, kind in zip(arrays, (np.int32, float, np.int32, np.int32, float), strict=True)), sample, contamination, offset)
+
+    def reset(self) -> None:
+        """As if no row had come."""
+        self.n, self.mean, self.m2, self.width = 0, None, None, None
+        self.window.clear()
+        self.since_refit = self.seen = 0
+        self.forest, self.refitted = self.given, self.inline_refit
 
     def problem(self, x: np.ndarray) -> str | None:
         """Why a sample is refused."""
@@ -83,9 +113,10 @@ class Scorer:
         self.m2 = self.m2 + delta * (x - self.mean)
         if self.inline_refit:
             self.window.append(x)
+            self.added += 1
             self.since_refit += 1
             if self.since_refit >= REFIT_EVERY and len(self.window) >= REFIT_LEAST:
-                self.forest, self.since_refit = fit_window(np.stack(self.window), self.contamination), 0
+                self.forest, self.since_refit, self.refitted = fit_window(np.stack(self.window), self.contamination), 0, True
 
 
 def fit_window(x: np.ndarray, contamination: float, seed: int = 42, n_trees: int = 100) -> Forest:
@@ -100,14 +131,14 @@ def fit_window(x: np.ndarray, contamination: float, seed: int = 42, n_trees: int
     return forest
 
 
-def _step(make):
+def _step():
     """A run of a key's rows through its scorer; a row whose `reset` is true clears it, refused rows carry their error."""
 
     def step(s: Scorer, pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in pdf.itertuples(index=False):
             if getattr(r, "reset", False) is True:
-                s.__dict__.update(make().__dict__)
+                s.reset()
                 continue
             x = np.asarray(r.features if r.features is not None else [], float)
             error = s.problem(x)
@@ -126,7 +157,7 @@ def _rows(df: DataFrame) -> DataFrame:
 def score_batch(df: DataFrame, forest: Forest | None = None, **options) -> DataFrame:
     """The static form over (key, ts, id, features[, reset]): each key in order of (ts, id)."""
     make = lambda: Scorer(forest=forest, **options)
-    return in_order(_rows(df), "key", ORDER, RESULT, make, _step(make))
+    return in_order(_rows(df), "key", ORDER, RESULT, make, _step())
 
 
 def cold_start(df: DataFrame, threshold: float = 3.0) -> DataFrame:
@@ -164,7 +195,7 @@ def score_stream(stream: DataFrame, forest: Forest | None = None, baseline: Data
         s.width = len(s.mean)
 
     initial = baseline.select(F.col("key").cast("string"), "n", "mean", "m2") if baseline is not None else None
-    return stateful(_rows(stream), "key", ORDER, RESULT, make, _step(make), initial, load, lambda s: s.revive(forest))
+    return stateful(_rows(stream), "key", ORDER, RESULT, make, _step(), initial, load)
 
 
 def refit(window: DataFrame, contamination: float = 0.05, seed: int = 42) -> Forest:
