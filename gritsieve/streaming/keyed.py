@@ -169,3 +169,10 @@ def stateful(stream: DataFrame, key: str, order: list[str], schema: str, make: M
             pass
 
     return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=Keyed(), outputStructType=T.StructType.fromDDL(schema), outputMode="append", timeMode="none", initialState=None if initial is None else initial.groupBy(key))
+
+
+def milliseconds(span: str) -> int:
+    """The length of a span such as `10 minutes`."""
+    units = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}
+    n, unit = span.split()
+    return int(float(n) * 1000 * units[unit.removesuffix("s")])
