@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` computed once and written to the session's checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder.
 
     Where none is set, a session on one machine gets a folder of that machine, any other one in the warehouse, which
     driver and executors share.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,4 +20,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
             alone = context.master.split("[")[0] == "local"
             folder = tempfile.mkdtemp(prefix="gritsieve-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` computed once and written to the session's checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gritsieve.functions.ranks import percentiles
+
 
 def elements(matrix: DataFrame, *keep: str) -> DataFrame:
     """(keep..., j, x): one row for each element of each vector."""
@@ -23,7 +25,7 @@ def feature_quantiles(matrix: DataFrame, ps: tuple[float, ...] = (0.25, 0.5, 0.7
     """(j, q array<double>): linear percentiles of each feature.
 
     exact: one pass that holds the distinct values of a feature together, for up to
-    about 10 million of them.  bracket: exact for any number, in three passes.
+    about 10 million of them.  bracket: exact for any number, in two passes.
     approx: a sketch alone.
     """
     x = elements(matrix)
@@ -33,24 +35,7 @@ def feature_quantiles(matrix: DataFrame, ps: tuple[float, ...] = (0.25, 0.5, 0.7
         return x.groupBy("j").agg(F.percentile_approx("x", list(ps), accuracy).alias("q"))
     if mode != "bracket":
         raise ValueError(mode)
-    return _bracketed(x, ps, accuracy)
-
-
-def _bracketed(x: DataFrame, ps: tuple[float, ...], accuracy: int) -> DataFrame:
-    """A sketch gives an interval around each wanted rank; only values inside it are sorted."""
-    slack = 2.0 / accuracy
-    near = [p for q in ps for p in (max(0.0, q - slack), min(1.0, q + slack))]
-    sketch = x.groupBy("j").agg(F.percentile_approx("x", near, accuracy).alias("b"), F.count("x").alias("n"))
-    wanted = sketch.select("j", "n", F.posexplode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.col("b")[2 * k].alias("low"), F.col("b")[2 * k + 1].alias("high")) for k, p in enumerate(ps)])).alias("k", "w")).select("j", "n", "k", "w.*")
-    joined = x.join(F.broadcast(wanted), "j")  # a row for each feature and percentile
-    below = joined.groupBy("j", "k").agg(F.count_if(F.col("x") < F.col("low")).alias("below"))
-    inside = joined.filter((F.col("x") >= F.col("low")) & (F.col("x") <= F.col("high")))
-    ranked = inside.join(F.broadcast(below), ["j", "k"]).withColumn("r", F.col("below") + F.row_number().over(Window.partitionBy("j", "k").orderBy("x")) - 1)
-    target = F.col("p") * (F.col("n") - 1)
-    at = lambda r: F.max(F.when(F.col("r") == r, F.col("x")))
-    value = ranked.groupBy("j", "k").agg(at(F.floor(target)).alias("a"), at(F.ceil(target)).alias("b"), F.max(target - F.floor(target)).alias("f"))
-    value = value.select("j", F.struct("k", (F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("v")).alias("s"))
-    return value.groupBy("j").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["v"]).alias("q"))
+    return percentiles(x, ["j"], ps, accuracy).select("j", "q")
 
 
 def packed(stats: DataFrame, *fields: str) -> DataFrame:
@@ -59,8 +44,8 @@ def packed(stats: DataFrame, *fields: str) -> DataFrame:
 
 
 def class_centroids(matrix: DataFrame) -> DataFrame:
-    """(label, centroid): the coordinate-wise median of each class."""
-    per = elements(matrix, "label").groupBy("label", "j").agg(F.percentile("x", F.lit(0.5)).alias("m"))
+    """(label, centroid): the coordinate-wise median of each class, of any size."""
+    per = percentiles(elements(matrix, "label"), ["label", "j"], (0.5,)).select("label", "j", F.col("q")[0].alias("m"))
     return per.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "m"))), lambda s: s["m"]).alias("centroid"))
 
 

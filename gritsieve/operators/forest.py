@@ -77,6 +77,18 @@ class Forest:
                 array[tree, node] = v
         return cls(*out, sample, contamination)
 
+    def rows(self) -> list[tuple]:
+        """(tree, node, feature, split, low, high, depth) of all nodes that a walk can reach."""
+        out = []
+        for tree in range(len(self.feature)):
+            todo = [0]
+            while todo:
+                n = todo.pop()
+                out.append((tree, n, int(self.feature[tree, n]), float(self.split[tree, n]), int(self.low[tree, n]), int(self.high[tree, n]), float(self.depth[tree, n])))
+                if self.feature[tree, n] >= 0:
+                    todo += [int(self.low[tree, n]), int(self.high[tree, n])]
+        return out
+
     def raw(self, x: np.ndarray, block: int = 512) -> np.ndarray:
         """-2^(-E[h]/c): the lower the more anomalous.
 

@@ -9,8 +9,19 @@ SEVERITIES = ("info", "warning", "critical", "page")
 COOLDOWN, ESCALATION = 300.0, 900.0
 
 
-def poison_rate(flags: DataFrame, window: str = "1 hour", by: str = "method", least_rate: float = 0.2, latency_col: str | None = None, baseline_ready: bool = True) -> DataFrame:
-    """(window_start, by, seen, flagged, rate, status) of tumbling windows; works on streams with a watermark."""
+def in_time(rows: DataFrame, delay: str | None) -> DataFrame:
+    """A stream with a watermark `delay` behind its newest event; static rows and streams without a delay as they are."""
+    return rows.withWatermark("ts", delay) if rows.isStreaming and delay else rows
+
+
+def poison_rate(flags: DataFrame, window: str = "1 hour", by: str = "method", least_rate: float = 0.2, latency_col: str | None = None, baseline_ready: bool = True, delay: str | None = "10 minutes") -> DataFrame:
+    """(window_start, by, seen, flagged, rate, status) of tumbling windows over (ts, by, is_poisoned).
+
+    On a stream in append mode a window comes out once the watermark has passed its end, and rows later than that are
+    dropped; how many rows fell out so each trigger's progress tells (see streaming.watch). The state has a row for each
+    open window and group.
+    """
+    flags = in_time(flags, delay)
     latency = [F.avg(latency_col).alias("latency_ms")] if latency_col else []
     out = flags.groupBy(F.window("ts", window).alias("w"), by).agg(F.count("*").alias("seen"), F.count_if("is_poisoned").alias("flagged"), *latency)
     rate = F.col("flagged") / F.col("seen")
@@ -20,8 +31,15 @@ def poison_rate(flags: DataFrame, window: str = "1 hour", by: str = "method", le
     return out.select(F.col("w.start").alias("window_start"), by, "seen", "flagged", rate.alias("rate"), status.alias("status"))
 
 
-def bucket_histogram(df: DataFrame, value: str, bounds: list[float], by: list[str] | None = None) -> DataFrame:
-    """(by, le, n_cumulative, total, n): cumulative counts at fixed bounds in one aggregate."""
+def bucket_histogram(df: DataFrame, value: str, bounds: list[float], by: list[str] | None = None, window: str | None = None, delay: str | None = "10 minutes") -> DataFrame:
+    """(by, le, n_cumulative, total, n): cumulative counts at fixed bounds in one aggregate.
+
+    With a window also window_start: tumbling windows of `ts`, on streams with a watermark as in poison_rate.
+    """
+    if window:
+        df = in_time(df, delay).withColumn("_w", F.window("ts", window))
+        out = bucket_histogram(df, value, bounds, [*(by or []), "_w"])
+        return out.withColumn("window_start", F.col("_w.start")).drop("_w")
     counts = [F.struct(F.lit(float(b)).alias("le"), F.count_if(F.col(value) <= b).alias("n_cumulative")) for b in bounds]
     out = df.groupBy(*(by or [])).agg(F.array(*counts).alias("h"), F.sum(value).alias("total"), F.count(value).alias("n"))
     return out.select(*(by or []), F.explode("h").alias("h"), "total", "n").select(*(by or []), "h.le", "h.n_cumulative", "total", "n")

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from gritsieve.functions import stats as S
+from gritsieve.functions.cut import checkpointed
+from gritsieve.functions.ranks import percentiles, ranked
 
 LEAST_CLASS = 5
 
@@ -52,11 +54,21 @@ def spectral_scores(matrix: DataFrame, n_components: int = 1, min_class_size: in
 
 def spectral_detect(matrix: DataFrame, n_components: int = 1, iqr_multiplier: float = 1.5, min_class_size: int = LEAST_CLASS) -> DataFrame:
     """(id, label, score, threshold, flagged, rank): flagged iff the score passes q3 + m * iqr of its class."""
-    scored = spectral_scores(matrix, n_components, min_class_size)
-    q = scored.groupBy("label").agg(F.percentile("score", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    scored = checkpointed(spectral_scores(matrix, n_components, min_class_size))
+    q = quantiles_by_class(scored, (0.25, 0.75))
     q = q.select("label", (F.col("q")[1] + iqr_multiplier * (F.col("q")[1] - F.col("q")[0])).alias("threshold"))
     out = scored.join(F.broadcast(q), "label").withColumn("flagged", F.col("score") > F.col("threshold"))
-    return out.select("id", "label", "score", "threshold", "flagged", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "id")).alias("rank"))
+    return by_score(out.select("id", "label", "score", "threshold", "flagged"))
+
+
+def quantiles_by_class(scored: DataFrame, ps: tuple[float, ...]) -> DataFrame:
+    """(label, n, q) of (label, score): a class of any size, a row for each."""
+    return percentiles(scored.select("label", F.col("score").alias("x")), ["label"], ps)
+
+
+def by_score(scored: DataFrame) -> DataFrame:
+    """Rows with their rank in their class, the largest score first, the lesser id first among equals."""
+    return ranked(scored, "label", [F.desc("score"), F.col("id")])
 
 
 def class_stats(matrix: DataFrame, found: DataFrame, min_class_size: int = LEAST_CLASS) -> DataFrame:
@@ -65,8 +77,8 @@ def class_stats(matrix: DataFrame, found: DataFrame, min_class_size: int = LEAST
     singular_value is the largest of the class's rows about their mean, explained its square's share of all.
     """
     sizes = matrix.groupBy("label").agg(F.count("*").alias("n"))
-    quartile = F.percentile("score", F.array(F.lit(0.25), F.lit(0.75)))
-    flags = found.groupBy("label").agg(F.count_if("flagged").alias("n_flagged"), F.max("threshold").alias("threshold"), quartile.alias("_q"), F.avg("score").alias("mean_score"), F.max("score").alias("max_score"))
+    flags = found.groupBy("label").agg(F.count_if("flagged").alias("n_flagged"), F.max("threshold").alias("threshold"), F.avg("score").alias("mean_score"), F.max("score").alias("max_score"))
+    flags = flags.join(quantiles_by_class(found, (0.25, 0.75)).select("label", F.col("q").alias("_q")), "label")
     centers = S.class_means(matrix).filter(F.col("n") >= min_class_size)
     scatter = S.class_scatter(matrix, centers)
     kind = scatter.schema["label"].dataType.simpleString()
@@ -87,8 +99,8 @@ def class_stats(matrix: DataFrame, found: DataFrame, min_class_size: int = LEAST
 
 def label_flips_topk(matrix: DataFrame, contamination: float = 0.05, n_components: int = 1) -> DataFrame:
     """As spectral_detect, with the (1 - contamination) percentile of the class as threshold."""
-    scored = spectral_scores(matrix, n_components)
-    q = scored.groupBy("label").agg(F.percentile("score", F.lit(1.0 - contamination)).alias("threshold"))
+    scored = checkpointed(spectral_scores(matrix, n_components))
+    q = quantiles_by_class(scored, (1.0 - contamination,)).select("label", F.col("q")[0].alias("threshold"))
     return scored.join(F.broadcast(q), "label").select("id", "label", "score", "threshold", (F.col("score") > F.col("threshold")).alias("flagged"))
 
 
@@ -104,9 +116,8 @@ def label_flips_crossclass(matrix: DataFrame, contamination: float = 0.05) -> Da
     own = F.array_max(F.transform(F.filter("ds", lambda s: s["label"] == F.col("label")), lambda s: s["d"]))
     other = F.array_min(F.transform(F.filter("ds", lambda s: s["label"] != F.col("label")), lambda s: s["d"]))
     scored = rows.select("id", "label", (own - other).alias("score")).filter("score is not null").join(F.broadcast(sizes.filter(F.col("n") >= LEAST_CLASS)), "label")
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "id"))
     budget = F.greatest(F.lit(1), F.bround(F.col("n") * contamination, 0).cast("int"))
-    return scored.select("id", "label", "score", rank.alias("rank"), (rank <= budget).alias("flagged"))
+    return by_score(scored.select("id", "label", "score", budget.alias("_budget"))).select("id", "label", "score", "rank", (F.col("rank") <= F.col("_budget")).alias("flagged"))
 
 
 def label_flips_robust(matrix: DataFrame, contamination: float = 0.05, n_components: int = 8, ridge: float = 1e-3) -> DataFrame:
@@ -118,5 +129,5 @@ def label_flips_robust(matrix: DataFrame, contamination: float = 0.05, n_compone
     total = sizes.agg(F.sum("n").alias("total"))
     whole = F.greatest(F.lit(1), F.bround(contamination * F.col("total"), 0))
     budget = F.least(F.col("n"), F.greatest(F.lit(1), F.bround(whole * F.col("n") / F.col("total"), 0)))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "id"))
-    return scored.crossJoin(F.broadcast(total)).select("id", "label", "score", rank.alias("rank"), (rank <= budget).alias("flagged"))
+    scored = by_score(scored.crossJoin(F.broadcast(total)).select("id", "label", "score", budget.alias("_budget")))
+    return scored.select("id", "label", "score", "rank", (F.col("rank") <= F.col("_budget")).alias("flagged"))

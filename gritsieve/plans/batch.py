@@ -42,7 +42,8 @@ def s4_infer_features(spark: SparkSession, d: str) -> DataFrame:
     return m.select("id", F.size("features").alias("width"), F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), "label")
 
 
-def _messages(spark: SparkSession, d: str, key: str) -> DataFrame:
+def messages(spark: SparkSession, d: str, key: str) -> DataFrame:
+    """Queue messages made of `events`, some of them broken."""
     ev = X.table(spark, d, "events")
     data = F.when(F.col("event_id") % 17 == 0, F.array().cast("array<double>")).otherwise(F.array("value", F.col("user_id").cast("double")))
     good = F.to_json(F.struct(data.alias(key), F.col("event_type").alias("source"), F.col("user_id").alias("user")))
@@ -50,25 +51,25 @@ def _messages(spark: SparkSession, d: str, key: str) -> DataFrame:
     return ev.select(value.alias("value"), F.lit("in").alias("topic"), (F.col("event_id") % 4).alias("partition"), F.col("event_id").alias("offset"))
 
 
-def _parsed(p: DataFrame) -> DataFrame:
+def parsed(p: DataFrame) -> DataFrame:
     return p.select("id", F.size("features").cast("bigint").alias("width"), F.col("features")[0].alias("first"), "source", F.col("metadata")["user"].alias("user"), "error")
 
 
 def s5_parse_messages(spark: SparkSession, d: str) -> DataFrame:
-    p = _parsed(M.parse_messages(_messages(spark, d, "sample_data")))
+    p = parsed(M.parse_messages(messages(spark, d, "sample_data")))
     return p.withColumn("width", F.when(F.col("error").isNull(), F.col("width")))
 
 
 def s6_parse_feature_events(spark: SparkSession, d: str) -> DataFrame:
-    p = _parsed(M.parse_feature_events(_messages(spark, d, "features")))
+    p = parsed(M.parse_feature_events(messages(spark, d, "features")))
     return p.withColumn("width", F.when(F.col("error").isNull(), F.col("width")))
 
 
 def s7_dead_letters(spark: SparkSession, d: str) -> DataFrame:
-    return M.dead_letters(M.parse_messages(_messages(spark, d, "sample_data"))).select("id", "error")
+    return M.dead_letters(M.parse_messages(messages(spark, d, "sample_data"))).select("id", "error")
 
 
-_MESSAGES = """SELECT concat_ws(':', 'in', event_id % 4, event_id) AS id,
+MESSAGES = """SELECT concat_ws(':', 'in', event_id % 4, event_id) AS id,
   CASE WHEN event_id % 13 <> 0 AND event_id % 17 <> 0 THEN 2::BIGINT END AS width, CASE WHEN event_id % 13 <> 0 AND event_id % 17 <> 0 THEN value END AS first,
   CASE WHEN event_id % 13 = 0 THEN 'unknown' ELSE event_type END AS source, CASE WHEN event_id % 13 <> 0 THEN user_id::VARCHAR END AS user,
   CASE WHEN event_id % 13 = 0 THEN 'bad_json' WHEN event_id % 17 = 0 THEN 'bad_sample' END AS error FROM events"""
@@ -454,9 +455,9 @@ QUERIES = {
     "s2_baseline_gate": (s2_baseline_gate, "SELECT count(*) AS n_rows, 0::BIGINT AS n_violations, count(*) >= 50 AS ready FROM lineitem"),
     "s3_validate_matrix": (s3_validate_matrix, "SELECT vec_id AS id, NULL::INT AS feature_idx, 'ragged' AS reason FROM embeddings WHERE vec_id % 7 = 0 UNION ALL SELECT vec_id, 0, 'not_finite' FROM embeddings WHERE vec_id % 11 = 0 AND vec_id % 7 <> 0"),
     "s4_infer_features": (s4_infer_features, "SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, round(l_extendedprice * 100)::BIGINT) AS id, 4 AS width, round(l_quantity + l_extendedprice + l_discount + l_tax, 4) AS total, (dense_rank() OVER (ORDER BY l_returnflag) - 1)::INT AS label FROM lineitem"),
-    "s5_parse_messages": (s5_parse_messages, _MESSAGES),
-    "s6_parse_feature_events": (s6_parse_feature_events, _MESSAGES),
-    "s7_dead_letters": (s7_dead_letters, f"SELECT id, error FROM ({_MESSAGES}) WHERE error IS NOT NULL"),
+    "s5_parse_messages": (s5_parse_messages, MESSAGES),
+    "s6_parse_feature_events": (s6_parse_feature_events, MESSAGES),
+    "s7_dead_letters": (s7_dead_letters, f"SELECT id, error FROM ({MESSAGES}) WHERE error IS NOT NULL"),
     "a1_feature_moments": (a1_feature_moments, f"WITH {X.LI} SELECT j::INT AS j, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM lie GROUP BY j"),
     "a2_feature_quantiles": (a2_feature_quantiles, _A2),
     "a2_feature_quantiles_bracket": (a2_feature_quantiles_bracket, _A2),

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gritsieve.plans import batch, frames, monitoring, sequences
+from gritsieve.plans import batch, frames, monitoring, sequences, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
-    return batch.QUERIES | sequences.QUERIES | monitoring.QUERIES
+    return batch.QUERIES | sequences.QUERIES | monitoring.QUERIES | streams.QUERIES
 
 
 def queries() -> dict[str, Query]:

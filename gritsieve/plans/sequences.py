@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gritsieve.operators import duplicates as U
 from gritsieve.plans import frames as X
 from gritsieve.plans.batch import r
-from gritsieve.streaming import drift as C, routing as O, scoring as T
+from gritsieve.streaming import drift as C, routing as O, scoring as T, store as K
 
 
 def t1_score_batch(spark: SparkSession, d: str) -> DataFrame:
@@ -21,24 +21,24 @@ def t1_score_batch(spark: SparkSession, d: str) -> DataFrame:
 
 def t2_state_update(spark: SparkSession, d: str) -> DataFrame:
     """How many rows of each key entered the baseline."""
-    s = T.score_batch(_values(spark, d), least_votes=1)
+    s = T.score_batch(values(spark, d), least_votes=1)
     return s.groupBy("key").agg(F.count_if(F.expr("not is_poisoned")).alias("learned"), F.count_if("is_poisoned").alias("kept_out"))
 
 
-def _values(spark: SparkSession, d: str) -> DataFrame:
+def values(spark: SparkSession, d: str) -> DataFrame:
     return X.events(spark, d).withColumn("features", F.array("value")).drop("value")
 
 
 def t3_seed_baseline(spark: SparkSession, d: str) -> DataFrame:
-    b = T.seed_baseline(_values(spark, d))
+    b = T.seed_baseline(values(spark, d))
     return b.select("key", "n", F.round(F.col("mean")[0], 6).alias("mean"), F.round(F.sqrt(F.col("m2")[0] / (F.col("n") - 1)), 6).alias("std"))
 
 
 def t5_score_batch(spark: SparkSession, d: str) -> DataFrame:
-    return T.score_batch(_values(spark, d), least_votes=1).select("key", "id", r("score"), "is_poisoned")
+    return T.score_batch(values(spark, d), least_votes=1).select("key", "id", r("score"), "is_poisoned")
 
 
-_T5 = """WITH RECURSIVE ev AS MATERIALIZED (SELECT event_type AS key, event_id AS id, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
+T5 = """WITH RECURSIVE ev AS MATERIALIZED (SELECT event_type AS key, event_id AS id, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
 s(key, k, id, n, mean, m2, score, bad) AS (
   SELECT key, k, id, 1::BIGINT, x, 0.0::DOUBLE, 0.0::DOUBLE, false FROM ev WHERE k = 1
   UNION ALL
@@ -51,7 +51,7 @@ s(key, k, id, n, mean, m2, score, bad) AS (
 
 
 def t6_cold_start(spark: SparkSession, d: str) -> DataFrame:
-    return T.cold_start(_values(spark, d)).select("key", "id", r("score"), "is_poisoned", "z_vote")
+    return T.cold_start(values(spark, d)).select("key", "id", r("score"), "is_poisoned", "z_vote")
 
 
 _T6 = """SELECT key, id, CASE WHEN n >= 10 THEN round(least(z / 6.0, 1.0), 6) ELSE 0.0 END AS score, false AS is_poisoned, n >= 10 AND z > 3.0 AS z_vote FROM (
@@ -102,7 +102,7 @@ def t14_phash_dup(spark: SparkSession, d: str) -> DataFrame:
     return U.pattern_duplicates(X.with_copies(spark, d), ["seq"]).select("id", "bits_dup")
 
 
-_BITS = f"b AS (SELECT id, array_to_string(list_transform(g, lambda x: CASE WHEN x - list_sum(g) / len(g) > 0 THEN '1' ELSE '0' END), '') AS b FROM (SELECT id, {_ROUNDED} AS g FROM emb))"
+BITS = f"b AS (SELECT id, array_to_string(list_transform(g, lambda x: CASE WHEN x - list_sum(g) / len(g) > 0 THEN '1' ELSE '0' END), '') AS b FROM (SELECT id, {_ROUNDED} AS g FROM emb))"
 
 
 def t15_near_dup(spark: SparkSession, d: str) -> DataFrame:
@@ -123,11 +123,47 @@ _T16 = f"""WITH {X.EMB}, u AS (SELECT id, list_transform(f, lambda x: x / sqrt(l
 SELECT a.id, round(greatest(0.0, max(list_dot_product(a.u, b.u))), 6) AS max_sim FROM u a, u b WHERE b.id % 20 = 0 GROUP BY a.id"""
 
 
+#: Threshold and vectors of the keyed stores, small enough for the store to overflow.
+NEAR, KEPT = 0.4, 50
+
+
+def keyed_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Copies in four keys, with some rows poisoned."""
+    return X.with_copies(spark, d).select((F.col("id") % 4).cast("string").alias("key"), F.timestamp_seconds(F.col("seq") + 1000).alias("ts"), "id", "features", (F.col("id") % 11 == 3).alias("is_poisoned"), "seq")
+
+
+def t15_add_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Only rows that are neither poisoned nor duplicates of the store enter it."""
+    return K.look_up_and_add(keyed_copies(spark, d), "clean", NEAR, KEPT).select("key", "id", r("max_sim"), "exact_dup", "bits_dup", "near_dup", "added")
+
+
+def t15_add_always(spark: SparkSession, d: str) -> DataFrame:
+    """Every row enters the store."""
+    return K.look_up_and_add(keyed_copies(spark, d), "always", NEAR, KEPT).select("key", "id", r("max_sim"), "exact_dup", "bits_dup", "near_dup", "added")
+
+
+_KEYED = f"""rounded AS (SELECT id, f, {_ROUNDED} AS g FROM emb), {BITS},
+y AS MATERIALIZED (SELECT (id % 4)::VARCHAR AS key, id, row_number() OVER (PARTITION BY id % 4 ORDER BY id) AS k, g::VARCHAR AS e, b.b AS bits, id % 11 = 3 AS bad, list_transform(f, lambda v: v / sqrt(list_sum(list_transform(f, lambda w: w * w)))) AS u FROM rounded JOIN b USING (id))"""
+STORE = f"""WITH RECURSIVE {X.COPIES}, {_KEYED},
+s(key, k, id, es, bs, ring, sim, exact_dup, bits_dup, near_dup, added) AS (
+  SELECT DISTINCT key, 0::BIGINT, NULL::BIGINT, []::VARCHAR[], []::VARCHAR[], []::DOUBLE[][], 0.0::DOUBLE, false, false, false, false FROM y
+  UNION ALL
+  SELECT key, k, id, CASE WHEN added THEN list_append(es, e) ELSE es END, CASE WHEN added THEN list_append(bs, bits) ELSE bs END, CASE WHEN added THEN list_append(ring, u)[-{KEPT}:] ELSE ring END, sim, exact_dup, bits_dup, near_dup, added
+  FROM (SELECT *, NOT (exact_dup OR bits_dup OR near_dup OR bad) AS added FROM (SELECT *, len(ring) > 0 AND NOT exact_dup AND NOT bits_dup AND sim >= {NEAR} AS near_dup FROM (
+    SELECT y.*, s.es, s.bs, s.ring, list_contains(s.es, y.e) AS exact_dup, list_contains(s.bs, y.bits) AS bits_dup, greatest(0.0, coalesce(list_max(list_transform(s.ring, lambda v: list_dot_product(v, y.u))), 0.0)) AS sim
+    FROM s JOIN y ON y.key = s.key AND y.k = s.k + 1))))
+SELECT key, id, round(sim, 6) AS max_sim, exact_dup, bits_dup, near_dup, added FROM s WHERE k > 0"""
+ALWAYS = f"""WITH {X.COPIES}, {_KEYED},
+p AS (SELECT a.id, max(list_dot_product(a.u, c.u)) AS m FROM y a JOIN y c ON c.key = a.key AND c.k < a.k AND c.k >= a.k - {KEPT} GROUP BY a.id),
+w AS (SELECT *, row_number() OVER (PARTITION BY key, e ORDER BY k) > 1 AS exact_dup, row_number() OVER (PARTITION BY key, bits ORDER BY k) > 1 AS bits_dup FROM y)
+SELECT key, id, round(greatest(0.0, coalesce(m, 0.0)), 6) AS max_sim, exact_dup, bits_dup, coalesce(m >= {NEAR}, false) AND NOT exact_dup AND NOT bits_dup AS near_dup, true AS added FROM w LEFT JOIN p USING (id)"""
+
+
 def t17_fingerprint_stats(spark: SparkSession, d: str) -> DataFrame:
     return U.fingerprint_stats(U.duplicates(X.with_copies(spark, d), "seq", 0.4, 1000))
 
 
-_DUPS = f"x AS (SELECT id, {_ROUNDED} AS g FROM emb), k AS (SELECT id, row_number() OVER (PARTITION BY g ORDER BY id) > 1 AS exact_dup FROM x)"
+DUPS = f"x AS (SELECT id, {_ROUNDED} AS g FROM emb), k AS (SELECT id, row_number() OVER (PARTITION BY g ORDER BY id) > 1 AS exact_dup FROM x)"
 
 
 def t18_add_samples(spark: SparkSession, d: str) -> DataFrame:
@@ -140,7 +176,7 @@ def t19_route(spark: SparkSession, d: str) -> DataFrame:
     return O.route(X.event_flags(spark, d)).select("id", "route")
 
 
-_ROUTE = "CASE WHEN error IS NOT NULL THEN 'dead_letter' WHEN is_poisoned OR duplicate THEN 'quarantine' ELSE 'clean' END AS route"
+ROUTE = "CASE WHEN error IS NOT NULL THEN 'dead_letter' WHEN is_poisoned OR duplicate THEN 'quarantine' ELSE 'clean' END AS route"
 
 
 def t20_pipeline_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -154,22 +190,24 @@ def k5_quarantine_sink(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "t1_score_batch": (t1_score_batch, None),
-    "t2_state_update": (t2_state_update, _T5 + "SELECT key, count_if(NOT bad)::BIGINT AS learned, count_if(bad)::BIGINT AS kept_out FROM s GROUP BY key"),
+    "t2_state_update": (t2_state_update, T5 + "SELECT key, count_if(NOT bad)::BIGINT AS learned, count_if(bad)::BIGINT AS kept_out FROM s GROUP BY key"),
     "t3_seed_baseline": (t3_seed_baseline, "SELECT event_type AS key, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM events GROUP BY 1"),
-    "t5_score_batch": (t5_score_batch, _T5 + "SELECT key, id, round(score, 6) AS score, bad AS is_poisoned FROM s"),
+    "t5_score_batch": (t5_score_batch, T5 + "SELECT key, id, round(score, 6) AS score, bad AS is_poisoned FROM s"),
     "t6_cold_start": (t6_cold_start, _T6),
     "t7_stream_stats": (t7_stream_stats, f"WITH {X.FLAGS} SELECT key, count(*) AS seen, count_if(is_poisoned)::BIGINT AS poisoned, round(count_if(is_poisoned) / count(*), 6) AS rate FROM fl GROUP BY key"),
     "t9_adwin": (t9_adwin, None),
     "t10_page_hinkley": (t10_page_hinkley, _T10),
     "t11_concept_drift": (t11_concept_drift, None),
     "t12_drift_suppress": (t12_drift_suppress, f"WITH {X.FLAGS} SELECT key, id, is_poisoned, is_drifting, is_poisoned AND NOT is_drifting AS alert FROM fl"),
-    "t13_exact_dup": (t13_exact_dup, f"WITH {X.COPIES}, {_DUPS} SELECT id, exact_dup FROM k"),
-    "t14_phash_dup": (t14_phash_dup, f"WITH {X.COPIES}, {_BITS} SELECT id, row_number() OVER (PARTITION BY b ORDER BY id) > 1 AS bits_dup FROM b"),
+    "t13_exact_dup": (t13_exact_dup, f"WITH {X.COPIES}, {DUPS} SELECT id, exact_dup FROM k"),
+    "t14_phash_dup": (t14_phash_dup, f"WITH {X.COPIES}, {BITS} SELECT id, row_number() OVER (PARTITION BY b ORDER BY id) > 1 AS bits_dup FROM b"),
     "t15_near_dup": (t15_near_dup, _T15),
+    "t15_add_clean": (t15_add_clean, STORE),
+    "t15_add_always": (t15_add_always, ALWAYS),
     "t16_max_similarity": (t16_max_similarity, _T16),
-    "t17_fingerprint_stats": (t17_fingerprint_stats, f"WITH {X.COPIES}, {_DUPS}, {_BITS}, {_NEAR}, bb AS (SELECT id, row_number() OVER (PARTITION BY b ORDER BY id) > 1 AS bits_dup FROM b), fl AS (SELECT exact_dup, bits_dup, coalesce(m, 0.0) >= 0.4 AS near FROM k JOIN bb USING (id) LEFT JOIN p USING (id)) SELECT count(*) AS seen, count_if(exact_dup)::BIGINT AS exact, count_if(bits_dup)::BIGINT AS patterns, count_if(near AND NOT exact_dup AND NOT bits_dup)::BIGINT AS near, count_if(exact_dup OR bits_dup OR near)::BIGINT AS duplicates FROM fl"),
+    "t17_fingerprint_stats": (t17_fingerprint_stats, f"WITH {X.COPIES}, {DUPS}, {BITS}, {_NEAR}, bb AS (SELECT id, row_number() OVER (PARTITION BY b ORDER BY id) > 1 AS bits_dup FROM b), fl AS (SELECT exact_dup, bits_dup, coalesce(m, 0.0) >= 0.4 AS near FROM k JOIN bb USING (id) LEFT JOIN p USING (id)) SELECT count(*) AS seen, count_if(exact_dup)::BIGINT AS exact, count_if(bits_dup)::BIGINT AS patterns, count_if(near AND NOT exact_dup AND NOT bits_dup)::BIGINT AS near, count_if(exact_dup OR bits_dup OR near)::BIGINT AS duplicates FROM fl"),
     "t18_add_samples": (t18_add_samples, "SELECT vec_id AS id FROM embeddings ORDER BY vec_id DESC LIMIT 300"),
-    "t19_route": (t19_route, f"WITH {X.FLAGS} SELECT id, {_ROUTE} FROM fl"),
-    "t20_pipeline_stats": (t20_pipeline_stats, f"WITH {X.FLAGS}, ro AS (SELECT {_ROUTE} FROM fl) SELECT count(*) AS consumed, count_if(route <> 'dead_letter')::BIGINT AS processed, count_if(route = 'quarantine')::BIGINT AS quarantined, count_if(route = 'dead_letter')::BIGINT AS dead_lettered FROM ro"),
+    "t19_route": (t19_route, f"WITH {X.FLAGS} SELECT id, {ROUTE} FROM fl"),
+    "t20_pipeline_stats": (t20_pipeline_stats, f"WITH {X.FLAGS}, ro AS (SELECT {ROUTE} FROM fl) SELECT count(*) AS consumed, count_if(route <> 'dead_letter')::BIGINT AS processed, count_if(route = 'quarantine')::BIGINT AS quarantined, count_if(route = 'dead_letter')::BIGINT AS dead_lettered FROM ro"),
     "k5_quarantine_sink": (k5_quarantine_sink, f"WITH {X.FLAGS} SELECT id AS original_id, source, value AS score FROM fl WHERE error IS NULL AND (is_poisoned OR duplicate)"),
 }

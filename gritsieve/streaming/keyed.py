@@ -42,6 +42,26 @@ class Detector:
         """Take what was kept; names that are not there were never written."""
 
 
+class Parts(Detector):
+    """Several detectors as one: the state of each under its own prefix."""
+
+    def __init__(self, **parts: Detector):
+        self.parts = parts
+        named = lambda what: {f"{p}_{n}": c for p, d in parts.items() for n, c in getattr(d, what).items()}
+        self.VALUES, self.LOGS, self.MAPS = named("VALUES"), named("LOGS"), named("MAPS")
+
+    def values(self) -> dict[str, tuple]:
+        return {f"{p}_{n}": v for p, d in self.parts.items() for n, v in d.values().items()}
+
+    def logs(self) -> dict[str, tuple[list, int, int]]:
+        return {f"{p}_{n}": v for p, d in self.parts.items() for n, v in d.logs().items()}
+
+    def restore(self, values: dict, logs: dict, maps: dict) -> None:
+        for p, d in self.parts.items():
+            own = ({n.removeprefix(f"{p}_"): v for n, v in kept.items() if n.startswith(f"{p}_")} for kept in (values, logs, maps))
+            d.restore(*own)
+
+
 Make = Callable[[], Any]
 Step = Callable[[Any, pd.DataFrame], pd.DataFrame]
 

@@ -82,8 +82,8 @@ class Scorer(Detector):
             return "not_finite"
         return "width" if self.width not in (None, len(x)) else None
 
-    def step(self, x: np.ndarray) -> tuple[float, bool, bool, bool]:
-        """(score, is_poisoned, z vote, forest vote) of a sample; then the state moves on."""
+    def step(self, x: np.ndarray, raw: float | None = None) -> tuple[float, bool, bool, bool]:
+        """(score, is_poisoned, z vote, forest vote) of a sample, whose forest score may be given; then the state moves on."""
         if (problem := self.problem(x)) is not None:
             raise ValueError(f"sample refused: {problem}")
         self.width = len(x)
@@ -94,7 +94,7 @@ class Scorer(Detector):
             scores.append(min(z / (2 * self.threshold), 1.0))
             z_vote = z > self.threshold
         if self.forest is not None:
-            decision = float(self.forest.raw(x[None, :])[0]) - self.forest.offset
+            decision = (float(self.forest.raw(x[None, :])[0]) if raw is None else raw) - self.forest.offset
             iso_vote = decision < 0
             scores.append(max(0.0, min(1.0, 0.5 - decision)))
         poisoned = z_vote + iso_vote >= self.least_votes
@@ -131,20 +131,41 @@ def fit_window(x: np.ndarray, contamination: float, seed: int = 42, n_trees: int
     return forest
 
 
-def _step():
+class Walked:
+    """A run's samples, walked through a forest many at a time; again when the forest has changed."""
+
+    BLOCK = 1024
+
+    def __init__(self, features):
+        self.samples = [np.asarray(x if x is not None else [], float) for x in features]
+        self.forest, self.scores = None, {}
+
+    def raw(self, forest: Forest | None, i: int) -> float | None:
+        if forest is None:
+            return None
+        if forest is not self.forest:
+            self.forest, self.scores = forest, {}
+        if i not in self.scores:
+            width = len(self.samples[i])
+            at = [k for k in range(i, min(i + self.BLOCK, len(self.samples))) if len(self.samples[k]) == width]
+            self.scores = dict(zip(at, forest.raw(np.stack([self.samples[k] for k in at])).tolist(), strict=True))
+        return self.scores[i]
+
+
+def _step(samples: bool = False):
     """A run of a key's rows through its scorer; a row whose `reset` is true clears it, refused rows carry their error."""
 
     def step(s: Scorer, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in pdf.itertuples(index=False):
+        out, walked = [], Walked(pdf["features"])
+        for i, r in enumerate(pdf.itertuples(index=False)):
             if getattr(r, "reset", False) is True:
                 s.reset()
                 continue
-            x = np.asarray(r.features if r.features is not None else [], float)
+            x = walked.samples[i]
             error = s.problem(x)
-            values = s.step(x) if error is None else (None, False, False, False)
-            out.append((r.key, r.ts, r.id, *values, s.seen, error))
-        return pd.DataFrame(out, columns=["key", *ORDER, "score", "is_poisoned", "z_vote", "iso_vote", "seen", "error"])
+            values = s.step(x, walked.raw(s.forest, i)) if error is None else (None, False, False, False)
+            out.append((r.key, r.ts, r.id, *values, s.seen, error, *([r.features] if samples else [])))
+        return pd.DataFrame(out, columns=["key", *ORDER, "score", "is_poisoned", "z_vote", "iso_vote", "seen", "error", *(["features"] if samples else [])])
 
     return step
 
@@ -182,20 +203,25 @@ def stream_stats(scored: DataFrame) -> DataFrame:
     return scored.groupBy("key").agg(F.count("*").alias("seen"), F.count_if("is_poisoned").alias("poisoned")).withColumn("rate", F.col("poisoned") / F.col("seen"))
 
 
-def score_stream(stream: DataFrame, forest: Forest | None = None, baseline: DataFrame | None = None, **options) -> DataFrame:
+def score_stream(stream: DataFrame, forest: Forest | None = None, baseline: DataFrame | None = None, forests: str | None = None, **options) -> DataFrame:
     """The streaming form over (key string, ts, id, features[, reset]); needs the RocksDB state store.
 
     A key's state is its scorer: moments, counts and, with `inline_refit`, the window of clean rows and the forest
     last grown from it. `baseline` (see seed_baseline) starts each key's moments; rows with reset = true clear a key.
+    With `forests` every trigger scores by the newest forest that earlier triggers wrote there (see streaming.refit),
+    or by `forest` before there is one, and the samples come out too.
     """
-    make = lambda: Scorer(forest=forest, **options)
+    from gritsieve.streaming.refit import newest_forest
+
+    make = lambda: Scorer(forest=(newest_forest(forests) if forests is not None else None) or forest, **options)
 
     def load(s: Scorer, r) -> None:
         s.n, s.mean, s.m2 = int(r["n"]), np.asarray(r["mean"], float), np.asarray(r["m2"], float)
         s.width = len(s.mean)
 
     initial = baseline.select(F.col("key").cast("string"), "n", "mean", "m2") if baseline is not None else None
-    return stateful(_rows(stream), "key", ORDER, RESULT, make, _step(), initial, load)
+    schema = RESULT if forests is None else f"{RESULT}, features array<double>"
+    return stateful(_rows(stream), "key", ORDER, schema, make, _step(forests is not None), initial, load)
 
 
 def refit(window: DataFrame, contamination: float = 0.05, seed: int = 42) -> Forest:
