@@ -57,13 +57,23 @@ def ranked_deviations(top: int | None) -> list[Column]:
     return [F.transform(pairs, lambda p: p["j"]).alias("features_flagged"), F.transform(pairs, lambda p: -p["d"]).alias("deviations")]
 
 
-def votes(matrix: DataFrame, z_threshold: float = 3.0, k: float = 1.5, forest: DataFrame | None = None) -> DataFrame:
-    """All detectors in one projection over one row of statistics: (id, features, z, iqr, votes...)."""
-    both = S.feature_moments(matrix).join(S.feature_quantiles(matrix, (0.25, 0.75)), "j")
-    scored = beside(matrix, S.packed(both, "mean", "std", "q")).select("id", "features", "stats", z_score().alias("z_score"), iqr_score(k).alias("iqr_score"))
+def statistics(matrix: DataFrame, mode: str = "exact") -> DataFrame:
+    """One row of moments and quartiles of all features, for every per-row score."""
+    both = S.feature_moments(matrix).join(S.feature_quantiles(matrix, (0.25, 0.75), mode), "j")
+    return S.packed(both, "mean", "std", "q")
+
+
+def with_votes(rows: DataFrame, stats: DataFrame, z_threshold: float = 3.0, k: float = 1.5) -> DataFrame:
+    """`rows` beside the statistics, with both scores and votes."""
+    scored = beside(rows, stats).withColumns({"z_score": z_score(), "iqr_score": iqr_score(k)})
     return scored.withColumns({"z_vote": F.col("z_score") >= z_threshold, "iqr_vote": F.col("iqr_score") > 0})
 
 
+def votes(matrix: DataFrame, z_threshold: float = 3.0, k: float = 1.5, mode: str = "exact") -> DataFrame:
+    """Z-score and IQR in one projection over one row of statistics: (id, features, stats, z, iqr, votes)."""
+    return with_votes(matrix.select("id", "features"), statistics(matrix, mode), z_threshold, k)
+
+
 def screen(matrix: DataFrame, z_threshold: float = 3.0, k: float = 1.5) -> DataFrame:
     """Z-score and IQR votes with the three most deviant features of flagged rows."""
     v = votes(matrix, z_threshold, k)
@@ -72,11 +82,18 @@ def screen(matrix: DataFrame, z_threshold: float = 3.0, k: float = 1.5) -> DataF
     return v.select("id", "z_score", "iqr_score", "z_vote", "iqr_vote", F.when(flagged, top).alias("features_flagged"), (F.col("z_vote").cast("int") + F.col("iqr_vote").cast("int")).alias("votes"))
 
 
-def ensemble_vote(matrix: DataFrame, contamination: float = 0.1, seed: int = 42) -> DataFrame:
-    """Majority of z-score, IQR and isolation forest; anomaly_score is the forest's."""
+def ensemble_vote(matrix: DataFrame, contamination: float = 0.1, seed: int = 42, mode: str = "bracket") -> DataFrame:
+    """Majority of z-score, IQR and isolation forest; anomaly_score is the forest's.
+
+    The statistics are found once and written, one row; the forest is fitted on the matrix alone, and its scores are
+    written with the rows, over which everything else is one projection.
+    """
     from gritsieve.operators import forest as I
 
-    scored = I.trained(votes(matrix), contamination, seed)
+    rows = matrix.select("id", "features")
+    stats = checkpointed(statistics(rows, mode))
+    forest, raw = I.fit_and_score(rows, contamination, seed)
+    scored = with_votes(I.judged(raw, forest.offset, forest.ends), stats)
     n = F.col("z_vote").cast("int") + F.col("iqr_vote").cast("int") + F.col("iso_vote").cast("int")
     poisoned = n >= 2
     top, _ = ranked_deviations(3)

@@ -2,12 +2,13 @@
 
 Each tree grows in a group of its own from at most 256 rows; the whole forest is
 a small table of nodes, and rows are scored in Arrow batches against it.  All
-draws come from hashes of (seed, id) and generators seeded by (seed, tree), so
-the result does not depend on partitioning.
+draws are digits of MD5 over (seed, row), (seed, round, row) and (seed, tree, node), so the result
+does not depend on partitioning, and SQL can draw the same.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,25 +32,32 @@ def c_factor(n: float) -> float:
     return 1.0 if n == 2 else 2.0 * (math.log(n - 1.0) + 0.5772156649015329) - 2.0 * (n - 1.0) / n
 
 
-def grow(x: np.ndarray, rng: np.random.Generator) -> list[tuple]:
-    """Nodes (node, feature, split, low, high, depth) of one tree; leaves have feature -1 and their corrected depth."""
+def uniform(*of: object) -> float:
+    """A number in [0, 1) told by what it is for."""
+    return int(hashlib.md5(":".join(map(str, of)).encode()).hexdigest()[:12], 16) / float(1 << 48)
+
+
+def grow(x: np.ndarray, seed: int, tree: int) -> list[tuple]:
+    """Nodes (node, feature, split, low, high, depth) of one tree; leaves have feature -1 and their corrected depth.
+
+    The children of node n are 2n + 1 (at most the split) and 2n + 2. A node draws one of its features that vary, and a
+    place between the feature's ends.
+    """
     limit = max(1, math.ceil(math.log2(max(len(x), 2))))
     nodes, todo = [], [(0, np.arange(len(x)), 0)]
-    n_nodes = 1
     while todo:
         node, rows, depth = todo.pop()
-        spread = np.flatnonzero(x[rows].max(axis=0) > x[rows].min(axis=0)) if len(rows) > 1 else []
+        low, high = (x[rows].min(axis=0), x[rows].max(axis=0)) if len(rows) else (np.zeros(0), np.zeros(0))
+        spread = np.flatnonzero(high > low)
         if depth >= limit or len(spread) == 0:
             nodes.append((node, -1, 0.0, -1, -1, depth + c_factor(len(rows))))
             continue
-        f = int(rng.choice(spread))
-        low, high = x[rows, f].min(), x[rows, f].max()
-        split = float(rng.uniform(low, high))
-        split = low if split >= high else split  # the right side keeps a row
+        f = int(spread[int(uniform(seed, tree, node, "feature") * len(spread))])
+        split = float(low[f] + uniform(seed, tree, node, "split") * (high[f] - low[f]))
+        split = float(low[f]) if split >= high[f] else split  # the right side keeps a row
         left = x[rows, f] <= split
-        nodes.append((node, f, split, n_nodes, n_nodes + 1, 0.0))
-        todo += [(n_nodes, rows[left], depth + 1), (n_nodes + 1, rows[~left], depth + 1)]
-        n_nodes += 2
+        nodes.append((node, f, split, 2 * node + 1, 2 * node + 2, 0.0))
+        todo += [(2 * node + 1, rows[left], depth + 1), (2 * node + 2, rows[~left], depth + 1)]
     return nodes
 
 
@@ -90,7 +98,7 @@ class Forest:
         return out
 
     def raw(self, x: np.ndarray, block: int = 512) -> np.ndarray:
-        """-2^(-E[h]/c): the lower the more anomalous.
+        """-2^(-E[h]/c), to nine decimals: the lower the more anomalous.
 
         All trees are walked at once, one level a step; a leaf leads to itself.
         """
@@ -110,23 +118,45 @@ class Forest:
             for _ in range(levels):
                 right = flat.take(feature.take(at) + row) > split.take(at)
                 at = children.take(2 * at + right)
-            out[a : a + block] = -(2.0 ** (-depth.take(at).mean(axis=1) / max(c_factor(self.sample), 1e-12)))
+            out[a : a + block] = np.round(-(2.0 ** (-depth.take(at).mean(axis=1) / max(c_factor(self.sample), 1e-12))), 9)
         return out
 
 
-def nodes(matrix: DataFrame, n_trees: int = 100, seed: int = 42) -> DataFrame:
-    """The forest as a table. Trees draw their rows from a pool of n_trees * 256 rows with the least hashes."""
-    pool = matrix.select("id", "features", F.xxhash64(F.lit(seed), F.col("id").cast("string")).alias("h")).orderBy("h", F.col("id").cast("string")).limit(n_trees * SAMPLE)
-    pool = checkpointed(pool.select("h", "features").withColumn("p", F.monotonically_increasing_id()))
-    # every tree ranks the pool's hashes; rows of numbers go only where they are drawn
-    drawn = pool.select("h", "p", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-    w = Window.partitionBy("tree").orderBy(F.xxhash64("h", "tree", F.lit(seed)), "h", "p")
-    drawn = drawn.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= SAMPLE).select("tree", "r", "p").join(pool.select("p", "features"), "p")
+def _pool(matrix: DataFrame, n: int, most: int, seed: int) -> DataFrame:
+    """(id, features) of the `most` rows with the least hashes, written.
+
+    A bound on the hash that lets through a few more than are wanted comes first, so that no partition sends more
+    than its share to the sort.
+    """
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    keyed = matrix.select("id", "features", h.alias("h"))
+    rate = (most + 20 * math.sqrt(most)) / max(n, 1)
+    first = keyed if rate >= 1 else keyed.filter(F.conv(F.substr("h", F.lit(1), F.lit(12)), 16, 10).cast("double") < rate * float(1 << 48))
+    pool = checkpointed(first.orderBy("h", "features").limit(most).drop("h"))
+    if rate < 1 and pool.count() < min(n, most):  # hashes that repeat very often
+        pool = checkpointed(keyed.orderBy("h", "features").limit(most).drop("h"))
+    return pool
+
+
+def nodes(matrix: DataFrame, n_trees: int = 100, seed: int = 42, n_rows: int | None = None) -> DataFrame:
+    """The forest as a table.
+
+    Trees draw their rows from a pool of n_trees * 256 rows: its rows in a hash order of their own for each round are dealt
+    to as many trees as they suffice for. With fewer rows than a tree wants, every tree has all of them.
+    """
+    pool = _pool(matrix, matrix.count() if n_rows is None else n_rows, n_trees * SAMPLE, seed)
+    m = pool.count()
+    size = min(m, SAMPLE)
+    a_round = max(1, m // SAMPLE)
+    key = F.md5(F.concat_ws(":", F.lit(seed), "round", F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    dealt = pool.select("id", "features", F.explode(F.sequence(F.lit(0), F.lit(-(-n_trees // a_round) - 1))).alias("round"))
+    place = F.row_number().over(Window.partitionBy("round").orderBy(key, "features")) - 1  # the pool, once a round
+    dealt = dealt.withColumn("place", place).withColumn("slot", F.floor(F.col("place") / max(size, 1)))
+    drawn = dealt.withColumn("tree", (F.col("round") * a_round + F.col("slot")).cast("int")).filter((F.col("slot") < a_round) & (F.col("tree") < n_trees)).select("tree", "features")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("r")
         tree = int(pdf["tree"].iloc[0])
-        rows = grow(np.stack(pdf["features"].to_numpy()), np.random.default_rng([seed, tree]))
+        rows = grow(np.stack(pdf["features"].to_numpy()), seed, tree)
         return pd.DataFrame([(tree, *n) for n in rows], columns=["tree", "node", "feature", "split", "low", "high", "depth"])
 
     return drawn.groupBy("tree").applyInPandas(one, NODES)
@@ -137,12 +167,12 @@ def fit_and_score(matrix: DataFrame, contamination: float = 0.1, seed: int = 42,
 
     The trees' nodes come to the driver, at most 51100 rows; the percentile is found between two of a sketch.
     """
-    n = matrix.limit(SAMPLE).count()
-    forest = Forest.of([tuple(r) for r in nodes(matrix, n_trees, seed).collect()], n, contamination)
+    n = matrix.count()
+    forest = Forest.of([tuple(r) for r in nodes(matrix, n_trees, seed, n).collect()], min(n, SAMPLE), contamination)
     raw = checkpointed(raw_scores(matrix, forest))
     one = S.feature_quantiles(raw.select(F.array("iso_raw").alias("features")), (contamination,), "bracket")
     ends = raw.agg(F.min("iso_raw"), F.max("iso_raw")).first()
-    forest.offset, forest.ends = one.first()["q"][0], (ends[0], ends[1])
+    forest.offset, forest.ends = round(one.first()["q"][0], 9), (ends[0], ends[1])
     return forest, raw
 
 
@@ -155,8 +185,8 @@ def raw_scores(matrix: DataFrame, forest: Forest) -> DataFrame:
     """`matrix` with iso_raw."""
     context = matrix.sparkSession.sparkContext
     shared = context.broadcast(forest)  # 100 trees of at most 511 nodes
-    if matrix.rdd.getNumPartitions() < context.defaultParallelism:
-        matrix = matrix.repartition(context.defaultParallelism)  # moving a few rows costs less than walking trees on idle cores
+    if len(matrix.inputFiles()) < context.defaultParallelism:
+        matrix = matrix.repartition(context.defaultParallelism)  # moving the rows of a few files costs less than walking trees on idle cores
     at = matrix.columns.index("features")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

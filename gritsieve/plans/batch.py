@@ -141,7 +141,8 @@ def d2_iqr_embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def d3_isolation_fit(spark: SparkSession, d: str) -> DataFrame:
-    return I.nodes(X.lineitem(spark, d))
+    n = I.nodes(X.lineitem(spark, d))
+    return n.select("tree", "node", "feature", r("split"), r("depth"))
 
 
 def d4_isolation_score(spark: SparkSession, d: str) -> DataFrame:
@@ -153,6 +154,40 @@ def d5_ensemble(spark: SparkSession, d: str) -> DataFrame:
     return D.ensemble_vote(X.lineitem(spark, d)).select("id", r("anomaly_score"), "is_poisoned", "z_vote", "iqr_vote", "iso_vote")
 
 
+def _uniform(what: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws(':', 42, tree, node, '{what}')), 1, 12))::BIGINT / 281474976710656)"
+
+
+def _drawn(rows: str) -> str:
+    """Rows (tree, node, depth, f) with their node's size, feature and split; feature -1 in leaves."""
+    ends = ", ".join(f"min(f[{j}]) OVER w AS a{j}, max(f[{j}]) OVER w AS b{j}" for j in range(1, 5))
+    low, high = ("[" + ", ".join(f"{e}{j}" for j in range(1, 5)) + "]" for e in "ab")
+    return f"""SELECT tree, node, depth, f, size, feature, CASE WHEN s >= {high}[feature + 1] THEN {low}[feature + 1] ELSE s END AS split FROM (
+  SELECT *, {low}[feature + 1] + {_uniform("split")} * ({high}[feature + 1] - {low}[feature + 1]) AS s FROM (
+    SELECT *, CASE WHEN depth >= top OR len(spread) = 0 THEN -1 ELSE spread[1 + floor({_uniform("feature")} * len(spread))::INT] END AS feature FROM (
+      SELECT *, list_filter([0, 1, 2, 3], lambda j: {high}[j + 1] > {low}[j + 1]) AS spread FROM (
+        SELECT *, count(*) OVER w AS size, {ends} FROM ({rows}) WINDOW w AS (PARTITION BY tree, node)))))"""
+
+
+_C = "CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} = 2 THEN 1.0 ELSE 2.0 * (ln({n} - 1) + 0.5772156649015329) - 2.0 * ({n} - 1) / {n} END"
+_FOREST = f"""{X.LI},
+pool AS MATERIALIZED (SELECT id, f FROM (SELECT id, f, row_number() OVER (ORDER BY md5('42:' || id)) AS k FROM li) WHERE k <= 25600),
+sizes AS MATERIALIZED (SELECT least(m, 256) AS psi, greatest(1, m // 256) AS a_round, greatest(1, ceil(log2(greatest(least(m, 256), 2))))::INT AS top FROM (SELECT count(*) AS m FROM pool)),
+dealt AS (SELECT round, f, row_number() OVER (PARTITION BY round ORDER BY md5(concat_ws(':', 42, round, id))) - 1 AS place FROM pool, (SELECT unnest(range((99 + a_round) // a_round)) AS round FROM sizes)),
+roots AS MATERIALIZED (SELECT round * a_round + place // psi AS tree, f, top FROM dealt, sizes WHERE place // psi < a_round AND round * a_round + place // psi < 100),
+grown(tree, node, depth, f, size, feature, split) AS (
+  {_drawn("SELECT tree, 0 AS node, 0 AS depth, f, top FROM roots")}
+  UNION ALL
+  {_drawn("SELECT tree, CASE WHEN f[feature + 1] <= split THEN 2 * node + 1 ELSE 2 * node + 2 END AS node, depth + 1 AS depth, f, top FROM grown, sizes WHERE feature >= 0")}),
+nodes AS MATERIALIZED (SELECT DISTINCT tree, node, feature, CASE WHEN feature >= 0 THEN split ELSE 0.0 END AS split, CASE WHEN feature >= 0 THEN 0.0 ELSE depth + {_C.format(n="size")} END AS depth FROM grown)"""
+_STEP = "CASE WHEN n{k}.feature < 0 THEN n{k}.node WHEN f[n{k}.feature + 1] <= n{k}.split THEN 2 * n{k}.node + 1 ELSE 2 * n{k}.node + 2 END"
+_WALK = " ".join(f"JOIN nodes n{k} ON n{k}.tree = n0.tree AND n{k}.node = {_STEP.format(k=k - 1)}" for k in range(1, 9))
+_SCORES = f"""{_FOREST},
+raw AS MATERIALIZED (SELECT id, round(-pow(2.0, -avg(n8.depth) / any_value({_C.format(n="psi")})), 9) AS raw FROM sizes, li JOIN nodes n0 ON n0.node = 0 {_WALK} GROUP BY id),
+ends AS (SELECT min(raw) AS low, max(raw) AS high, round(quantile_cont(raw, 0.1), 9) AS cut FROM raw),
+iso AS (SELECT id, CASE WHEN high > low THEN (high - raw) / (high - low) ELSE 0.5 END AS iso_score, raw < cut AS iso_vote FROM raw, ends)"""
+
+
 def d5_vote(spark: SparkSession, d: str) -> DataFrame:
     return D.decide(D.votes(X.embeddings(spark, d)), ["z_vote", "iqr_vote"], 2).select("id", "votes", "is_poisoned")
 
@@ -468,9 +503,9 @@ QUERIES = {
     "d1_zscore_embeddings": (d1_zscore_embeddings, f"WITH {X.EMB}, {_Z.format(e='e')} SELECT id, round(z_score, 6) AS score, z_score >= 3 AS flagged FROM z"),
     "d2_iqr": (d2_iqr, f"WITH {X.LI}, {_Q.format(e='lie')} SELECT id, round(iqr_score, 6) AS score, iqr_score > 0 AS flagged FROM o"),
     "d2_iqr_embeddings": (d2_iqr_embeddings, f"WITH {X.EMB}, {_Q.format(e='e')} SELECT id, round(iqr_score, 6) AS score, iqr_score > 0 AS flagged FROM o"),
-    "d3_isolation_fit": (d3_isolation_fit, None),
-    "d4_isolation_score": (d4_isolation_score, None),
-    "d5_ensemble": (d5_ensemble, None),
+    "d3_isolation_fit": (d3_isolation_fit, f"WITH RECURSIVE {_FOREST} SELECT tree::INTEGER AS tree, node::INTEGER AS node, feature::INTEGER AS feature, round(split, 6) AS split, round(depth, 6) AS depth FROM nodes"),
+    "d4_isolation_score": (d4_isolation_score, f"WITH RECURSIVE {_SCORES} SELECT id, round(iso_score, 6) AS iso_score, iso_vote FROM iso"),
+    "d5_ensemble": (d5_ensemble, f"WITH RECURSIVE {_SCORES}, {_Z.format(e='lie')}, {_Q.format(e='lie')} SELECT id, round(iso_score, 6) AS anomaly_score, (z_score >= 3)::INT + (iqr_score > 0)::INT + iso_vote::INT >= 2 AS is_poisoned, z_score >= 3 AS z_vote, iqr_score > 0 AS iqr_vote, iso_vote FROM iso JOIN z USING (id) JOIN o USING (id)"),
     "d5_vote": (d5_vote, f"WITH {X.EMB}, {_Z.format(e='e')}, {_Q.format(e='e')} SELECT id, (z_score >= 3)::INT + (iqr_score > 0)::INT AS votes, z_score >= 3 AND iqr_score > 0 AS is_poisoned FROM z JOIN o USING (id)"),
     "d6_spectral": (d6_spectral, _D6),
     "d6_class_stats": (d6_class_stats, _D6_STATS),

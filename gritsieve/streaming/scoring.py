@@ -123,9 +123,8 @@ def fit_window(x: np.ndarray, contamination: float, seed: int = 42, n_trees: int
     """A forest of one key's bounded window."""
     nodes = []
     for tree in range(n_trees):
-        rng = np.random.default_rng([seed, tree])
-        rows = x[rng.choice(len(x), min(256, len(x)), replace=False)]
-        nodes += [(tree, *node) for node in grow(rows, rng)]
+        rows = x[np.random.default_rng([seed, tree]).choice(len(x), min(256, len(x)), replace=False)]
+        nodes += [(tree, *node) for node in grow(rows, seed, tree)]
     forest = Forest.of(nodes, min(256, len(x)), contamination)
     forest.offset = float(np.quantile(forest.raw(x), contamination))
     return forest
