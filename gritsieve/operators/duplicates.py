@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gritsieve.functions import stats as S
 from gritsieve.functions.cut import checkpointed
+from gritsieve.functions.ranks import MOST_BROADCAST
 
 DIGITS = 4
 LAST = 5000
@@ -21,27 +23,37 @@ def rounded(features: str = "features") -> Column:
 
 
 def sign_bits(vector: Column) -> Column:
-    """One character for each element: 1 where it lies above the vector's own mean."""
-    mean = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x) / F.size(vector)
-    return F.array_join(F.transform(vector, lambda x: F.when(x - mean > 0, "1").otherwise("0")), "")
+    """One character for each element: 1 where it lies above the vector's own mean.
 
+    The vector and its mean pass through lists of one, so that each is worked out once and not for every element.
+    """
+    once = lambda x, f: F.transform(F.array(x), f)[0]
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)
+    return once(vector, lambda v: once(mean(v), lambda m: F.array_join(F.transform(v, lambda x: F.when(x - m > 0, "1").otherwise("0")), "")))
 
-def exact_duplicates(df: DataFrame, order: list[str]) -> DataFrame:
-    """`df` with exact_dup: an earlier row has the same rounded vector.
 
-    A minimum for each key is aggregated before the shuffle and joined back, so a
-    vector that fills a third of the rows does not meet in one window.
+def _after_the_first(df: DataFrame, key: Column, order: list[str], flag: str) -> DataFrame:
+    """`df` with a flag on the rows that come after the first one of their key.
+
+    Keys that several rows have are aggregated before the shuffle and written, a row for each, then joined back: broadcast
+    where their number allows, else by shuffles of which adaptive execution splits those of hot keys.
     """
-    key = df.withColumn("_k", F.sha2(F.to_json(rounded()), 256))
-    first = key.groupBy("_k").agg(F.min(F.struct(*order)).alias("_first"))
-    return key.join(first, "_k").withColumn("exact_dup", F.struct(*order) > F.col("_first")).drop("_k", "_first")
+    keyed = df.withColumn("_k", key)
+    first = keyed.filter("_k is not null").groupBy("_k").agg(F.min(F.struct(*order)).alias("_first"), F.count("*").alias("_n"))
+    first = checkpointed(first.filter("_n > 1").drop("_n"))
+    small = F.broadcast(first) if first.count() <= MOST_BROADCAST else first
+    return keyed.join(small, "_k", "left").withColumn(flag, F.coalesce(F.struct(*order) > F.col("_first"), F.lit(False))).drop("_k", "_first")
+
+
+def exact_duplicates(df: DataFrame, order: list[str]) -> DataFrame:
+    """`df` with exact_dup: an earlier row has the same rounded vector; rows without a vector are no duplicates."""
+    return _after_the_first(df, F.sha2(F.to_json(rounded()), 256), order, "exact_dup")
 
 
 def pattern_duplicates(df: DataFrame, order: list[str], min_dims: int = 0) -> DataFrame:
-    """`df` with bits_dup: an earlier row has the same bit pattern (never, below min_dims elements)."""
-    key = df.withColumn("_b", sign_bits(rounded()))
-    first = key.groupBy("_b").agg(F.min(F.struct(*order)).alias("_first"))
-    return key.join(first, "_b").withColumn("bits_dup", (F.struct(*order) > F.col("_first")) & (F.size("features") >= min_dims)).drop("_b", "_first")
+    """`df` with bits_dup: an earlier row has the same bit pattern (never, below min_dims elements, nor without a vector)."""
+    found = _after_the_first(df, sign_bits(rounded()), order, "bits_dup")
+    return found.withColumn("bits_dup", F.col("bits_dup") & (F.size("features") >= min_dims)) if min_dims else found
 
 
 def _units(column: pa.Array) -> np.ndarray:
@@ -54,15 +66,28 @@ def _units(column: pa.Array) -> np.ndarray:
 def max_similarity(samples: DataFrame, references: DataFrame, most: int = 1 << 25) -> DataFrame:
     """(id, max_sim): the largest cosine to any reference, 0 at least.
 
-    A stated reference set of at most `most` numbers is broadcast as a matrix after its size is checked; samples
-    are never shuffled.
+    References of at most `most` numbers are broadcast as one matrix, after their size is checked, and samples are never
+    shuffled. More come in blocks of that size: every block meets all samples, and the largest of a sample's
+    results, one for each block, is taken.
     """
     size = references.agg(F.sum(F.size("features"))).first()[0] or 0
-    if size > most:
-        raise ValueError(f"more than {most} numbers in the references: compare in parts and take the maximum")
-    table = references.select("features").toArrow().column("features").combine_chunks()
-    shared = samples.sparkSession.sparkContext.broadcast(_units(table) if len(table) else None)
+    blocks = max(1, -(-size // most))
+    if blocks == 1:
+        return _against(samples.select("id", "features"), references.select("features").toArrow().column("features").combine_chunks())
     kind = samples.schema["id"].dataType.simpleString()
+    parts = checkpointed(references.select("features", (F.monotonically_increasing_id() % blocks).alias("_b")))
+    rows = checkpointed(samples.select(F.struct("id", F.monotonically_increasing_id().alias("row")).alias("id"), "features"))
+    found = []
+    for b in range(blocks):
+        table = parts.filter(F.col("_b") == b).select("features").toArrow().column("features").combine_chunks()
+        found.append(checkpointed(_against(rows, table)))  # two numbers a sample
+    best = reduce(DataFrame.unionByName, found).groupBy("id").agg(F.max("max_sim").alias("max_sim"))
+    return best.select(F.col("id.id").cast(kind).alias("id"), "max_sim")
+
+
+def _against(samples: DataFrame, references: pa.Array) -> DataFrame:
+    """(id, max_sim) of samples (id, features) against one matrix."""
+    shared = samples.sparkSession.sparkContext.broadcast(_units(references) if len(references) else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,7 +97,7 @@ def max_similarity(samples: DataFrame, references: DataFrame, most: int = 1 << 2
                 best[a : a + 256] = np.maximum((own @ shared.value.T).max(axis=1), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best)], names=["id", "max_sim"])
 
-    return samples.select("id", "features").mapInArrow(run, f"id {kind}, max_sim double")
+    return samples.mapInArrow(run, f"id {samples.schema['id'].dataType.simpleString()}, max_sim double")
 
 
 def numbered(df: DataFrame, order: str) -> DataFrame:

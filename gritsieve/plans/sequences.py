@@ -86,6 +86,33 @@ def t11_concept_drift(spark: SparkSession, d: str) -> DataFrame:
     return C.concept_drift(X.event_vectors(spark, d)).select("key", "id", "is_drifting", r("drift_score"), "features_drifting", "page_hinkley")
 
 
+def _cut(w: str) -> str:
+    """How many values the adaptive window `w` of n values drops: the first of three cuts whose means differ by the bound."""
+    k = [f"greatest(5, floor(n * {share})::INT)" for share in (0.25, 0.5, 0.75)]
+    hit = lambda k: f"{k} < n - 5 AND abs(list_avg({w}[1:{k}]) - list_avg({w}[{k} + 1:])) >= sqrt(ln(400.0) * (1.0 / {k} + 1.0 / (n - {k})) / 2)"
+    return f"CASE WHEN n < 10 THEN 0 {' '.join(f'WHEN {hit(x)} THEN {x}' for x in k)} ELSE 0 END"
+
+
+_SEQUENCE = "row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events"
+_T9 = f"""WITH RECURSIVE ev AS MATERIALIZED (SELECT event_type AS key, event_id AS id, value AS x, {_SEQUENCE}),
+s(key, k, id, w, cut) AS (
+  SELECT DISTINCT key, 0::BIGINT, NULL::BIGINT, []::DOUBLE[], 0::INT FROM ev
+  UNION ALL
+  SELECT key, k, id, w[cut + 1:], cut FROM (SELECT *, {_cut("w")} AS cut FROM (SELECT *, len(w) AS n FROM (SELECT ev.key, ev.k, ev.id, list_append(s.w, ev.x) AS w FROM s JOIN ev ON ev.key = s.key AND ev.k = s.k + 1))))
+SELECT key, id, cut > 0 AS drift FROM s WHERE k > 0"""
+_T11 = f"""WITH RECURSIVE ev AS MATERIALIZED (SELECT event_type AS key, event_id AS id, value AS x, json_extract_string(props, '$.k')::DOUBLE AS y, {_SEQUENCE}),
+s(key, k, id, w, v, c, d, mean, total, low, hit, distance) AS (
+  SELECT DISTINCT key, 0::BIGINT, NULL::BIGINT, []::DOUBLE[], []::DOUBLE[], 0::INT, 0::INT, 0.0::DOUBLE, 0.0::DOUBLE, 'infinity'::DOUBLE, false, 0.0::DOUBLE FROM ev
+  UNION ALL
+  SELECT key, k, id, w[c + 1:], v[d + 1:], c, d, mean, CASE WHEN hit THEN 0.0 ELSE total END, CASE WHEN hit THEN 'infinity'::DOUBLE ELSE low END, hit, CASE WHEN hit THEN 0.0 ELSE total - low END
+  FROM (SELECT *, k > 30 AND total - low > 50.0 AS hit FROM (SELECT * EXCLUDE (total, low), total, least(low, total) AS low FROM (SELECT * EXCLUDE (total), total + m - mean - 0.005 AS total FROM (
+    SELECT * EXCLUDE (n, mean), CASE WHEN k = 1 THEN m ELSE 0.9999 * mean + (1 - 0.9999) * m END AS mean FROM (
+    SELECT *, {_cut("v")} AS d FROM (SELECT * EXCLUDE (n), len(v) AS n FROM (SELECT *, {_cut("w")} AS c FROM (SELECT *, len(w) AS n FROM (
+      SELECT ev.key, ev.k, ev.id, list_append(s.w, ev.x) AS w, list_append(s.v, ev.y) AS v, (ev.x + ev.y) / 2 AS m, s.mean, s.total, s.low FROM s JOIN ev ON ev.key = s.key AND ev.k = s.k + 1)))))))))
+  )
+SELECT key, id, ((c > 0)::INT + (d > 0)::INT) / 2 >= 0.3 OR hit AS is_drifting, round(least(1.0, greatest(distance / 50.0, ((c > 0)::INT + (d > 0)::INT) / 2 / 0.3)), 6) AS drift_score, (c > 0)::INT + (d > 0)::INT AS features_drifting, hit AS page_hinkley FROM s WHERE k > 0"""
+
+
 def t12_drift_suppress(spark: SparkSession, d: str) -> DataFrame:
     f = X.event_flags(spark, d)
     return C.suppress(f.drop("is_drifting"), f.select("key", "id", "is_drifting")).select("key", "id", "is_poisoned", "is_drifting", "alert")
@@ -159,6 +186,12 @@ w AS (SELECT *, row_number() OVER (PARTITION BY key, e ORDER BY k) > 1 AS exact_
 SELECT key, id, round(greatest(0.0, coalesce(m, 0.0)), 6) AS max_sim, exact_dup, bits_dup, coalesce(m >= {NEAR}, false) AND NOT exact_dup AND NOT bits_dup AS near_dup, true AS added FROM w LEFT JOIN p USING (id)"""
 
 
+def t16_max_similarity_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The same against references that come in blocks."""
+    e = X.embeddings(spark, d)
+    return U.max_similarity(e, e.filter("id % 20 = 0"), most=800).select("id", r("max_sim"))
+
+
 def t17_fingerprint_stats(spark: SparkSession, d: str) -> DataFrame:
     return U.fingerprint_stats(U.duplicates(X.with_copies(spark, d), "seq", 0.4, 1000))
 
@@ -195,9 +228,9 @@ QUERIES = {
     "t5_score_batch": (t5_score_batch, T5 + "SELECT key, id, round(score, 6) AS score, bad AS is_poisoned FROM s"),
     "t6_cold_start": (t6_cold_start, _T6),
     "t7_stream_stats": (t7_stream_stats, f"WITH {X.FLAGS} SELECT key, count(*) AS seen, count_if(is_poisoned)::BIGINT AS poisoned, round(count_if(is_poisoned) / count(*), 6) AS rate FROM fl GROUP BY key"),
-    "t9_adwin": (t9_adwin, None),
+    "t9_adwin": (t9_adwin, _T9),
     "t10_page_hinkley": (t10_page_hinkley, _T10),
-    "t11_concept_drift": (t11_concept_drift, None),
+    "t11_concept_drift": (t11_concept_drift, _T11),
     "t12_drift_suppress": (t12_drift_suppress, f"WITH {X.FLAGS} SELECT key, id, is_poisoned, is_drifting, is_poisoned AND NOT is_drifting AS alert FROM fl"),
     "t13_exact_dup": (t13_exact_dup, f"WITH {X.COPIES}, {DUPS} SELECT id, exact_dup FROM k"),
     "t14_phash_dup": (t14_phash_dup, f"WITH {X.COPIES}, {BITS} SELECT id, row_number() OVER (PARTITION BY b ORDER BY id) > 1 AS bits_dup FROM b"),
@@ -205,6 +238,7 @@ QUERIES = {
     "t15_add_clean": (t15_add_clean, STORE),
     "t15_add_always": (t15_add_always, ALWAYS),
     "t16_max_similarity": (t16_max_similarity, _T16),
+    "t16_max_similarity_blocks": (t16_max_similarity_blocks, _T16),
     "t17_fingerprint_stats": (t17_fingerprint_stats, f"WITH {X.COPIES}, {DUPS}, {BITS}, {_NEAR}, bb AS (SELECT id, row_number() OVER (PARTITION BY b ORDER BY id) > 1 AS bits_dup FROM b), fl AS (SELECT exact_dup, bits_dup, coalesce(m, 0.0) >= 0.4 AS near FROM k JOIN bb USING (id) LEFT JOIN p USING (id)) SELECT count(*) AS seen, count_if(exact_dup)::BIGINT AS exact, count_if(bits_dup)::BIGINT AS patterns, count_if(near AND NOT exact_dup AND NOT bits_dup)::BIGINT AS near, count_if(exact_dup OR bits_dup OR near)::BIGINT AS duplicates FROM fl"),
     "t18_add_samples": (t18_add_samples, "SELECT vec_id AS id FROM embeddings ORDER BY vec_id DESC LIMIT 300"),
     "t19_route": (t19_route, f"WITH {X.FLAGS} SELECT id, {ROUTE} FROM fl"),
