@@ -192,9 +192,29 @@ def score_by_class(matrix: DataFrame, threshold: float = 3.0, forest=None) -> Da
     return scored.select("id", "label", "truth", "score")
 
 
-def per_class_eval(matrix: DataFrame, target: float = 0.05, threshold: float = 3.0, forest=None, digits: int = 6) -> DataFrame:
-    """(label, n, n_flipped, mean_clean, mean_flipped, auc, threshold, fpr, tpr, fp_rate): means of each class, and what the pooled scores give."""
-    scored = checkpointed(score_by_class(matrix, threshold, forest).withColumn("score", F.round("score", digits)))
+def score_with_feedback(matrix: DataFrame, threshold: float = 3.0, least_votes: int = 2, with_forest: bool = True, contamination: float = 0.05) -> DataFrame:
+    """(id, label, truth, score, is_poisoned): each class's rows one after another, by id, through a scorer of its own.
+
+    A scorer starts from the moments of all its class's rows, and with a forest grown from them; rows that it flags do not
+    enter its moments.
+    """
+    from gritsieve.operators import forest as I
+    from gritsieve.streaming import scoring as T
+
+    rows = checkpointed(matrix.select("id", "label", "features", "is_flipped"))
+    keyed = rows.select(F.col("label").cast("string").alias("key"), F.lit(None).cast("timestamp").alias("ts"), "id", "features")
+    forests = {None if k is None else str(k): f for k, f in I.fit_by_class(rows.select("id", "label", "features"), contamination).items()} if with_forest else None
+    scored = T.score_batch(keyed, None, checkpointed(T.seed_baseline(keyed)), forests, threshold=threshold, least_votes=least_votes)
+    return scored.select("id", "score", "is_poisoned").join(rows.select("id", "label", F.col("is_flipped").alias("truth")), "id").select("id", "label", "truth", "score", "is_poisoned")
+
+
+def per_class_eval(matrix: DataFrame, target: float = 0.05, threshold: float = 3.0, forest=None, digits: int = 6, scored: DataFrame | None = None) -> DataFrame:
+    """(label, n, n_flipped, mean_clean, mean_flipped, auc, threshold, fpr, tpr, fp_rate): means of each class, and what the pooled scores give.
+
+    Rows are scored by score_by_class, or come in as `scored` (label, truth, score), from score_with_feedback for one.
+    """
+    scored = score_by_class(matrix, threshold, forest) if scored is None else scored
+    scored = checkpointed(scored.withColumn("score", F.round("score", digits)))
     at = threshold_at_fpr(scored, target)
     found = at.first()["threshold"]
     pooled = rank_auc(scored).crossJoin(at).crossJoin(fp_rate(scored, found if found is not None else float("inf")))  # one row each

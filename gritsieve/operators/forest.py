@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from gritsieve.functions import stats as S
 from gritsieve.functions.cut import checkpointed
+from gritsieve.functions.ranks import percentiles
 
 SAMPLE = 256
 NODES = "tree int, node int, feature int, split double, low int, high int, depth double"
@@ -181,6 +182,59 @@ def fit(matrix: DataFrame, contamination: float = 0.1, seed: int = 42, n_trees:
     return fit_and_score(matrix.select("id", "features"), contamination, seed, n_trees)[0]
 
 
+def fit_by_class(matrix: DataFrame, contamination: float = 0.05, seed: int = 42, n_trees: int = 100) -> dict:
+    """A forest for each class of (id, label, features), with its offset; classes number few, and are of any size.
+
+    Trees of all classes grow side by side from each class's rows with the least hashes; what reaches the driver is 51,100
+    nodes a class at most.
+    """
+    most = n_trees * SAMPLE
+    sizes = {r["label"]: r["count"] for r in matrix.groupBy("label").count().collect()}  # a row for each class
+    rate = F.least(F.lit(1.0), (most + 20 * math.sqrt(most)) / F.col("_n"))
+    known = matrix.sparkSession.createDataFrame(list(sizes.items()), T.StructType([matrix.schema["label"], T.StructField("_n", T.LongType())]))
+    text = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    keyed = matrix.select("label", "id", "features", F.md5(F.concat(F.lit(f"{seed}:"), text)).alias("h")).join(F.broadcast(known.withColumnRenamed("label", "_l")), F.col("label").eqNullSafe(F.col("_l")))
+    keyed = keyed.filter(F.conv(F.substr("h", F.lit(1), F.lit(12)), 16, 10).cast("double") < rate * float(1 << 48))
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("h", "features"))  # some `most` rows of a class
+    pool = keyed.withColumn("_k", nth).filter(F.col("_k") <= most).withColumn("_m", F.least("_n", F.lit(most)))
+    a_round = F.greatest(F.lit(1), F.floor(F.col("_m") / SAMPLE)).cast("int")
+    dealt = pool.withColumn("_a", a_round).select("label", "id", "features", "_a", F.least("_m", F.lit(SAMPLE)).alias("_s"), F.explode(F.sequence(F.lit(0), F.ceil(n_trees / F.col("_a")).cast("int") - 1)).alias("round"))
+    place = F.row_number().over(Window.partitionBy("label", "round").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "round", text)), "features")) - 1
+    drawn = dealt.withColumn("slot", F.floor(place / F.col("_s"))).withColumn("tree", (F.col("round") * F.col("_a") + F.col("slot")).cast("int")).filter((F.col("slot") < F.col("_a")) & (F.col("tree") < n_trees))
+    kind = matrix.schema["label"].dataType.simpleString()
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = int(pdf["tree"].iloc[0])
+        rows = grow(np.stack(pdf["features"].to_numpy()), seed, tree)
+        return pd.DataFrame([(pdf["label"].iloc[0], tree, *n) for n in rows], columns=["label", "tree", "node", "feature", "split", "low", "high", "depth"])
+
+    grown: dict = {label: [] for label in sizes}
+    for label, *node in drawn.select("label", "tree", "features").groupBy("label", "tree").applyInPandas(one, f"label {kind}, {NODES}").collect():
+        grown[label].append(tuple(node))
+    forests = {label: Forest.of(rows, min(sizes[label], SAMPLE), contamination) for label, rows in grown.items()}
+    raw = checkpointed(raw_by_class(matrix, forests).select("label", F.col("iso_raw").alias("x")))
+    for label, _, q in percentiles(raw, ["label"], (contamination,)).collect():
+        forests[label].offset = round(q[0], 9)
+    return forests
+
+
+def raw_by_class(matrix: DataFrame, forests: dict) -> DataFrame:
+    """`matrix` with iso_raw by the forest of each row's class."""
+    shared = matrix.sparkSession.sparkContext.broadcast(forests)
+    at, of = matrix.columns.index("features"), matrix.columns.index("label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, labels = np.zeros(batch.num_rows), np.array(batch.column(of).to_pylist(), object)
+            for label in set(labels):
+                rows = np.flatnonzero([x == label for x in labels])
+                x = batch.column(at).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(float)
+                raw[rows] = shared.value[label].raw(x.reshape(len(rows), -1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw)], names=[*batch.schema.names, "iso_raw"])
+
+    return matrix.mapInArrow(run, T.StructType([*matrix.schema.fields, T.StructField("iso_raw", T.DoubleType())]))
+
+
 def raw_scores(matrix: DataFrame, forest: Forest) -> DataFrame:
     """`matrix` with iso_raw."""
     context = matrix.sparkSession.sparkContext

@@ -409,6 +409,38 @@ h AS (SELECT score AS threshold, fpr, tpr FROM roc WHERE fpr <= 0.05 ORDER BY sc
 SELECT label, count(*) AS n, count_if(truth)::BIGINT AS n_flipped, round(avg(score) FILTER (NOT truth), 6) AS mean_clean, round(avg(score) FILTER (truth), 6) AS mean_flipped, round(any_value(auc), 6) AS auc, round(any_value(threshold), 6) AS threshold, round(any_value(fpr), 6) AS fpr, round(any_value(tpr), 6) AS tpr, round(any_value(fpr), 6) AS fp_rate FROM a, u, h GROUP BY label"""
 
 
+def _evaluated(out: DataFrame) -> DataFrame:
+    return out.select("label", "n", "n_flipped", *[r(c) for c in ("mean_clean", "mean_flipped", "auc", "threshold", "fpr", "tpr", "fp_rate")])
+
+
+def e10_feedback(spark: SparkSession, d: str) -> DataFrame:
+    """The keyed rule by class, z-score alone: a row past the threshold is flagged and not learned."""
+    m = checkpointed(_flipped(spark, d))
+    return _evaluated(E.per_class_eval(m, 0.05, scored=E.score_with_feedback(m, E10_THRESHOLD, 1, False)))
+
+
+def e10_forest_feedback(spark: SparkSession, d: str) -> DataFrame:
+    """The keyed rule by class with a forest for each."""
+    m = checkpointed(_flipped(spark, d))
+    return _evaluated(E.per_class_eval(m, 0.05, scored=E.score_with_feedback(m, E10_THRESHOLD)))
+
+
+#: A threshold that some rows of these tables pass.
+E10_THRESHOLD = 2.5
+_E10F = _E10.replace("WITH ", "WITH RECURSIVE ", 1)
+_E10F = _E10F[: _E10F.index(", e AS (")] + f""", em AS MATERIALIZED (SELECT id, label, is_flipped, f, row_number() OVER (PARTITION BY label ORDER BY id) AS k, len(f) AS d FROM emb),
+e AS (SELECT label, unnest(range(len(f))) AS j, unnest(f) AS x FROM em), b AS (SELECT label, list(mu ORDER BY j) AS mean, list(v ORDER BY j) AS m2, any_value(n) AS n FROM (SELECT label, j, avg(x) AS mu, var_pop(x) * count(x) AS v, count(x) AS n FROM e GROUP BY label, j) GROUP BY label),
+s(label, k, id, truth, n, mean, m2, score) AS (
+  SELECT label, 0::BIGINT, NULL::BIGINT, false, n, mean, m2, 0.0::DOUBLE FROM b
+  UNION ALL
+  SELECT label, k, id, truth, CASE WHEN bad THEN n ELSE n + 1 END, CASE WHEN bad THEN mean ELSE new END, CASE WHEN bad THEN m2 ELSE list_transform(m2, lambda v, i: v + (f[i] - mean[i]) * (f[i] - new[i])) END, CASE WHEN n >= 10 THEN least(z / {2 * E10_THRESHOLD}, 1.0) ELSE 0.0 END
+  FROM (SELECT *, n >= 10 AND z > {E10_THRESHOLD} AS bad, list_transform(mean, lambda v, i: v + (f[i] - v) / (n + 1)) AS new FROM (
+    SELECT em.label, em.k, em.id, em.is_flipped AS truth, em.f, s.n, s.mean, s.m2, list_max(list_transform(s.mean, lambda v, i: abs(em.f[i] - v) / CASE WHEN sqrt(s.m2[i] / (s.n - 1)) > 1e-10 THEN sqrt(s.m2[i] / (s.n - 1)) ELSE 1.0 END)) AS z
+    FROM s JOIN em ON em.label = s.label AND em.k = s.k + 1))),
+a AS (SELECT id, label, truth, round(score, 6) AS score FROM s WHERE k > 0),
+""" + _E10F[_E10F.index("u AS (SELECT avg(") :]
+
+
 def _f1_by_rate(spark: SparkSession, d: str) -> DataFrame:
     """(rate, method, f1) of three detectors at three rates of flips."""
     runs = {"crossclass": P.label_flips_crossclass, "topk": P.label_flips_topk}
@@ -528,6 +560,8 @@ QUERIES = {
     "e9_standardize": (e9_standardize, _E9),
     "e9_standardize_pca": (e9_standardize_pca, None),
     "e10_per_class_eval": (e10_per_class_eval, _E10),
+    "e10_feedback": (e10_feedback, _E10F),
+    "e10_forest_feedback": (e10_forest_feedback, None),
     "e11_compare_methods": (e11_compare_methods, None),
     "e11_given_flags": (e11_given_flags, _E11),
     "e12_triage_table": (e12_triage_table, _E12),

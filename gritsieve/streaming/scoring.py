@@ -67,6 +67,11 @@ class Scorer(Detector):
             trees, *arrays, sample, contamination, offset = values["forest"]
             self.forest = Forest(*(np.array(x, kind).reshape(trees, -1) for x, kind in zip(arrays, (np.int32, float, np.int32, np.int32, float), strict=True)), sample, contamination, offset)
 
+    def start(self, n: int, mean, m2) -> None:
+        """Moments of a baseline."""
+        self.n, self.mean, self.m2 = int(n), np.asarray(mean, float), np.asarray(m2, float)
+        self.width = len(self.mean)
+
     def reset(self) -> None:
         """As if no row had come."""
         self.n, self.mean, self.m2, self.width = 0, None, None, None
@@ -174,10 +179,30 @@ def _rows(df: DataFrame) -> DataFrame:
     return df.select(F.col("key").cast("string"), F.col("ts").cast("timestamp"), F.col("id").cast("long"), "features", *more)
 
 
-def score_batch(df: DataFrame, forest: Forest | None = None, **options) -> DataFrame:
-    """The static form over (key, ts, id, features[, reset]): each key in order of (ts, id)."""
+def score_batch(df: DataFrame, forest: Forest | None = None, baseline: DataFrame | None = None, forests: dict[str | None, Forest] | None = None, **options) -> DataFrame:
+    """The static form over (key, ts, id, features[, reset]): each key in order of (ts, id).
+
+    `baseline` (see seed_baseline) starts the moments of its keys: its row of a key is sorted before all others.
+    `forests` has a forest for each of a few keys.
+    """
+    rows, none = _rows(df).withColumn("at", F.lit(1)), lambda kind: F.lit(None).cast(kind)
+    start = {"n": "bigint", "mean": "array<double>", "m2": "array<double>"}
+    rows = rows.withColumns({c: none(kind) for c, kind in start.items()})
+    if baseline is not None:
+        given = {"key": F.col("key").cast("string"), "at": F.lit(0)} | {c: F.col(c).cast(kind) for c, kind in start.items()}
+        rows = rows.unionByName(baseline.select(*[given.get(f.name, none(f.dataType)).alias(f.name) for f in rows.schema.fields]))
+    scored = _step()
+
+    def step(s: Scorer, pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) and pdf["at"].iloc[0] == 0:
+            s.start(pdf["n"].iloc[0], pdf["mean"].iloc[0], pdf["m2"].iloc[0])
+            pdf = pdf.iloc[1:].reset_index(drop=True)
+        if forests and len(pdf):
+            s.forest = s.given = forests.get(pdf["key"].iloc[0])
+        return scored(s, pdf)
+
     make = lambda: Scorer(forest=forest, **options)
-    return in_order(_rows(df), "key", ORDER, RESULT, make, _step())
+    return in_order(rows, "key", ["at", *ORDER], RESULT, make, step if baseline is not None or forests else scored)
 
 
 def cold_start(df: DataFrame, threshold: float = 3.0) -> DataFrame:
@@ -215,8 +240,7 @@ def score_stream(stream: DataFrame, forest: Forest | None = None, baseline: Data
     make = lambda: Scorer(forest=(newest_forest(forests) if forests is not None else None) or forest, **options)
 
     def load(s: Scorer, r) -> None:
-        s.n, s.mean, s.m2 = int(r["n"]), np.asarray(r["mean"], float), np.asarray(r["m2"], float)
-        s.width = len(s.mean)
+        s.start(r["n"], r["mean"], r["m2"])
 
     initial = baseline.select(F.col("key").cast("string"), "n", "mean", "m2") if baseline is not None else None
     schema = RESULT if forests is None else f"{RESULT}, features array<double>"
