@@ -48,7 +48,7 @@ def _projected(matrix: DataFrame, axes: DataFrame) -> DataFrame:
 
 def spectral_scores(matrix: DataFrame, n_components: int = 1, min_class_size: int = LEAST_CLASS) -> DataFrame:
     """Scores about the class mean; classes below the least size give no rows."""
-    centers = S.class_means(matrix).filter(F.col("n") >= min_class_size)
+    centers = checkpointed(S.class_means(matrix).filter(F.col("n") >= min_class_size))  # a vector for each class, read three times
     return _projected(matrix, _directions(matrix, centers, n_components, False, 0.0))
 
 
@@ -124,7 +124,7 @@ def label_flips_robust(matrix: DataFrame, contamination: float = 0.05, n_compone
     """Whitened distance about the class median in the top subspace; each class has its share of the whole budget."""
     sizes = matrix.groupBy("label").agg(F.count("*").alias("n"))
     kept = sizes.filter(F.col("n") >= LEAST_CLASS).select("label")
-    centers = S.class_centroids(matrix).join(kept, "label")
+    centers = checkpointed(S.class_centroids(matrix).join(kept, "label"))
     scored = _projected(matrix, _directions(matrix, centers, n_components, True, ridge))
     total = sizes.agg(F.sum("n").alias("total"))
     whole = F.greatest(F.lit(1), F.bround(contamination * F.col("total"), 0))
