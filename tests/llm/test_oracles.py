@@ -26,3 +26,18 @@ def test_query_equals_sql(spark, name):
 def test_query_has_a_row_for_each_document(spark, name):
     ids = [r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()]
     assert sorted(r["doc_id"] for r in queries.queries()[name](spark, SF).select("doc_id").collect()) == sorted(ids)
+
+
+def test_codec_equals_the_library_on_all_documents(spark):
+    import hashlib
+
+    import sentencepiece
+
+    from gritsieve.llm import sentencepiece_codec
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.model_path())
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.queries()["op1_sentencepiece"](spark, SF).collect():
+        ids = lib.encode(texts[r["doc_id"]], add_eos=True)
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
