@@ -22,13 +22,17 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 
 @contextmanager
 def _rocks(spark: SparkSession) -> Iterator[None]:
-    """The state store that typed state needs, for as long as a stream runs."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    """The state store that typed state needs, for as long as a stream runs, in at most two parts for each core."""
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    mine = {_PROVIDER: _ROCKS, "spark.sql.shuffle.partitions": str(parts)}
+    before = {k: spark.conf.get(k, None) for k in mine}
+    for k, v in mine.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
 
 
 def in_triggers(rows: DataFrame, order: str, make: Callable[[DataFrame], DataFrame], n: int = 3, each: Callable[[DataFrame, int], None] | None = None, seen: Callable[[StreamingQuery], None] | None = None) -> str:
