@@ -1,5 +1,7 @@
 """The registered queries against their SQL, and all of them on whole tables of the smallest size."""
 
+import functools
+
 import duckdb
 import pytest
 
@@ -41,3 +43,19 @@ def test_codec_equals_the_library_on_all_documents(spark):
         ids = lib.encode(texts[r["doc_id"]], add_eos=True)
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
+
+
+def test_quality_rules_by_small_groups_equal_sql(spark, monkeypatch):
+    """With few documents asked of a group, its own fences are used, and equal those of the SQL."""
+    from gritsieve.llm import oracles, quality_rules
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    kept, thresholds = {}, quality_rules.thresholds
+    for least in (8, 200):
+        monkeypatch.setattr(quality_rules, "thresholds", functools.partial(thresholds, least_rows=least))
+        con.execute(f"SELECT doc_id, kept FROM ({oracles.QUALITY_RULES.replace('>= 200', f'>= {least}')})")
+        kept[least] = dict(con.fetchall())
+        assert {r["doc_id"]: r["kept"] for r in quality_rules.verdicts(docs).collect()} == kept[least]
+    assert kept[8] != kept[200]
