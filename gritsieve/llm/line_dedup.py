@@ -39,6 +39,8 @@ from .text import Prefixes, mix, span_hashes, text_slices, word_spans
 EDITS, SHARE = 2, 20
 #: Lines to verify whose hashes are broadcast; more are joined.
 MOST_BROADCAST = 500_000
+#: Repeated lines that are broadcast (25 bytes each) for their removal; for more, texts are dealt by document.
+MOST_REPEATED = 1 << 20
 _FEED = np.zeros(256, bool)
 _FEED[10] = True
 
@@ -292,11 +294,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     places, per_line = classes(docs, id_col, text_col)
     # a line that stands in one place and is linked to none has no other to be a repeat of
-    rows = places.join(per_line.filter("n_places > 1").select("line", "first_doc", "own"), "line")
-    gone = rows.filter(~(F.col("own") & (F.col("doc_id") == F.col("first_doc")))).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_drop"))
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
+    repeated = per_line.filter("n_places > 1").select("line", "first_doc", "own")
     names = docs.columns
-    at, drops = joined.columns.index(text_col), joined.columns.index("_drop")
+    if repeated.count() <= MOST_REPEATED:
+        table = _Repeated(repeated.toArrow())
+        shared = docs.sparkSession.sparkContext.broadcast(table)
+        ids = F.col(id_col).cast("long").alias("_id")
+        joined, bad = docs.select("*", ids), lambda row, h, doc: shared.value.dropped(row, h, doc)
+    else:
+        rows = places.filter("doc_id is not null").join(repeated, "line")
+        gone = rows.filter(~(F.col("own") & (F.col("doc_id") == F.col("first_doc")))).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_drop"))
+        joined, bad = docs.join(gone, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id"), _among
+    at, drops = joined.columns.index(text_col), len(names)
 
     def run(batches):
         for batch in batches:
@@ -304,10 +313,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             changed: dict[int, str] = {}
             for a, b, data, offsets in text_slices(text):
                 starts, _, row, h = line_spans(data, offsets)
-                bad = np.flatnonzero(_again(row, h) | _among(row, h, lists.slice(a, b - a)))
-                for k in np.unique(row[bad]).tolist():
+                gone_here = np.flatnonzero(_again(row, h) | bad(row, h, lists.slice(a, b - a)))
+                for k in np.unique(row[gone_here]).tolist():
                     own = data[offsets[k] : offsets[k + 1]]
-                    gone = set(np.searchsorted(np.flatnonzero(own == 10), starts[bad[slice(*np.searchsorted(row[bad], [k, k + 1]))]] - offsets[k]).tolist())
+                    gone = set(np.searchsorted(np.flatnonzero(own == 10), starts[gone_here[slice(*np.searchsorted(row[gone_here], [k, k + 1]))]] - offsets[k]).tolist())
                     changed[a + k] = b"\n".join(part for i, part in enumerate(own.tobytes().split(b"\n")) if i not in gone).decode()
             if changed:
                 rows = np.fromiter(changed, np.int64, len(changed))
@@ -322,6 +331,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return joined.mapInArrow(run, docs.schema)
 
 
+class _Repeated:
+    """Repeated lines by their hashes, and the document that keeps each, if one does."""
+
+    def __init__(self, rows: pa.Table):
+        h = np.frombuffer(b"".join(rows.column("line").to_pylist()), np.uint64).reshape(-1, 2)
+        owner = np.where(rows.column("own").to_numpy(), pc.fill_null(rows.column("first_doc"), 0).to_numpy(), 0)
+        kept = rows.column("own").to_numpy() & ~pc.is_null(rows.column("first_doc")).to_numpy()
+        order = np.lexsort((h[:, 1], h[:, 0]))
+        self.h, self.owner, self.kept = h[order], owner[order], kept[order]
+
+    def dropped(self, row: np.ndarray, h: np.ndarray, docs: pa.Array) -> np.ndarray:
+        """Which lines are repeated ones that their document does not keep; a row without an id drops none."""
+        out = np.zeros(len(row), bool)
+        if not len(self.h) or not len(row):
+            return out
+        docs, known = pc.fill_null(docs, 0).to_numpy(zero_copy_only=False)[row], ~pc.is_null(docs).to_numpy(zero_copy_only=False)[row]
+        at, stop = (np.searchsorted(self.h[:, 0], h[:, 0], side) for side in ("left", "right"))
+        live = np.flatnonzero(at < stop)
+        while len(live):  # several lines hardly ever share the first half
+            here = at[live]
+            same = self.h[here, 1] == h[live, 1]
+            hit = live[same]
+            out[hit] = known[hit] & ~(self.kept[at[hit]] & (self.owner[at[hit]] == docs[hit]))
+            live = live[~same]
+            at[live] += 1
+            live = live[at[live] < stop[live]]
+        return out
+
+
 def _again(row: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Which lines stand in their text before."""
     out = np.zeros(len(row), bool)

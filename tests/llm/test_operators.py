@@ -692,3 +692,12 @@ def test_hashed_words_match_split():
     data, offsets = string_buffers(column)
     h, counts = hashed_words(data, offsets)
     assert counts.tolist() == [3, 0, 0, 1, 2] and len(set(h.tolist())) == 6
+
+
+def test_both_ways_of_removing_lines_agree(docs, clashing, monkeypatch):
+    def left(df):
+        return sorted((repr(tuple(r)) for r in D9.remove_repeats(df).collect()))
+
+    broadcast = [left(docs), left(clashing)]
+    monkeypatch.setattr(D9, "MOST_REPEATED", -1)
+    assert [left(docs), left(clashing)] == broadcast
