@@ -16,7 +16,7 @@ def beside(rows: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
 
 
 def percentiles(values: DataFrame, by: list[str], ps: tuple[float, ...], accuracy: int = 10_000) -> DataFrame:
-    """(by..., n, q array<double>): exact linear percentiles of (by..., x) in each group, nulls left out.
+    """(by..., n, q array<double>): exact linear percentiles of (by..., x) in each group; null values, and groups without a name, are left out.
 
     A sketch gives an interval around each wanted rank; one pass counts what lies below it and each value inside it, so
     equal values are added up where they are. Where an interval has missed its rank, which the counts show, a wider

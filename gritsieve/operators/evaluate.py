@@ -196,12 +196,12 @@ def score_with_feedback(matrix: DataFrame, threshold: float = 3.0, least_votes:
     """(id, label, truth, score, is_poisoned): each class's rows one after another, by id, through a scorer of its own.
 
     A scorer starts from the moments of all its class's rows, and with a forest grown from them; rows that it flags do not
-    enter its moments.
+    enter its moments. Rows without a label are left out.
     """
     from gritsieve.operators import forest as I
     from gritsieve.streaming import scoring as T
 
-    rows = checkpointed(matrix.select("id", "label", "features", "is_flipped"))
+    rows = checkpointed(matrix.filter("label is not null").select("id", "label", "features", "is_flipped"))
     keyed = rows.select(F.col("label").cast("string").alias("key"), F.lit(None).cast("timestamp").alias("ts"), "id", "features")
     forests = {None if k is None else str(k): f for k, f in I.fit_by_class(rows.select("id", "label", "features"), contamination).items()} if with_forest else None
     scored = T.score_batch(keyed, None, checkpointed(T.seed_baseline(keyed)), forests, threshold=threshold, least_votes=least_votes)

@@ -183,17 +183,17 @@ def fit(matrix: DataFrame, contamination: float = 0.1, seed: int = 42, n_trees:
 
 
 def fit_by_class(matrix: DataFrame, contamination: float = 0.05, seed: int = 42, n_trees: int = 100) -> dict:
-    """A forest for each class of (id, label, features), with its offset; classes number few, and are of any size.
+    """A forest for each class of (id, label, features), with its offset; classes number few, and are of any size. Rows without a label are left out.
 
     Trees of all classes grow side by side from each class's rows with the least hashes; what reaches the driver is 51,100
     nodes a class at most.
     """
-    most = n_trees * SAMPLE
+    matrix, most = matrix.filter("label is not null"), n_trees * SAMPLE
     sizes = {r["label"]: r["count"] for r in matrix.groupBy("label").count().collect()}  # a row for each class
     rate = F.least(F.lit(1.0), (most + 20 * math.sqrt(most)) / F.col("_n"))
     known = matrix.sparkSession.createDataFrame(list(sizes.items()), T.StructType([matrix.schema["label"], T.StructField("_n", T.LongType())]))
     text = F.coalesce(F.col("id").cast("string"), F.lit(""))
-    keyed = matrix.select("label", "id", "features", F.md5(F.concat(F.lit(f"{seed}:"), text)).alias("h")).join(F.broadcast(known.withColumnRenamed("label", "_l")), F.col("label").eqNullSafe(F.col("_l")))
+    keyed = matrix.select("label", "id", "features", F.md5(F.concat(F.lit(f"{seed}:"), text)).alias("h")).join(F.broadcast(known), "label")
     keyed = keyed.filter(F.conv(F.substr("h", F.lit(1), F.lit(12)), 16, 10).cast("double") < rate * float(1 << 48))
     nth = F.row_number().over(Window.partitionBy("label").orderBy("h", "features"))  # some `most` rows of a class
     pool = keyed.withColumn("_k", nth).filter(F.col("_k") <= most).withColumn("_m", F.least("_n", F.lit(most)))
