@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gritsieve.functions import stats as S
@@ -15,6 +15,8 @@ from gritsieve.functions.ranks import MOST_BROADCAST
 
 DIGITS = 4
 LAST = 5000
+#: Numbers of a tile's samples, 32 MB.
+TILE = 1 << 22
 
 
 def rounded(features: str = "features") -> Column:
@@ -67,22 +69,47 @@ def max_similarity(samples: DataFrame, references: DataFrame, most: int = 1 << 2
     """(id, max_sim): the largest cosine to any reference, 0 at least.
 
     References of at most `most` numbers are broadcast as one matrix, after their size is checked, and samples are never
-    shuffled. More come in blocks of that size: every block meets all samples, and the largest of a sample's
-    results, one for each block, is taken.
+    shuffled. More never pass through the driver: samples are dealt into tiles, and each tile's task holds its samples'
+    matrix and multiplies it by the references as they come, a block after another.
     """
     size = references.agg(F.sum(F.size("features"))).first()[0] or 0
-    blocks = max(1, -(-size // most))
-    if blocks == 1:
+    if size <= most:
         return _against(samples.select("id", "features"), references.select("features").toArrow().column("features").combine_chunks())
-    kind = samples.schema["id"].dataType.simpleString()
-    parts = checkpointed(references.select("features", (F.monotonically_increasing_id() % blocks).alias("_b")))
-    rows = checkpointed(samples.select(F.struct("id", F.monotonically_increasing_id().alias("row")).alias("id"), "features"))
-    found = []
-    for b in range(blocks):
-        table = parts.filter(F.col("_b") == b).select("features").toArrow().column("features").combine_chunks()
-        found.append(checkpointed(_against(rows, table)))  # two numbers a sample
-    best = reduce(DataFrame.unionByName, found).groupBy("id").agg(F.max("max_sim").alias("max_sim"))
-    return best.select(F.col("id.id").cast(kind).alias("id"), "max_sim")
+    return _tiled(samples, references, max(1, min(most, TILE)))
+
+
+def _tiled(samples: DataFrame, references: DataFrame, most: int) -> DataFrame:
+    """(id, max_sim) of samples against references of any number, in blocks of about `most` numbers."""
+    spark, kind = samples.sparkSession, samples.schema["id"].dataType.simpleString()
+    at = F.monotonically_increasing_id()
+    rows = checkpointed(samples.select("id", F.col("features").cast("array<double>").alias("features"), at.alias("_at")))
+    numbers = rows.agg(F.sum(F.size("features"))).first()[0] or 0
+    tiles = max(2 * spark.sparkContext.defaultParallelism, -(-numbers // TILE))
+    # each partition's rows are dealt round the tiles, so tiles differ by a row for each partition at most
+    tile = F.pmod(F.col("_at").bitwiseAND((1 << 33) - 1) + F.shiftright("_at", 33), F.lit(tiles)).cast("int")
+    mine = rows.select(tile.alias("_tile"), F.lit(True).alias("_own"), "id", "features")
+    theirs = references.select(F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("_tile"), F.lit(False).alias("_own"), F.lit(None).cast(kind).alias("id"), F.col("features").cast("array<double>").alias("features"))
+    dealt = mine.unionByName(theirs).repartitionById(tiles, "_tile").sortWithinPartitions(F.desc("_own"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, x, best = [], None, None
+        for batch in batches:
+            n = pc.sum(batch.column(1)).as_py() or 0  # a tile's own rows come first
+            if n:
+                own.append(batch.slice(0, n))
+            for a in range(n, batch.num_rows, step := max(1, most // max(1, pc.max(pc.list_value_length(batch.column(3))).as_py() or 1))):
+                if own and x is None:
+                    x = np.concatenate([_units(b.column(3)) for b in own])
+                    best = np.zeros(len(x))
+                block = _units(batch.column(3).slice(a, step))
+                for k in range(0, len(x) if x is not None else 0, 256):
+                    best[k : k + 256] = np.maximum(best[k : k + 256], (x[k : k + 256] @ block.T).max(axis=1))
+        at = 0
+        for b in own:
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(best[at : at + b.num_rows] if best is not None else np.zeros(b.num_rows))], names=["id", "max_sim"])
+            at += b.num_rows
+
+    return dealt.mapInArrow(run, f"id {kind}, max_sim double")
 
 
 def _against(samples: DataFrame, references: pa.Array) -> DataFrame:
