@@ -24,16 +24,13 @@ def feature_moments(matrix: DataFrame) -> DataFrame:
 def feature_quantiles(matrix: DataFrame, ps: tuple[float, ...] = (0.25, 0.5, 0.75), mode: str = "exact", accuracy: int = 10_000) -> DataFrame:
     """(j, q array<double>): linear percentiles of each feature.
 
-    exact: one pass that holds the distinct values of a feature together, for up to
-    about 10 million of them.  bracket: exact for any number, in two passes.
-    approx: a sketch alone.
+    exact, bracket: found between two values of a sketch and confirmed by counts, for any number of rows: no task
+    holds the values of a feature.  approx: a sketch alone.
     """
     x = elements(matrix)
-    if mode == "exact":
-        return x.groupBy("j").agg(F.percentile("x", F.array(*map(F.lit, ps))).alias("q"))
     if mode == "approx":
         return x.groupBy("j").agg(F.percentile_approx("x", list(ps), accuracy).alias("q"))
-    if mode != "bracket":
+    if mode not in ("exact", "bracket"):
         raise ValueError(mode)
     return percentiles(x, ["j"], ps, accuracy).select("j", "q")
 
