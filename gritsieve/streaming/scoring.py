@@ -6,17 +6,23 @@ give the same rows.
 
 from __future__ import annotations
 
+import math
 from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window, functions as F, types as Y
 
 from gritsieve.functions import stats as S
 from gritsieve.operators.forest import Forest, grow
 from gritsieve.streaming.keyed import Detector, in_order, stateful
 
 WINDOW, REFIT_EVERY, REFIT_LEAST, WARM = 10_000, 1000, 50, 10
+#: Widths up to which plain numbers are quicker than arrays, and the size from which squares may overflow.
+NARROW, LARGE = 16, 1e150
 ORDER = ["ts", "id"]
 FOREST = "trees int, feature array<int>, split array<double>, low array<int>, high array<int>, depth array<double>, sample int, contamination double, offset double"
 RESULT = "key string, ts timestamp, id bigint, score double, is_poisoned boolean, z_vote boolean, iso_vote boolean, seen bigint, error string"
@@ -108,6 +114,79 @@ class Scorer(Detector):
         self.seen += 1
         return float(np.mean(scores)) if scores else 0.0, poisoned, z_vote, iso_vote
 
+    def run(self, samples: list[np.ndarray], raw: Callable[[int], float | None], reset: list[bool] | None = None) -> dict[str, list]:
+        """The result columns of a run of samples; `reset` clears the scorer at a place, whose results are not used.
+
+        Narrow samples go through plain numbers in one loop, which gives the numbers of `step`; others, those whose
+        squares could overflow, and scorers that refit or have a step of their own take it one by one.
+        """
+        ends = np.cumsum([len(x) for x in samples], dtype=int)
+        flat = np.concatenate(samples) if samples else np.zeros(0)
+        widest = max((len(x) for x in samples), default=0)
+        finite = np.isfinite(flat)
+        small = (np.abs(flat[finite]) < LARGE).all() and (self.mean is None or ((np.abs(self.mean) < LARGE) & np.isfinite(self.m2)).all())
+        if self.inline_refit or type(self).step is not _ONE_STEP or max(widest, self.width or 0) > NARROW or not small:
+            return self._one_by_one(samples, raw, reset)
+        bad = set(np.searchsorted(ends, np.flatnonzero(~finite), side="right").tolist())
+        values, forest = flat.tolist(), self.forest
+        out = {c: [] for c in ("score", "is_poisoned", "z_vote", "iso_vote", "seen", "error")}
+        add = [out[c].append for c in out]
+        at, threshold, least, sqrt = 0, self.threshold, self.least_votes, math.sqrt
+        n, seen, width = self.n, self.seen, self.width
+        mean, m2 = (None, None) if self.mean is None else (self.mean.tolist(), self.m2.tolist())
+        for i, end in enumerate(ends.tolist()):
+            x, at = values[at:end], end
+            if reset is not None and reset[i]:
+                self.reset()
+                n, seen, width, mean, m2, forest = 0, 0, None, None, None, self.forest
+                row = (None, False, False, False, seen, None)
+            elif not x or i in bad or (width is not None and width != len(x)):
+                row = (None, False, False, False, seen, "empty" if not x else "not_finite" if i in bad else "width")
+            else:
+                width, score, z_vote, iso_vote = len(x), None, False, False
+                if n >= WARM:
+                    z = 0.0
+                    for v, m, q in zip(x, mean, m2):
+                        std = sqrt(q / (n - 1))
+                        far = abs((v - m) / (std if std > 1e-10 else 1.0))
+                        if far > z:
+                            z = far
+                    score = min(z / (2 * threshold), 1.0)
+                    z_vote = z > threshold
+                if forest is not None:
+                    decision = raw(i) - forest.offset
+                    iso_vote = decision < 0
+                    other = max(0.0, min(1.0, 0.5 - decision))
+                    score = other if score is None else (score + other) / 2
+                poisoned = z_vote + iso_vote >= least
+                if not poisoned:
+                    n += 1
+                    if mean is None:
+                        mean, m2 = [0.0] * width, [0.0] * width
+                    for j, v in enumerate(x):
+                        delta = v - mean[j]
+                        mean[j] += delta / n
+                        m2[j] += delta * (v - mean[j])
+                seen += 1
+                row = (0.0 if score is None else score, poisoned, z_vote, iso_vote, seen, None)
+            for put, v in zip(add, row):
+                put(v)
+        self.n, self.seen, self.width = n, seen, width
+        self.mean, self.m2 = (None, None) if mean is None else (np.array(mean), np.array(m2))
+        return out
+
+    def _one_by_one(self, samples: list[np.ndarray], raw: Callable[[int], float | None], reset: list[bool] | None) -> dict[str, list]:
+        rows = []
+        for i, x in enumerate(samples):
+            if reset is not None and reset[i]:
+                self.reset()
+                rows.append((None, False, False, False, 0, None))
+                continue
+            error = self.problem(x)
+            values = self.step(x, raw(i)) if error is None else (None, False, False, False)
+            rows.append((*values, self.seen, error))
+        return dict(zip(("score", "is_poisoned", "z_vote", "iso_vote", "seen", "error"), map(list, zip(*rows)) if rows else [[] for _ in range(6)], strict=True))
+
     def learn(self, x: np.ndarray) -> None:
         """Welford's update; the window and refit only where they are asked for."""
         if self.mean is None:
@@ -124,6 +203,9 @@ class Scorer(Detector):
                 self.forest, self.since_refit, self.refitted = fit_window(np.stack(self.window), self.contamination), 0, True
 
 
+_ONE_STEP = Scorer.step
+
+
 def fit_window(x: np.ndarray, contamination: float, seed: int = 42, n_trees: int = 100) -> Forest:
     """A forest of one key's bounded window."""
     nodes = []
@@ -136,17 +218,22 @@ def fit_window(x: np.ndarray, contamination: float, seed: int = 42, n_trees: int
 
 
 class Walked:
-    """A run's samples, walked through a forest many at a time; again when the forest has changed."""
+    """A run's samples, walked through a forest many at a time; again when the forest has changed.
+
+    `known` has the scores of samples that were walked before they were dealt by key.
+    """
 
     BLOCK = 1024
 
-    def __init__(self, features):
+    def __init__(self, features, known: list[float | None] | None = None):
         self.samples = [np.asarray(x if x is not None else [], float) for x in features]
-        self.forest, self.scores = None, {}
+        self.forest, self.scores, self.known = None, {}, known
 
     def raw(self, forest: Forest | None, i: int) -> float | None:
         if forest is None:
             return None
+        if self.known is not None and self.known[i] is not None and self.known[i] == self.known[i]:
+            return self.known[i]
         if forest is not self.forest:
             self.forest, self.scores = forest, {}
         if i not in self.scores:
@@ -160,16 +247,11 @@ def _step(samples: bool = False):
     """A run of a key's rows through its scorer; a row whose `reset` is true clears it, refused rows carry their error."""
 
     def step(s: Scorer, pdf: pd.DataFrame) -> pd.DataFrame:
-        out, walked = [], Walked(pdf["features"])
-        for i, r in enumerate(pdf.itertuples(index=False)):
-            if getattr(r, "reset", False) is True:
-                s.reset()
-                continue
-            x = walked.samples[i]
-            error = s.problem(x)
-            values = s.step(x, walked.raw(s.forest, i)) if error is None else (None, False, False, False)
-            out.append((r.key, r.ts, r.id, *values, s.seen, error, *([r.features] if samples else [])))
-        return pd.DataFrame(out, columns=["key", *ORDER, "score", "is_poisoned", "z_vote", "iso_vote", "seen", "error", *(["features"] if samples else [])])
+        walked = Walked(pdf["features"], pdf["raw"].tolist() if "raw" in pdf.columns else None)
+        reset = pdf["reset"].tolist() if "reset" in pdf.columns else None
+        found = s.run(walked.samples, lambda i: walked.raw(s.forest, i), reset)
+        out = pdf[["key", *ORDER]].assign(**found, **({"features": pdf["features"]} if samples else {}))
+        return out if reset is None else out[~np.array(reset, bool)]
 
     return step
 
@@ -179,18 +261,43 @@ def _rows(df: DataFrame) -> DataFrame:
     return df.select(F.col("key").cast("string"), F.col("ts").cast("timestamp"), F.col("id").cast("long"), "features", *more)
 
 
+def _walked(rows: DataFrame, forest: Callable[[], Forest | None]) -> DataFrame:
+    """`rows` with raw, their scores by the one forest of all keys, wherever they lie; null for those that are not usable."""
+    at = rows.columns.index("features")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = forest()
+        for batch in batches:
+            raw, width = np.full(batch.num_rows, np.nan), pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy()
+            for w in set(width.tolist()) if trees is not None else ():
+                of = np.flatnonzero(width == w)
+                if w > trees.feature.max():  # else a sample lacks a feature of the forest
+                    x = batch.column(at).take(pa.array(of)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(of), w)
+                    usable = np.isfinite(x).all(axis=1)
+                    raw[of[usable]] = trees.raw(x[usable])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, from_pandas=True)], names=[*batch.schema.names, "raw"])
+
+    return rows.mapInArrow(run, Y.StructType([*rows.schema.fields, Y.StructField("raw", Y.DoubleType())]))
+
+
 def score_batch(df: DataFrame, forest: Forest | None = None, baseline: DataFrame | None = None, forests: dict[str | None, Forest] | None = None, **options) -> DataFrame:
     """The static form over (key, ts, id, features[, reset]): each key in order of (ts, id).
 
     `baseline` (see seed_baseline) starts the moments of its keys: its row of a key is sorted before all others.
     `forests` has a forest for each of a few keys.
     """
-    rows, none = _rows(df).withColumn("at", F.lit(1)), lambda kind: F.lit(None).cast(kind)
-    start = {"n": "bigint", "mean": "array<double>", "m2": "array<double>"}
-    rows = rows.withColumns({c: none(kind) for c, kind in start.items()})
+    rows = _rows(df)
+    if forest is not None and not forests and not options.get("inline_refit"):  # keys may be few: trees are walked by all cores first
+        context = df.sparkSession.sparkContext
+        shared = context.broadcast(forest)  # 100 trees of at most 511 nodes
+        rows = _walked(rows.repartition(context.defaultParallelism) if len(df.inputFiles()) < context.defaultParallelism else rows, lambda: shared.value)
+    rows = rows.withColumn("at", F.lit(1))
     if baseline is not None:
+        start = {"n": "bigint", "mean": "array<double>", "m2": "array<double>"}
+        # rows of samples have empty moments: arrays that are null take pandas many times as long
+        rows = rows.withColumns({c: (F.lit(0) if kind == "bigint" else F.array()).cast(kind) for c, kind in start.items()})
         given = {"key": F.col("key").cast("string"), "at": F.lit(0)} | {c: F.col(c).cast(kind) for c, kind in start.items()}
-        rows = rows.unionByName(baseline.select(*[given.get(f.name, none(f.dataType)).alias(f.name) for f in rows.schema.fields]))
+        rows = rows.unionByName(baseline.select(*[given.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in rows.schema.fields]))
     scored = _step()
 
     def step(s: Scorer, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -244,7 +351,10 @@ def score_stream(stream: DataFrame, forest: Forest | None = None, baseline: Data
 
     initial = baseline.select(F.col("key").cast("string"), "n", "mean", "m2") if baseline is not None else None
     schema = RESULT if forests is None else f"{RESULT}, features array<double>"
-    return stateful(_rows(stream), "key", ORDER, schema, make, _step(forests is not None), initial, load)
+    rows = _rows(stream)
+    if (forest is not None or forests is not None) and not options.get("inline_refit"):  # keys may be few: trees are walked by all cores first
+        rows = _walked(rows.repartition(stream.sparkSession.sparkContext.defaultParallelism), lambda: make().forest)
+    return stateful(rows, "key", ORDER, schema, make, _step(forests is not None), initial, load)
 
 
 def refit(window: DataFrame, contamination: float = 0.05, seed: int = 42) -> Forest:
