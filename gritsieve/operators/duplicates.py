@@ -30,7 +30,7 @@ def sign_bits(vector: Column) -> Column:
     The vector and its mean pass through lists of one, so that each is worked out once and not for every element.
     """
     once = lambda x, f: F.transform(F.array(x), f)[0]
-    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)
+    mean = lambda v: F.try_divide(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), F.size(v))  # noqa: E731  an empty vector has none
     return once(vector, lambda v: once(mean(v), lambda m: F.array_join(F.transform(v, lambda x: F.when(x - m > 0, "1").otherwise("0")), "")))
 
 
