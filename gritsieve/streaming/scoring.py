@@ -183,7 +183,8 @@ class Scorer(Detector):
                 rows.append((None, False, False, False, 0, None))
                 continue
             error = self.problem(x)
-            values = self.step(x, raw(i)) if error is None else (None, False, False, False)
+            known = raw(i) if error is None else None
+            values = (self.step(x) if known is None else self.step(x, known)) if error is None else (None, False, False, False)
             rows.append((*values, self.seen, error))
         return dict(zip(("score", "is_poisoned", "z_vote", "iso_vote", "seen", "error"), map(list, zip(*rows)) if rows else [[] for _ in range(6)], strict=True))
 
