@@ -38,8 +38,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import release, stored
-from .text import eights, mix, span_hashes, step, string_buffers, text_slices
+from .storage import stored
+from .text import eights, mix, step, text_slices
 
 LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
@@ -54,20 +54,33 @@ PART_RUNS = 300_000
 
 def _order(keys: list[np.ndarray], top: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted order of rows by several keys below `top`, and dense names in that order."""
-    bits = max(int(top - 1).bit_length(), 1)
-    if bits * len(keys) <= 63:
-        packed = np.zeros(len(keys[0]), np.int64)
-        for k in keys:
-            packed = (packed << bits) | k
-        order = np.argsort(packed, kind="stable")
-        new = packed[order][1:] != packed[order][:-1]
-    else:
+    bits, n = max(int(top - 1).bit_length(), 1), len(keys[0])
+    own = max(n - 1, 1).bit_length()
+    if max(bits, own) + bits + own > 63:  # more rows than a word has room for
         order = np.lexsort(keys[::-1])
-        new = np.zeros(max(len(order) - 1, 0), bool)
+        new = np.zeros(max(n - 1, 0), bool)
         for k in keys:
             s = k[order]
             new |= s[1:] != s[:-1]
-    return order, np.r_[0, np.cumsum(new)] if len(order) else np.zeros(0, np.int64)
+        return order, np.r_[0, np.cumsum(new)] if n else np.zeros(0, np.int64)
+    # values and places share a word, so that plain numbers are sorted; the names of the first keys stand for them beside the next
+    packed, used = keys[0], bits
+    for k in keys[1:]:
+        if used + bits + own > 63:
+            order, names = _placed(packed, own)
+            packed, used = np.empty(n, np.int64), own
+            packed[order] = names
+        packed, used = (packed << bits) | k, used + bits
+    return _placed(packed, own)
+
+
+def _placed(values: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted order of values that leave `own` bits for their places, and dense names in that order."""
+    both = np.sort((values.astype(np.int64) << own) | np.arange(len(values)))
+    ordered = both >> own
+    names = np.zeros(len(both), np.int64)
+    np.cumsum(ordered[1:] != ordered[:-1], out=names[1:])
+    return both & ((1 << own) - 1), names
 
 
 def suffix_ranks(s: np.ndarray) -> np.ndarray:
@@ -91,8 +104,9 @@ def suffix_ranks(s: np.ndarray) -> np.ndarray:
     rank[sample] = ranks + 1
     rank[n:] = 0
     width = len(sample) + 2
-    real = sample[sample < n]
-    first = real[np.argsort(rank[real], kind="stable")]  # sample suffixes in order
+    first = np.empty(len(sample), np.int64)
+    first[ranks] = sample  # sample suffixes in order
+    first = first[first < n]
     zeros = zero[_order([padded[zero], rank[zero + 1]], max(top, width))[0]]
     # how many suffixes at third positions stand before each sample suffix
     before = np.empty(n, np.int64)
@@ -190,7 +204,10 @@ def _anchor_rows(texts: DataFrame) -> DataFrame:
 
 
 def _in_two(rows: DataFrame) -> DataFrame:
-    """The (doc, h) rows whose anchor occurs in two documents: one pass over each sorted partition, a row held at most."""
+    """The (doc, h) rows whose anchor occurs in two documents: one pass over each sorted partition, a row held at most.
+
+    The low 32 bits of h are enough: within a document another anchor that has them brings strings that no one shares.
+    """
 
     def run(batches):
         held_h, held_doc, known = None, None, False
@@ -198,7 +215,7 @@ def _in_two(rows: DataFrame) -> DataFrame:
             given = np.asarray(batch.column(2).is_valid())
             if given.any():
                 sure = batch.filter(pa.array(given))
-                yield pa.RecordBatch.from_arrays([sure.column(1), sure.column(2)], names=["doc", "h"])
+                yield pa.RecordBatch.from_arrays([sure.column(1), pa.array(sure.column(2).to_numpy().astype(np.int32))], names=["doc", "h"])
             h, doc = batch.column(0).to_numpy()[~given], batch.column(1).to_numpy()[~given]
             if not len(h):
                 continue
@@ -217,14 +234,22 @@ def _in_two(rows: DataFrame) -> DataFrame:
             hold = not several[-1]
             out = several
             held_h, held_doc, known = end, int(doc[-1]), not hold
-            yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(h[out])], names=["doc", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(h[out].astype(np.int32))], names=["doc", "h"])
 
-    return rows.repartition("part").sortWithinPartitions("part", "doc").mapInArrow(run, "doc bigint, h bigint")
+    return rows.repartition("part").sortWithinPartitions("part", "doc").mapInArrow(run, "doc bigint, h int")
 
 
 def _sids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Identities of strings: 128-bit hashes, two words each."""
-    return np.stack([span_hashes(data, starts, ends, seed) for seed in (0, 1)], 1).view(np.int64)
+    """Identities of strings of LENGTH bytes or more: 128-bit hashes, two words each, mixed after every eight bytes."""
+    n, words = ends - starts, eights(data)
+    out = np.stack([mix(n.astype(np.uint64) + np.uint64(salt)) for salt in (0x9E3779B97F4A7C15, 0x3C6EF372FE94F82B)])
+    for at in range(0, LENGTH - 7, 8):
+        out = step(out, words[starts + at])
+    live, at = np.arange(len(n)), -(-(LENGTH - 7) // 8) * 8
+    while len(live := live[n[live] > at]):
+        out[:, live] = step(out[:, live], words[starts[live] + np.minimum(at, n[live] - 8)])
+        at += 8
+    return np.ascontiguousarray(mix(out).T).view(np.int64)
 
 
 def _distinct(sid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,15 +264,18 @@ def _distinct(sid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _marked_runs(batch: pa.RecordBatch):
     """(row, data, offsets, first, last, string identity, anchor hash) of the runs, in each slice of a batch (doc, text, hs, th), whose anchor is in hs."""
     hashes = batch.column(2)
-    salt = np.uint64(0x9E3779B97F4A7C15)
     for a, b, data, offsets in text_slices(batch.column(1)):
         part = hashes.slice(a, b - a)
         if part.null_count == len(part):
             continue
         row, first, last, h = anchors(data, offsets)
-        wanted = part.flatten().to_numpy().view(np.uint64)
-        owner = np.repeat(np.arange(b - a, dtype=np.uint64), pc.fill_null(pc.list_value_length(part), 0).to_numpy())
-        keep = np.isin(h ^ (row.astype(np.uint64) * salt), wanted ^ (owner * salt))
+        wanted = part.flatten().to_numpy().view(np.uint32).astype(np.int64)
+        owner = np.repeat(np.arange(b - a), pc.fill_null(pc.list_value_length(part), 0).to_numpy())
+        wanted = np.sort((owner << 32) | wanted)
+        if not len(wanted):
+            continue
+        own = (row << 32) | (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        keep = wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own
         row, first, last, h = row[keep], first[keep], last[keep], h[keep]
         if len(row):
             yield row + a, data, offsets[row], first, last, _sids(data, first, last + LENGTH), h
@@ -443,8 +471,7 @@ def _by_document(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, spans array<struct<th,a,b>>): byte ranges of each text, of those with the id the one with the hash th, that smaller ids hold; they may overlap."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), text_col).filter((F.octet_length(text_col) >= LENGTH) & F.col("doc").isNotNull())
-    several = stored(_in_two(_anchor_rows(texts)).groupBy("doc").agg(F.collect_list("h").alias("hs")))
-    release(docs.sparkSession)
+    several = stored(_in_two(_anchor_rows(texts)).groupBy("doc").agg(F.collect_list("h").alias("hs")), clean=True)
     runs = several.agg(F.sum(F.size("hs"))).first()[0] or 0
     parts = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs // PART_RUNS))
     marked = _by_document(docs, id_col, text_col).join(several.hint("shuffle_hash"), "doc", "left").select("doc", "text", "hs", F.hash("text").alias("th"))
@@ -454,17 +481,16 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return ranges.groupBy("doc").agg(F.collect_list(F.struct("th", "a", "b")).alias("spans"))
 
 
-def _cut(data: np.ndarray, ranges: list | None) -> tuple[bytes, int, int]:
-    """Remaining bytes, removed bytes and maximal removed runs."""
-    if not ranges:
-        return data.tobytes(), 0, 0
-    depth = np.zeros(len(data) + 1, np.int64)
-    a = np.array([r["a"] for r in ranges])
-    b = np.array([r["b"] for r in ranges])
-    np.add.at(depth, a, 1)
-    np.add.at(depth, b, -1)
-    gone = np.cumsum(depth)[:-1] > 0
-    return data[~gone].tobytes(), int(gone.sum()), int((gone & np.r_[True, ~gone[:-1]]).sum())
+def _kept(size: int, offsets: np.ndarray, row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mask of the remaining bytes of texts that follow one another, removed bytes and maximal removed runs of each): ranges a to b of the texts `row` go."""
+    depth = np.bincount(offsets[row] + a, minlength=size + 1) - np.bincount(offsets[row] + b, minlength=size + 1)
+    gone = np.cumsum(depth)[:size] > 0
+    begins = gone.copy()
+    begins[1:] &= ~gone[:-1]
+    edges = offsets[:-1][offsets[:-1] < size]
+    begins[edges] = gone[edges]
+    counts = (np.r_[0, np.cumsum(x)] for x in (gone, begins))
+    return ~gone, *(np.diff(x[offsets]) for x in counts)
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = True) -> DataFrame:
@@ -475,17 +501,16 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            data, offsets = string_buffers(batch.column(1))
-            rows = []
-            for k, ranges in enumerate(batch.column(2)):
-                own = data[offsets[k] : offsets[k + 1]]
-                kept, n, m = _cut(own, ranges.as_py())
-                rows.append((len(own), n, m, hashlib.sha256(kept).hexdigest(), None if digest else kept))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            for first, end, data, offsets in text_slices(batch.column(1)):
+                ranges = batch.column(2).slice(first, end - first)
+                row = np.repeat(np.arange(end - first), pc.fill_null(pc.list_value_length(ranges), 0).to_numpy())
+                a, b = (ranges.flatten().field(c).to_numpy() for c in "ab")
+                mask, removed, n_spans = _kept(len(data), offsets, row, a, b)
+                rest, sizes = data[mask].tobytes(), np.diff(offsets)
+                close = np.cumsum(sizes - removed).tolist()
+                kept = [rest[p:q] for p, q in zip([0, *close], close)]
+                columns = [batch.column(0).slice(first, end - first), pa.array(sizes), pa.array(removed), pa.array(n_spans), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array([None] * len(kept) if digest else kept, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     out = joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     return out.drop("kept") if digest else out

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gritsieve.llm import decontaminate as D2, license_scan as D7, line_dedup as D9, minhash_dedup as D10, quality_fm as D3, quality_rules as D8, sentencepiece_codec as D1, sharding as D5, suffix_dedup as D6, toxicity_cnn as D4
+from gritsieve.llm.storage import stored
 from gritsieve.llm.text import hashed_words
 
 SF = "/root/testdata/sf0.001"
@@ -701,3 +702,25 @@ def test_both_ways_of_removing_lines_agree(docs, clashing, monkeypatch):
     broadcast = [left(docs), left(clashing)]
     monkeypatch.setattr(D9, "MOST_REPEATED", -1)
     assert [left(docs), left(clashing)] == broadcast
+
+
+def test_suffix_dedup_moves_anchors_in_four_bytes(docs):
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
+    assert dict(D6._in_two(D6._anchor_rows(texts)).dtypes)["h"] == "int"
+
+
+def test_sort_orders_of_keys_that_fill_more_than_a_word():
+    rng = np.random.default_rng(2)
+    for top, n in ((1 << 20, 5000), (1 << 28, 5000), (1 << 62, 50), (7, 400), (5, 1), (5, 0)):
+        keys = [rng.integers(0, min(top, 40), n) * (top // min(top, 40)) for _ in range(3)]
+        order, names = D6._order(keys, top)
+        rows = list(zip(*(k[order].tolist() for k in keys), strict=True))
+        assert rows == sorted(rows) and sorted(order.tolist()) == list(range(n))
+        assert names.tolist() == [sorted(set(rows)).index(r) for r in rows]
+
+
+def test_suffix_dedup_leaves_no_anchors_in_the_shuffles(spark, docs):
+    store = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    before = store.size()
+    several = stored(docs.groupBy("doc_id").agg(F.collect_list("text").alias("x")), clean=True)
+    assert store.size() <= before and several.count() == docs.select("doc_id").distinct().count()
