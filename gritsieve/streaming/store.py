@@ -18,6 +18,8 @@ from gritsieve.streaming.keyed import Detector, in_order, stateful
 THRESHOLD, LAST = 0.95, U.LAST
 #: Rows compared with the store at once.
 BLOCK = 256
+#: Groups of keys that are looked up together; checkpoints depend on it.
+BUCKETS = 256
 ORDER = ["ts", "id"]
 RESULT = "key string, ts timestamp, id bigint, max_sim double, exact_dup boolean, bits_dup boolean, near_dup boolean, duplicate boolean, added boolean, error string"
 
@@ -180,9 +182,10 @@ def first_rows_stream(stream: DataFrame, delay: str = "1 hour", ts: str = "ts")
 def seen_before_stream(stream: DataFrame, what: str = "exact", delay: str = "1 hour") -> DataFrame:
     """(ts, id, exact_dup or bits_dup) of (ts, id, features): whether a row with the same rounded vector, or the same bit pattern, came before.
 
-    The state is one time for each vector or pattern: the first row's, and a timer that clears it when the watermark passes
-    it by `delay`. Within a trigger the first row is the least by (ts, id), wherever it stands; rows later than the
-    watermark are dropped.
+    The state is one time for each vector or pattern, the first row's, in the map of its bucket: a call of Python serves all
+    keys of a bucket that a trigger brings, and looks up those alone. A timer at a bucket's earliest time clears what the
+    watermark has passed by `delay`. Within a trigger the first row is the least by (ts, id), wherever it stands; rows later
+    than the watermark are dropped.
     """
     from pyspark.sql import types as T
     from pyspark.sql.streaming import StatefulProcessor
@@ -190,35 +193,55 @@ def seen_before_stream(stream: DataFrame, what: str = "exact", delay: str = "1 h
     from gritsieve.streaming.keyed import milliseconds
 
     flag, span = f"{what}_dup", milliseconds(delay)
-    kept, result = T.StructType.fromDDL("first_ms bigint"), T.StructType.fromDDL(f"ts timestamp, id bigint, {flag} boolean")
+    name, kept, result = T.StructType.fromDDL("key string"), T.StructType.fromDDL("first_ms bigint"), T.StructType.fromDDL(f"ts timestamp, id bigint, {flag} boolean")
 
     class Seen(StatefulProcessor):
         def init(self, handle):
-            self.handle, self.first = handle, handle.getValueState("first", kept)
+            self.handle, self.first = handle, handle.getMapState("first", name, kept)
 
         def handleInputRows(self, key, rows, timerValues):
-            known, held = self.first.exists(), None
-            for pdf in rows:  # a hot key's rows come in parts; the least so far is held back
-                pdf = pdf.reset_index(drop=True)
-                if not known and len(pdf):
-                    if held is not None:
-                        pdf = pd.concat([held, pdf], ignore_index=True)
-                    at = pdf[["at_ms", "id"]].sort_values(["at_ms", "id"]).index[0]
-                    held, pdf = pdf.loc[[at]], pdf.drop(index=at)
-                yield pdf[["ts", "id"]].assign(**{flag: True})
+            empty, known, held = not self.first.exists(), {}, None
+            for pdf in rows:  # a bucket's rows come in parts; the least of each new key so far is held back
+                for k in pdf["seen_key"].unique():
+                    if k not in known:
+                        known[k] = not empty and self.first.containsKey((k,))
+                old = pdf["seen_key"].map(known).to_numpy(bool)
+                yield pdf.loc[old, ["ts", "id"]].assign(**{flag: True})
+                if not old.all():
+                    fresh = pdf[~old] if held is None else pd.concat([held, pdf[~old]])
+                    fresh = fresh.sort_values(["at_ms", "id"])
+                    again = fresh.duplicated("seen_key")
+                    yield fresh.loc[again, ["ts", "id"]].assign(**{flag: True})
+                    held = fresh[~again]
             if held is not None:
-                ms = int(held["at_ms"].iloc[0])
-                self.first.update((ms,))
-                self.handle.registerTimer(ms + span)
+                for k, ms in zip(held["seen_key"], held["at_ms"].tolist(), strict=True):
+                    self.first.updateValue((k,), (ms,))
+                self.wake(int(held["at_ms"].min()) + span)
                 yield held[["ts", "id"]].assign(**{flag: False})
 
+        def wake(self, at):
+            """A bucket has one timer, its earliest."""
+            timers = list(self.handle.listTimers())
+            if not timers or at < min(timers):
+                for t in timers:
+                    self.handle.deleteTimer(t)
+                self.handle.registerTimer(at)
+
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            self.first.clear()
+            limit, left = timerValues.getCurrentWatermarkInMs() - span, []
+            for k, (ms,) in list(self.first.iterator()):
+                if ms < limit:
+                    self.first.removeKey(k)
+                else:
+                    left.append(ms)
+            if left:
+                self.handle.registerTimer(min(left) + span)
             return iter([])
 
         def close(self):
             pass
 
-    column = fingerprints()[0 if what == "exact" else 1].alias("seen_key")
+    column = F.coalesce(fingerprints()[0 if what == "exact" else 1], F.lit("")).alias("seen_key")
     rows = stream.select(column, F.col("ts").cast("timestamp"), F.unix_millis("ts").alias("at_ms"), F.col("id").cast("long")).withWatermark("ts", delay)
-    return rows.groupBy("seen_key").transformWithStateInPandas(statefulProcessor=Seen(), outputStructType=result, outputMode="append", timeMode="eventTime")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("seen_key"), F.lit(BUCKETS)))
+    return rows.groupBy("bucket").transformWithStateInPandas(statefulProcessor=Seen(), outputStructType=result, outputMode="append", timeMode="eventTime")

@@ -142,6 +142,13 @@ def test_seen_before_stream_equals_batch_in_time(spark, tmp_path, what):
     assert left <= 3  # what the watermark has passed is forgotten
 
 
+def test_seen_before_stream_serves_many_keys_by_one_call(spark, tmp_path):
+    rows = frame(spark, [("a", i, [float(i), 1.0, 2.0], False) for i in range(600)])
+    feed(spark, [rows], str(tmp_path), lambda s: K.seen_before_stream(s, "exact", "10 minutes"))
+    state = spark.read.format("statestore").option("stateVarName", "first").load(f"{tmp_path}/cp")
+    assert state.count() == 600 and state.select("key").distinct().count() <= K.BUCKETS
+
+
 class Later(T.Scorer):
     """A later version of the scorer, with an attribute and a value of state that older checkpoints lack."""
 
