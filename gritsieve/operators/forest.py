@@ -123,6 +123,100 @@ class Forest:
         return out
 
 
+class Tables:
+    """A forest of narrow samples as tables, which give the depths of `Forest.raw` in two steps a tree instead of one a level.
+
+    A tree is cut into its upper levels and the subtrees below them. How many of a part's splits lie below a value, feature
+    by feature, tells the way through it; a value's place among all splits of its feature tells these numbers for all trees.
+    """
+
+    MOST_CELLS, MOST_FEATURES = 1 << 22, 8
+
+    @classmethod
+    def of(cls, forest: Forest) -> Tables | None:
+        """None where the tables would be large: samples of many features."""
+        used = np.unique(forest.feature[forest.feature >= 0])
+        return cls._built(forest, used.tolist()) if 0 < len(used) <= cls.MOST_FEATURES else None
+
+    @classmethod
+    def _built(cls, forest: Forest, used: list[int]) -> Tables | None:
+        self = cls()
+        levels, n_trees = max(1, math.ceil(math.log2(max(forest.sample, 2)))), len(forest.feature)
+        upper, self.used, self.forest = (levels + 1) // 2, used, forest
+        feature, split, low, high = (x.tolist() for x in (forest.feature, forest.split, forest.low, forest.high))
+
+        def part(tree: int, root: int, height: int) -> tuple[list, list, list]:
+            """(splits by feature, the steps of the numbers of a cell, exit node of each cell) of a part of a tree."""
+            inner, layer = [], [root]
+            for _ in range(height):
+                layer = [n for n in layer if feature[tree][n] >= 0]
+                inner += layer
+                layer = [c for n in layer for c in (low[tree][n], high[tree][n])]
+            splits = [sorted({split[tree][n] for n in inner if feature[tree][n] == f}) for f in used]
+            sizes = [len(t) + 1 for t in splits]
+            steps = [math.prod(sizes[k + 1 :]) for k in range(len(used))]
+            if math.prod(sizes) > cls.MOST_CELLS:
+                return splits, steps, None
+            cells = np.arange(math.prod(sizes))
+            at = np.full(len(cells), root)
+            for n in inner:  # parents come before their children
+                k = used.index(feature[tree][n])
+                right = cells // steps[k] % sizes[k] > splits[k].index(split[tree][n])
+                at = np.where(at == n, np.where(right, high[tree][n], low[tree][n]), at)
+            return splits, steps, at
+
+        every = [np.unique(forest.split[forest.feature == f]) for f in used]
+        self.every = every
+        shape = [(len(e) + 1, n_trees) for e in every]
+        below = lambda splits, places: np.r_[0, np.searchsorted(splits, places, side="right")]
+        self.top, self.own = [np.zeros(x, np.int32) for x in shape], [np.zeros(x, np.int32) for x in shape]
+        ways, self.down, depths, n_ways, n_depths, n_down = [], [[] for _ in used], [], 0, 0, [0] * len(used)
+        subs = 1 << upper
+        for tree in range(n_trees):
+            splits, steps, at = part(tree, 0, upper)
+            if at is None:
+                return None
+            exits, way = np.unique(at, return_inverse=True)
+            ways.append(way.astype(np.int32))
+            mine = [np.unique(forest.split[tree][forest.feature[tree] == f]) for f in used]
+            for k in range(len(used)):
+                self.top[k][:, tree] = below(splits[k], every[k]) * steps[k] + (n_ways if k == 0 else 0)
+                self.own[k][:, tree] = below(mine[k], every[k]) * subs + n_down[k]
+                n_down[k] += (len(mine[k]) + 1) * subs
+            n_ways += len(way)
+            down = [np.zeros((len(m) + 1, subs), np.int32) for m in mine]
+            for j, root in enumerate(exits.tolist()):
+                splits, steps, at = part(tree, root, levels - upper)
+                if at is None or n_depths + len(at) > cls.MOST_CELLS:
+                    return None
+                for k in range(len(used)):
+                    down[k][:, j] = below(splits[k], mine[k]) * steps[k] + (n_depths if k == 0 else 0)
+                depths.append(forest.depth[tree][at])
+                n_depths += len(at)
+            for k, d in enumerate(down):
+                self.down[k].append(d.ravel())
+        self.ways, self.depths, self.down = np.concatenate(ways), np.concatenate(depths), [np.concatenate(d) for d in self.down]
+        return self
+
+    def raw(self, x: np.ndarray, block: int = 512) -> np.ndarray:
+        """Forest.raw of the samples."""
+        if np.isnan(x).any():
+            return self.forest.raw(x)
+        out, norm = np.empty(len(x)), max(c_factor(self.forest.sample), 1e-12)
+        places = [np.searchsorted(e, x[:, f]) for f, e in zip(self.used, self.every, strict=True)]
+        for a in range(0, len(x), block):
+            here = [p[a : a + block] for p in places]
+            cell = self.top[0].take(here[0], axis=0)
+            for top, p in zip(self.top[1:], here[1:], strict=True):
+                cell += top.take(p, axis=0)
+            way = self.ways.take(cell)
+            cell = self.down[0].take(self.own[0].take(here[0], axis=0) + way)
+            for down, own, p in zip(self.down[1:], self.own[1:], here[1:], strict=True):
+                cell += down.take(own.take(p, axis=0) + way)
+            out[a : a + block] = np.round(-(2.0 ** (-self.depths.take(cell).mean(axis=1) / norm)), 9)
+        return out
+
+
 def _pool(matrix: DataFrame, n: int, most: int, seed: int) -> DataFrame:
     """(id, features) of the `most` rows with the least hashes, written.
 
@@ -238,7 +332,7 @@ def raw_by_class(matrix: DataFrame, forests: dict) -> DataFrame:
 def raw_scores(matrix: DataFrame, forest: Forest) -> DataFrame:
     """`matrix` with iso_raw."""
     context = matrix.sparkSession.sparkContext
-    shared = context.broadcast(forest)  # 100 trees of at most 511 nodes
+    shared = context.broadcast(Tables.of(forest) or forest)  # 100 trees of at most 511 nodes
     if len(matrix.inputFiles()) < context.defaultParallelism:
         matrix = matrix.repartition(context.defaultParallelism)  # moving the rows of a few files costs less than walking trees on idle cores
     at = matrix.columns.index("features")

@@ -192,3 +192,14 @@ def test_near_duplicates_over_blocks(spark):
     out = {r["id"]: r["max_sim"] for r in U.near_duplicates(df, "seq", 0.9, 10).collect()}
     want = {i: max([0.0, *(u[i] @ u[j] for j in range(max(0, i - 10), i))]) for i in range(60)}
     assert out == pytest.approx(want)
+
+
+def test_tables_of_a_forest_give_its_scores():
+    from gritsieve.operators import forest as G
+
+    rng = np.random.default_rng(4)
+    for width, size in ((4, 256), (2, 60)):
+        x = rng.integers(0, 40, (3000, width)).astype(float)
+        f = G.Forest.of([(t, *n) for t in range(20) for n in G.grow(x[rng.choice(3000, size, replace=False)], 1, t)], size)
+        assert G.Tables.of(f).raw(x).tolist() == f.raw(x).tolist()
+    assert G.Tables.of(G.Forest.of([(0, *n) for n in G.grow(rng.normal(size=(256, 20)), 1, 0)], 256)) is None
