@@ -27,13 +27,13 @@ def _step(d: Parts, pdf: pd.DataFrame) -> pd.DataFrame:
     out = pdf[["key", *ORDER, "source", "features", "raw"]].copy()
     walked = T.Walked(pdf["features"])
     samples = walked.samples
-    errors, scores, poisoned, usable = [], [], [], []
-    for i, (x, error) in enumerate(zip(samples, pdf["error"], strict=True)):
-        error = scorer.problem(x) if error is None or pd.isna(error) else error
-        score, bad, *_ = scorer.step(x, walked.raw(scorer.forest, i)) if error is None else (None, False)
-        errors.append(error), scores.append(score), poisoned.append(bad)
-        if error is None:
-            usable.append(i)
+    errors = [None if error is None or pd.isna(error) else error for error in pdf["error"]]
+    whole = [i for i, error in enumerate(errors) if error is None]
+    scored = scorer.run([samples[i] for i in whole], lambda k: walked.raw(scorer.forest, whole[k]))
+    scores, poisoned = [None] * len(pdf), [False] * len(pdf)
+    for i, score, bad, error in zip(whole, scored["score"], scored["is_poisoned"], scored["error"], strict=True):
+        errors[i], scores[i], poisoned[i] = error, score, bad
+    usable = [i for i in whole if errors[i] is None]
     moved = drift.run(np.stack([samples[i] for i in usable])) if usable else {"is_drifting": [], "drift_score": []}
     pick = lambda values: [values[i] for i in usable]
     found = store.run(pick(samples), pick(pdf["exact_key"].tolist()), pick(pdf["bit_pattern"].tolist()), pick(poisoned))
