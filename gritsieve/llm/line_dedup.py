@@ -7,8 +7,9 @@ allows edits, and one more, of which some one must occur unchanged in the longer
 at a place that its number and the lengths bound.  So segments are listed under
 (length, number, content), and every line probes, for each length it can match,
 the substrings at the places that the bounds leave; what would be the line's own
-segment is not probed, as lines of one length meet where they are listed.  Every
-row carries a sketch of its line's byte counts, which EDITS edits change by no
+segment is not probed, as lines of one length meet where they are listed.  Keys
+are joined a part of them at a time, and the shuffles of a part are deleted before
+the next, so that disk holds one part's rows.  Every row carries a sketch of its line's byte counts, which EDITS edits change by no
 more than 2 * EDITS; pairs that meet with nearer sketches are verified on their
 bytes by a banded bit-parallel edit distance.
 
@@ -26,17 +27,21 @@ but the text through.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .graph import components
-from .storage import checkpointed, release, stored
+from .storage import checkpointed, stored
 from .text import Prefixes, mix, span_hashes, text_slices, word_spans
 
 #: Most edits between linked lines, and bytes of the shorter line that allow one.
 EDITS, SHARE = 2, 20
+#: Parts of the keys, each dealt and joined by itself.
+PARTS = 2
 #: Lines to verify whose hashes are broadcast; more are joined.
 MOST_BROADCAST = 500_000
 #: Repeated lines that are broadcast (25 bytes each) for their removal; for more, texts are dealt by document.
@@ -66,20 +71,27 @@ def _binary(h: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer((16 * np.arange(len(h) + 1)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(h))])
 
 
-def _lists(values: list[np.ndarray], owners: list[np.ndarray], n: int) -> pa.Array:
-    """Lists of numbers by owner; owners without any have an empty list."""
-    owner, value = np.concatenate([np.zeros(0, np.int64), *owners]), np.concatenate([np.zeros(0, np.uint64), *values])
+def _lists(listed: tuple[list[np.ndarray], list[np.ndarray]], probes: tuple[list[np.ndarray], list[np.ndarray]], n: int) -> list[pa.Array]:
+    """For each part of the keys, lists of them by owner; owners without any have an empty list. The last bit marks listed segments."""
+    value, owner = np.concatenate([np.zeros(0, np.uint64), *listed[0], *probes[0]]), np.concatenate([np.zeros(0, np.int64), *listed[1], *probes[1]])
+    value |= np.uint64(1)
+    value[sum(map(len, listed[0])) :] ^= np.uint64(1)
     order = np.argsort(owner, kind="stable")
-    bounds = np.searchsorted(owner[order], np.arange(n + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(value[order].view(np.int64)))
+    value, owner = value[order], owner[order]
+    part, out = (value >> np.uint64(1)) % np.uint64(PARTS), []
+    for k in range(PARTS):
+        bounds = np.searchsorted(owner[part == k], np.arange(n + 1)).astype(np.int32)
+        out.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(value[part == k].view(np.int64))))
+    return out
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, half, line, sketch, keys, n_listed): each document's distinct lines, the first of equal ones.
+    """(doc_id, line_no, half, line, sketch, keys0, ...): each document's distinct lines, the first of equal ones.
 
-    half is the first half of the line's hash, as a number; keys are those of its listed segments, n_listed in number, and then of its
-    probes. The last three are null but for the first of equal lines of a slice, with an id and edits to allow.
+    half is the first half of the line's hash, as a number; keys are those of its listed segments, with a last bit of 1, and of its
+    probes, a column for each part. Sketch and keys are null but for the first of equal lines of a slice, with an id and edits to allow.
     """
+    names = ["doc_id", "line_no", "half", "line", "sketch", *(f"keys{k}" for k in range(PARTS))]
 
     def run(batches):
         for batch in batches:
@@ -99,16 +111,15 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 fresh &= known[row + a] & (sizes >= SHARE)
                 at = np.flatnonzero(fresh)
                 sums = Prefixes(data)
-                (listed, owners), probes = (segments(sums, starts[at], sizes[at], probe) for probe in (False, True))
-                keys = _lists(listed + probes[0], owners + probes[1], len(at))
-                n_listed = pa.array(np.bincount(np.concatenate([np.zeros(0, np.int64), *owners]), minlength=len(at)).astype(np.int32))
+                keys = _lists(*(segments(sums, starts[at], sizes[at], probe) for probe in (False, True)), len(at))
                 place = np.full(len(first), -1)
                 place[at] = np.arange(len(at))
                 take = pa.array(place, mask=~fresh)
-                columns = [batch.column(0).take(pa.array(row + a)), pa.array(number), pa.array(h[:, 0].view(np.int64)), _binary(h), pa.array(sketches(data, starts[at], sizes[at])).take(take), keys.take(take), n_listed.take(take)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line_no", "half", "line", "sketch", "keys", "n_listed"])
+                columns = [batch.column(0).take(pa.array(row + a)), pa.array(number), pa.array(h[:, 0].view(np.int64)), _binary(h), pa.array(sketches(data, starts[at], sizes[at])).take(take), *(k.take(take) for k in keys)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id bigint, line_no bigint, half bigint, line binary, sketch int, keys array<bigint>, n_listed int")
+    types = ["bigint", "bigint", "bigint", "binary", "int", *["array<bigint>"] * PARTS]
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, ", ".join(map(" ".join, zip(names, types, strict=True))))
 
 
 def sketches(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -200,6 +211,19 @@ def _distances(x: list[bytes], y: list[bytes], nx: np.ndarray, ny: np.ndarray, m
     return score
 
 
+def _met(every: DataFrame, keys: str) -> DataFrame:
+    """(a, b): first halves of the hashes of lines that meet at a key of this part with near sketches."""
+    # both sides of the joins are parts of this, so that Spark deals the distinct lines once
+    one = F.row_number().over(Window.partitionBy("line").orderBy("half"))
+    each = every.filter(F.col(keys).isNotNull()).select("line", "half", "sketch", keys, one.alias("_one")).filter("_one = 1").select("half", "sketch", F.explode(keys).alias("key"))
+    side = lambda last, half, sketch: each.filter(F.col("key").bitwiseAND(1) == last).select(F.shiftrightunsigned("key", 1).alias("key"), F.col("half").alias(half), F.col("sketch").alias(sketch))
+    listed = side(1, "b", "_t")
+    # a probe meets listed segments of shorter lines and, at other places, of lines as long; equal places are met among the listed
+    met = side(0, "a", "_s").join(listed, "key").filter((F.col("a") != F.col("b")) & _close("_s", "_t"))
+    met = met.unionByName(side(1, "a", "_s").join(listed, "key").filter((F.col("a") < F.col("b")) & _close("_s", "_t")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(a, b): lines, of the pairs of first halves of their hashes, that are within the edits they allow; texts come from the first document that holds each."""
     wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("half")).distinct())
@@ -246,22 +270,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     every = stored(lines(docs, id_col, text_col))
     places = every.select("doc_id", "line_no", "half", "line")
-    # both sides of the joins are parts of this, so that Spark deals the distinct lines once
-    one = F.row_number().over(Window.partitionBy("line").orderBy("half"))
-    each = every.filter("keys is not null").withColumn("_one", one).filter("_one = 1").select("half", "sketch", "n_listed", F.posexplode("keys").alias("at", "key"))
-    side = lambda part, half, sketch: each.filter(part).select("key", F.col("half").alias(half), F.col("sketch").alias(sketch))
-    listed = side("at < n_listed", "b", "_t")
-    # a probe meets listed segments of shorter lines and, at other places, of lines as long; equal places are met among the listed
-    met = side("at >= n_listed", "a", "_s").join(listed, "key").filter((F.col("a") != F.col("b")) & _close("_s", "_t"))
-    met = met.unionByName(side("at < n_listed", "a", "_s").join(listed, "key").filter((F.col("a") < F.col("b")) & _close("_s", "_t")))
-    pairs = checkpointed(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    release(docs.sparkSession)
+    met = [stored(_met(every, f"keys{k}"), clean=True) for k in range(PARTS)]
+    pairs = checkpointed(functools.reduce(DataFrame.unionByName, met).distinct())
     links = checkpointed(_verified(pairs, docs, places, id_col, text_col))
     ends = links.select(F.explode(F.array("a", "b")).alias("line"))
     named = checkpointed(checkpointed(ends.groupBy("line").agg(F.count("*").alias("n_links"))).withColumn("node", F.monotonically_increasing_id()))
     number = lambda x: named.select(F.col("line").alias(x), F.col("node").alias(f"n{x}"))
     edges = links.join(number("a"), "a").join(number("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    counts = stored(places.groupBy("line").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    counts = stored(places.groupBy("line").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), clean=True)
     # the linked lines alone have classes to look up
     linked = named.join(components(edges), "node").join(counts, "line").select("line", "n_links", F.col("root").alias("class_id"), "first", "n")
     linked = checkpointed(linked)
@@ -273,7 +289,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     per_line = counts.join(linked.drop("first", "n"), "line", "left").select(
         "line", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_places", "n").alias("n_places"), F.coalesce("first_doc", "first").alias("first_doc"), "class_id", F.coalesce("own", F.col("class_id").isNull()).alias("own")
     )
-    return places, stored(per_line)
+    return places, stored(per_line, clean=True)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
